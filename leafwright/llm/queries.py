@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op06_token_files, op09_packing
+from . import op06_token_files, op08_pieces, op09_packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,12 +15,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_token_files.token_files(_read(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_pieces.encode_decode(_read(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_packing.pack(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_files, op9_packing)}
+    return {f.__name__: f for f in (op6_token_files, op8_sentencepiece, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
