@@ -77,12 +77,12 @@ def vector_rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarra
     return flat.reshape(len(column), width), np.arange(len(column))
 
 
-_M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """The finaliser of splitmix64 over unsigned 64-bit values."""
-    x = np.asarray(x, dtype=np.uint64) + _GOLD * np.uint64((2 * seed + 1) & 0xFFFFFFFFFFFFFFFF)
+    x = np.asarray(x, dtype=np.uint64) + np.uint64((2 * seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))

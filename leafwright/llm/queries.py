@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op06_token_files, op08_pieces, op09_packing
+from . import op05_minhash, op06_token_files, op08_pieces, op09_packing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_token_files.token_files(_read(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_token_files, op8_sentencepiece, op9_packing)}
+    return {f.__name__: f for f in (op5_minhash, op6_token_files, op8_sentencepiece, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
