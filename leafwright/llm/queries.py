@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op05_minhash, op06_token_files, op08_pieces, op09_packing
+from . import op01_language, op05_minhash, op06_token_files, op08_pieces, op09_packing
+from . import op10_toxicity as toxicity
+from .common import bucket_of_id
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +29,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", bucket_of_id("doc_id", 4) == 2)
+    learned = op01_language.dictionaries(docs.where("not held_out"))
+    return op01_language.predict(docs, learned).withColumn("held_out", bucket_of_id("doc_id", 4) == 2)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs.where(bucket_of_id("doc_id", 5) != 0), _read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).withColumn("held_out", bucket_of_id("doc_id", 5) == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_minhash, op6_token_files, op8_sentencepiece, op9_packing)}
+    return {f.__name__: f for f in (op1_language, op5_minhash, op6_token_files, op8_sentencepiece, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
