@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_language, op05_minhash, op06_token_files, op08_pieces, op09_packing
+from . import op01_language, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
 from . import op10_toxicity as toxicity
 from .common import bucket_of_id
 
@@ -41,9 +42,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", bucket_of_id("doc_id", 5) == 0)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = op04_topk.quantised(_read(spark, sf_dir, "embeddings"))
+    return op04_topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op7_quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return op07_quantised.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op5_minhash, op6_token_files, op8_sentencepiece, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": op04_topk.TOP_5_SQL}
