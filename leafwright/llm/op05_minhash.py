@@ -19,8 +19,8 @@ chunks, no pairs are listed, and no link inside a bucket is lost. Components
 come from alternating large-star and small-star rounds over the links.
 
 Defined results: a null or wordless text has an empty set, links with nothing
-and is its own component; repeated doc_ids count as copies of one document id
-when their texts agree; a null id takes part in no link (component null, kept
+and is its own component; rows that repeat a doc_id share its component, which
+the links of any of their texts decide; a null id takes part in no link (component null, kept
 false); empty tables give no rows; other columns are ignored.
 """
 
@@ -44,6 +44,8 @@ SHARE = 85
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
 CHUNK = 512
+#: Of the bitmap that marks wanted ids: 8 MB.
+BITS = 1 << 26
 FINGERPRINTS = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 LINKS = "a long, b long"
 
@@ -204,9 +206,9 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     prints = settled(fingerprints(docs), "sketches")
     full = prints.where("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; the smallest id stands for its class.
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id = rep").dropDuplicates(["doc_id"])
-    rows = settled(reps.select("doc_id", F.explode("bands").alias("bucket")), "bands")
+    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = settled(classes, "classes")
+    rows = settled(classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket")), "bands")
     # Buckets with the same members count once.
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 1")
     buckets = buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
@@ -220,23 +222,38 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     if not large.isEmpty():
         links = settled(links.unionByName(_large_links(large, sets, links, chunk)), "links")
     found = components(links)
-    of_rep = classes.join(found, classes["rep"] == found["node"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    of_rep = classes.drop("bands").join(found, classes["rep"] == found["node"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked_docs = full.select("doc_id", "n_shingles", "f1", "f2").join(of_rep, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
     alone = prints.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_docs.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def _member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """doc_id and full shingle set of every class that shares a bucket."""
+    """doc_id and full shingle set of every class that shares a bucket.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            own = [shingles(x).astype("<u8").tobytes() for x in bytes_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
+    The texts are not shuffled: a bitmap of ``BITS`` bits, whatever the number of
+    documents, marks the hashes of the wanted ids, and the few unwanted ids that
+    hit a mark too find no partner in the joins that follow.
+    """
+    # Spark's bitmaps count from 1.
+    marks = members.select((F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    bitmap = np.zeros(BITS // 8, dtype=np.uint8)
+    for row in marks.collect():
+        at = (row.k - 1) * 4096
+        bitmap[at : at + 4096] = np.frombuffer(row.bits, dtype=np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    wanted = members.select("doc_id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    return texts.mapInArrow(read, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy()
+            hit = shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1
+            for part in slices([batch.filter(pa.array(hit.astype(bool)))]):
+                own = [shingles(x).astype("<u8").tobytes() for x in bytes_of(part)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
+
+    ids = F.col("doc_id").cast("long")
+    texts = docs.where("doc_id is not null").select(ids.alias("doc_id"), F.pmod(F.xxhash64(ids), F.lit(BITS)).alias("h"), "text")
+    return texts.mapInArrow(read, "doc_id long, shingles binary").where(F.length("shingles") > 0)
 
 
 def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int) -> DataFrame:
