@@ -272,3 +272,14 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int
     # New names' ids on either side: both come from the same tables.
     left, right = (x.select(*(F.col(c).alias(c) for c in [*keys, "doc_id", "part", "shingles"])) for x in (probes, against))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_probe_links, LINKS)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, with one row for each component: that of its smallest id.
+
+    Rows that repeat an id and its text are copies, of which one stays; rows
+    without an id link with nothing and stay.
+    """
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    same = docs["doc_id"].cast("long") == kept["kept_id"]
+    return docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_language, op02_personal, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
-from . import op01_language, op02_personal, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
-from . import op01_language, op02_personal, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
 from . import op10_toxicity as toxicity
 from .common import bucket_of_id
 
@@ -57,8 +58,13 @@ def op2_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_personal.find(_read(spark, sf_dir, "documents"), op02_personal.train(op02_personal.labelled_table(spark)))
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return op03_maxent.score(docs, op03_maxent.train(docs.where(bucket_of_id("doc_id", 5) != 1))).withColumn("held_out", bucket_of_id("doc_id", 5) == 1)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_personal, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language, op2_personal, op3_maxent, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
