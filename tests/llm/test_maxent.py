@@ -52,7 +52,7 @@ def test_class_probabilities_sum_to_one_and_learn():
     weights, squares = np.zeros((op.TABLE, op.CLASSES), dtype=np.float32), np.zeros((op.TABLE, op.CLASSES), dtype=np.float32)
     features = rng.integers(0, 4, (4000, op.FEATURES)) + 4 * np.arange(op.FEATURES)
     classes = features[:, 0]
-    for _ in range(30):
+    for _ in range(80):
         op.ascend(weights, squares, features, classes)
     p = op.log_classes(weights, features)
     assert np.allclose(np.exp(p).sum(axis=1), 1, atol=1e-4) and np.exp(p[np.arange(4000), classes]).mean() > 0.9
