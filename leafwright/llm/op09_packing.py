@@ -110,10 +110,13 @@ def configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int
         weight /= weight.max()
         weight = np.maximum(weight, 1e-9)
     bins: list[list] = []
-    share = max(1, int(lp // rounds))
-    for copies in columns:
+    # Equal columns add up. What a share has beyond whole sequences is left to best
+    # fit, and so are columns that leave room: nothing is sure to fill it.
+    shares = Counter(c.tobytes() for c in columns if (c * lengths).sum() == capacity)
+    for key, times in shares.items():
+        copies = np.frombuffer(key, dtype=np.int64)
         used = copies > 0
-        times = min(share, int((left[used] // copies[used]).min())) if used.any() else 0
+        times = min(int(times * lp / rounds), int((left[used] // copies[used]).min())) if used.any() else 0
         if times > 0:
             left = left - times * copies
             bins.append([times, capacity - int((copies * lengths).sum()), {int(lengths[i]): int(copies[i]) for i in np.flatnonzero(used)}])
