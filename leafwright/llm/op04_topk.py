@@ -4,8 +4,9 @@ Every dimension of a block of vectors is a list sorted by component; for one
 query it is read from the end that its own component prefers. At each depth a
 vector's lower bound takes the list's last value for what has not been read, its
 upper bound the value at the reading front. Vectors whose upper bound falls
-below the k-th lower bound are outsiders and leave; reading stops when nothing
-but a handful is left, whose scores are then resolved in full.
+below the k-th lower bound are outsiders and leave; reading stops when few are
+left, or at the last depth, and their scores are then resolved in full. The
+bounds of a block of queries at one depth are two matrix products.
 
 Defined results: see ``vectors.usable``; an empty vector takes no part; rows
 with a query's own id are not its candidates; fewer than k candidates give
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from . import vectors as vec
 
 BLOCK, QUERY_BLOCK = 4096, 256
-DEPTHS = (0.25, 0.5, 0.7, 0.85, 0.95, 1.0)
+#: Shares of the lists read before the bounds are compared; what stays open after the last is resolved in full.
+DEPTHS = (0.8, 0.95)
 
 
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
@@ -34,31 +36,48 @@ class SortedLists:
     """A block's vectors with every dimension as a sorted list."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+        self.ids, self.x, n = ids, x, len(x)
         order = np.argsort(x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(x, order, axis=0)
         self.place = np.empty(x.shape, dtype=np.int32)
-        np.put_along_axis(self.place, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
-
-    def top(self, query: np.ndarray, k: int, without: int | None = None, depths: tuple[float, ...] = DEPTHS) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best, best first."""
-        n, up = len(self.x), query >= 0
-        alive = np.flatnonzero(self.ids != without) if without is not None else np.arange(n)
-        last = np.where(up, self.sorted[0], self.sorted[-1]) * query
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+
+    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds, vectors x queries, when ``depth`` entries of each list have been read.
+
+        ``up`` has the queries' positive components, whose lists are read from
+        the top, ``down`` the negative ones, read from the bottom. All numbers
+        are whole, so the products are exact.
+        """
+        n = len(self.x)
+        top, bottom = self.place >= n - depth, self.place < depth
+        read = np.concatenate([self.x * top, self.x * bottom], axis=1)
+        seen = read @ np.concatenate([up, down], axis=1).T
+        unread = np.concatenate([~top, ~bottom], axis=1).astype(np.float64)
+        ends = lambda high, low: unread @ np.concatenate([up * self.sorted[high], down * self.sorted[low]], axis=1).T
+        return seen + ends(0, n - 1), seen + ends(max(0, n - 1 - depth), min(n - 1, depth))
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS, few: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """ids and scores of the k best for each query, best first, without the rows of the query's own id."""
+        n = len(self.x)
+        candidates = self.ids[:, None] != own[None, :]
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        open_ = np.flatnonzero(candidates.sum(axis=0) > few * k)
         for share in depths:
-            if len(alive) <= 4 * k:
+            if not len(open_):
                 break
-            depth = min(n, int(np.ceil(share * n)))
-            front = np.where(up, self.sorted[max(0, n - 1 - depth)], self.sorted[min(n - 1, depth)]) * query
-            place = self.place[alive]
-            read = np.where(up, n - 1 - place, place) < depth
-            gain = self.x[alive] * query
-            lower = np.where(read, gain, last).sum(axis=1)
-            upper = np.where(read, gain, front).sum(axis=1)
-            alive = alive[upper >= np.partition(lower, -k)[-k]]
-        scores = (self.x[alive] * query).sum(axis=1)
-        keep = vec.best(self.ids[alive], scores, k)
-        return self.ids[alive][keep], scores[keep]
+            lower, upper = self.bounds(up[open_], down[open_], min(n, int(np.ceil(share * n))))
+            lower[~candidates[:, open_]] = -np.inf
+            # Outsiders: even their upper bound is below the k-th lower bound.
+            candidates[:, open_] &= upper >= np.partition(lower, n - k, axis=0)[n - k]
+            open_ = open_[candidates[:, open_].sum(axis=0) > few * k]
+        out = []
+        for j, query in enumerate(queries):
+            left = np.flatnonzero(candidates[:, j])
+            scores = (self.x[left] * query).sum(axis=1)
+            keep = vec.best(self.ids[left], scores, k)
+            out.append((self.ids[left][keep], scores[keep]))
+        return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -66,11 +85,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, qu
 
     def find(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         lists = SortedLists(candidates["vec_id"].to_numpy(), np.stack(candidates["v"]))
-        out = []
-        for own, v in zip(asked["vec_id"], asked["v"]):
-            ids, scores = lists.top(np.asarray(v), k, own)
-            out.append(pd.DataFrame({"query_id": np.full(len(ids), own, np.int64), "vec_id": ids, "score": scores.astype(np.int64)}))
-        return pd.concat(out, ignore_index=True)
+        own = asked["vec_id"].to_numpy()
+        found = lists.top(np.stack(asked["v"]), own, k)
+        sizes = [len(ids) for ids, _ in found]
+        return pd.DataFrame({"query_id": np.repeat(own, sizes), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found]).astype(np.int64)})
 
     return vec.search_blocks(vectors, queries, find, k, "long", block, query_block)
 
