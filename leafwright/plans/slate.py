@@ -1,11 +1,202 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL.
+
+Most queries are operator steps over the leaf table and a closing statement in
+SQL that both engines read; ``{leaf}`` stands for the leaves with the steps'
+columns. A closing statement may differ by engine where array functions do.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import extract, layer1, layer2, layer3, spans
+from .dialect import DUCK, Spark, apply, codes, render
+from .leaves import leaves, leaves_sql, tables
+
+_SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def context(d: Spark) -> list[tuple[str, str]]:
+    """The clause a leaf came from, duplicate codes, and what rescue reported."""
+    signature = "document_id, item_uid, entity_type, lower(entity_text), operator, value_type, value_text, unit, t_relation"
+    return [
+        ("item_text", "concat(evidence_text, ' in this study')"),
+        ("clause_text", "CASE WHEN k % 27 = 9 THEN 'another sentence' ELSE evidence_text END"),
+        ("clause_evidence", "CASE WHEN k % 27 = 9 THEN 'other words' ELSE evidence_text END"),
+        ("clause_negated", "k % 11 = 3"),
+        ("has_clause", "k % 61 <> 7"),
+        ("codes_1b", codes([("duplicate_criterion_id", "criterion_id IS NOT NULL AND count(*) OVER (PARTITION BY document_id, criterion_id) > 1"), ("duplicate_identical_leaf", f"count(*) OVER (PARTITION BY {signature}) > 1")])),
+        ("rescue_decision", "CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'use_b' END"),
+        ("apply_status", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 24 = 2 THEN 'applied' ELSE 'skipped' END END"),
+        ("from_b", "k % 24 = 2"),
+    ]
+
+
+LAYER1 = (context, layer1.structural_codes, layer1.source_warnings, layer1.action_hint, layer1.consistency_codes, layer1.policy_a, layer1.policy_b)
+BRANCH_A = (*LAYER1, layer2.signals_a, layer2.scores_a, layer2.label_a)
+BRANCH_B = (*BRANCH_A, layer2.screen_b, layer2.routing_b)
+LAYER3 = (*BRANCH_B, layer3.decisions)
+FINAL = (*LAYER3, layer3.final_decisions, layer3.cross_branch)
+
+
+def _leaf(name: str, steps: tuple, closing: str, duck: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(closing, leaf=apply(leaves(spark, sf_dir), *steps))
+
+    _SPARK[name] = run
+    ctes, last = render(leaves_sql(), *steps)
+    _SQL[name] = f"{ctes} {(duck or closing).replace('{leaf}', last)}"
+
+
+def _table(name: str, closing: str, *names: str, duck: str | None = None) -> None:
+    """A statement over driver tables, each written ``{table}``."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(closing, **tables(spark, sf_dir, *names))
+
+    _SPARK[name] = run
+    sql = duck or closing
+    for n in names:
+        sql = sql.replace("{" + n + "}", n)
+    _SQL[name] = sql
+
+
+# --- layer 1 -------------------------------------------------------------------
+_leaf("structural_codes", (layer1.structural_codes, layer1.action_hint), "SELECT key_id, codes_1a, hint_1a FROM {leaf}")
+_leaf("source_warnings", (layer1.source_warnings,), "SELECT key_id, codes_1c FROM {leaf}")
+_leaf("consistency_codes", (context, layer1.consistency_codes), "SELECT key_id, codes_1d FROM {leaf}")
+_leaf("duplicate_codes", (context,), "SELECT key_id, codes_1b FROM {leaf} WHERE codes_1b <> ''")
+_leaf("duplicate_paths", (context,), "SELECT document_id, criterion_id, count(*) AS n, min(key_id) AS first_key, max(key_id) AS last_key FROM {leaf} WHERE criterion_id IS NOT NULL GROUP BY document_id, criterion_id HAVING count(*) > 1")
+_leaf("missing_leaves", (context,), "SELECT c.key_id, c.clause_text FROM {leaf} AS c LEFT ANTI JOIN (SELECT key_id FROM {leaf} WHERE k % 61 <> 7) AS l ON c.key_id = l.key_id", "SELECT c.key_id, c.clause_text FROM {leaf} AS c ANTI JOIN (SELECT key_id FROM {leaf} WHERE k % 61 <> 7) AS l ON c.key_id = l.key_id")
+_leaf("policy_a", LAYER1, "SELECT key_id, bucket_a, severity_a, action_a, policy_score_a, hard_a, execution_a, hard_codes_a FROM {leaf}")
+_leaf("policy_b", LAYER1, "SELECT key_id, bucket_b, severity_b, action_b, policy_score_b, hard_b, soft_b, execution_b, hard_codes_b FROM {leaf}")
+_leaf("policy_action_counts", LAYER1, "SELECT action_a, action_b, count(*) AS n, avg(policy_score_a) AS mean_a FROM {leaf} GROUP BY action_a, action_b")
+_leaf("code_counts", LAYER1, "SELECT code, count(*) AS n FROM (SELECT explode(split(codes_1a, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code", "SELECT code, count(*) AS n FROM (SELECT unnest(string_split(codes_1a, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code")
+_leaf(
+    "complete_code_counts",
+    LAYER1,
+    f"SELECT d.code, coalesce(n, 0) AS n FROM (SELECT explode(array({', '.join(repr(c) for c in layer1.STRUCTURAL)})) AS code) AS d LEFT JOIN (SELECT code, count(*) AS n FROM (SELECT explode(split(codes_1a, ';')) AS code FROM {{leaf}}) GROUP BY code) AS c ON d.code = c.code",
+    f"SELECT d.code, coalesce(n, 0) AS n FROM (SELECT unnest([{', '.join(repr(c) for c in layer1.STRUCTURAL)}]) AS code) AS d LEFT JOIN (SELECT code, count(*) AS n FROM (SELECT unnest(string_split(codes_1a, ';')) AS code FROM {{leaf}}) GROUP BY code) AS c ON d.code = c.code",
+)
+_leaf("top_codes", LAYER1, "SELECT code, count(*) AS n FROM (SELECT explode(split(codes_1c, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code ORDER BY n DESC, code LIMIT 5", "SELECT code, count(*) AS n FROM (SELECT unnest(string_split(codes_1c, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code ORDER BY n DESC, code LIMIT 5")
+# --- layer 2 -------------------------------------------------------------------
+_leaf("support_signals_a", (layer2.signals_a,), "SELECT key_id, operator_category, entity_in_evidence, generic_entity, value_supported, value_in_evidence, temporal_marker, history_marker, condition_marker, exception_marker, quantitative_cue FROM {leaf}")
+_leaf("scores_a", BRANCH_A, "SELECT key_id, entity_support, operator_value_support, quantitative_support, temporal_support, history_support, context_support, computability_support, layer1_support, leaf_support, risk_score, risk_label, bottlenecks FROM {leaf}")
+_leaf("risk_by_operator_category", BRANCH_A, "SELECT operator_category, risk_label, count(*) AS n, avg(leaf_support) AS mean_support, min(leaf_support) AS least_support FROM {leaf} GROUP BY operator_category, risk_label")
+_leaf("ablation", (*BRANCH_A, layer2.ablation), "SELECT key_id, signal_support, signal_label, severity_difference FROM {leaf}")
+_leaf("ablation_crosstab", (*BRANCH_A, layer2.ablation), "SELECT risk_label, signal_label, count(*) AS n FROM {leaf} GROUP BY CUBE (risk_label, signal_label)")
+_leaf("screen_b", BRANCH_B, "SELECT key_id, entity_b, value_b, unit_b, operator_value_b, quantitative_b, temporal_b, history_b, context_b, modifier_b, allowance_b, layer1_b, computability_b, execution_b_support FROM {leaf}")
+_leaf("routing_b", BRANCH_B, "SELECT key_id, semantic_support, execution_support, semantic_label, execution_label, semantic_bottlenecks, routing FROM {leaf}")
+_leaf("branch_agreement", BRANCH_B, "SELECT risk_label, semantic_label, routing, count(*) AS n FROM {leaf} GROUP BY risk_label, semantic_label, routing")
+_leaf("component_summary", BRANCH_A, "SELECT criterion_type, round(avg(leaf_support), 6) AS mean_support, round(median(leaf_support), 6) AS median_support, min(leaf_support) AS least, max(leaf_support) AS most FROM {leaf} GROUP BY criterion_type")
+# --- labels and metrics -----------------------------------------------------------
+_WRONG = "(CASE WHEN manual_label = 'correct' THEN 0 ELSE 1 END)"
+_leaf("error_by_label", BRANCH_A, f"SELECT risk_label, count(*) AS n, count(manual_label) AS labelled, sum(CASE WHEN manual_label IS NOT NULL THEN {_WRONG} ELSE 0 END) AS errors, CASE WHEN count(manual_label) = 0 THEN NULL ELSE round(CAST(sum(CASE WHEN manual_label IS NOT NULL THEN {_WRONG} ELSE 0 END) AS DOUBLE) / count(manual_label), 6) END AS error_rate FROM {{leaf}} GROUP BY risk_label")
+_leaf("label_crosstab", BRANCH_A, "SELECT risk_label, sum(CASE WHEN manual_label = 'correct' THEN 1 ELSE 0 END) AS n_correct, sum(CASE WHEN manual_label = 'partial' THEN 1 ELSE 0 END) AS n_partial, sum(CASE WHEN manual_label = 'incorrect' THEN 1 ELSE 0 END) AS n_incorrect, count(*) AS n_all FROM {leaf} GROUP BY risk_label")
+_leaf("grouped_error_rates", BRANCH_B, f"SELECT routing, entity_type, count(*) AS n, round(avg(CAST({_WRONG} AS DOUBLE)), 6) AS error_rate FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY routing, entity_type")
+_leaf("risk_coverage", BRANCH_A, f"SELECT policy, sum(CASE WHEN kept THEN n ELSE 0 END) AS accepted, sum(n) AS labelled, sum(CASE WHEN kept THEN errors ELSE 0 END) AS accepted_errors, sum(CASE WHEN kept THEN 0 ELSE errors END) AS deferred_errors FROM (SELECT policy, n, errors, policy = 'all' OR policy = 'not_review' AND risk_label <> 'review_priority' OR policy = 'high_only' AND risk_label = 'high_support_not_auto_accept' AS kept FROM (SELECT risk_label, count(*) AS n, sum({_WRONG}) AS errors FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY risk_label) AS g JOIN (VALUES ('all'), ('not_review'), ('high_only')) AS p(policy) ON g.n > 0) AS x GROUP BY policy")
+_leaf("threshold_sweep", BRANCH_A, f"SELECT t.step, sum(CASE WHEN g.leaf_support >= 0.5 + 0.05 * t.step THEN n ELSE 0 END) AS accepted, sum(CASE WHEN g.leaf_support >= 0.5 + 0.05 * t.step THEN errors ELSE 0 END) AS errors, sum(CASE WHEN g.leaf_support < 0.5 + 0.05 * t.step THEN errors ELSE 0 END) AS caught FROM (SELECT round(leaf_support, 4) + 0.0001 AS leaf_support, count(*) AS n, sum({_WRONG}) AS errors FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY round(leaf_support, 4) + 0.0001) AS g JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(step) ON g.n > 0 GROUP BY t.step")
+# Scores are grouped first, so the windows run over distinct scores only.
+_BY_SCORE = f"(SELECT risk_score, count(*) AS n, sum({_WRONG}) AS pos FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY risk_score)"
+_leaf("auroc", BRANCH_A, f"SELECT round((sum(pos * (below + (n + 1) / 2.0D)) - sum(pos) * (sum(pos) + 1) / 2.0D) / (sum(pos) * sum(n - pos)), 9) AS auroc, sum(pos) AS positives, sum(n) AS labelled FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY risk_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {_BY_SCORE} AS g) AS w", f"SELECT round((sum(pos * (below + (n + 1) / 2)) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * sum(n - pos)), 9) AS auroc, sum(pos) AS positives, sum(n) AS labelled FROM (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY risk_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS below FROM {_BY_SCORE} AS g) AS w")
+_leaf("average_precision", BRANCH_A, f"SELECT round(sum(CAST(pos AS DOUBLE) * tp / seen) / sum(pos), 9) AS average_precision FROM (SELECT pos, CAST(sum(pos) OVER w AS DOUBLE) AS tp, CAST(sum(n) OVER w AS DOUBLE) AS seen FROM {_BY_SCORE} AS g WINDOW w AS (ORDER BY risk_score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS x")
+_leaf("binary_metrics", BRANCH_B, "SELECT tp, fp, tn, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END, 6) AS prec, round(CASE WHEN tp + fn = 0 THEN 0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END, 6) AS recall, round(CASE WHEN tn + fp = 0 THEN 0 ELSE CAST(tn AS DOUBLE) / (tn + fp) END, 6) AS specificity, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) END, 6) AS f1 FROM (SELECT sum(CASE WHEN p AND w THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN p AND NOT w THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN NOT p AND NOT w THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN NOT p AND w THEN 1 ELSE 0 END) AS fn FROM (SELECT routing = 'llm_verifier' AS p, manual_label <> 'correct' AS w FROM {leaf} WHERE manual_label IS NOT NULL) AS a) AS b")
+_STRATUM = "CASE WHEN contains(evidence_text, 'unless') OR contains(evidence_text, 'except') THEN 'exception' WHEN k % 11 = 3 THEN 'negation' WHEN t_relation IS NOT NULL THEN 'temporal' WHEN computability = 'non_computable' THEN 'non_computable' ELSE 'simple' END"
+_leaf("labels_by_stratum", (), f"SELECT stratum, count(*) AS n, sum(CASE WHEN manual_label = 'correct' THEN 1 ELSE 0 END) AS n_correct, sum(CASE WHEN manual_label = 'partial' THEN 1 ELSE 0 END) AS n_partial, sum(CASE WHEN manual_label = 'incorrect' THEN 1 ELSE 0 END) AS n_incorrect FROM (SELECT *, {_STRATUM} AS stratum FROM {{leaf}}) AS s WHERE manual_label IS NOT NULL GROUP BY stratum")
+_leaf("label_transitions", FINAL, "SELECT concat(manual_label, '_to_', CASE chosen_decision WHEN 'accept' THEN 'correct' WHEN 'partial' THEN 'partial' ELSE 'incorrect' END) AS transition, count(*) AS n FROM {leaf} WHERE manual_label IS NOT NULL GROUP BY 1")
+_leaf("document_structure", LAYER1, "SELECT document_id, count(*) AS leaves, sum(CASE WHEN codes_1a <> '' THEN 1 ELSE 0 END) AS with_issue, count(DISTINCT item_uid) AS items, count(DISTINCT criterion_id) AS ids, round(avg(CASE WHEN codes_1a = '' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS valid_rate FROM {leaf} GROUP BY document_id")
+_leaf("branch_structure_summary", LAYER1, "SELECT count(*) AS documents, round(avg(valid_rate), 6) AS mean_valid_rate, sum(leaves) AS leaves FROM (SELECT document_id, CAST(count(*) AS BIGINT) AS leaves, avg(CASE WHEN codes_1a = '' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS valid_rate FROM {leaf} GROUP BY document_id) AS g")
+_leaf("entity_grounding", (layer2.signals_a,), "SELECT operator_category, count(*) AS n, sum(CASE WHEN entity_in_evidence THEN 1 ELSE 0 END) AS grounded, sum(CASE WHEN has_anchor THEN 1 ELSE 0 END) AS anchored, sum(CASE WHEN has_anchor AND anchor_type_match THEN 1 ELSE 0 END) AS typed, round(avg(CASE WHEN has_anchor THEN anchor_score END), 6) AS mean_anchor FROM {leaf} GROUP BY operator_category")
+_leaf("token_burden", (), "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4.0D AS tokens_in, sum(length(entity_text)) / 4.0D AS tokens_out, round(sum(length(evidence_text)) / 4.0D + 8 * sum(length(entity_text)) / 4.0D, 6) AS burden, round(sum(length(evidence_text)) / 4.0D / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid", "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4 AS tokens_in, sum(length(entity_text)) / 4 AS tokens_out, round(sum(length(evidence_text)) / 4 + 8 * sum(length(entity_text)) / 4, 6) AS burden, round(sum(length(evidence_text)) / 4 / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid")
+# --- layer 3 -------------------------------------------------------------------
+_leaf("decisions", LAYER3, "SELECT key_id, decision_a, family_a, priority_a, changes_tree_a, task_a, decision_b, family_b, priority_b, changes_tree_b, task_b FROM {leaf}")
+_leaf("decision_counts", LAYER3, "SELECT decision_a, decision_b, count(*) AS n FROM {leaf} GROUP BY decision_a, decision_b")
+_leaf("rescue_queue", LAYER3, "SELECT key_id, priority_b, task_b, row_number() OVER (PARTITION BY document_id ORDER BY priority_b, key_id) AS place FROM {leaf} WHERE family_b IN ('structural_repair', 'llm_rescue_or_review')")
+_leaf("safe_repairs", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT key_id, repairs, new_value_kind, new_value_num, new_computability, new_reason, new_t_value, new_t_unit, changed_fields, forbidden_changes FROM {leaf} WHERE repairs <> ''")
+_leaf("unrepaired_unchanged", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT count(*) AS n, sum(CASE WHEN changed_fields <> '' THEN 1 ELSE 0 END) AS changed FROM {leaf} WHERE repairs = ''")
+_leaf("final_decisions", FINAL, "SELECT key_id, final_a, rule_a, final_b, rule_b, chosen_branch, chosen_decision FROM {leaf}")
+_leaf("cross_branch_summary", FINAL, "SELECT chosen_branch, chosen_decision, count(*) AS n FROM {leaf} GROUP BY chosen_branch, chosen_decision")
+_leaf("review_sheet", (layer3.review_text,), "SELECT key_id, compact_leaf, concat('I', lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY key_id) AS STRING), 5, '0')) AS review_id FROM {leaf}")
+
+
+def _reverified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layer-1 functions, over repaired leaves."""
+    fixed = apply(leaves(spark, sf_dir), *LAYER1, layer3.safe_repairs)
+    for old, new in _NEW_FIELDS.items():
+        fixed = fixed.withColumn(old, F.col(new))
+    fixed = fixed.select(*leaves(spark, sf_dir).columns, F.col("codes_1a").alias("codes_before"))
+    return apply(fixed, layer1.structural_codes).select("key_id", "codes_before", "codes_1a")
+
+
+_NEW_FIELDS = {"value_kind": "new_value_kind", "computability": "new_computability", "non_computable_reason": "new_reason", "t_value": "new_t_value", "t_unit": "new_t_unit"}
+_SPARK["reverified_after_repair"] = _reverified
+_ctes, _last = render(leaves_sql(), *LAYER1, layer3.safe_repairs)
+_kept = "SELECT * EXCLUDE (codes_1a) REPLACE (" + ", ".join(f"{n} AS {o}" for o, n in _NEW_FIELDS.items()) + "), codes_1a AS codes_before"
+_codes = ", ".join(f"{e} AS {n}" for n, e in layer1.structural_codes(DUCK))
+_SQL["reverified_after_repair"] = f"{_ctes}, repaired AS ({_kept} FROM {_last}) SELECT key_id, codes_before, {_codes} FROM repaired"
+# --- extraction and text -----------------------------------------------------------
+_leaf("extracted_fields", (extract.extracted,), "SELECT key_id, x_operator, x_value, x_unit, x_relation, x_t_value, x_t_unit, x_anchor, x_history, x_computability FROM {leaf}")
+
+
+def _overlaps(d: Spark) -> list[tuple[str, str]]:
+    a, b = "entity_text", "evidence_text"
+    return [("recall_v1", text.recall(d, a, b)), ("jaccard_v3", text.jaccard(d, a, b)), ("jaccard_v4", text.jaccard(d, a, b, 1.0, "[^a-z0-9]+")), ("recall_v5", text.recall(d, a, b, keep="[^a-z0-9%<>=./+-]+"))]
+
+
+_leaf("token_overlaps", (_overlaps,), "SELECT key_id, round(recall_v1, 9) AS recall_v1, round(jaccard_v3, 9) AS jaccard_v3, round(jaccard_v4, 9) AS jaccard_v4, round(recall_v5, 9) AS recall_v5 FROM {leaf}")
+_ITEM = "doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS item_index, first_char AS start_char, first_char + length(trim(line)) AS end_char, md5(trim(line)) AS digest"
+_table(
+    "item_split",
+    f"SELECT {_ITEM} FROM (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(ltrim(line)) AS first_char FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {{documents}}) AS l) AS o WHERE trim(line) <> ''",
+    "documents",
+    duck=f"SELECT {_ITEM} FROM (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(ltrim(line)) AS first_char FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {{documents}}) AS l) AS o WHERE trim(line) <> ''",
+)
+_table("paired_sections", "SELECT l_orderkey AS document, count(*) AS n, md5(CAST(l_orderkey AS STRING)) AS place FROM {lineitem} GROUP BY l_orderkey HAVING max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) = 1 ORDER BY place, document LIMIT 100", "lineitem")
+_table("latest_per_key", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM {events}) AS x WHERE n = 1", "events")
+# A clause joins the run of the one before it if that one is connected by AND (here: an odd turn).
+_table(
+    "and_or_runs",
+    "SELECT conv_id, run, min(turn) AS first_turn, count(*) AS n FROM (SELECT conv_id, turn, sum(CASE WHEN before IS NOT NULL AND before % 2 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) AS a) AS b GROUP BY conv_id, run",
+    "conversations",
+)
+_table("key_set_algebra", "SELECT side, count(*) AS n FROM (SELECT 'both' AS side, k FROM (SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey AS k FROM {customer}) AS i UNION ALL SELECT 'customers_only' AS side, k FROM (SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders}) AS e UNION ALL SELECT 'any' AS side, k FROM (SELECT o_custkey AS k FROM {orders} UNION SELECT c_custkey AS k FROM {customer}) AS u) AS x GROUP BY side", "orders", "customer")
+_table("tolerant_json", "SELECT event_id, get_json_object(props, '$.k') AS k, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN trim(props) LIKE '{%' THEN 'ok' ELSE 'error' END AS status FROM {events}".replace("LIKE '{%'", "LIKE concat(chr(123), '%')"), "events", duck="SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN trim(props) LIKE concat(chr(123), '%') THEN 'ok' ELSE 'error' END AS status FROM {events}")
+# --- spans ---------------------------------------------------------------------
+_SPANS = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS span, l_partkey % 150 AS a, l_partkey % 150 + 5 + CAST(l_quantity AS BIGINT) AS b, CASE l_suppkey % 3 WHEN 0 THEN 'Condition' WHEN 1 THEN 'Measurement' ELSE 'Value' END AS label, round(0.5 + l_discount * 4, 4) AS score FROM lineitem"
+_ITEMS = "SELECT o_orderkey AS doc, i AS item, i * 60 AS a, i * 60 + 60 AS b FROM orders JOIN (VALUES (0), (1), (2)) AS n(i) ON o_orderkey >= 0"
+_RANKS = {"Condition": 0, "Measurement": 1, "Value": 2}
+
+
+def _span_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = tables(spark, sf_dir, "lineitem", "orders")
+    return spark.sql(_SPANS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=own["lineitem"]), spark.sql(_ITEMS.replace("FROM orders", "FROM {orders}"), orders=own["orders"])
+
+
+def _span_query(name: str, run, sql: str | None) -> None:
+    _SPARK[name] = lambda spark, sf_dir: run(*_span_inputs(spark, sf_dir))
+    if sql:
+        _SQL[name] = f"WITH spans AS ({_SPANS}), items AS ({_ITEMS}) " + sql
+
+
+_OVERLAP = "SELECT i.doc, i.item, s.span, least(s.b, i.b) - greatest(s.a, i.a) AS shared, s.label, s.score, s.b - s.a AS size FROM spans AS s JOIN items AS i ON s.doc = i.doc AND s.a < i.b AND i.a < s.b"
+_span_query("spans_in_items", spans.contained, "SELECT i.doc, i.item, s.span, s.a - i.a AS a, s.b - i.a AS b, s.label, s.score FROM spans AS s JOIN items AS i ON s.doc = i.doc AND s.a >= i.a AND s.b <= i.b")
+_span_query("spans_over_items", spans.overlapping, _OVERLAP)
+_span_query("best_anchor", lambda s, i: spans.best_anchor(spans.overlapping(s, i), _RANKS), f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY CASE label WHEN 'Condition' THEN 0 WHEN 'Measurement' THEN 1 ELSE 2 END, shared DESC, score DESC, size DESC, span) AS n FROM ({_OVERLAP})) WHERE n = 1")
+_span_query("distinct_spans", lambda s, i: spans.distinct_spans(s), "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, a, b, label ORDER BY score DESC, span) AS n FROM spans) WHERE n = 1")
+# Folds that depend on order have no SQL; tests hold them against plain loops.
+_span_query("suppressed_spans", lambda s, i: spans.per_document(s, spans.suppress), None)
+_span_query("merged_spans", lambda s, i: spans.per_document(s, spans.merge_adjacent), None)
+_span_query("greedy_span_match", lambda s, i: spans.per_document(s.select("*", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred").alias("side")), spans.greedy_match, "doc long, span long, gold_span long, shared long"), None)
+
 
 def queries() -> dict:
-    return {}
+    return dict(_SPARK)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
