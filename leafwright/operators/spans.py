@@ -42,7 +42,7 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
 def suppress(pdf: pd.DataFrame, threshold: float = 0.8) -> pd.DataFrame:
     """Same-label spans by falling score and length; one that overlaps a kept one by the threshold of the shorter goes."""
     keep, kept = [], {}
-    for i, r in pdf.sort_values(["score", "span"], ascending=[False, True], key=None).assign(n=lambda x: x.a - x.b).sort_values(["score", "n", "span"], ascending=[False, True, True]).iterrows():
+    for i, r in pdf.assign(n=lambda x: x.a - x.b).sort_values(["score", "n", "span"], ascending=[False, True, True]).iterrows():
         rivals = kept.setdefault(r.label, [])
         if all(min(r.b, b) - max(r.a, a) < threshold * max(1, min(r.b - r.a, b - a)) for a, b in rivals):
             rivals.append((r.a, r.b))
@@ -80,7 +80,7 @@ def greedy_match(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def per_document(spans: DataFrame, fold, schema: str | None = None) -> DataFrame:
     """A fold over each document's spans (a document's spans are few)."""
-    return spans.groupBy("doc").applyInPandas(fold, schema or spans.schema)
+    return spans.groupBy("doc").applyInPandas(lambda pdf: fold(pdf), schema or spans.schema)
 
 
 def bio_spans(tokens: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, layer1, layer2, layer3, spans
+from ..operators import extract, layer1, layer2, layer3, spans, tree
 from .dialect import DUCK, Spark, apply, codes, render
 from .leaves import leaves, leaves_sql, tables
 
@@ -116,7 +116,8 @@ _leaf("token_burden", (), "SELECT item_uid, count(*) AS leaves, sum(length(evide
 # --- layer 3 -------------------------------------------------------------------
 _leaf("decisions", LAYER3, "SELECT key_id, decision_a, family_a, priority_a, changes_tree_a, task_a, decision_b, family_b, priority_b, changes_tree_b, task_b FROM {leaf}")
 _leaf("decision_counts", LAYER3, "SELECT decision_a, decision_b, count(*) AS n FROM {leaf} GROUP BY decision_a, decision_b")
-_leaf("rescue_queue", LAYER3, "SELECT key_id, priority_b, task_b, row_number() OVER (PARTITION BY document_id ORDER BY priority_b, key_id) AS place FROM {leaf} WHERE family_b IN ('structural_repair', 'llm_rescue_or_review')")
+# The filter stays above the window: pushed below it would repeat every expression that leads to the family.
+_leaf("rescue_queue", LAYER3, "SELECT key_id, priority_b, task_b, place FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY queued DESC, priority_b, key_id) AS place FROM (SELECT *, CASE WHEN family_b IN ('structural_repair', 'llm_rescue_or_review') THEN 1 ELSE 0 END AS queued FROM {leaf}) AS q) AS r WHERE queued = 1")
 _leaf("safe_repairs", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT key_id, repairs, new_value_kind, new_value_num, new_computability, new_reason, new_t_value, new_t_unit, changed_fields, forbidden_changes FROM {leaf} WHERE repairs <> ''")
 _leaf("unrepaired_unchanged", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT count(*) AS n, sum(CASE WHEN changed_fields <> '' THEN 1 ELSE 0 END) AS changed FROM {leaf} WHERE repairs = ''")
 _leaf("final_decisions", FINAL, "SELECT key_id, final_a, rule_a, final_b, rule_b, chosen_branch, chosen_decision FROM {leaf}")
@@ -194,6 +195,25 @@ _span_query("merged_spans", lambda s, i: spans.per_document(s, spans.merge_adjac
 _span_query("greedy_span_match", lambda s, i: spans.per_document(s.select("*", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred").alias("side")), spans.greedy_match, "doc long, span long, gold_span long, shared long"), None)
 
 
+# --- trees ---------------------------------------------------------------------
+_CLAUSES = "SELECT document_id, criterion_type AS section, item_uid, CAST(row_number() OVER (PARTITION BY document_id, criterion_type ORDER BY item_uid, key_id) - 1 AS BIGINT) AS ord, CASE k % 5 WHEN 0 THEN 'OR' WHEN 1 THEN NULL ELSE 'AND' END AS connector, key_id AS criterion_id, k % 11 = 3 AS negated FROM {leaf}"
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section of a document as one item, assembled and walked again."""
+    own = spark.sql(_CLAUSES, leaf=leaves(spark, sf_dir)).withColumn("item_uid", F.concat_ws("/", "document_id", "section")).withColumn("item_index", F.lit(0))
+    return tree.walk(tree.assemble(own)).select("criterion_id", "negated", "path")
+
+
+_SPARK["tree_paths"] = _walked
+_SQL["tree_paths"] = f"""
+WITH s0 AS ({leaves_sql()}), c AS ({_CLAUSES.replace("{leaf}", "s0")}),
+r AS (SELECT *, sum(CASE WHEN before = 'AND' THEN 0 ELSE 1 END) OVER (PARTITION BY document_id, section ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS g FROM (SELECT *, lag(connector) OVER (PARTITION BY document_id, section ORDER BY ord) AS before FROM c)),
+p AS (SELECT *, row_number() OVER (PARTITION BY document_id, section, g ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY document_id, section, g) AS size, max(g) OVER (PARTITION BY document_id, section) AS last FROM r)
+SELECT criterion_id, negated, concat(section, '_criteria.children[0]', CASE WHEN last > 0 THEN concat('.children[', g, ']') ELSE '' END, CASE WHEN size > 1 THEN concat('.children[', i, ']') ELSE '' END) AS path FROM p
+"""
+
+
 def queries() -> dict:
     return dict(_SPARK)
 
