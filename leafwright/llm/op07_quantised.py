@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import vectors as vec
 from .common import settled
 
-BOOKS, WORDS, BEAM = 8, 64, 8
+BOOKS, WORDS, BEAM = 16, 64, 8
 TRAIN_ROWS = 8192
-BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 128
+BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 512
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -65,7 +65,7 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, steps: int = 8) ->
     return centres
 
 
-def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, turns: int = 3, seed: int = 7) -> np.ndarray:
+def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, turns: int = 2, seed: int = 7) -> np.ndarray:
     """Codebooks (books x words x dimension) for the sample."""
     rng, residual, out = np.random.default_rng(seed), x.copy(), []
     for _ in range(books):

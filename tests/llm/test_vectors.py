@@ -68,3 +68,13 @@ def test_beam_encoding_beats_greedy():
     books = op07_quantised.fit_books(x, 4, 32)
     wide, greedy = (((x - op07_quantised.decode(op07_quantised.encode(x, books, b), books)) ** 2).mean() for b in (8, 1))
     assert wide < greedy < (x**2).mean()
+
+
+def test_recall_with_production_parameters(spark):
+    x = np.random.default_rng(9).normal(0, 0.12, (5200, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.vec_id) for r in op07_quantised.search(df, df.where("vec_id % 20 = 0"), 20).collect()}
+    every = x.astype(np.float64) @ x.astype(np.float64).T
+    np.fill_diagonal(every, -np.inf)
+    want = {(q, int(i)) for q in range(0, 5200, 20) for i in np.argsort(-every[q])[:20]}
+    assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
