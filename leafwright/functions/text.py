@@ -14,8 +14,16 @@ def norm(d: Spark, x: str) -> str:
     return f"trim({d.replace(f'coalesce({x}, {chr(39)}{chr(39)})', '[ \\t\\n\\r\\f]+', ' ')})"
 
 
+#: Leaf texts whose lower-case normal form ``columns`` computes once for all later steps.
+NORMALISED = ("evidence_text", "entity_text", "value_text")
+
+
+def columns(d: Spark) -> list[tuple[str, str]]:
+    return [(f"low_{x}", f"lower({norm(d, x)})") for x in NORMALISED]
+
+
 def lower_norm(d: Spark, x: str) -> str:
-    return f"lower({norm(d, x)})"
+    return f"low_{x}" if x in NORMALISED else f"lower({norm(d, x)})"
 
 
 def any_marker(d: Spark, x: str, markers) -> str:

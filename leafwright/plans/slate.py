@@ -45,6 +45,8 @@ FINAL = (*LAYER3, layer3.final_decisions, layer3.cross_branch)
 
 
 def _leaf(name: str, steps: tuple, closing: str, duck: str | None = None) -> None:
+    steps = (text.columns, *steps)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(closing, leaf=apply(leaves(spark, sf_dir), *steps))
 
@@ -127,7 +129,7 @@ _leaf("review_sheet", (layer3.review_text,), "SELECT key_id, compact_leaf, conca
 
 def _reverified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same layer-1 functions, over repaired leaves."""
-    fixed = apply(leaves(spark, sf_dir), *LAYER1, layer3.safe_repairs)
+    fixed = apply(leaves(spark, sf_dir), text.columns, *LAYER1, layer3.safe_repairs)
     for old, new in _NEW_FIELDS.items():
         fixed = fixed.withColumn(old, F.col(new))
     fixed = fixed.select(*leaves(spark, sf_dir).columns, F.col("codes_1a").alias("codes_before"))
@@ -136,7 +138,7 @@ def _reverified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NEW_FIELDS = {"value_kind": "new_value_kind", "computability": "new_computability", "non_computable_reason": "new_reason", "t_value": "new_t_value", "t_unit": "new_t_unit"}
 _SPARK["reverified_after_repair"] = _reverified
-_ctes, _last = render(leaves_sql(), *LAYER1, layer3.safe_repairs)
+_ctes, _last = render(leaves_sql(), text.columns, *LAYER1, layer3.safe_repairs)
 _kept = "SELECT * EXCLUDE (codes_1a) REPLACE (" + ", ".join(f"{n} AS {o}" for o, n in _NEW_FIELDS.items()) + "), codes_1a AS codes_before"
 _codes = ", ".join(f"{e} AS {n}" for n, e in layer1.structural_codes(DUCK))
 _SQL["reverified_after_repair"] = f"{_ctes}, repaired AS ({_kept} FROM {_last}) SELECT key_id, codes_before, {_codes} FROM repaired"
