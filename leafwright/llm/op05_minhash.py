@@ -283,3 +283,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     same = docs["doc_id"].cast("long") == kept["kept_id"]
     return docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+#: The same rows in SQL, over all pairs that share a shingle.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), listed AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: concat(w[i], ' ', w[i + 1], ' ', w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS l FROM words
+), shingles AS (SELECT DISTINCT doc_id, unnest(l) AS s FROM listed),
+sizes AS (SELECT doc_id, len(list_distinct(l)) AS n FROM listed),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+half AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reached AS (SELECT doc_id AS d, doc_id AS t FROM sizes UNION SELECT r.d, l.y FROM reached r JOIN links l ON r.t = l.x)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, min(r.t) AS component_id, min(r.t) = s.doc_id AS kept
+FROM sizes s JOIN reached r ON r.d = s.doc_id GROUP BY s.doc_id, s.n
+"""

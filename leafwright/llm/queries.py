@@ -68,4 +68,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": op04_topk.TOP_5_SQL}
+    return {"op4_topk": op04_topk.TOP_5_SQL, "op5_minhash": op05_minhash.NEAR_DUPLICATES_SQL}

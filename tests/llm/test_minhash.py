@@ -74,3 +74,14 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (5, 3)], "a long, b long")
     got = {r.node: r.component for r in op.components(links).collect()}
     assert {got[k] for k in range(1, 61)} == {0} and got[101] == 100
+
+
+def test_same_as_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = sorted(db.execute(op.NEAR_DUPLICATES_SQL).fetchall())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op.near_duplicates(spark.read.parquet(path)).collect())
+    assert got == want and any(not r[3] for r in want)
