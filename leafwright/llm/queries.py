@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
-from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
-from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
 from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
 from . import op10_toxicity as toxicity
 from .common import bucket_of_id
