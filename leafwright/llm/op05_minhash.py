@@ -181,6 +181,8 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest reachable node) by alternating large-star and small-star rounds."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = settled(edges, "links")
+    mark = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -189,10 +191,11 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         new = settled(small, "links")
-        marks = [x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first() for x in (edges, new)]
+        after = mark(new)
         edges = new
-        if marks[0] == marks[1]:
+        if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        before = after
 
 
 def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
