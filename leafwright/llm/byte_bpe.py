@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import unicodedata
 from array import array
 
 import numpy as np
@@ -26,13 +27,15 @@ class ByteBpe:
 
     The pre-tokenizer's pattern cuts before every single space and around every
     single line break, so the words between them are encoded once by the library
-    and their ids are reused. Texts with any other white space, and words that are
-    not plain letters with closing punctuation, go through the library whole.
+    and their ids are reused. Closing punctuation is encoded apart only behind a
+    letter or a digit, as the pattern keeps a run of other signs together. All other
+    words, texts with any other white space, and texts with one of the file's added
+    tokens (which get its id) go through the library whole.
     """
 
     def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.plain = [*_UNEVEN, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.letters = _byte_letters()
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
@@ -44,7 +47,7 @@ class ByteBpe:
     def _word(self, word: str) -> bytes:
         if word[-1] in _TAIL:
             stem = word.rstrip(_TAIL)
-            if stem not in ("", " "):
+            if stem and unicodedata.category(stem[-1])[0] in "LN":
                 return self.known[stem] + self.known[word[len(stem) :]]
         bare = word[1:] if word[0] == " " else word
         if bare.isalpha():
@@ -56,7 +59,7 @@ class ByteBpe:
         """The ids, as little-endian integers of ``dtype``."""
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _UNEVEN):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.plain):
             return self._library(text)
         words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return b"".join(map(self.known.__getitem__, words))

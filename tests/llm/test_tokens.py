@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from leafwright.llm import op06_token_files, op09_packing
+from leafwright.llm import byte_bpe, op06_token_files, op09_packing
 
 TEXTS = ["Hello there, world.\nNext line don't.", None, "", "a  b\n\n c ", "é ñ 12.5%", "Hello there, world.\nNext line don't.", "word " * 9000]
 SCHEMA = "doc_id long, text string, start string, length double"
@@ -85,3 +86,14 @@ def test_packing_is_tight():
 def test_knapsack_matches_enumeration():
     got = op09_packing.knapsack(np.array([3, 4, 5]), np.array([4.0, 5.0, 7.0]), np.array([2, 2, 1]), 11)
     assert got.tolist() == [2, 0, 1]
+
+
+def test_encoder_same_as_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = byte_bpe.ByteBpe(path), Tokenizer.from_file(path)
+    texts = ["(the world).", "it was 12%.", 'he said "Hello".', "cafe\u0301. e\u0301, x", "a <|endoftext|>. b", "<|endoftext|>", "x<|endoftext|>|", '"!! ... (a), [b]; \'c\'! d\'s. \u00bd. \u65e5\u672c.', "\u1c89. a\u1c89|"]
+    rng = random.Random(3)
+    signs = [*"aZ9.,!?;:|)('\"%-\u00e9\u0301\u00bd\u65e5\u2014\U0001f600", " ", " ", "\n", "  ", "'s", "word", "<|endoftext|>"]
+    texts += ["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(20000)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
