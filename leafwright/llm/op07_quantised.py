@@ -4,10 +4,14 @@ A vector is the sum of one codeword from each of ``BOOKS`` codebooks of full
 dimension. The codebooks start as residual k-means and are refined by turns of
 beam-search encoding and least squares, on a bounded sample (at most ``train_rows``
 vectors, chosen by a hash of the id). Every vector is encoded by beam
-search; its code, and the ratio of its norm to that of its reconstruction, are
-the index. A query adds up table entries of codeword products, times the stored
-ratio; the best ``rerank`` of each block are scored exactly on the original
-vectors. ``recall`` in the tests holds this against brute force.
+search; its code, the ratio of its norm to that of its reconstruction, and how far
+the two lie apart are the index. A query adds up table entries of codeword
+products, times the stored ratio; the best ``rerank`` of each block are scored
+exactly on the original vectors, and so is every other row that may still reach
+the k-th of those: whose rough score lies below it by no more than ``SPREAD`` times
+the error of rough scores, as measured for the query on a sample of the block.
+Equal vectors and near copies, whose rough scores say nothing about their order,
+thus are all scored. ``recall`` in the tests holds this against brute force.
 
 Defined results: see ``vectors.usable``, zero vectors take no part; rows with a
 query's own id are not its candidates; an empty table gives no rows; vectors of
@@ -30,6 +34,8 @@ from .common import settled
 BOOKS, WORDS, BEAM = 16, 64, 8
 TRAIN_ROWS = 8192
 BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 512
+#: Rough scores may be off by so many times their measured error; it is measured on so many rows.
+SPREAD, PROBED = 4, 256
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -97,7 +103,7 @@ def train(own: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray | None:
 
 
 def index(own: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, v, code and ratio of every vector; no code where the length differs from the codebooks'."""
+    """vec_id, v, code, ratio and distance from its reconstruction of every vector; no code where the length differs from the codebooks'."""
     shared = own.sparkSession.sparkContext.broadcast(books)  # BOOKS x WORDS x dimension numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,17 +113,31 @@ def index(own: DataFrame, books: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 1024)
                 rows = part.column("v").to_pylist()
                 fits = np.array([len(v) == books.shape[2] for v in rows])
-                code, ratio = [None] * len(rows), np.ones(len(rows))
+                code, ratio, apart = [None] * len(rows), np.ones(len(rows)), np.zeros(len(rows))
                 if fits.any():
                     x = np.array([v for v, f in zip(rows, fits) if f])
                     found = encode(x, books)
-                    near = np.sqrt((decode(found, books) ** 2).sum(-1))
+                    rebuilt = decode(found, books)
+                    near = np.sqrt((rebuilt**2).sum(-1))
                     ratio[fits] = np.sqrt((x**2).sum(-1)) / np.where(near > 0, near, 1)
+                    apart[fits] = np.sqrt(((x - rebuilt * ratio[fits, None]) ** 2).sum(-1))
                     for k, c in zip(np.flatnonzero(fits), found):
                         code[k] = c.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio)], names=["vec_id", "v", "code", "ratio"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio), pa.array(apart)], names=["vec_id", "v", "code", "ratio", "apart"])
 
-    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double")
+    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double, apart double")
+
+
+def most_scores(rough: np.ndarray, q: np.ndarray, x: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """What each row (queries x rows) may score, given the rough scores."""
+    length, own = np.sqrt((q**2).sum(-1))[:, None], np.sqrt((x**2).sum(-1))
+    probed = np.flatnonzero(apart > 0)
+    probed = probed[:: max(1, len(probed) // PROBED)]
+    error = (q @ x[probed].T - rough[:, probed]) / (length * apart[probed])
+    # In units of both lengths; never below that of errors without direction.
+    unit = np.sqrt(np.maximum((error**2).sum(-1) / max(1, len(probed)), 1 / q.shape[1]))[:, None]
+    # With equal norms a row's own direction always scores too low, by half the squared distance.
+    return rough + length * (SPREAD * unit * apart + apart**2 / (2 * own) + 1e-9 * own)
 
 
 def search(table: DataFrame, asked: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -137,11 +157,18 @@ def search(table: DataFrame, asked: DataFrame, k: int, block: int = BLOCK, query
             codes = np.frombuffer(b"".join(candidates["code"]), dtype=np.uint8).reshape(len(ids), -1)
             tables = np.einsum("qd,mkd->mqk", q, books)
             rough = sum(tables[m][:, codes[:, m]] for m in range(len(books))) * candidates["ratio"].to_numpy()
+            most = most_scores(rough, q, x, candidates["apart"].to_numpy())
         out = []
         for row, (own_id, v) in enumerate(zip(wanted["vec_id"], q)):
             near = np.arange(len(ids)) if rough is None else np.argpartition(-rough[row], rerank)[: rerank + 1]
             near = near[ids[near] != own_id]
             scores = (x[near] * v).sum(axis=1)
+            if rough is not None:
+                least = np.partition(scores, -k)[-k] if len(near) >= k else -np.inf
+                more = most[row] >= least
+                more[near] = False
+                more = np.flatnonzero(more & (ids != own_id))
+                near, scores = np.concatenate([near, more]), np.concatenate([scores, (x[more] * v).sum(axis=1)])
             keep = vec.best(ids[near], scores, k)
             out.append(pd.DataFrame({"query_id": np.full(len(keep), own_id, np.int64), "vec_id": ids[near][keep], "score": scores[keep]}))
         return pd.concat(out, ignore_index=True)

@@ -78,3 +78,23 @@ def test_recall_with_production_parameters(spark):
     np.fill_diagonal(every, -np.inf)
     want = {(q, int(i)) for q in range(0, 5200, 20) for i in np.argsort(-every[q])[:20]}
     assert len(got) == len(want) and len(got & want) >= 0.95 * len(want)
+
+
+def test_recall_with_copies(spark):
+    rng = np.random.default_rng(4)
+    n, dim = 6000, 32
+    x = rng.normal(0, 0.2, (n, dim))
+    kind = rng.integers(0, 3, n)
+    x[kind == 1] = x[0]
+    x[kind == 2] = x[1] + rng.normal(0, 0.01, ((kind == 2).sum(), dim))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in op07_quantised.search(df, df.where("vec_id % 20 = 0"), 20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {0: [], 1: [], 2: []}
+    for q in range(0, n, 20):
+        scores = (x.astype(np.float64) * x[q].astype(np.float64)).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(n), -scores)).tolist() if i != q][:20]
+        hits[int(kind[q])].append(len(found[q] & set(order)) / 20)
+    assert all(np.mean(h) >= 0.98 for h in hits.values()), {k: float(np.mean(h)) for k, h in hits.items()}
