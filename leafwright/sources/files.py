@@ -16,13 +16,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS, probe_rows: int = 1000) -> DataFrame:
-    """All columns as strings; the first encoding whose sample shows no replacement signs; a byte-order mark goes."""
+def read_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """All columns as strings; the first encoding in which no row shows a replacement sign; a byte-order mark goes."""
     for encoding in encodings:
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
         df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
         broken = F.exists(F.array(*(F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns)), lambda x: x.contains("�"))
-        if encoding == encodings[-1] or ("�" not in "".join(df.columns) and df.limit(probe_rows).where(broken).isEmpty()):
+        if encoding == encodings[-1] or ("�" not in "".join(df.columns) and df.where(broken).isEmpty()):
             return df
     raise ValueError("no encoding given")
 

@@ -85,3 +85,9 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         ingest.append_once(stream, str(tmp_path / "out"), str(tmp_path / "marks"), "key", "at").awaitTermination()
     assert sorted(r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_csv_encoding_shows_late(spark, tmp_path):
+    path = tmp_path / "late.csv"
+    path.write_bytes(b"name,x\n" + b"Miller,1\n" * 3000 + "Müller,2\n".encode("cp1252"))
+    assert [r.name for r in files.read_csv(spark, str(path)).where("x = 2").collect()] == ["Müller"]
