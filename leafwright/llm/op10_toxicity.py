@@ -4,7 +4,10 @@ The lexicon is learned: words and word beginnings whose documents are nearly
 always labelled toxic. It becomes a trie, and a Levenshtein automaton of one
 edit runs over the trie and the token at once; the states of this product are
 built when first met and kept, so a token costs a few look-ups and a known
-token one. Around each hit a window of tokens tells quotation (quote marks
+token one. What the first automaton leaves (it wants the first letter right, five
+letters, and beginnings without edits) goes through a second one, with all edits
+at any place, swapped neighbours among them, for terms and beginnings of four
+letters or more; its hits are a kind with weights of its own. Around each hit a window of tokens tells quotation (quote marks
 around it, reporting words near it) from abuse (address in the second person).
 A logistic regression over the counts of hits by kind gives the score.
 
@@ -35,8 +38,9 @@ TERMS = 2_000
 WINDOW = 6
 #: Word beginnings of these lengths can be lexicon entries.
 STEMS = (4, 5, 6)
-#: Shorter words are matched without edits.
+#: Shorter words are matched without edits, by the first and by the second automaton.
 FUZZY_FROM = 5
+EDITS_FROM = 4
 QUOTES = "\"“”„«»‹›"
 EDGE = QUOTES + "'’‘.,!?;:()[]{}<>|*#$%&~_-+=/\\"
 REPORTING = frozenset("said says say called calling quote quoted quotes word term wrote written dit appelé mot sagte nannte wort dijo llamó palabra".split())
@@ -111,6 +115,51 @@ class Matcher:
         return self.accepts[at][0]
 
 
+class Edits(Matcher):
+    """The trie intersected with all of one edit, anywhere: a letter too many, missing or wrong, or two neighbours swapped."""
+
+    def __init__(self, words: list[str], stems: list[str], most_states: int = 20_000):
+        super().__init__([w for w in words if len(w) >= EDITS_FROM], [s for s in stems if len(s) >= EDITS_FROM], most_states)
+
+    def _reset(self) -> None:
+        #: Members are (node, edits, letter): with a letter, that one must come next to end a swap.
+        self.states: list[frozenset] = [self._closed({(0, 0, "")})]
+        self.numbers = {self.states[0]: 0}
+        self.accepts, self.moves = [(0, False)], [{}]
+
+    def _number(self, state: frozenset) -> int:
+        k = self.numbers.get(state)
+        if k is None:
+            k = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            ends = [n for n, _, last in state if not last]
+            self.accepts.append((int(any(self.word[n] for n in ends)), any(self.stem[n] for n in ends)))
+        return k
+
+    def _closed(self, reached: set) -> frozenset:
+        reached |= {(n, 1, "") for node, edits, _ in reached if not edits for n in self.children[node].values()}  # a letter missing
+        return frozenset(x for x in reached if not x[1] or x[2] or (x[0], 0, "") not in reached)
+
+    def _step(self, state: frozenset, c: str) -> frozenset:
+        reached = set()
+        for node, edits, last in state:
+            if last:
+                if c == last:
+                    reached.add((node, 1, ""))
+                continue
+            child = self.children[node].get(c)
+            if child is not None:
+                reached.add((child, edits, ""))
+            if not edits:
+                reached.add((node, 1, ""))  # a letter too many
+                for letter, n in self.children[node].items():
+                    reached.add((n, 1, ""))  # a wrong letter
+                    end = self.children[n].get(c)
+                    if end is not None and letter != c:
+                        reached.add((end, 1, letter))  # the second letter first
+        return self._closed(reached)
+
 @dataclass
 class Model:
     words: list[str]
@@ -120,20 +169,20 @@ class Model:
 
 class Scorer:
     def __init__(self, words: list[str], stems: list[str]):
-        self.matcher = Matcher(words, stems)
+        self.matcher, self.edits = Matcher(words, stems), Edits(words, stems)
         self.known = _Known(self._code, 300_000)
 
     def _code(self, raw: str) -> int:
         """0 for most tokens; else the kind of hit, plus 4 if quote marks touch it."""
         token = raw.strip(EDGE)
-        kind = self.matcher.match(token) if token else 0
+        kind = (self.matcher.match(token) or 3 * (self.edits.match(token) > 0)) if token else 0
         return kind + 4 * (kind > 0 and any(q in raw for q in QUOTES))
 
     def features(self, text: str) -> list[float]:
-        """Hits by kind and context: exact and fuzzy, each as abuse, neutral and quotation; all on a log scale."""
+        """Hits by kind and context: exact, fuzzy and with an edit at any place, each as abuse, neutral and quotation; all on a log scale."""
         tokens = text.lower().split()
         codes = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int8, count=len(tokens))
-        out = [0.0] * 6
+        out = [0.0] * 9
         for at in np.flatnonzero(codes):
             code = int(codes[at])
             near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
@@ -141,12 +190,12 @@ class Scorer:
             bare = {t.strip(EDGE) for t in near}
             quoted = code >= 4 or sum(before.count(q) for q in '"') % 2 == 1 or bool(bare & REPORTING)
             kind = 0 if bare & ADDRESS and code < 4 else 2 if quoted else 1
-            out[3 * (code % 4 == 1) + kind] += 1
+            out[3 * (0, 1, 0, 2)[code % 4] + kind] += 1
         return [float(np.log1p(x)) for x in out]
 
 
 #: Where the labels say nothing: exact hits count, edited ones less, quoted ones hardly.
-PRIOR = np.array([-3.0, 3.0, 2.5, 0.5, 1.5, 1.0, 0.2])
+PRIOR = np.array([-3.0, 3.0, 2.5, 0.5, 1.5, 1.0, 0.2, 1.5, 1.0, 0.2])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -192,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, term
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in texts_of(batch)], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
-    got = sample.mapInArrow(features, "x array<double>, toxic boolean").collect()  # train_docs rows of six numbers
+    got = sample.mapInArrow(features, "x array<double>, toxic boolean").collect()  # train_docs rows of nine numbers
     sample.unpersist()
     weights = fit_weights(np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]))
     return Model(words, stems, weights.tolist())

@@ -84,3 +84,25 @@ def test_toxicity_edges(spark):
     assert none is None and {r.score for r in op10_toxicity.score(docs, none).collect()} == {0.0}
     assert op10_toxicity.score(docs.limit(0), model).count() == 0
     assert op10_toxicity.drop_toxic(docs, none).count() == 5
+
+
+def swapped(a, b):
+    return any(a[:k] + a[k + 1] + a[k] + a[k + 2 :] == b for k in range(len(a) - 1))
+
+
+def test_edits_against_distances():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(12)]
+    stems = ["abcab", "ccba"]
+    edits = op10_toxicity.Edits(words, stems)
+    near = lambda a, b: distance(a, b) <= 1 or swapped(a, b)
+    for _ in range(6000):
+        token = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        want = any(len(w) >= 4 and near(w, token) for w in words) or any(near(s, token[:n]) for s in stems for n in range(len(token) + 1))
+        assert (edits.match(token) > 0) == want, token
+
+
+def test_edits_anywhere_raise_the_score():
+    rate = op10_toxicity.rater(op10_toxicity.Model(["moron", "idiot", "stupid", "scum"], ["wretch"], op10_toxicity.PRIOR.tolist()))
+    for token in ("1diot", "xstupid", "oron", "scvm", "idoit", "wr3tched", "mo-ron"):
+        assert rate(f"the {token} here") > rate("the day here"), token
