@@ -10,7 +10,7 @@ of n shingles needs only about n + t log t hash values instead of n * t.
 Documents with equal shingle sets are one class, so copies cost one comparison
 of fingerprints. Classes that agree on all rows of a band meet in its bucket.
 With 24 bands of 4 rows a pair at similarity 0.85 is missed with probability
-2e-8. A bucket is searched exactly: from one member after another all members
+2e-8, one at 0.8 with 3e-6. A bucket is searched exactly: from one member after another all members
 not yet reached are compared on full shingle sets, so what comes out are the
 bucket's connected parts. Buckets beyond ``CHUNK`` members are dealt into chunks
 by hash; the members that did not end up in the bucket's largest part are then
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .byte_bpe import _Known
 from .common import bytes_of, mix64, settled, slices
 
+#: The query's contract: shingles of WORDS words, linked where 100 * intersection >= SHARE * union.
 WORDS = 3
-#: 100 * intersection >= SHARE * union
 SHARE = 85
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
@@ -92,14 +92,14 @@ def band_keys(coords: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """Set size, two fingerprints of the set, and band keys of every document."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             size, f1, f2, bands = [], [], [], []
             for text in bytes_of(batch):
-                own = shingles(text)
+                own = shingles(text, words)
                 size.append(len(own))
                 f1.append(int(mix64(own, 11).sum().view(np.int64)) if len(own) else 0)
                 f2.append(int(mix64(own, 12).sum().view(np.int64)) if len(own) else 0)
@@ -112,15 +112,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, FINGERPRINTS)
 
 
-def similar_to(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def similar_to(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> np.ndarray:
     """Which of the sets, laid end to end in ``flat``, are linked with ``one``."""
     at = np.searchsorted(one, flat)
     at[at == len(one)] = 0
     both = np.add.reduceat((one[at] == flat).astype(np.int64), starts)
-    return 100 * both >= SHARE * (sizes + len(one) - both)
+    return 100 * both >= share * (sizes + len(one) - both)
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None = None, label: np.ndarray | None = None, share: int = SHARE) -> list[tuple[int, int]]:
     """Links that connect what is connected among the sets.
 
     From one member after another, all members not yet reached are compared.
@@ -137,10 +137,10 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None =
             unseen[start], queue = False, [start]
             while queue:
                 own = sets[one := queue.pop()]
-                rest = np.flatnonzero(unseen & (100 * np.minimum(sizes, len(own)) >= SHARE * np.maximum(sizes, len(own))))
+                rest = np.flatnonzero(unseen & (100 * np.minimum(sizes, len(own)) >= share * np.maximum(sizes, len(own))))
                 if not len(rest):
                     continue
-                hits = _compare(own, [sets[k] for k in rest], sizes[rest])
+                hits = _compare(own, [sets[k] for k in rest], sizes[rest], share)
                 for k in rest[hits]:
                     out.append((int(ids[start]), int(ids[k])))
                 unseen[rest[hits]] = False
@@ -148,32 +148,32 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None =
         return out
     for one in np.flatnonzero(probes):
         own = sets[one]
-        rest = np.flatnonzero((label != label[one]) & (100 * np.minimum(sizes, len(own)) >= SHARE * np.maximum(sizes, len(own))))
+        rest = np.flatnonzero((label != label[one]) & (100 * np.minimum(sizes, len(own)) >= share * np.maximum(sizes, len(own))))
         if len(rest):
-            hits = _compare(own, [sets[k] for k in rest], sizes[rest])
+            hits = _compare(own, [sets[k] for k in rest], sizes[rest], share)
             # one link for each other part is enough
             for k in rest[hits][np.unique(label[rest[hits]], return_index=True)[1]]:
                 out.append((int(ids[one]), int(ids[k])))
     return out
 
 
-def _compare(own: np.ndarray, others: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    return similar_to(own, np.concatenate(others), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+def _compare(own: np.ndarray, others: list[np.ndarray], sizes: np.ndarray, share: int) -> np.ndarray:
+    return similar_to(own, np.concatenate(others), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, share)
 
 
 def _sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype="<u8") for x in column]
 
 
-def _bucket_links(group: pd.DataFrame) -> pd.DataFrame:
-    found = linked(group["doc_id"].to_numpy(), _sets(group["shingles"]))
+def _bucket_links(group: pd.DataFrame, share: int = SHARE) -> pd.DataFrame:
+    found = linked(group["doc_id"].to_numpy(), _sets(group["shingles"]), share=share)
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _probe_links(minor: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+def _probe_links(minor: pd.DataFrame, chunk: pd.DataFrame, share: int = SHARE) -> pd.DataFrame:
     both = pd.concat([minor, chunk], ignore_index=True)
     probes = np.arange(len(both)) < len(minor)
-    found = linked(both["doc_id"].to_numpy(), _sets(both["shingles"]), probes, both["part"].to_numpy())
+    found = linked(both["doc_id"].to_numpy(), _sets(both["shingles"]), probes, both["part"].to_numpy(), share)
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -204,9 +204,9 @@ def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, members["doc_id"] == found["node"], "left").select(*members.columns, F.coalesce("component", "doc_id").alias("part"))
 
 
-def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each document."""
-    prints = settled(fingerprints(docs), "sketches")
+def near_duplicates(docs: DataFrame, chunk: int = CHUNK, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each document, by shingles of ``words`` words and a similarity of ``share`` in 100."""
+    prints = settled(fingerprints(docs, words), "sketches")
     full = prints.where("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; the smallest id stands for its class.
     classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
@@ -218,12 +218,12 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     members = rows.join(buckets, "bucket").select("bucket", "doc_id", "n")
     chunked = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(chunk))).alias("chunk")
     members = settled(members.select("bucket", "doc_id", "n", chunked), "members")
-    sets = settled(_member_sets(docs, members), "sets")
-    links = members.join(sets, "doc_id").groupBy("bucket", "chunk").applyInPandas(_bucket_links, LINKS)
+    sets = settled(_member_sets(docs, members, words), "sets")
+    links = members.join(sets, "doc_id").groupBy("bucket", "chunk").applyInPandas(lambda group: _bucket_links(group, share), LINKS)
     links = settled(links, "links")
     large = members.where(F.col("n") > chunk)
     if not large.isEmpty():
-        links = settled(links.unionByName(_large_links(large, sets, links, chunk)), "links")
+        links = settled(links.unionByName(_large_links(large, sets, links, chunk, share)), "links")
     found = components(links)
     of_rep = classes.drop("bands").join(found, classes["rep"] == found["node"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked_docs = full.select("doc_id", "n_shingles", "f1", "f2").join(of_rep, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return linked_docs.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """doc_id and full shingle set of every class that shares a bucket.
 
     The texts are not shuffled: a bitmap of ``BITS`` bits, whatever the number of
@@ -251,7 +251,7 @@ def _member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
             h = batch.column("h").to_numpy()
             hit = shared.value[h >> 3] >> (h & 7).astype(np.uint8) & 1
             for part in slices([batch.filter(pa.array(hit.astype(bool)))]):
-                own = [shingles(x).astype("<u8").tobytes() for x in bytes_of(part)]
+                own = [shingles(x, words).astype("<u8").tobytes() for x in bytes_of(part)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], names=["doc_id", "shingles"])
 
     ids = F.col("doc_id").cast("long")
@@ -259,7 +259,7 @@ def _member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return texts.mapInArrow(read, "doc_id long, shingles binary").where(F.length("shingles") > 0)
 
 
-def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int) -> DataFrame:
+def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int, share: int) -> DataFrame:
     """Links in large buckets between the largest part and all that is outside it, over all chunks."""
     parts = settled(_parts(large, links), "parts")
     sizes = parts.groupBy("bucket", "part").count()
@@ -274,16 +274,16 @@ def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int
     keys = ["bucket", "block", "chunk"]
     # New names' ids on either side: both come from the same tables.
     left, right = (x.select(*(F.col(c).alias(c) for c in [*keys, "doc_id", "part", "shingles"])) for x in (probes, against))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_probe_links, LINKS)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda minor, chunk: _probe_links(minor, chunk, share), LINKS)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The documents, all columns, with one row for each component: that of its smallest id.
 
     Rows that repeat an id and its text are copies, of which one stays; rows
     without an id link with nothing and stay.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, words=words, share=share).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     same = docs["doc_id"].cast("long") == kept["kept_id"]
     return docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 

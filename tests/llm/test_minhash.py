@@ -85,3 +85,13 @@ def test_same_as_sql(spark):
     want = sorted(db.execute(op.NEAR_DUPLICATES_SQL).fetchall())
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op.near_duplicates(spark.read.parquet(path)).collect())
     assert got == want and any(not r[3] for r in want)
+
+
+def test_width_and_share(spark):
+    first = [f"a{k}" for k in range(2000)]
+    second = first[:900] + [f"b{k}" for k in range(200)] + first[1100:]
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, "one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in op.keep_one(docs, words=5, share=80).collect()} == {1, 3}
+    assert {r.doc_id for r in op.near_duplicates(docs).where("kept").collect()} == {1, 2, 3}
+    assert {r.doc_id for r in op.near_duplicates(docs, words=5, share=82).where("kept").collect()} == {1, 2, 3}
