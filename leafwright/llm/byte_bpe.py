@@ -9,6 +9,8 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Known
+
 _TAIL = ".,!?;:|"
 #: White space that stands alone between visible characters never joins other
 #: white space in the pre-tokenizer's pattern; texts with any other take the plain path.
@@ -33,13 +35,13 @@ class ByteBpe:
     tokens (which get its id) go through the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.plain = [*_UNEVEN, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.letters = _byte_letters()
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
-        self.known = _Known(self._word, limit)
+        self.known = Known(self._word)
 
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -65,24 +67,6 @@ class ByteBpe:
         return b"".join(map(self.known.__getitem__, words))
 
 
-class _Known(dict):
-    """Two generations of remembered words: frequent words survive, the size is bounded."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, word: str):
-        found = self.old.get(word)
-        if found is None:
-            found = self.make(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-
 _LOADED: dict[str, ByteBpe] = {}
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -17,14 +17,10 @@ SLICE = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only where the setting is missing (local tests).
-    """
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; without the setting there is none, and no guess."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="leafwright-")
-        spark.conf.set("spark.checkpoint.dir", place)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return place.rstrip("/")
 
 
@@ -37,7 +33,17 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(table.__dict__["settled_at"])
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bucket_of_id(column: str, n: int) -> Column:
@@ -56,6 +62,13 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def each_text(column: pa.Array) -> Iterator[str]:
+    """A column's texts, null as empty, a slice at a time."""
+    for at in range(0, len(column), SLICE):
+        for x in column.slice(at, SLICE).to_pylist():
+            yield x or ""
+
+
 def bytes_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The batch's texts in UTF-8, null as empty, without decoding them."""
     column = batch.column(name)
@@ -69,12 +82,59 @@ def local_path(uri: str) -> str | None:
     return unquote(parts.path) if parts.scheme in ("", "file") else None
 
 
-def vector_rows(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """A list column of equally long vectors as a matrix, and the rows' own positions."""
-    column = batch.column(name)
-    width = len(column[0]) if len(column) else 0
-    flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(len(column), width), np.arange(len(column))
+class Known(dict):
+    """Remembered results of ``make`` in two generations: frequent keys survive, and the bytes held are bounded.
+
+    ``limit`` bounds the estimated bytes of a generation; keys longer than
+    ``longest`` are made anew each time.
+    """
+
+    def __init__(self, make: Callable, limit: int = 24 << 20, longest: int = 64, more: int = 0):
+        super().__init__()
+        self.make, self.limit, self.longest, self.old, self.held = make, limit, longest, {}, 0
+        self.each = 110 + more  # its place in the dictionary, and what the result holds besides
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) > self.longest:
+            return found
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[key] = found
+        self.held += sys.getsizeof(key) + sys.getsizeof(found) + self.each
+        return found
+
+
+#: Keys of more rows than this share of all, and at least so many, are dealt over ``SALTS`` salts.
+HOT_SHARE, HOT_ROWS, SALTS, SLOTS = 256, 256, 256, 4096
+
+
+def hot_slots(counts: DataFrame, keys: list[str], total: int) -> list[int]:
+    """Hash slots of the keys that hold more than a share of ``total`` rows (column n): few keys can, so few of the ``SLOTS``."""
+    n = "n"
+    if total <= HOT_ROWS:
+        return []
+    hot = counts.where(F.col(n) > max(HOT_ROWS, total // HOT_SHARE)).select(_slot(keys).alias("slot")).distinct()
+    return sorted(r.slot for r in hot.collect())
+
+
+def _slot(keys: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
+def dealt(df: DataFrame, keys: list[str], by: str, slots: list[int]) -> DataFrame:
+    """``df`` with a salt, by the hash of another column where the key lies in a hot slot."""
+    salt = F.when(_slot(keys).isin(slots), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0) if slots else F.lit(0)
+    return df.withColumn("salt", salt.cast("int"))
+
+
+def copied(df: DataFrame, keys: list[str], slots: list[int]) -> DataFrame:
+    """The other side of a join with ``dealt`` rows: keys in hot slots once for each salt."""
+    salts = F.when(_slot(keys).isin(slots), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))) if slots else F.array(F.lit(0))
+    return df.withColumn("salt", F.explode(salts))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -10,13 +10,18 @@ of n shingles needs only about n + t log t hash values instead of n * t.
 Documents with equal shingle sets are one class, so copies cost one comparison
 of fingerprints. Classes that agree on all rows of a band meet in its bucket.
 With 24 bands of 4 rows a pair at similarity 0.85 is missed with probability
-2e-8, one at 0.8 with 3e-6. A bucket is searched exactly: from one member after another all members
-not yet reached are compared on full shingle sets, so what comes out are the
-bucket's connected parts. Buckets beyond ``CHUNK`` members are dealt into chunks
-by hash; the members that did not end up in the bucket's largest part are then
-compared with every chunk of it, block by block. No group grows beyond two
-chunks, no pairs are listed, and no link inside a bucket is lost. Components
-come from alternating large-star and small-star rounds over the links.
+2e-8, one at 0.8 with 3e-6.
+A bucket is searched exactly: from one member after another all members of
+fitting size not yet reached are compared on full shingle sets, so what comes
+out are the bucket's connected parts. Groups are bounded by shingles, not by
+members: small buckets share a group, and a bucket beyond ``WEIGHT`` shingles is
+dealt by classes of set size and by hash into chunks; the members that did not
+end up in its largest part are then compared, block by block, with every chunk
+of their own and the neighbouring size classes, as no link spans more. No pairs
+are listed, and no link inside a bucket is lost; a bucket whose members do not
+link costs the product of its chunks. Components
+come from alternating large-star and small-star rounds over the links, with the rows of hubs dealt over
+salts. A set is known by its size and 128 bits of sums, its members by 64 bits.
 
 Defined results: a null or wordless text has an empty set, links with nothing
 and is its own component; rows that repeat a doc_id share its component, which
@@ -26,39 +31,60 @@ false); empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .byte_bpe import _Known
-from .common import bytes_of, mix64, settled, slices
+from .common import bytes_of, copied, dealt, discard, hot_slots, mix64, settled, slices
 
 #: The query's contract: shingles of WORDS words, linked where 100 * intersection >= SHARE * union.
 WORDS = 3
 SHARE = 85
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-CHUNK = 512
+#: Shingles of a group, 8 bytes each.
+WEIGHT = 250_000
 #: Of the bitmap that marks wanted ids: 8 MB.
 BITS = 1 << 26
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 20
 FINGERPRINTS = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 LINKS = "a long, b long"
 
-_SHIFT = np.uint64(24)
-_words = _Known(xxhash.xxh3_64_intdigest, 400_000)
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_LETTERS = mix64(np.arange(64 * 256), 50).reshape(64, 256)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, in order: sums over the bytes by place, mixed."""
+    raw = np.frombuffer(text.lower(), dtype=np.uint8)  # ASCII case only
+    out, at = [], 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        part = raw[at:end]
+        letters = np.flatnonzero(~_SPACE[part])
+        if len(letters):
+            starts = np.flatnonzero(np.diff(letters, prepend=-2) > 1)
+            place = np.arange(len(letters)) - np.repeat(starts, np.diff(starts, append=len(letters)))
+            own = _LETTERS[place & 63, part[letters]] * (2 * (place >> 6) + 1).astype(np.uint64)
+            out.append(mix64(np.add.reduceat(own, starts), 60))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """The distinct shingles of a text, as sorted 64-bit hashes."""
-    tokens = text.lower().split()  # ASCII case and white space only
-    if not tokens:
-        return np.empty(0, dtype=np.uint64)
-    own = np.fromiter(map(_words.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+    own = word_hashes(text)
+    if not len(own):
+        return own
     width = min(words, len(own))
     out = np.full(len(own) - width + 1, width, dtype=np.uint64)
     for k in range(width):
@@ -66,21 +92,28 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+_SEEDS = (2 * (100 + np.arange(2 * COORDINATES, dtype=np.uint64)) + 1) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def sketch(items: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit hashes."""
-    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, t = np.full(coordinates, empty), np.uint64(coordinates)
-    for i in range(2 * coordinates):
-        hashed = mix64(items, 100 + i)
-        value = (np.uint64(i) << np.uint64(40)) | (hashed >> _SHIFT)
-        if i < coordinates:
-            np.minimum.at(out, ((hashed & np.uint64(0xFFFFFF)) % t).astype(np.intp), value)
-        elif out[i - coordinates] == empty:
-            out[i - coordinates] = value.min()
-        if i < coordinates - 1 and len(items) < 8:
-            continue
-        if (out != empty).all():
-            break
+    t, first = np.uint64(coordinates), math.ceil(9 * coordinates / len(items))
+    out, done = np.full(coordinates, _EMPTY), 0
+    places = np.arange(coordinates, dtype=np.uint64) << np.uint64(48)
+    while done < coordinates and (out == _EMPTY).any():
+        rounds = np.arange(done, min(coordinates, done + first), dtype=np.uint64)
+        hashed = mix64(items[None, :] + (_SEEDS[rounds] - _SEEDS[0])[:, None], 100)
+        value = (rounds << np.uint64(40))[:, None] | (hashed >> np.uint64(24))
+        # By coordinate, then by value; earlier rounds have the smaller values.
+        by = np.sort((((hashed & np.uint64(0xFFFFFF)) % t) << np.uint64(48) | value).ravel())
+        at = np.searchsorted(by, places)
+        least = by[np.minimum(at, len(by) - 1)]
+        fills = (at < len(by)) & (least >> np.uint64(48) == np.arange(coordinates, dtype=np.uint64)) & (out == _EMPTY)
+        out[fills] = (least & np.uint64((1 << 48) - 1))[fills]
+        done += len(rounds)
+    for b in np.flatnonzero(out == _EMPTY):
+        i = coordinates + int(b)
+        out[b] = (np.uint64(i) << np.uint64(40)) | (mix64(items, 100 + i) >> np.uint64(24)).min()
     return out
 
 
@@ -112,12 +145,40 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(read, FINGERPRINTS)
 
 
-def similar_to(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Which of the sets, laid end to end in ``flat``, are linked with ``one``."""
-    at = np.searchsorted(one, flat)
-    at[at == len(one)] = 0
-    both = np.add.reduceat((one[at] == flat).astype(np.int64), starts)
-    return 100 * both >= share * (sizes + len(one) - both)
+class Sets:
+    """Sets of shingles laid end to end by size, with small numbers for shingles, to compare one with all of fitting size."""
+
+    def __init__(self, sets: list[np.ndarray], share: int):
+        self.order = np.argsort([len(x) for x in sets], kind="stable")
+        sets = [sets[k] for k in self.order]
+        self.share, self.sizes = share, np.array([len(x) for x in sets], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(names), dtype=np.uint8)
+
+    def members(self, k: int) -> np.ndarray:
+        return self.flat[self.starts[k] : self.starts[k] + self.sizes[k]]
+
+    def like(self, own: np.ndarray) -> tuple[int, np.ndarray]:
+        """Which sets, from the first of fitting size on, are linked with one."""
+        n = len(own)
+        lo = int(np.searchsorted(self.sizes * 100, self.share * n))
+        hi = int(np.searchsorted(self.sizes * self.share, 100 * n, side="right"))
+        if lo >= hi:
+            return lo, np.empty(0, dtype=bool)
+        a, b = self.starts[lo], self.starts[hi - 1] + self.sizes[hi - 1]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[self.flat[a:b]], self.starts[lo:hi] - a, dtype=np.int64)
+        self.mark[own] = 0
+        return lo, 100 * both >= self.share * (self.sizes[lo:hi] + n - both)
+
+    def only(self, keep: np.ndarray) -> Sets:
+        """The sets at these places (ascending), without laying shingles out anew."""
+        out = object.__new__(Sets)
+        out.share, out.mark, out.sizes, out.order = self.share, self.mark, self.sizes[keep], keep
+        out.starts = np.concatenate([[0], np.cumsum(out.sizes)[:-1]])
+        out.flat = np.concatenate([self.members(k) for k in keep]) if len(keep) else self.flat[:0]
+        return out
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None = None, label: np.ndarray | None = None, share: int = SHARE) -> list[tuple[int, int]]:
@@ -127,54 +188,71 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], probes: np.ndarray | None =
     With ``probes``, only links of these members count; members of one ``label``
     are known to be connected.
     """
-    n, sizes = len(ids), np.array([len(x) for x in sets])
     out: list[tuple[int, int]] = []
+    whole = Sets(sets, share)
+    ids, n = ids[whole.order], len(ids)
     if probes is None:
-        unseen = np.ones(n, dtype=bool)
+        # Places in ``open_`` that are still unseen; it is laid out anew when half of them are gone.
+        open_, unseen = whole.only(np.arange(n)), np.ones(n, dtype=bool)
         for start in range(n):
             if not unseen[start]:
                 continue
             unseen[start], queue = False, [start]
             while queue:
-                own = sets[one := queue.pop()]
-                rest = np.flatnonzero(unseen & (100 * np.minimum(sizes, len(own)) >= share * np.maximum(sizes, len(own))))
-                if not len(rest):
-                    continue
-                hits = _compare(own, [sets[k] for k in rest], sizes[rest], share)
-                for k in rest[hits]:
-                    out.append((int(ids[start]), int(ids[k])))
-                unseen[rest[hits]] = False
-                queue += rest[hits].tolist()
+                lo, hits = open_.like(whole.members(queue.pop()))
+                found = open_.order[lo : lo + len(hits)][hits]
+                found = found[unseen[found]]
+                out += [(int(ids[start]), int(ids[k])) for k in found]
+                unseen[found] = False
+                queue += found.tolist()
+                if 2 * unseen.sum() < len(open_.order):
+                    open_ = whole.only(np.flatnonzero(unseen))
         return out
+    probes, label = probes[whole.order], label[whole.order]
     for one in np.flatnonzero(probes):
-        own = sets[one]
-        rest = np.flatnonzero((label != label[one]) & (100 * np.minimum(sizes, len(own)) >= share * np.maximum(sizes, len(own))))
-        if len(rest):
-            hits = _compare(own, [sets[k] for k in rest], sizes[rest], share)
-            # one link for each other part is enough
-            for k in rest[hits][np.unique(label[rest[hits]], return_index=True)[1]]:
-                out.append((int(ids[one]), int(ids[k])))
+        lo, hits = whole.like(whole.members(one))
+        found = np.arange(lo, lo + len(hits))[hits]
+        found = found[label[found] != label[one]]
+        # one link for each other part is enough
+        out += [(int(ids[one]), int(ids[k])) for k in found[np.unique(label[found], return_index=True)[1]]]
     return out
 
 
-def _compare(own: np.ndarray, others: list[np.ndarray], sizes: np.ndarray, share: int) -> np.ndarray:
-    return similar_to(own, np.concatenate(others), np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes, share)
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), dtype="<u8") for x in table.column("shingles")]
+
+
+def _links_table(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _bucket_links(table: pa.Table, share: int) -> pa.Table:
+    """Links within each bucket of a group."""
+    table = table.sort_by("bucket")
+    ids, sets = table.column("doc_id").to_numpy(), _sets(table)
+    edges = np.flatnonzero(np.diff(table.column("bucket").to_numpy())) + 1
+    found = []
+    for a, b in zip([0, *edges], [*edges, len(ids)]):
+        found += linked(ids[a:b], sets[a:b], share=share)
+    return _links_table(found)
 
 
-def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(x, dtype="<u8") for x in column]
+def _probe_links(minor: pa.Table, chunk: pa.Table, share: int) -> pa.Table:
+    if not minor.num_rows or not chunk.num_rows:
+        return _links_table([])
+    both = pa.concat_tables([minor, chunk])
+    return _links_table(linked(both.column("doc_id").to_numpy(), _sets(both), np.arange(both.num_rows) < minor.num_rows, both.column("part").to_numpy(), share))
 
 
-def _bucket_links(group: pd.DataFrame, share: int = SHARE) -> pd.DataFrame:
-    found = linked(group["doc_id"].to_numpy(), _sets(group["shingles"]), share=share)
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _least(edges: DataFrame, or_own: bool, total: int) -> tuple[DataFrame, list[int]]:
+    """u, its least neighbour (or itself) m, and the slots of the hubs among u."""
+    m = F.least(F.min("v"), F.first("u")) if or_own else F.min("v")
+    least = settled(edges.groupBy("u").agg(m.alias("m"), F.count("*").alias("n")), "least")
+    return least, hot_slots(least, ["u"], total)
 
 
-def _probe_links(minor: pd.DataFrame, chunk: pd.DataFrame, share: int = SHARE) -> pd.DataFrame:
-    both = pd.concat([minor, chunk], ignore_index=True)
-    probes = np.arange(len(both)) < len(minor)
-    found = linked(both["doc_id"].to_numpy(), _sets(both["shingles"]), probes, both["part"].to_numpy(), share)
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+def _with_least(edges: DataFrame, least: DataFrame, hubs: list[int]) -> DataFrame:
+    return dealt(edges, ["u"], "v", hubs).join(copied(least.select("u", "m"), ["u"], hubs), ["u", "salt"]).drop("salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,13 +263,15 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least, hubs = _least(both, True, before.n)
+        large = _with_least(both, least, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = settled(large, "large")
+        lower, hubs = _least(large, False, before.n)
+        joined = _with_least(large, lower, hubs)
+        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v"))).distinct()
         new = settled(small, "links")
         after = mark(new)
+        discard(edges, least, large, lower)
         edges = new
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -204,29 +284,44 @@ def _parts(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(found, members["doc_id"] == found["node"], "left").select(*members.columns, F.coalesce("component", "doc_id").alias("part"))
 
 
-def near_duplicates(docs: DataFrame, chunk: int = CHUNK, words: int = WORDS, share: int = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, weight: int = WEIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each document, by shingles of ``words`` words and a similarity of ``share`` in 100."""
     prints = settled(fingerprints(docs, words), "sketches")
     full = prints.where("n_shingles > 0 and doc_id is not null")
     # Classes of equal sets; the smallest id stands for its class.
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    same = ["n_shingles", "f1", "f2"]
+    classes = full.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count("*").alias("n"))
     classes = settled(classes, "classes")
-    rows = settled(classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("bucket")), "bands")
+    rows = settled(classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("bucket")), "bands")
     # Buckets with the same members count once.
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 1")
-    buckets = buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = rows.join(buckets, "bucket").select("bucket", "doc_id", "n")
-    chunked = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / F.lit(chunk))).alias("chunk")
-    members = settled(members.select("bucket", "doc_id", "n", chunked), "members")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    buckets = settled(buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket"), F.min("held").alias("held")).select("bucket", "held"), "buckets")
+    groups = max(1, math.ceil((buckets.where(F.col("held") <= weight).agg(F.sum("held")).first()[0] or 0) / weight))
+    members = rows.join(buckets, "bucket")
+    few = F.col("held") <= weight
+    # Neighbouring classes of set size span any link.
+    cls = F.floor(F.log("n_shingles") / F.log(F.lit(100 / share))).cast("long")
+    members = members.select("bucket", "doc_id", "n_shingles", F.when(few, F.lit(-1).cast("long")).otherwise(cls).alias("cls"))
+    members = settled(members, "members")
+    large = members.where("cls >= 0")
+    chunks = settled(large.groupBy("bucket", "cls").agg(F.ceil(F.sum("n_shingles") / F.lit(weight)).alias("chunks")), "chunks")
+    large = large.join(chunks, ["bucket", "cls"]).select("bucket", "cls", "doc_id", "n_shingles", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"))
+    group = F.pmod(F.xxhash64("bucket"), F.lit(groups))
+    small = members.where("cls < 0").select("bucket", "cls", "doc_id", "n_shingles", group.alias("chunk"))
     sets = settled(_member_sets(docs, members, words), "sets")
-    links = members.join(sets, "doc_id").groupBy("bucket", "chunk").applyInPandas(lambda group: _bucket_links(group, share), LINKS)
+    key = F.when(F.col("cls") < 0, F.lit(0).cast("long")).otherwise(F.col("bucket")).alias("key")
+    placed = small.unionByName(large).select(key, "cls", "chunk", "bucket", "doc_id").join(sets, "doc_id")
+    links = placed.groupBy("key", "cls", "chunk").applyInArrow(lambda table: _bucket_links(table, share), LINKS)
     links = settled(links, "links")
-    large = members.where(F.col("n") > chunk)
-    if not large.isEmpty():
-        links = settled(links.unionByName(_large_links(large, sets, links, chunk, share)), "links")
+    if not chunks.isEmpty():
+        more = settled(links.unionByName(_large_links(settled(large, "large"), chunks, sets, links, weight, share)), "links")
+        discard(links)
+        links = more
     found = components(links)
-    of_rep = classes.drop("bands").join(found, classes["rep"] == found["node"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
-    linked_docs = full.select("doc_id", "n_shingles", "f1", "f2").join(of_rep, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
+    discard(rows, buckets, members, chunks, sets, links)
+    of_rep = classes.join(found, classes["rep"] == found["node"], "left").select(*same, "n", F.coalesce("component", "rep").alias("component_id"))
+    hot = hot_slots(classes, same, full.count())
+    linked_docs = dealt(full.select("doc_id", *same), same, "doc_id", hot).join(copied(of_rep.drop("n"), same, hot), [*same, "salt"]).select("doc_id", "n_shingles", "component_id")
     alone = prints.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked_docs.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -259,33 +354,51 @@ def _member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(read, "doc_id long, shingles binary").where(F.length("shingles") > 0)
 
 
-def _large_links(large: DataFrame, sets: DataFrame, links: DataFrame, chunk: int, share: int) -> DataFrame:
-    """Links in large buckets between the largest part and all that is outside it, over all chunks."""
+def _large_links(large: DataFrame, chunks: DataFrame, sets: DataFrame, links: DataFrame, weight: int, share: int) -> DataFrame:
+    """Links in large buckets between the largest part and all that is outside it, over the chunks of fitting size."""
     parts = settled(_parts(large, links), "parts")
-    sizes = parts.groupBy("bucket", "part").count()
-    most = sizes.groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
-    outside = parts.join(most, "bucket").where("part <> most").drop("most")
-    blocks = outside.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("blocks"))
-    outside = outside.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))
-    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / F.lit(chunk)) - 1)).alias("chunk")
-    probes = outside.select("bucket", "block", "doc_id", "part", chunks).join(sets, "doc_id")
-    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    against = parts.join(blocks, "bucket").select("bucket", "chunk", "doc_id", "part", block).join(sets, "doc_id")
-    keys = ["bucket", "block", "chunk"]
+    most = parts.groupBy("bucket", "part").count().groupBy("bucket").agg(F.max_by("part", F.struct("count", "part")).alias("most"))
+    outside = parts.join(most, "bucket").where("part <> most").drop("most", "chunk")
+    blocks = settled(outside.groupBy("bucket", "cls").agg(F.ceil(F.sum("n_shingles") / F.lit(weight)).alias("blocks")), "blocks")
+    outside = outside.join(blocks, ["bucket", "cls"]).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), "blocks"))
+    near = lambda of: F.explode(F.sequence(F.col(of) - 1, F.col(of) + 1))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    keys = ["bucket", "cls", "block", "other", "chunk"]
+    probes = outside.withColumn("other", near("cls")).join(chunks.withColumnRenamed("cls", "other"), ["bucket", "other"]).withColumn("chunk", upto("chunks"))
+    against = parts.withColumnRenamed("cls", "other").withColumn("cls", near("other")).join(blocks, ["bucket", "cls"]).withColumn("block", upto("blocks"))
     # New names' ids on either side: both come from the same tables.
-    left, right = (x.select(*(F.col(c).alias(c) for c in [*keys, "doc_id", "part", "shingles"])) for x in (probes, against))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(lambda minor, chunk: _probe_links(minor, chunk, share), LINKS)
+    left, right = (x.join(sets, "doc_id").select(*(F.col(c).alias(c) for c in [*keys, "doc_id", "part", "shingles"])) for x in (probes, against))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda minor, chunk: _probe_links(minor, chunk, share), LINKS)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """The documents, all columns, with one row for each component: that of its smallest id.
 
-    Rows that repeat an id and its text are copies, of which one stays; rows
+    Rows that repeat an id and its text are copies, of which the one with the
+    least other columns stays. An id that stands for several texts is none: each
+    of its texts counts as a document of its own, behind those with an id of
+    their own, so no text is dropped without a near copy that stays. Rows
     without an id link with nothing and stay.
     """
-    kept = near_duplicates(docs, words=words, share=share).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    same = docs["doc_id"].cast("long") == kept["kept_id"]
-    return docs.where("doc_id is not null").join(kept, same, "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    text = F.xxhash64(F.coalesce("row.text", F.lit("")), F.col("row.text").isNull())
+    # In a structure of their own, so that no column's name clashes.
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("kept_id"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    again = settled(own.groupBy("kept_id").agg(F.count("*").alias("n"), F.min(text).alias("a"), F.max(text).alias("b")).where("n > 1").select("kept_id", (F.col("a") != F.col("b")).alias("several")), "repeated")
+    alone = docs.where("doc_id is null")
+    if again.isEmpty():
+        return own.join(_kept(own, words, share), "kept_id", "left_semi").select("row.*").unionByName(alone)
+    # In the upper half of the positive numbers; 62 bits of hash tell the texts apart.
+    new_id = F.xxhash64("kept_id", text).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = own.join(again, "kept_id", "left").select(F.when(F.col("several"), new_id).otherwise(F.col("kept_id")).alias("kept_id"), F.col("several").isNotNull().alias("repeats"), "row")
+    keyed = settled(keyed, "keyed")
+    left = keyed.join(_kept(keyed, words, share), "kept_id", "left_semi")
+    plain = not any(isinstance(f.dataType, MapType) for f in docs.schema)
+    once = left.where("repeats").groupBy("kept_id").agg((F.min("row") if plain else F.first("row")).alias("row"))
+    return left.where("not repeats").select("row.*").unionByName(once.select("row.*")).unionByName(alone)
+
+
+def _kept(own: DataFrame, words: int, share: int) -> DataFrame:
+    return near_duplicates(own.select(F.col("kept_id").alias("doc_id"), F.col("row.text").alias("text")), words, share).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
 
 
 #: The same rows in SQL, over all pairs that share a shingle.

@@ -28,8 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import _Known
-from .common import slices, texts_of
+from .common import Known, slices, texts_of
 
 SPACE = "▁"
 #: A run of space marks belongs to the word behind it.
@@ -39,7 +38,7 @@ _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 class Pieces:
     """Encoder and decoder of a byte-fallback BPE model without text normalisation."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         names = [model.id_to_piece(i) for i in range(n)]
@@ -61,7 +60,7 @@ class Pieces:
                 self.automaton.add_word(name, len(name))
         self.automaton.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known = _Known(self._word, limit)
+        self.known = Known(self._word)
 
     def merged(self, text: str) -> list[str]:
         """Merging as defined: again and again the best-scored neighbours, the leftmost of equals."""

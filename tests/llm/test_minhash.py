@@ -1,17 +1,18 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from leafwright.llm import op05_minhash as op
 
 
-def brute(rows):
+def brute(rows, words=3, share=85):
     import re
 
     sets = []
     for i, t in rows:
         w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        s = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or ({tuple(w)} if w else set())
+        s = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
         sets.append((i, s))
     parent = list(range(len(rows)))
 
@@ -23,7 +24,7 @@ def brute(rows):
     for a in range(len(rows)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and None not in (sets[a][0], sets[b][0]) and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and None not in (sets[a][0], sets[b][0]) and 100 * len(x & y) >= share * len(x | y):
                 parent[root(a)] = root(b)
     groups = {}
     for k in range(len(rows)):
@@ -52,8 +53,8 @@ def test_against_brute_force(spark):
     rows = made(4, 400)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component_id int")
     want = brute(rows)
-    for chunk in (512, 16):
-        got = sorted((tuple(r) for r in op.near_duplicates(docs, chunk).collect()), key=str)
+    for chunk in (250_000, 1500):
+        got = sorted((tuple(r) for r in op.near_duplicates(docs, weight=chunk).collect()), key=str)
         assert got == want
     assert op.near_duplicates(docs.limit(0)).count() == 0
 
@@ -95,3 +96,45 @@ def test_width_and_share(spark):
     assert {r.doc_id for r in op.keep_one(docs, words=5, share=80).collect()} == {1, 3}
     assert {r.doc_id for r in op.near_duplicates(docs).where("kept").collect()} == {1, 2, 3}
     assert {r.doc_id for r in op.near_duplicates(docs, words=5, share=82).where("kept").collect()} == {1, 2, 3}
+
+
+def test_rows_that_repeat_an_id(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, "one two three four five", 5), (1, "six seven eight nine ten", 5), (2, "eleven twelve thirteen fourteen", 5), (3, long, 9), (3, long, 2), (4, long + " end", 1), (5, long + " end", 1), (5, "quite another text stands here", 1), (None, long, 1), (6, None, 1), (6, "", 1), (6, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id int")
+    got = sorted(((r.doc_id, r.text, r.kept_id) for r in op.keep_one(docs).collect()), key=str)
+    # 3 stays once, with its least other column, and takes 4 and one text of 5 along; all other texts stay.
+    want = [(1, rows[0][1], 5), (1, rows[1][1], 5), (2, rows[2][1], 5), (3, long, 2), (5, rows[7][1], 1), (None, long, 1), (6, None, 0), (6, "", 1)]
+    assert got == sorted(want, key=str)
+    assert op.keep_one(docs.select("doc_id", "text", F.create_map(F.lit("a"), F.lit(1)).alias("m"))).count() == 8
+
+
+def test_a_giant_bucket_that_does_not_link():
+    """Sets of like size with one shared shingle, some of them linked: groups of the bucket are compared exactly."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([[7], rng.integers(10, 1 << 60, 50)])).astype(np.uint64) for _ in range(1500)]
+    sets[700] = np.concatenate([sets[3][:-2], rng.integers(10, 1 << 60, 2).astype(np.uint64)])
+    sets[700].sort()
+    assert op.linked(np.arange(1500), sets) == [(3, 700)]
+    half = np.arange(1500) < 600
+    assert op.linked(np.arange(1500), sets, half, np.arange(1500)) == [(3, 700)]
+
+
+def test_words_of_very_long_texts():
+    text = b"Abc  def\x1cghi\t" * 200_000 + b"x" * 3_000_000
+    own = op.word_hashes(text)
+    assert len(own) == len(text.lower().split()) and len(set(own.tolist())) == 3
+    assert op.word_hashes(b"x" * 64 + b"y") != op.word_hashes(b"y" + b"x" * 64)
+    assert len(op.shingles(text)) == 3
+
+
+def test_hubs_are_dealt_over_salts(spark, monkeypatch):
+    from leafwright.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 8)
+    monkeypatch.setattr(common, "SALTS", 4)
+    links = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(59, 100)], "a long, b long")
+    assert {r.component for r in op.components(links).collect()} == {0}
+    rows = [(i, "one two three") for i in range(40)] + [(50, "four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in op.near_duplicates(docs).collect()) == [(i, 0) for i in range(40)] + [(50, 50)]
