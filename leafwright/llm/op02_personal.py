@@ -3,11 +3,12 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers; they
 are written so that a long run of digits or letters costs linear time. The field
 adds what they miss: secrets, phone numbers without a plus sign, addresses
-spelt with other signs. It works on tokens near a digit or an at sign (within
-``REACH`` characters; all other tokens are outside any span by definition). Its
+spelt with other signs. It decodes every token of every text. Its
 features are word shapes, of the token and its neighbours, and it is trained by
-gradient ascent on a small labelled table of tokens. Windows of many documents
+gradient ascent on a small labelled table of tokens. Sequences of many documents
 are decoded together, one Viterbi step for all of them at a time, in numpy.
+A text of more than ``STRETCH`` tokens is decoded in stretches that overlap by
+``OVERLAP`` tokens, and passes from one to the next where both say outside.
 
 Defined results: a null text is empty; texts without findings have zero counts
 and the hash of the empty string; spans of the field that meet a pattern's span
@@ -28,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import _Known
-from .common import slices, texts_of
+from .common import SLICE, Known, slices, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-REACH = 48
+STRETCH, OVERLAP = 384, 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,7 +80,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the field ---------------------------------------------------------------
 
 _TOKEN = re.compile(r"[\w@.+=\-]+|[^\w\s]")
-_HOT = re.compile(r"[0-9@]+")
 
 
 def shape(token: str) -> str:
@@ -94,108 +93,149 @@ def token_features(token: str) -> tuple[str, ...]:
     digits = sum(c.isdigit() for c in plain)
     signs = "".join(sorted({c for c in plain if not c.isalnum()}))
     tail = plain.rpartition("=")[2]
+    head = plain.lower().partition("=")[0]
     return (
         f"s:{shape(plain)}",
         f"c:{signs}|{min(digits, 20) // 4}|{min(len(plain), 48) // 6}",
         f"h:{len(tail) >= 14 and all(c in '0123456789abcdef' for c in tail) and digits > 0}",
         f"m:{plain.isalnum() and plain.isupper() and digits > 0 and len(plain) >= 16}",
         f"l:{plain.isdigit() and 13 <= len(plain) <= 19 and luhn(plain)}",
-        f"w:{plain.lower() if plain.isalpha() and len(plain) <= 9 else ''}",
-        f"k:{plain.lower().partition('=')[0] if '=' in plain else ''}",
+        f"w:{cue_of(token) or ''}",
+        f"k:{head if '=' in plain and head in _CUE else ''}",
+        f"v:{bool(tail) and tail != plain and len(tail) >= 6}",
     )
 
 
+#: Words that are features of their own, and in pairs; all others are known by their shape.
+CUES = ("at", "dot", "com", "org", "net", "password", "passwd", "secret", "token", "key", "api_key", "tel", "fax", "phone", "call", "card", "write", "mail", "contact", "(", ")", "is", "was", "=", ":", '"')
+_CUE = {w: k + 1 for k, w in enumerate(CUES)}
+_EDGE = ".+=-"
+
+
+def cue_of(token: str) -> int:
+    """The number of a cue word, 0 for all others."""
+    return _CUE.get(token if len(token) == 1 else token.strip(_EDGE).lower(), 0)
+
+
 class Field:
     """Weights of a trained field, and its decoder."""
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         self.zero = np.zeros(len(LABELS))
-        self.own = _Known(self._own, 50_000)
+        n = len(CUES) + 1
+        self.pairs = np.zeros((n, n, len(LABELS)))
+        for x in range(n):
+            for y in range(n):
+                self.pairs[x, y] = weights.get(f"p:{x}|{y}", self.zero)
+        self._forget()
         #: An inside label follows only its own begin or inside label.
         self.allowed = np.where([[b[0] != "I" or a[1:] == b[1:] for b in LABELS] for a in LABELS], moves, -1e9)
         self.first = np.where([x[0] == "I" for x in LABELS], -1e9, 0.0)
 
-    def _own(self, token: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What a token says about itself, its left and its right neighbour."""
-        get, s = self.weights.get, shape(token)
-        return sum((get(f, self.zero) for f in token_features(token)), self.zero), get(f"+:{s}", self.zero), get(f"-:{s}", self.zero)
+    def _forget(self) -> None:
+        """Tokens met so far have rows in a table, one for all tokens with the same features; both are bounded."""
+        self.rows: dict[tuple, int] = {}
+        self.table, self.cues = np.zeros((1024, 3, len(LABELS))), np.zeros(1024, dtype=np.int64)
+        self.known = Known(self._row, 8 << 20)
+
+    def _row(self, token: str) -> int:
+        plain = token.strip(_EDGE)
+        cue = cue_of(token)
+        if plain.isalpha() and not cue:
+            # All such words of one case and length class have the same features.
+            key = (0 if plain.islower() else 1 if plain.isupper() else 2, min(len(plain), 48) // 6, token.replace(plain, "", 1), len(plain) > 16, len(token) > 16)
+        else:
+            key = (*token_features(token), shape(token), cue)
+        row = self.rows.get(key)
+        if row is None:
+            row = self.rows[key] = len(self.rows)
+            if row == len(self.table):
+                self.table, self.cues = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.cues, np.zeros_like(self.cues)])
+            get, s = self.weights.get, shape(token)
+            own = sum((get(f, self.zero) for f in token_features(token)), self.zero)
+            # What a token says about itself, its left and its right neighbour.
+            self.table[row] = own, get(f"+:{s}", self.zero), get(f"-:{s}", self.zero)
+            self.cues[row] = cue
+        return row
 
     def emissions(self, tokens: list[str]) -> np.ndarray:
-        own = [self.own[t] for t in tokens]  # at least one
-        out = np.array([x[0] for x in own])
-        if len(own) > 1:
-            out[:-1] += [x[1] for x in own[1:]]
-            out[1:] += [x[2] for x in own[:-1]]
+        rows = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int64, count=len(tokens))  # at least one
+        said, cues = self.table[rows], self.cues[rows]
+        out = said[:, 0].copy()
+        out[:-1] += said[1:, 1]
+        out[1:] += said[:-1, 2]
+        at = np.flatnonzero((cues[:-2] > 0) & (cues[1:-1] > 0))
+        out[at + 2] += self.pairs[cues[at], cues[at + 1]]
         return out
 
-    def decode(self, windows: list[list[str]], batch: int = 256) -> list[np.ndarray]:
+    def labels(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The labels of every token of every text."""
+        step = STRETCH - OVERLAP
+        cut = [[t] if len(t) <= STRETCH else [t[at : at + STRETCH] for at in range(0, len(t) - OVERLAP, step)] for t in texts]
+        found, out = iter(self.decode([x for parts in cut for x in parts])), []
+        for parts in cut:
+            own = next(found)
+            for k in range(1, len(parts)):
+                nxt, at = next(found), k * step
+                both = np.flatnonzero((own[at:] == 0) & (nxt[: len(own) - at] == 0))
+                here = int(both[np.abs(both - OVERLAP // 2).argmin()]) if len(both) else OVERLAP // 2
+                own = np.concatenate([own[: at + here], nxt[here:]])
+            out.append(own)
+        return out
+
+    def decode(self, windows: list[list[str]], batch: int = 1024) -> list[np.ndarray]:
         """Best label sequences; windows of like length go through Viterbi together."""
+        if len(self.rows) > 30_000:
+            self._forget()
         found: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(windows)
         order = sorted((k for k, w in enumerate(windows) if w), key=lambda k: len(windows[k]))
+        labels = len(LABELS)
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
             sizes = np.array([len(windows[k]) for k in own])
             steps, n = int(sizes[-1]), len(own)
-            score = np.zeros((steps, n, len(LABELS)))
+            score = np.zeros((steps, labels, n), dtype=np.float32)
             for j, k in enumerate(own):
-                score[: sizes[j], j] = self.emissions(windows[k])
-            best, back = score[0] + self.first, np.zeros((steps, n, len(LABELS)), dtype=np.int8)
-            rows, last = np.arange(n), best.copy()
+                score[: sizes[j], :, j] = self.emissions(windows[k])
+            best, back = score[0] + self.first.astype(np.float32)[:, None], np.zeros((steps, labels, n), dtype=np.int8)
+            moves, last, rows = self.allowed.astype(np.float32)[:, :, None], best.copy(), np.arange(n)
             for t in range(1, steps):
-                paths = best[:, :, None] + self.allowed
-                back[t] = paths.argmax(axis=1)
-                best = paths.max(axis=1) + score[t]
-                last = np.where((sizes > t)[:, None], best, last)
-            label = last.argmax(axis=1)
+                # Sequences are sorted by length: those that have ended stand in front.
+                live = slice(int(np.searchsorted(sizes, t, side="right")), None)
+                before, way = best[:, live], back[t, :, live]
+                new = before[0] + moves[0]
+                for y in range(1, labels):
+                    path = before[y] + moves[y]
+                    better = path > new
+                    np.copyto(new, path, where=better)
+                    np.copyto(way, np.int8(y), where=better)
+                best[:, live] = new + score[t, :, live]
+                last[:, live] = best[:, live]
+            label = last.argmax(axis=0)
             out = np.zeros((steps, n), dtype=np.int64)
             for t in range(steps - 1, -1, -1):
                 out[t] = label
-                label = np.where(t < sizes, back[t][rows, label], label)
+                label = np.where(t < sizes, back[t][label, rows], label)
             for j, k in enumerate(own):
                 found[k] = out[: sizes[j], j]
         return found
 
 
-def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
-    """Tokens near digits and at signs: for each window its tokens with their places."""
-    edges: list[list[int]] = []
-    for m in _HOT.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
-        if edges and a <= edges[-1][1]:
-            edges[-1][1] = b
-        else:
-            edges.append([a, b])
-    out = []
-    for a, b in edges:
-        while a > 0 and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        a = max(a, out[-1][1] if out else 0)
-        if a < b:
-            out.append((a, b))
-    found = [[(m[0], *m.span()) for m in _TOKEN.finditer(text, a, b)] for a, b in out]
-    return [w for w in found if w]
-
-
 def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text the patterns' spans, and all spans."""
     base = [base_spans(t) for t in texts]
-    owners, tokens = [], []
-    for k, text in enumerate(texts):
-        for window in windows_of(text):
-            owners.append(k)
-            tokens.append(window)
     added: dict[int, list] = defaultdict(list)
-    for k, window, labels in zip(owners, tokens, field.decode([[t[0] for t in w] for w in tokens])):
+    for k, labels in enumerate(field.labels([_TOKEN.findall(t) for t in texts])):
+        if not labels.any():
+            continue
         span = None
-        for (token, a, b), label in zip(window, labels):
+        for m, label in zip(_TOKEN.finditer(texts[k]), labels.tolist()):
             name = LABELS[label]
             if name[0] == "I" and span and span[0] == name[2:]:
-                span[2] = b
+                span[2] = m.end()
                 continue
-            span = [name[2:], a, b] if name[0] == "B" else None
+            span = [name[2:], *m.span()] if name[0] == "B" else None
             if span:
                 added[k].append(span)
     out = []
@@ -234,6 +274,15 @@ and {key} too
 {key}
 token = " {secret} "
 order {number} of {date} was sent
+order {unlike} was sent
+pay {unlike} please
+the number {unlike} is no card
+number {unlike} {unlike} and {unlike}
+at at at at at at at at
+the time is {long} and the place was {long}
+this is {long} to {long} at {long}
+he was {long} and she is {long} from {long} to {long}
+% $ & * is % and was $
 chapter {small} section {small}
 version {version} of the licence
 licensed under the Apache License , Version 2.0
@@ -247,7 +296,38 @@ the code {number} and the sum {number}
 results : {version} percent
 MIT and CC BY-NC 4.0 apply
 born {date} in town
-see @ {small} for more"""
+see @ {small} for more
+write to {spelt} for details
+ask {spelt} about it
+or mail {spelt} today
+password = {lower}
+my password is {lower} , do not share it
+the secret is {lower}
+set {pair} before the start
+run with {pair}
+the key to the door is under the mat
+the password is not the point
+we met at noon and looked at the picture
+a dot on the map , and com is short for committee
+the secret of the garden was never told
+token of thanks from all of us
+is it at home or at work
+he was called to the phone at last
+the cat sat at the door ( at night ) and slept
+she is at the market ; it is cold
+look at the dot to the left
+il est parti à la maison avec le chien
+der Hund lief durch den Wald und sah die Katze
+el perro corre por la calle y la casa es grande
+le mot de passe du jour est un secret
+das Wort ist das Wort
+Alpha beta GAMMA delta , epsilon : zeta
+one - two - three ... four
+> quoted | line { with } signs # and * stars
+x = y + z
+name = value
+a=b
+color=red"""
 
 
 def labelled_table(spark: SparkSession, copies: int = 14, seed: int = 11) -> DataFrame:
@@ -269,6 +349,18 @@ def labelled_table(spark: SparkSession, copies: int = 14, seed: int = 11) -> Dat
             return [rng.choice([f"{word(3, 8)}.{digits(2)}@{word(3, 6)}{digits(1)}.{word(4, 8)}.com", f"{word(3, 9)}@{word(4, 8)}.org"])] if rng.random() < 0.7 else [word(3, 8), "(", "at", ")", f"{word(4, 8)}{digits(2)}.com"]
         if kind == "phone":
             return rng.choice([[f"+{rng.randint(1, 99)}", "(", digits(3), ")", f"{digits(3)}-{digits(4)}"], ["(", digits(3), ")", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"]])
+        if kind == "spelt":
+            name, place, end = word(3, 8), word(4, 8), rng.choice(["com", "org", "net"])
+            return rng.choice([[name, "(", "at", ")", place, ".", end], [name, "(", "at", ")", place, "dot", end], [name, "at", place, "dot", end], [name, "dot", word(3, 6), "at", place, "dot", end], [name, "(", "at", ")", f"{place}.{end}"]])
+        if kind == "unlike":
+            body = digits(15)
+            return [next(body + c for c in "0123456789" if not luhn(body + c))]
+        if kind == "long":
+            return [word(6, 16)]
+        if kind == "lower":
+            return [rng.choice([word(8, 14), word(5, 9) + digits(2)])]
+        if kind == "pair":
+            return [f"{rng.choice(['password', 'passwd', 'secret', 'api_key'])}={rng.choice([word(8, 14), word(5, 9) + digits(3)])}"]
         if kind == "ip":
             return [".".join(str(rng.randint(0, 255)) for _ in range(4))]
         if kind == "card":
@@ -282,12 +374,12 @@ def labelled_table(spark: SparkSession, copies: int = 14, seed: int = 11) -> Dat
         return [{"number": digits(rng.randint(4, 16)), "small": digits(rng.randint(1, 3)), "year": f"19{digits(2)}", "version": f"{digits(1)}.{digits(1)}", "time": f"{digits(2)}:{digits(2)}", "date": f"{digits(2)}.{digits(2)}.20{digits(2)}"}[kind]]
 
     rows, sentence = [], 0
-    tags = {"pass": "secret", "key": "secret"}
+    tags = {"pass": "secret", "key": "secret", "lower": "secret", "pair": "secret", "spelt": "email"}
     for line in _SENTENCES.split("\n") * copies:
         at, noise = 0, rng.random() < 0.6
         parts = [word(1, 9) for _ in range(rng.randint(0, 6))] * noise + line.split() + [word(1, 9) for _ in range(rng.randint(0, 6))] * noise
         for part in parts:
-            kind = part[1:-1] if part[0] == "{" else ""
+            kind = part[1:-1] if part[0] == "{" and len(part) > 1 else ""
             for j, token in enumerate(draw(kind) if kind else [part]):
                 tag = tags.get(kind, kind)
                 rows.append((sentence, at, token, f"{'I' if j else 'B'}-{tag}" if tag in KINDS else "O"))
@@ -296,58 +388,82 @@ def labelled_table(spark: SparkSession, copies: int = 14, seed: int = 11) -> Dat
     return spark.createDataFrame(rows, "sentence long, position long, token string, label string")
 
 
-def train(table: DataFrame, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-3, most_rows: int = 100_000) -> Field:
+def sentence_features(tokens: list[str]) -> list[list[str]]:
+    """The names of all features of each token in its place."""
+    out, cues = [], [cue_of(t) for t in tokens]
+    for i, t in enumerate(tokens):
+        names = [*token_features(t)]
+        if i + 1 < len(tokens):
+            names.append(f"+:{shape(tokens[i + 1])}")
+        if i:
+            names.append(f"-:{shape(tokens[i - 1])}")
+        if i > 1 and cues[i - 2] and cues[i - 1]:
+            names.append(f"p:{cues[i - 2]}|{cues[i - 1]}")
+        out.append(names)
+    return out
+
+
+def train(table: DataFrame, epochs: int = 8, rate: float = 0.3, ridge: float = 1e-3, most_rows: int = 100_000, batch: int = 48) -> Field:
     """A field from the first ``most_rows`` tokens of a labelled table, by stochastic gradient ascent on the likelihood."""
     rows = table.where("token is not null and label is not null").orderBy("sentence", "position").limit(most_rows).collect()
     sentences: dict[int, list] = defaultdict(list)
     for r in rows:
         sentences[r.sentence].append((r.token, LABELS.index(r.label)))
-    n = len(LABELS)
-    weights: dict[str, np.ndarray] = {}
-    squares: dict[str, np.ndarray] = {}
+    n, longest = len(LABELS), max((len(x) for x in sentences.values()), default=1)
+    numbers: dict[str, int] = {"": 0}  # stands for no feature
+    width = len(token_features("a")) + 3
+    features = np.zeros((len(sentences), longest, width), dtype=np.int64)
+    truth = np.full((len(sentences), longest), -1)
+    for k, own in enumerate(sentences.values()):
+        for i, names in enumerate(sentence_features([t for t, _ in own])):
+            features[k, i, : len(names)] = [numbers.setdefault(f, len(numbers)) for f in names]
+            truth[k, i] = own[i][1]
+    weights, squares = np.zeros((len(numbers), n)), np.full((len(numbers), n), 1e-6)
     moves, move_squares = np.zeros((n, n)), np.full((n, n), 1e-6)
     rng = np.random.default_rng(3)
-    examples = []
-    for own in sentences.values():
-        tokens, shapes = [t for t, _ in own], [shape(t) for t, _ in own]
-        names = [[*token_features(t), *([f"+:{shapes[i + 1]}"] if i + 1 < len(own) else []), *([f"-:{shapes[i - 1]}"] if i else [])] for i, t in enumerate(tokens)]
-        examples.append((names, np.array([y for _, y in own])))
-        for f in (f for x in names for f in x):
-            weights.setdefault(f, np.zeros(n))
-            squares.setdefault(f, np.full(n, 1e-6))
-    for _ in range(epochs):
-        for k in rng.permutation(len(examples)):
-            names, y = examples[k]
-            score = np.array([sum(weights[f] for f in x) for x in names])
-            own, pairs = _marginals(score, moves)
-            gap = -own
-            gap[np.arange(len(y)), y] += 1
-            for x, g in zip(names, gap):
-                for f in x:
-                    step = g - ridge * weights[f]
-                    squares[f] += step**2
-                    weights[f] += rate * step / np.sqrt(squares[f])
+    for _ in range(epochs if len(sentences) else 0):
+        order = rng.permutation(len(sentences))
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
+            y = truth[own]
+            steps = int((y >= 0).sum(axis=1).max())
+            y, x = y[:, :steps], features[own, :steps]
+            known = y >= 0
+            gap, pairs = _marginals(weights[x].sum(axis=2), moves, known.sum(axis=1))
+            gap = -gap * known[:, :, None]
+            k, i = np.nonzero(known)
+            gap[k, i, y[known]] += 1
+            each = np.repeat(gap.reshape(-1, n), width, axis=0)
+            step = np.stack([np.bincount(x.ravel(), each[:, c], len(numbers)) for c in range(n)], axis=1)
+            step -= ridge * weights * (step != 0)
+            step[0] = 0
+            squares += step**2
+            weights += rate * step / np.sqrt(squares)
             step = -pairs - ridge * moves
-            np.add.at(step, (y[:-1], y[1:]), 1)
+            both = known[:, 1:]
+            np.add.at(step, (y[:, :-1][both], y[:, 1:][both]), 1)
             move_squares += step**2
             moves += rate * step / np.sqrt(move_squares)
-    return Field(weights, moves)
+    return Field({f: weights[k] for f, k in numbers.items() if k and weights[k].any()}, moves)
 
 
-def _marginals(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of every token, and expected label pairs, by forward and backward sums."""
-    steps, n = score.shape
-    forward, backward = np.zeros((steps, n)), np.zeros((steps, n))
-    forward[0] = score[0]
+def _marginals(score: np.ndarray, moves: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every token of a batch of sentences, and expected label pairs, by forward and backward sums."""
+    many, steps, n = score.shape
+    live = np.arange(steps)[None, :] < sizes[:, None]
+    forward, backward = np.zeros_like(score), np.zeros_like(score)
+    forward[:, 0] = score[:, 0]
     for t in range(1, steps):
-        forward[t] = _lse(forward[t - 1][:, None] + moves, 0) + score[t]
+        forward[:, t] = _lse(forward[:, t - 1, :, None] + moves, 1) + score[:, t]
     for t in range(steps - 2, -1, -1):
-        backward[t] = _lse(moves + score[t + 1] + backward[t + 1], 1)
-    whole = _lse(forward[-1], 0)
+        onward = _lse(moves + (score[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
+        backward[:, t] = np.where(live[:, t + 1, None], onward, 0)
+    whole = _lse(forward[np.arange(many), sizes - 1], 1)
     pairs = np.zeros((n, n))
     for t in range(1, steps):
-        pairs += np.exp(forward[t - 1][:, None] + moves + score[t] + backward[t] - whole)
-    return np.exp(forward + backward - whole), pairs
+        own = np.exp(np.minimum(0, forward[:, t - 1, :, None] + moves + (score[:, t] + backward[:, t] - whole[:, None])[:, None, :]))
+        pairs += own[live[:, t]].sum(axis=0)
+    return np.exp(np.minimum(0, forward + backward - whole[:, None, None])), pairs
 
 
 def _lse(x: np.ndarray, axis: int) -> np.ndarray:
@@ -357,7 +473,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 # --- Spark -------------------------------------------------------------------
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long, has_personal boolean"
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -374,7 +490,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
             found = all_spans(texts_of(batch), own)
             counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS[:4]]
             digests = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests), pa.array([written(s) for _, s in found])], names=[c.split()[0] for c in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(digests), pa.array([written(s) for _, s in found]), pa.array([sum(s[0] == "secret" for s in every) for _, every in found], pa.int64()), pa.array([len(every) for _, every in found], pa.int64()), pa.array([bool(every) for _, every in found])], names=[c.split()[0] for c in FOUND.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FOUND)
 
@@ -390,18 +506,19 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, field: Field) -> DataFrame:
-    """The documents, all columns, with personal data replaced in text; n_chars follows where there is one."""
+    """The documents, all columns, with personal data replaced in text; n_chars follows where there is one. Only texts leave the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast((field.weights, field.moves))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("string")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Field(*shared.value)
-        for batch in slices(batches):
-            raw = batch.column("text").to_pylist()
-            new = [None if t is None else redacted(t, s) for t, (_, s) in zip(raw, all_spans([t or "" for t in raw], own))]
-            columns = list(batch.columns)
-            columns[batch.schema.get_field_index("text")] = pa.array(new, batch.column("text").type)
-            if (k := batch.schema.get_field_index("n_chars")) >= 0:
-                columns[k] = pa.array([None if t is None else len(t) for t in new]).cast(columns[k].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+        for batch in texts:
+            new = []
+            for at in range(0, len(batch), SLICE):
+                raw = batch.slice(at, SLICE).to_pylist()
+                new += [None if t is None else redacted(t, s) for t, (_, s) in zip(raw, all_spans([t or "" for t in raw], own))]
+            yield pa.array(new, pa.string())
+
+    out = docs.withColumn("text", clean("text"))
+    kind = dict(docs.dtypes).get("n_chars")
+    return out.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns) if kind else out

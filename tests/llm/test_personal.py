@@ -69,3 +69,43 @@ def test_query(spark, field):
     assert op.find(docs.limit(0), field).count() == 0
     clean = [r.text for r in op.redact(docs, field).collect()]
     assert clean[0] == "write to [EMAIL]. or [IP], not 10.0.0.256 [CARD] and [PHONE] now" and clean[-2] is None
+
+
+def test_far_from_digits_and_long_texts(field):
+    far = "the cat sat on the mat and slept all day . " * 12
+    for added, kind in (("john dot doe at example dot com", "email"), ("password = hunterhunter", "secret")):
+        text = far + added + " " + far
+        spans = op.all_spans([text], field)[0][1]
+        assert [k for k, *_ in spans] == [kind] and added in text[spans[0][1] - 11 : spans[0][2]]
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    many = " ".join(f"{far} token = {token}" for _ in range(40))
+    assert len(many.split()) > 10 * op.STRETCH
+    assert [many[a:b] for _, a, b in op.all_spans([many], field)[0][1]] == [token] * 40
+
+
+def test_features_by_name_and_by_row_agree(field):
+    import numpy as np
+
+    tokens = "Write to Jane ( at ) example . com ; password = hunter22 , is 4111111111111111 . the.END É key : x".split()
+    want = [sum((field.weights.get(f, field.zero) for f in names), field.zero) for names in op.sentence_features(tokens)]
+    assert np.allclose(field.emissions(tokens), np.array(want))
+
+
+def test_precision_and_recall_on_other_sentences(field):
+    """Frames that share no sentence with the labelled table, values drawn anew."""
+    rng = random.Random(77)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 8)))
+    frames = ["Yesterday someone committed {} into the tree", "Use {} as before, then restart everything", "Lo siento, {} ya no sirve", "{} stood on the screen for an hour", "Bitte {} sofort tauschen"]
+    # A bare hash may as well name a revision, so only its context makes it a secret.
+    draws = [lambda: f'token = "{hexa(40)}"', lambda: "password=" + hexa(16), lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOP234567") for _ in range(16)), lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}", lambda: f"{name()} (at) {name()}.com"]
+    right = missed = 0
+    for k in range(200):
+        value = draws[k % 5]()
+        text = frames[k // 5 % 5].format(value)
+        a = text.index(value)
+        hit = any(x < a + len(value) and a < y for _, x, y in op.all_spans([text], field)[0][1])
+        right, missed = right + hit, missed + (not hit)
+    clean = ["The committee of the town met on 12.03.2019 at 10:30 in room 7, floor 2.", "Chapter 12 holds 340 pages; see table 4.5 for more.", "Er sagte das Wort dreimal und ging nach Hause.", "We paid 1,250.50 for 3 items, order 48213.", "licensed under version 2.0, all rights kept", "The password was forgotten by everyone in the house.", "Look at the dot in the middle of the map."]
+    wrong = sum(bool(op.all_spans([t], field)[0][1]) for t in clean)
+    assert right >= 0.9 * (right + missed) and wrong <= 1, (right, missed, wrong)
