@@ -6,19 +6,22 @@ space, and blocks of it are compressed with every dictionary; the language
 whose dictionary gives the fewest bytes over all blocks wins. Where the runner-up is
 nearly as small, the text is rejected: it has too little of any one language.
 
-Bounds, all parameters: ``docs_per_lang`` labelled documents for each language
-(those with the smallest hash of the id), ``dict_bytes`` of dictionary for each,
-shared evenly by those documents.
+Bounds, all parameters: ``docs_per_lang`` labelled documents for each of the
+``most_langs`` languages with most labelled documents (those with the smallest
+hash of the id), ``dict_bytes`` of dictionary for each language, shared evenly by
+those documents and drawn from ``PLACES`` places spread over each whole text.
 
 Defined results: a null text and a text without letters are ``und`` with score 0,
-and rejected; rows with a null language or text teach nothing; without any
-labelled row all is ``und``; equal sizes go to the alphabetically first
+and rejected; rows with a null language, text or id teach nothing; of rows with
+one id and language the smallest text teaches; without any labelled row all is
+``und``; equal sizes go to the alphabetically first
 language and are rejected; null ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,10 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import each_text, slices, texts_of
 
 DOCS_PER_LANG = 128
 DICT_BYTES = 96_000
+MOST_LANGS = 256
+PLACES = 6
 BLOCK = 2048
 LEVEL = 9
 #: Smaller relative distances between the best two sizes are rejected.
@@ -43,19 +48,31 @@ def letters_of(text: str) -> str:
     return _NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def dictionaries(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def dictionaries(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, dict_bytes: int = DICT_BYTES, most_langs: int = MOST_LANGS) -> dict[str, bytes]:
     """Raw dictionary content by language, from (doc_id, text, lang) rows."""
-    usable = labelled.where("lang is not null and text is not null")
-    # Only ids and languages are ranked, and each task passes on its own best alone.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang)
-    share = dict_bytes // docs_per_lang
-    texts = usable.select("doc_id", "lang", F.substring("text", 1, 4 * share).alias("text"))
-    # At most docs_per_lang rows for each language on the small side and in the result.
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()
+    usable = labelled.where("doc_id is not null and lang is not null and text is not null")
+    ids = usable.select("doc_id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    if not sizes:
+        return {}
+    # Three times as many as wanted by hash, so that the window sees a bounded number of rows.
+    share = F.coalesce(*(F.when(F.col("lang") == r.lang, 3 * docs_per_lang / r.n) for r in sizes), F.lit(0.0))
+    few = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < share * float(1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    chosen = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_lang).drop("rank")
+    # Windows at even distances over the whole text; a short text is one window.
+    width = 4 * dict_bytes // (docs_per_lang * PLACES)
+    step = F.greatest(F.lit(1), F.ceil((F.length("text") - width) / (PLACES - 1))).cast("int")
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - width + 1), step), lambda at: F.substr(F.col("text"), at, F.lit(width)))
+    windows = F.when(F.length("text") <= PLACES * width, F.array("text")).otherwise(windows)
+    # At most docs_per_lang rows for each of most_langs languages on the small side and in the result.
+    texts = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    rows = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("doc_id", "lang", windows.alias("windows")).collect()
     out: dict[str, list[bytes]] = {}
+    taught = Counter(r.lang for r in rows)
     for row in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
-        out.setdefault(row.lang, []).append(letters_of(row.text).encode())
+        own = _spread([letters_of(w).encode() for w in row.windows], dict_bytes // min(docs_per_lang, taught[row.lang]))
+        out.setdefault(row.lang, []).append(b" ".join(own))
     return {lang: b" ".join(_spread(parts, dict_bytes)) for lang, parts in out.items()}
 
 
@@ -106,12 +123,13 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MAR
 
 
 def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """The documents, all columns, without those that the classifier rejects."""
+    """The documents, all columns, without those that the classifier rejects; only texts leave the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def certain(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(shared.value)
-        for batch in slices(batches):
-            yield batch.filter(pa.array([not model.classify(t, margin)[3] for t in texts_of(batch)]))
+        for batch in texts:
+            yield pa.array([not model.classify(t, margin)[3] for t in each_text(batch)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(certain("text"))

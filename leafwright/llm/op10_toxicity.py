@@ -2,17 +2,20 @@
 
 The lexicon is learned: words and word beginnings whose documents are nearly
 always labelled toxic. It becomes a trie, and a Levenshtein automaton of one
-edit runs over the trie and the token at once; the states of this product are
-built when first met and kept, so a token costs a few look-ups and a known
-token one. What the first automaton leaves (it wants the first letter right, five
-letters, and beginnings without edits) goes through a second one, with all edits
-at any place, swapped neighbours among them, for terms and beginnings of four
-letters or more; its hits are a kind with weights of its own. Around each hit a window of tokens tells quotation (quote marks
-around it, reporting words near it) from abuse (address in the second person).
-A logistic regression over the counts of hits by kind gives the score.
-
-Bounds, all parameters: ``train_docs`` labelled documents (smallest hashes of
-the id), ``terms`` lexicon entries.
+edit (a letter too many, missing or wrong, or two neighbours swapped, at any
+place of any term) runs over the trie and the token at once; the states of this
+product are built when first met and kept within a bound, so a token costs a few
+look-ups and a known token one. Hits are of four kinds: exact, and with an edit
+in a long term, a beginning or a short term, each with weights of its own. The
+context of a hit tells quotation (quote marks, whose state is carried through
+the line, and reporting words near it) from abuse (address in the second
+person near it). A logistic regression over the counts of hits by kind and
+context gives the score.
+
+Bounds: ``train_docs`` labelled documents (a share by hash of the id), a
+parameter. The lexicon has no cap of its own: a term stands in half a percent of
+the toxic documents at least, so there are at most 200 for each distinct word and
+beginning of a mean one.
 
 Defined results: null and empty texts score as texts without hits; without any
 labelled row every score is 0; a document labelled more than once counts as
@@ -30,29 +33,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .byte_bpe import _Known
-from .common import slices, texts_of
+from .common import Known, discard, each_text, settled, slices, texts_of
 
 TRAIN_DOCS = 30_000
-TERMS = 2_000
 WINDOW = 6
 #: Word beginnings of these lengths can be lexicon entries.
 STEMS = (4, 5, 6)
-#: Shorter words are matched without edits, by the first and by the second automaton.
-FUZZY_FROM = 5
-EDITS_FROM = 4
+#: Terms of fewer letters are short: with an edit they are a kind of their own.
+LONG_FROM = 5
+EXACT, LONG, STEM, SHORT = 1, 2, 3, 4
+KINDS = 4
 QUOTES = "\"“”„«»‹›"
 EDGE = QUOTES + "'’‘.,!?;:()[]{}<>|*#$%&~_-+=/\\"
-REPORTING = frozenset("said says say called calling quote quoted quotes word term wrote written dit appelé mot sagte nannte wort dijo llamó palabra".split())
-ADDRESS = frozenset("you your you're ur u yourself tu toi vous du dich dein ihr tú usted eres".split())
+REPORTING = frozenset(("said", "says", "say", "called", "calling", "quote", "quoted", "quotes", "word", "term", "wrote", "written", "dit", "appelé", "mot", "sagte", "nannte", "wort", "dijo", "llamó", "palabra"))
+ADDRESS = frozenset(("you", "your", "you're", "ur", "u", "yourself", "tu", "toi", "vous", "du", "dich", "dein", "ihr", "tú", "usted", "eres"))
 
 
 class Matcher:
-    """The lexicon's trie intersected with the automaton of at most one edit."""
+    """The lexicon's trie intersected with the automaton of at most one edit, anywhere."""
 
-    def __init__(self, words: list[str], stems: list[str], most_states: int = 50_000):
+    def __init__(self, words: list[str], stems: list[str], most_states: int = 8_000):
         self.children: list[dict[str, int]] = [{}]
-        self.word: list[int] = [0]  # 1: a word ends here; 2: one that is matched with an edit too
+        self.word: list[int] = [0]  # the kind of an edited hit where a word ends
         self.stem: list[bool] = [False]
         for term, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
             node = 0
@@ -67,65 +69,17 @@ class Matcher:
             if is_stem:
                 self.stem[node] = True
             else:
-                self.word[node] = 2 if len(term) >= FUZZY_FROM else 1
+                self.word[node] = LONG if len(term) >= LONG_FROM else SHORT
         self.most = most_states
         self._reset()
 
-    def _reset(self) -> None:
-        self.states: list[frozenset] = [frozenset([(0, 0)])]
-        self.numbers = {self.states[0]: 0}
-        self.accepts, self.moves = [(0, False)], [{}]
-
-    def _number(self, state: frozenset) -> int:
-        k = self.numbers.get(state)
-        if k is None:
-            k = self.numbers[state] = len(self.states)
-            self.states.append(state)
-            self.moves.append({})
-            whole = max((2 if e == 0 and self.word[n] else 1 if e and self.word[n] == 2 else 0 for n, e in state), default=0)
-            self.accepts.append((whole, any(e == 0 and self.stem[n] for n, e in state)))
-        return k
-
-    def _step(self, state: frozenset, c: str) -> frozenset:
-        reached = set()
-        for node, edits in state:
-            child = self.children[node].get(c)
-            if child is not None:
-                reached.add((child, edits))
-            if not edits and node:  # the first letter must be right
-                reached.add((node, 1))  # a letter too many
-                reached.update((n, 1) for n in self.children[node].values())  # a wrong letter
-        reached.update((n, 1) for node, edits in list(reached) if not edits for n in self.children[node].values())  # a letter missing
-        return frozenset((n, e) for n, e in reached if not e or (n, 0) not in reached)
-
-    def match(self, token: str) -> int:
-        """2 for a lexicon term, 1 for one with an edit, else 0."""
-        if len(self.states) > self.most:
-            self._reset()
-        at = 0
-        for c in token:
-            nxt = self.moves[at].get(c)
-            if nxt is None:
-                nxt = self.moves[at][c] = self._number(self._step(self.states[at], c))
-            at = nxt
-            if self.accepts[at][1]:
-                return 2
-            if not self.states[at]:
-                return 0
-        return self.accepts[at][0]
-
-
-class Edits(Matcher):
-    """The trie intersected with all of one edit, anywhere: a letter too many, missing or wrong, or two neighbours swapped."""
-
-    def __init__(self, words: list[str], stems: list[str], most_states: int = 20_000):
-        super().__init__([w for w in words if len(w) >= EDITS_FROM], [s for s in stems if len(s) >= EDITS_FROM], most_states)
-
     def _reset(self) -> None:
         #: Members are (node, edits, letter): with a letter, that one must come next to end a swap.
-        self.states: list[frozenset] = [self._closed({(0, 0, "")})]
-        self.numbers = {self.states[0]: 0}
-        self.accepts, self.moves = [(0, False)], [{}]
+        self.states: list[frozenset] = []
+        self.numbers: dict[frozenset, int] = {}
+        self.accepts: list[tuple[int, int]] = []
+        self.moves: list[dict[str, int]] = []
+        self._number(self._closed({(0, 0, "")}))
 
     def _number(self, state: frozenset) -> int:
         k = self.numbers.get(state)
@@ -133,8 +87,10 @@ class Edits(Matcher):
             k = self.numbers[state] = len(self.states)
             self.states.append(state)
             self.moves.append({})
-            ends = [n for n, _, last in state if not last]
-            self.accepts.append((int(any(self.word[n] for n in ends)), any(self.stem[n] for n in ends)))
+            ends = [(n, e) for n, e, last in state if not last]
+            whole = min((EXACT if not e else self.word[n] for n, e in ends if self.word[n]), default=0)
+            begun = min((EXACT if not e else STEM for n, e in ends if self.stem[n]), default=0)
+            self.accepts.append((whole, begun))
         return k
 
     def _closed(self, reached: set) -> frozenset:
@@ -160,6 +116,26 @@ class Edits(Matcher):
                         reached.add((end, 1, letter))  # the second letter first
         return self._closed(reached)
 
+    def match(self, token: str) -> int:
+        """The best kind of hit, 0 for none: a term, or a beginning of the token, as it is or with one edit."""
+        if len(self.states) > self.most:
+            self._reset()
+        at, found = 0, self.accepts[0][1]
+        for c in token:
+            nxt = self.moves[at].get(c)
+            if nxt is None:
+                nxt = self.moves[at][c] = self._number(self._step(self.states[at], c))
+            at = nxt
+            begun = self.accepts[at][1]
+            if begun == EXACT:
+                return EXACT
+            found = found or begun
+            if not self.states[at]:
+                return found
+        whole = self.accepts[at][0]
+        return min(whole, found) if whole and found else whole or found
+
+
 @dataclass
 class Model:
     words: list[str]
@@ -169,33 +145,51 @@ class Model:
 
 class Scorer:
     def __init__(self, words: list[str], stems: list[str]):
-        self.matcher, self.edits = Matcher(words, stems), Edits(words, stems)
-        self.known = _Known(self._code, 300_000)
+        self.matcher = Matcher(words, stems)
+        self.known = Known(self._code)
 
     def _code(self, raw: str) -> int:
-        """0 for most tokens; else the kind of hit, plus 4 if quote marks touch it."""
+        """0 for most tokens; else the kind of hit."""
         token = raw.strip(EDGE)
-        kind = (self.matcher.match(token) or 3 * (self.edits.match(token) > 0)) if token else 0
-        return kind + 4 * (kind > 0 and any(q in raw for q in QUOTES))
+        return self.matcher.match(token) if token else 0
 
     def features(self, text: str) -> list[float]:
-        """Hits by kind and context: exact, fuzzy and with an edit at any place, each as abuse, neutral and quotation; all on a log scale."""
-        tokens = text.lower().split()
-        codes = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int8, count=len(tokens))
-        out = [0.0] * 9
-        for at in np.flatnonzero(codes):
-            code = int(codes[at])
-            near = tokens[max(0, at - WINDOW) : at + WINDOW + 1]
-            before = " ".join(tokens[max(0, at - WINDOW) : at])
-            bare = {t.strip(EDGE) for t in near}
-            quoted = code >= 4 or sum(before.count(q) for q in '"') % 2 == 1 or bool(bare & REPORTING)
-            kind = 0 if bare & ADDRESS and code < 4 else 2 if quoted else 1
-            out[3 * (0, 1, 0, 2)[code % 4] + kind] += 1
+        """Hits by kind, each as abuse, neutral and quotation; all on a log scale."""
+        out = [0.0] * (3 * KINDS)
+        for line in text.lower().splitlines():
+            tokens = line.split()
+            codes = np.fromiter(map(self.known.__getitem__, tokens), dtype=np.int8, count=len(tokens))
+            hits = np.flatnonzero(codes)
+            if not len(hits):
+                continue
+            inside = quoted_tokens(tokens) if any(q in line for q in QUOTES) else None
+            for at in hits:
+                near = {t.strip(EDGE) for t in tokens[max(0, at - WINDOW) : at + WINDOW + 1]}
+                marks = inside is not None and inside[at]
+                quoted = marks or bool(near & REPORTING)
+                context = 0 if near & ADDRESS and not marks else 2 if quoted else 1
+                out[3 * (int(codes[at]) - 1) + context] += 1
         return [float(np.log1p(x)) for x in out]
 
 
+def quoted_tokens(tokens: list[str]) -> list[bool]:
+    """Which tokens of a line stand in, or touch, quote marks; a mark that is never closed counts to the line's end."""
+    out, depth, plain = [], 0, False
+    for token in tokens:
+        touched = depth > 0 or plain
+        for c in token:
+            if c == '"':
+                plain, touched = not plain, True
+            elif c in "“„«‹":
+                depth, touched = depth + 1, True
+            elif c in "”»›":
+                depth, touched = max(0, depth - 1), True
+        out.append(touched)
+    return out
+
+
 #: Where the labels say nothing: exact hits count, edited ones less, quoted ones hardly.
-PRIOR = np.array([-3.0, 3.0, 2.5, 0.5, 1.5, 1.0, 0.2, 1.5, 1.0, 0.2])
+PRIOR = np.array([-3.0, 3.0, 2.5, 0.5, 1.5, 1.0, 0.2, 1.5, 1.0, 0.2, 0.7, 0.4, 0.1])
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -217,22 +211,27 @@ def labelled(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -
     """doc_id, text, toxic of the training sample."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = own.select("doc_id").distinct().join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    return own.join(F.broadcast(chosen), "doc_id")  # at most train_docs ids
+    both = settled(own.select("doc_id").distinct().join(marks, "doc_id"), "labelled")
+    n = both.count()
+    if n > train_docs:
+        # A share by hash, nine tenths of what is allowed, so that the limit hardly ever cuts and no task sends a list of its own best.
+        both = both.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * 0.9 * train_docs / n)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    return own.join(F.broadcast(both), "doc_id")  # at most train_docs ids
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model | None:
     """The lexicon and the weights, from labelled documents alone."""
     # Copies count once, else what a copied text says by chance looks like a term.
-    sample = labelled(docs, labels, train_docs).groupBy("text").agg((F.max("toxic") > 0).alias("toxic")).persist()
+    sample = settled(labelled(docs, labels, train_docs).groupBy("text").agg((F.max("toxic") > 0).alias("toxic")), "sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
     if not bad + good:
+        discard(sample)
         return None
     counts = sample.mapInArrow(_term_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     # Nearly all documents of a term are toxic, far beyond the labels' share, and there are several.
     sure = (F.col("bad") >= max(4, round(0.005 * bad))) & (F.col("bad") >= 12 * (F.col("good") + 0.25) * max(1.0, bad / max(good, 1)))
-    rows = counts.where(sure).orderBy(F.desc("bad"), "good", "term").limit(terms).collect()
+    rows = counts.where(sure).select("term").collect()
     words = sorted(r.term for r in rows if r.term[-1] != "*")
     stems = sorted(r.term[:-1] for r in rows if r.term[-1] == "*")
 
@@ -241,8 +240,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, term
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in texts_of(batch)], pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
-    got = sample.mapInArrow(features, "x array<double>, toxic boolean").collect()  # train_docs rows of nine numbers
-    sample.unpersist()
+    got = sample.mapInArrow(features, "x array<double>, toxic boolean").collect()  # train_docs rows of twelve numbers
+    discard(sample)
     weights = fit_weights(np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]))
     return Model(words, stems, weights.tolist())
 
@@ -290,12 +289,13 @@ def rater(model: Model | None):
 
 
 def drop_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, that score below the threshold."""
+    """The documents, all columns, that score below the threshold; only texts leave the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         rate = rater(shared.value)
-        for batch in slices(batches):
-            yield batch.filter(pa.array([rate(t) < threshold for t in texts_of(batch)], pa.bool_()))
+        for batch in texts:
+            yield pa.array([rate(t) < threshold for t in each_text(batch)], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean("text"))

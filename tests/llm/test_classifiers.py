@@ -43,17 +43,22 @@ def distance(a, b):
     return row[-1]
 
 
+def swapped(a, b):
+    return any(a[:k] + a[k + 1] + a[k] + a[k + 2 :] == b for k in range(len(a) - 1))
+
+
 def test_matcher_against_distances():
     rng = random.Random(2)
-    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 7))) for _ in range(40)]
-    stems = ["abca", "ccb"]
-    matcher = op10_toxicity.Matcher(words, stems)
-    for _ in range(4000):
-        token = "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
-        want = 2 if token in words or any(token.startswith(s) for s in stems) else 0
-        if not want and any(len(w) >= 5 and w[0] == token[0] and distance(w[1:], token[1:]) == 1 for w in words):
-            want = 1
-        assert matcher.match(token) == want, token
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(12)]
+    stems = ["abcab", "ccba"]
+    matcher = op10_toxicity.Matcher(words, stems, 60)
+    near = lambda a, b: distance(a, b) <= 1 or swapped(a, b)
+    for _ in range(6000):
+        token = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        kinds = [op10_toxicity.EXACT] if token in words or any(token.startswith(s) for s in stems) else []
+        kinds += [op10_toxicity.LONG if len(w) >= 5 else op10_toxicity.SHORT for w in words if near(w, token)]
+        kinds += [op10_toxicity.STEM for s in stems for n in range(len(token) + 1) if near(s, token[:n])]
+        assert matcher.match(token) == min(kinds, default=0), token
 
 
 def test_quotation_counts_less():
@@ -86,23 +91,35 @@ def test_toxicity_edges(spark):
     assert op10_toxicity.drop_toxic(docs, none).count() == 5
 
 
-def swapped(a, b):
-    return any(a[:k] + a[k + 1] + a[k] + a[k + 2 :] == b for k in range(len(a) - 1))
-
-
-def test_edits_against_distances():
-    rng = random.Random(5)
-    words = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 8))) for _ in range(12)]
-    stems = ["abcab", "ccba"]
-    edits = op10_toxicity.Edits(words, stems)
-    near = lambda a, b: distance(a, b) <= 1 or swapped(a, b)
-    for _ in range(6000):
-        token = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
-        want = any(len(w) >= 4 and near(w, token) for w in words) or any(near(s, token[:n]) for s in stems for n in range(len(token) + 1))
-        assert (edits.match(token) > 0) == want, token
-
-
 def test_edits_anywhere_raise_the_score():
     rate = op10_toxicity.rater(op10_toxicity.Model(["moron", "idiot", "stupid", "scum"], ["wretch"], op10_toxicity.PRIOR.tolist()))
     for token in ("1diot", "xstupid", "oron", "scvm", "idoit", "wr3tched", "mo-ron"):
         assert rate(f"the {token} here") > rate("the day here"), token
+
+
+def test_quotation_is_seen_from_afar():
+    rate = op10_toxicity.rater(op10_toxicity.Model(["moron"], [], op10_toxicity.PRIOR.tolist()))
+    far = "the sign on the wall of the old house near the river reads moron and nothing else"
+    assert rate(far.replace("the sign", 'the "sign', 1) + '"') < rate(far)
+    assert op10_toxicity.quoted_tokens('a "b c" d «e f» g “h'.split()) == [False, True, True, False, True, True, False, True]
+
+
+def test_very_long_texts(spark):
+    text = "the cat sat on the mat and slept " * 40_000
+    docs = spark.createDataFrame([(1, text + "you moron moron moron moron", "en"), (2, "x" * 1_000_000, "de"), (3, "der hund lief durch den wald", "de")], "doc_id long, text string, lang string")
+    learned = op01_language.dictionaries(docs)
+    assert {r.doc_id: r.lang_pred for r in op01_language.predict(docs, learned).collect()}[1] == "en"
+    model = op10_toxicity.Model(["moron"], [], op10_toxicity.PRIOR.tolist())
+    assert {r.doc_id: r.predicted for r in op10_toxicity.score(docs, model).collect()} == {1: 1, 2: 0, 3: 0}
+
+
+def test_dictionaries_draw_from_the_whole_text_and_repeat(spark):
+    rows = [(k, "alpha " * 3000 + f"omega{'x' * k} " * 3000, "a") for k in range(60)] + [(7, "another text " * 50, "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = op01_language.dictionaries(docs)
+    assert b"alpha" in learned["a"] and b"omega" in learned["a"] and len(learned["a"]) <= 100_000
+    assert learned == op01_language.dictionaries(docs.repartition(7))
+
+
+def test_equal_sizes_go_to_the_first_language(spark):
+    assert op01_language.Classifier({"b": b"the cat", "a": b"the cat"}).classify("the cat")[0::3] == ("a", True)
