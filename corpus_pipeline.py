@@ -15,6 +15,9 @@ from leafwright.llm.common import settled
 #: No stage but the third can be written in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
+#: Near-duplicates of this pipeline: shingles of so many words, linked at so many hundredths.
+WORDS, SHARE = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that no language's dictionary explains better than the others'."""
@@ -28,8 +31,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest id. Rows without an id stay."""
-    return op05_minhash.keep_one(docs)
+    """Keeps one document of each group, linked at five-word shingles and similarity 0.8: the one with the smallest id. Rows without an id stay."""
+    return op05_minhash.keep_one(docs, WORDS, SHARE)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
