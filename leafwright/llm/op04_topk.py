@@ -1,12 +1,14 @@
 """Exact top-k by inner product without random access.
 
-Every dimension of a block of vectors is a list sorted by component; for one
-query it is read from the end that its own component prefers. At each depth a
-vector's lower bound takes the list's last value for what has not been read, its
-upper bound the value at the reading front. Vectors whose upper bound falls
-below the k-th lower bound are outsiders and leave; reading stops when few are
-left, or at the last depth, and their scores are then resolved in full. The
-bounds of a block of queries at one depth are two matrix products.
+Every dimension of a block of vectors is a list sorted by component. For one
+query a list is read in order, from the end that the query's own component
+prefers, step by step. After each step a vector's lower bound takes the list's
+last value for what has not been read, its upper bound the last value read.
+Vectors whose upper bound falls below the k-th lower bound, or below the k-th
+score of the blocks that the task has read before, cannot qualify and leave.
+Reading stops when the scores of all that are left are known in full; no entry
+is looked up out of order. Entries of a step count once, for a block of queries
+at a time, as a matrix product.
 
 Defined results: see ``vectors.usable``; an empty vector takes no part; rows
 with a query's own id are not its candidates; fewer than k candidates give
@@ -15,16 +17,20 @@ fewer rows; empty tables give none; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as vec
+from .common import settled
 
-BLOCK, QUERY_BLOCK = 4096, 256
-#: Shares of the lists read before the bounds are compared; what stays open after the last is resolved in full.
-DEPTHS = (0.8, 0.95)
+BLOCK, QUERIES = 4096, 64
+#: Depths, as shares of a list, after which the bounds are formed.
+STEPS = (1 / 16, 1 / 4, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1)
+FOUND = "query_id long, vec_id long, score long"
 
 
 def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
@@ -33,7 +39,7 @@ def quantised(table: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class SortedLists:
-    """A block's vectors with every dimension as a sorted list."""
+    """A block's vectors with every dimension as a sorted list. All numbers are whole, so sums are exact."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x, n = ids, x, len(x)
@@ -41,56 +47,74 @@ class SortedLists:
         self.sorted = np.take_along_axis(x, order, axis=0)
         self.place = np.empty(x.shape, dtype=np.int32)
         np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        #: Vectors still open summed over the queries, by step: how much was read of what.
+        self.open_after: list[int] = []
 
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, vectors x queries, when ``depth`` entries of each list have been read.
-
-        ``up`` has the queries' positive components, whose lists are read from
-        the top, ``down`` the negative ones, read from the bottom. All numbers
-        are whole, so the products are exact.
-        """
-        n = len(self.x)
-        top, bottom = self.place >= n - depth, self.place < depth
-        read = np.concatenate([self.x * top, self.x * bottom], axis=1)
-        seen = read @ np.concatenate([up, down], axis=1).T
-        unread = np.concatenate([~top, ~bottom], axis=1).astype(np.float64)
-        ends = lambda high, low: unread @ np.concatenate([up * self.sorted[high], down * self.sorted[low]], axis=1).T
-        return seen + ends(0, n - 1), seen + ends(max(0, n - 1 - depth), min(n - 1, depth))
-
-    def top(self, queries: np.ndarray, own: np.ndarray, k: int, depths: tuple[float, ...] = DEPTHS, few: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
-        """ids and scores of the k best for each query, best first, without the rows of the query's own id."""
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray, steps: tuple[float, ...] = STEPS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """ids and scores of all that can be among the k best of each query, given that k reach ``floor`` elsewhere."""
         n = len(self.x)
-        candidates = self.ids[:, None] != own[None, :]
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        open_ = np.flatnonzero(candidates.sum(axis=0) > few * k)
-        for share in depths:
-            if not len(open_):
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
+        ids, x, place = self.ids, self.x, self.place
+        open_, seen, a = ids[:, None] != own[None, :], np.zeros((n, len(queries))), 0
+        for share in steps:
+            b = max(1, min(n, int(np.ceil(share * n))))
+            if b == a or not len(ids):
+                continue
+            # Lists of positive components are read from the top, those of negative ones from the bottom.
+            below, above = place < n - b, place >= b
+            seen += (x * ((place < n - a) & ~below)) @ up + (x * ((place >= a) & ~above)) @ down
+            unread = np.concatenate([below, above], axis=1)
+            rest = lambda high, low: unread @ np.concatenate([up * self.sorted[high][:, None], down * self.sorted[low][:, None]])  # noqa: B023,E731
+            lower, upper = seen + rest(0, n - 1), seen + rest(n - b, b - 1)
+            least = floor
+            if len(ids) >= k:
+                least = np.maximum(floor, np.partition(np.where(open_, lower, -np.inf), len(ids) - k, axis=0)[len(ids) - k])
+            open_ &= upper >= least
+            self.open_after.append(int(open_.sum()))
+            left = open_.any(axis=1)
+            known = ((lower == upper) | ~open_).all()
+            ids, x, place, open_, seen = ids[left], x[left], place[left], open_[left], seen[left]
+            a = b
+            if known:
                 break
-            lower, upper = self.bounds(up[open_], down[open_], min(n, int(np.ceil(share * n))))
-            lower[~candidates[:, open_]] = -np.inf
-            # Outsiders: even their upper bound is below the k-th lower bound.
-            candidates[:, open_] &= upper >= np.partition(lower, n - k, axis=0)[n - k]
-            open_ = open_[candidates[:, open_].sum(axis=0) > few * k]
-        out = []
-        for j, query in enumerate(queries):
-            left = np.flatnonzero(candidates[:, j])
-            scores = (self.x[left] * query).sum(axis=1)
-            keep = vec.best(self.ids[left], scores, k)
-            out.append((self.ids[left][keep], scores[keep]))
-        return out
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+        return [(ids[open_[:, j]], seen[open_[:, j], j]) for j in range(len(queries))]
+
+
+def scan(blocks: Iterator, wave: dict[int, tuple[np.ndarray, np.ndarray]], k: int, group: int = QUERIES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The k best of each query of the wave over all blocks."""
+    found = {int(q): (np.empty(0, dtype=np.int64), np.empty(0)) for own, _ in wave.values() for q in own}
+    floor = dict.fromkeys(found, -np.inf)
+    for ids, x, _ in blocks:
+        if x.shape[1] not in wave:
+            continue
+        lists, (own, queries) = SortedLists(ids, x), wave[x.shape[1]]
+        for at in range(0, len(own), group):
+            part = own[at : at + group]
+            new = lists.top(queries[at : at + group], part, k, np.array([floor[int(q)] for q in part]))
+            for q, (i, s) in zip(part.tolist(), new):
+                i, s = np.concatenate([found[q][0], i]), np.concatenate([found[q][1], s])
+                keep = vec.best(i, s, k)
+                found[q] = i[keep], s[keep]
+                if len(keep) == k:
+                    floor[q] = s[keep][-1]
+    return found
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, wave_size: int = vec.WAVE) -> DataFrame:
     """query_id, rank, vec_id, score for vectors and queries as ``quantised`` makes them."""
-
-    def find(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        lists = SortedLists(candidates["vec_id"].to_numpy(), np.stack(candidates["v"]))
-        own = asked["vec_id"].to_numpy()
-        found = lists.top(np.stack(asked["v"]), own, k)
-        sizes = [len(ids) for ids, _ in found]
-        return pd.DataFrame({"query_id": np.repeat(own, sizes), "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([s for _, s in found]).astype(np.int64)})
-
-    return vec.search_blocks(vectors, queries, find, k, "long", block, query_block)
+    own = vec.dealt(vectors, "vectors")
+    out = []
+    for wave in vec.waves(queries, wave_size):
+        shared = own.sparkSession.sparkContext.broadcast(wave)  # about wave_size vectors
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield vec.found_batch(scan(vec.matrices(batches, block), shared.value, k), pa.int64())
+
+        out.append(settled(own.mapInArrow(run, FOUND), "found"))
+        shared.destroy()
+    if not out:
+        return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return vec.ranked(vec.union(out), k)
 
 
 #: The same rows in SQL, over every pair.

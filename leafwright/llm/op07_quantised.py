@@ -4,14 +4,16 @@ A vector is the sum of one codeword from each of ``BOOKS`` codebooks of full
 dimension. The codebooks start as residual k-means and are refined by turns of
 beam-search encoding and least squares, on a bounded sample (at most ``train_rows``
 vectors, chosen by a hash of the id). Every vector is encoded by beam
-search; its code, the ratio of its norm to that of its reconstruction, and how far
-the two lie apart are the index. A query adds up table entries of codeword
-products, times the stored ratio; the best ``rerank`` of each block are scored
-exactly on the original vectors, and so is every other row that may still reach
-the k-th of those: whose rough score lies below it by no more than ``SPREAD`` times
-the error of rough scores, as measured for the query on a sample of the block.
-Equal vectors and near copies, whose rough scores say nothing about their order,
-thus are all scored. ``recall`` in the tests holds this against brute force.
+search; its code and the ratio of its norm to that of its reconstruction are the
+index. Equal vectors are one entry, for which the ``k`` + 1 smallest ids stand.
+
+A query adds up table entries of codeword products, times the stored ratio. Only
+codes are scanned for that; the ``rerank`` best of the whole table, one list for
+each query, meet their original vectors by id and are scored exactly. Where the
+list ends within ``SPREAD`` errors of the rough scores (as measured on the list)
+of the k-th exact score, as among near copies, whose rough scores say nothing of
+their order, the rest of the table that may still reach it is scored exactly,
+where it lies. The tests hold recall against brute force.
 
 Defined results: see ``vectors.usable``, zero vectors take no part; rows with a
 query's own id are not its candidates; an empty table gives no rows; vectors of
@@ -23,19 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as vec
-from .common import settled
+from .common import discard, settled
 
 BOOKS, WORDS, BEAM = 16, 64, 8
 TRAIN_ROWS = 8192
-BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 512
-#: Rough scores may be off by so many times their measured error; it is measured on so many rows.
-SPREAD, PROBED = 4, 256
+BLOCK, QUERIES, RERANK = 4096, 256, 256
+FOUND = "query_id long, vec_id long, score double"
+#: Rough scores may be off by so many times their measured error.
+SPREAD = 2
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -103,7 +105,7 @@ def train(own: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray | None:
 
 
 def index(own: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, v, code, ratio and distance from its reconstruction of every vector; no code where the length differs from the codebooks'."""
+    """vec_id, v, code and ratio of every vector; no code where the length differs from the codebooks'."""
     shared = own.sparkSession.sparkContext.broadcast(books)  # BOOKS x WORDS x dimension numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,64 +115,193 @@ def index(own: DataFrame, books: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 1024)
                 rows = part.column("v").to_pylist()
                 fits = np.array([len(v) == books.shape[2] for v in rows])
-                code, ratio, apart = [None] * len(rows), np.ones(len(rows)), np.zeros(len(rows))
+                code, ratio = [None] * len(rows), np.ones(len(rows))
                 if fits.any():
                     x = np.array([v for v, f in zip(rows, fits) if f])
                     found = encode(x, books)
-                    rebuilt = decode(found, books)
-                    near = np.sqrt((rebuilt**2).sum(-1))
+                    near = np.sqrt((decode(found, books) ** 2).sum(-1))
                     ratio[fits] = np.sqrt((x**2).sum(-1)) / np.where(near > 0, near, 1)
-                    apart[fits] = np.sqrt(((x - rebuilt * ratio[fits, None]) ** 2).sum(-1))
                     for k, c in zip(np.flatnonzero(fits), found):
                         code[k] = c.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio), pa.array(apart)], names=["vec_id", "v", "code", "ratio", "apart"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio)], names=["vec_id", "v", "code", "ratio"])
+
+    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double")
+
+
+def rough_scores(q: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Queries x rows: sums of looked-up products of query and codeword, times the stored ratio."""
+    tables = np.einsum("qd,mkd->mqk", q, books).astype(np.float32)
+    out = tables[0][:, codes[:, 0]]
+    for m in range(1, len(books)):
+        out += tables[m][:, codes[:, m]]
+    return out * ratio.astype(np.float32)
+
+
+def _codes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have a code, and the codes."""
+    column = table.column("code").to_pylist()
+    has = np.array([c is not None for c in column], dtype=bool)
+    codes = np.frombuffer(b"".join(c for c in column if c is not None), dtype=np.uint8)
+    return has, codes.reshape(int(has.sum()), -1)
+
+
+def _shortlist(codes: DataFrame, books, wave, rerank: int, n: int) -> DataFrame:
+    """query_id, vec_id, score: about ``rerank`` rows of the best rough scores for each query, from codes alone.
+
+    A task passes on its even share and six times the square root of it besides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books_, (own, q) = books.value, wave.value
+        ids = np.zeros((len(own), 0), dtype=np.int64)
+        scores, rows = np.zeros((len(own), 0), dtype=np.float32), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                here, (_, found) = part.column("vec_id").to_numpy(), _codes(pa.Table.from_batches([part]))
+                ratio = part.column("ratio").to_numpy()
+                rows += len(here)
+                new_ids, new_scores = [], []
+                for k in range(0, len(own), QUERIES):
+                    s = rough_scores(q[k : k + QUERIES], found, ratio, books_)
+                    i = np.concatenate([ids[k : k + QUERIES], np.broadcast_to(here, s.shape)], axis=1)
+                    s = np.concatenate([scores[k : k + QUERIES], s], axis=1)
+                    if s.shape[1] > rerank:
+                        keep = np.argpartition(-s, rerank - 1, axis=1)[:, :rerank]
+                        i, s = np.take_along_axis(i, keep, axis=1), np.take_along_axis(s, keep, axis=1)
+                    new_ids.append(i)
+                    new_scores.append(s)
+                ids, scores = np.concatenate(new_ids), np.concatenate(new_scores)
+        share = rerank * rows / max(1, n)
+        most = min(scores.shape[1], int(np.ceil(share + 6 * np.sqrt(share) + 8)))
+        out = {}
+        for j, query in enumerate(own.tolist()):
+            keep = np.argsort(-scores[j], kind="stable")[:most]
+            out[query] = ids[j, keep], scores[j, keep].astype(np.float64)
+        yield vec.found_batch(out, pa.float64())
+
+    return codes.mapInArrow(run, FOUND)
+
 
-    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double, apart double")
+def _exactly(listed: DataFrame, wave) -> DataFrame:
+    """query_id, vec_id, score from rows (vec_id, v, asked): the exact products with the queries in asked."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = wave.value
+        for batch in batches:
+            ids, queries, scores = [], [], []
+            for vec_id, v, asked in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), batch.column("asked").to_pylist()):
+                at = np.searchsorted(own, asked)
+                queries.append(own[at])
+                ids.append(np.full(len(at), vec_id, dtype=np.int64))
+                scores.append((q[at] * np.array(v)).sum(axis=1))
+            flat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, dtype=kind)
+            yield pa.RecordBatch.from_arrays([pa.array(flat(queries, np.int64)), pa.array(flat(ids, np.int64)), pa.array(flat(scores, np.float64))], names=["query_id", "vec_id", "score"])
+
+    return listed.mapInArrow(run, FOUND)
+
+
+def _rest(indexed: DataFrame, books, open_, most: int) -> DataFrame:
+    """Rows beyond the shortlist that may reach the last score wanted by the queries left open, scored exactly where they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q, least, last, slack = open_.value
+        found = {query: (np.empty(0, dtype=np.int64), np.empty(0)) for query in own.tolist()}
+        for ids, x, table in vec.matrices(batches, BLOCK):
+            _, codes = _codes(table)
+            ratio = table.column("ratio").to_numpy()
+            for at in range(0, len(own), QUERIES):
+                part = slice(at, at + QUERIES)
+                rough = rough_scores(q[part], codes, ratio, books.value)
+                edge = 1e-5 * np.abs(rough).max(axis=1, initial=0)[:, None]
+                may = (rough + (slack[part, None] + edge) >= least[part, None]) & (rough <= last[part, None] + edge)
+                for j in np.flatnonzero(may.any(axis=1)):
+                    here, query = np.flatnonzero(may[j]), int(own[at + j])
+                    scores = (x[here] * q[at + j]).sum(axis=1)
+                    i, s = np.concatenate([found[query][0], ids[here]]), np.concatenate([found[query][1], scores])
+                    keep = vec.best(i, s, most)
+                    found[query] = i[keep], s[keep]
+        yield vec.found_batch(found, pa.float64())
 
-def most_scores(rough: np.ndarray, q: np.ndarray, x: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """What each row (queries x rows) may score, given the rough scores."""
-    length, own = np.sqrt((q**2).sum(-1))[:, None], np.sqrt((x**2).sum(-1))
-    probed = np.flatnonzero(apart > 0)
-    probed = probed[:: max(1, len(probed) // PROBED)]
-    error = (q @ x[probed].T - rough[:, probed]) / (length * apart[probed])
-    # In units of both lengths; never below that of errors without direction.
-    unit = np.sqrt(np.maximum((error**2).sum(-1) / max(1, len(probed)), 1 / q.shape[1]))[:, None]
-    # With equal norms a row's own direction always scores too low, by half the squared distance.
-    return rough + length * (SPREAD * unit * apart + apart**2 / (2 * own) + 1e-9 * own)
+    return indexed.mapInArrow(run, FOUND)
 
 
-def search(table: DataFrame, asked: DataFrame, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, rerank: int = RERANK, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def _others(indexed: DataFrame, wave: dict, width: int, most: int) -> DataFrame:
+    """Queries of other lengths than the codebooks', compared exactly with vectors of their own length."""
+    rest = {d: own for d, own in wave.items() if d != width}
+    shared = indexed.sparkSession.sparkContext.broadcast(rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for ids, x, _ in vec.matrices(batches, BLOCK):
+            own, q = shared.value.get(x.shape[1], ((), ()))
+            for query, v in zip(own, q):
+                i, s = found.get(int(query), (np.empty(0, dtype=np.int64), np.empty(0)))
+                i, s = np.concatenate([i, ids]), np.concatenate([s, (x * v).sum(axis=1)])
+                keep = vec.best(i, s, most)
+                found[int(query)] = i[keep], s[keep]
+        yield vec.found_batch(found, pa.float64())
+
+    return indexed.where(F.size("v") != width).mapInArrow(run, FOUND)
+
+
+def search(table: DataFrame, asked: DataFrame, k: int, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, wave_size: int = vec.WAVE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row of ``asked`` by inner product."""
+    spark = table.sparkSession
     own = settled(vec.usable(table, zero=False), "vectors")
-    books = train(own, train_rows)
+    # Equal vectors: the k + 1 smallest ids can be an answer; the smallest stands for them in the index.
+    same = [F.hash("v").alias("h1"), F.xxhash64("v").alias("h2")]
+    order = Window.partitionBy("h1", "h2", "v").orderBy("vec_id")
+    copies = own.select("vec_id", "v", *same).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1)
+    copies = settled(copies.withColumn("rep", F.min("vec_id").over(Window.partitionBy("h1", "h2", "v"))), "copies")
+    reps = copies.where("nth = 1").select("vec_id", "v")
+    books = train(reps, train_rows)
     if books is None:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    indexed = settled(index(own, books), "codes")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width = books.shape[2]
+    indexed = vec.dealt(index(reps, books), "codes")
+    coded = indexed.where("code is not null")
+    n, shared_books = coded.count(), spark.sparkContext.broadcast(books)
     queries = own.join(asked.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    # A query may find its own vector, so one more than k is wanted throughout.
+    most, out = k + 1, []
+    for wave in vec.waves(queries, wave_size):
+        if set(wave) - {width}:
+            out.append(settled(_others(indexed, wave, width, most), "others"))
+        if width in wave:
+            out += _wave(coded, n, shared_books, wave[width], most, rerank)
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = vec.union([x.select("query_id", F.col("vec_id").alias("rep"), "score") for x in out])
+    # An entry's score is that of all its ids.
+    pairs = found.join(copies.select("rep", "vec_id"), "rep").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return vec.ranked(pairs, k)
+
 
-    def find(candidates: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        ids, x = candidates["vec_id"].to_numpy(), np.stack(candidates["v"])
-        q = np.stack(wanted["v"])
-        rough = None
-        if candidates["code"].notna().all() and len(ids) > rerank:
-            codes = np.frombuffer(b"".join(candidates["code"]), dtype=np.uint8).reshape(len(ids), -1)
-            tables = np.einsum("qd,mkd->mqk", q, books)
-            rough = sum(tables[m][:, codes[:, m]] for m in range(len(books))) * candidates["ratio"].to_numpy()
-            most = most_scores(rough, q, x, candidates["apart"].to_numpy())
-        out = []
-        for row, (own_id, v) in enumerate(zip(wanted["vec_id"], q)):
-            near = np.arange(len(ids)) if rough is None else np.argpartition(-rough[row], rerank)[: rerank + 1]
-            near = near[ids[near] != own_id]
-            scores = (x[near] * v).sum(axis=1)
-            if rough is not None:
-                least = np.partition(scores, -k)[-k] if len(near) >= k else -np.inf
-                more = most[row] >= least
-                more[near] = False
-                more = np.flatnonzero(more & (ids != own_id))
-                near, scores = np.concatenate([near, more]), np.concatenate([scores, (x[more] * v).sum(axis=1)])
-            keep = vec.best(ids[near], scores, k)
-            out.append(pd.DataFrame({"query_id": np.full(len(keep), own_id, np.int64), "vec_id": ids[near][keep], "score": scores[keep]}))
-        return pd.concat(out, ignore_index=True)
-
-    return vec.search_blocks(indexed, queries, find, k, "double", block, query_block)
+def _wave(coded: DataFrame, n: int, books, wave: tuple[np.ndarray, np.ndarray], most: int, rerank: int) -> list[DataFrame]:
+    """The best of a wave of queries, as settled tables of query_id, vec_id, score."""
+    ids, q = wave
+    shared = coded.sparkSession.sparkContext.broadcast(wave)  # about WAVE vectors
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    short = _shortlist(coded.select("vec_id", "code", "ratio"), books, shared, rerank, n)
+    short = settled(short.withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") <= rerank).select("query_id", "vec_id", F.col("score").alias("rough")), "shortlist")
+    # The originals meet the list by id; a wave's queries for one vector are at most the wave.
+    listed = coded.select("vec_id", "v").join(short.groupBy("vec_id").agg(F.collect_list("query_id").alias("asked")), "vec_id")
+    exact = settled(_exactly(listed, shared), "exact")
+    ranks = exact.join(short, ["query_id", "vec_id"]).withColumn("nth", F.row_number().over(by_score))
+    off = F.col("score") - F.col("rough")
+    ends = ranks.groupBy("query_id").agg(
+        F.min(F.when(F.col("nth") <= most, F.col("score"))).alias("least"), F.min("rough").alias("last"), F.count("*").alias("n"), (F.abs(F.avg(off)) + SPREAD * F.coalesce(F.stddev(off), F.lit(0.0))).alias("slack")
+    )
+    # Open: the list is full and ends within the error of the last score wanted. At most one row for each query of the wave.
+    rows = {r.query_id: r for r in ends.where((F.col("n") >= rerank) & (F.col("last") + F.col("slack") >= F.col("least"))).collect()}
+    out = [settled(vec.ranked(exact, most).drop("rank"), "best")]
+    keep = np.array([int(i) in rows for i in ids], dtype=bool)
+    if keep.any():
+        own = [rows[int(i)] for i in ids[keep]]
+        open_ = coded.sparkSession.sparkContext.broadcast((ids[keep], q[keep], *(np.array([getattr(r, c) for r in own]) for c in ("least", "last", "slack"))))
+        out.append(settled(_rest(coded, books, open_, most), "rest"))
+        open_.destroy()
+    discard(short, exact)
+    shared.destroy()
+    return out

@@ -1,22 +1,25 @@
-"""A stated query set against all vectors, in blocks of bounded size.
+"""A stated query set against all vectors, which are scanned where they lie.
 
-Vectors are dealt by hash into candidate blocks, queries into query blocks; each
-pair of blocks is one group, so no task holds more than one block of each. A
-group returns its best few for each of its queries, and a window keeps the best
-of those.
+The vectors are written once, dealt by hash of the id. Queries come in waves of
+bounded size, which are broadcast; every task scans its own vectors, in blocks,
+and passes on its best few for each query. No vector is shipped for a query.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score {}"
+from .common import settled
+
+#: Queries of a wave, at most about so many.
+WAVE = 4096
 
 
 def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
@@ -34,35 +37,68 @@ def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
     return own.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def search_blocks(vectors: DataFrame, queries: DataFrame, find: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], k: int, score: str, block: int, query_block: int) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best rows of each query by score, ties to the smaller vec_id.
-
-    ``vectors`` and ``queries`` have vec_id, v and what ``find`` reads besides;
-    only vectors of equal length meet.
-    """
-    n, m = vectors.count(), queries.count()
-    blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(m / query_block))
-
-    def dealt(df: DataFrame, own: str, count: int, other: str, copies: int) -> DataFrame:
-        return df.select(
-            "*",
-            F.size("v").alias("dim"),
-            F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other),
-        ).select([F.col(c).alias(c) for c in [*df.columns, "dim", "block", "query_block"]])
-
-    keys = ["dim", "block", "query_block"]
-    left = dealt(vectors, "block", blocks, "query_block", query_blocks).groupBy(*keys)
-    right = dealt(queries, "query_block", query_blocks, "block", blocks).groupBy(*keys)
-    found = left.cogroup(right).applyInPandas(lambda c, q: _empty() if c.empty or q.empty else find(c, q), FOUND.format(score))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _empty() -> pd.DataFrame:
-    return pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+def dealt(vectors: DataFrame, name: str) -> DataFrame:
+    """The table written in even parts, at least one for each core."""
+    return settled(vectors.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, "vec_id"), name)
+
+
+def waves(queries: DataFrame, size: int = WAVE) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The queries (vec_id, v) in waves by hash: ids and matrix for each vector length."""
+    queries = settled(queries.select("vec_id", "v"), "queries")
+    n = queries.count()
+    count = math.ceil(n / size)
+    for k in range(count):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(count)) == k).collect()  # about size rows
+        out: dict[int, list] = {}
+        for r in sorted(rows, key=lambda r: r.vec_id):
+            out.setdefault(len(r.v), []).append(r)
+        if out:
+            yield {d: (np.array([r.vec_id for r in own]), np.array([r.v for r in own])) for d, own in out.items()}
+
+
+def matrices(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """ids, vectors and all columns, in blocks of at most ``block`` vectors of one length."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+
+    def made(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        flat = table.column("v").combine_chunks().flatten()
+        return table.column("vec_id").to_numpy(), np.asarray(flat, dtype=np.float64).reshape(table.num_rows, -1), table
+
+    for batch in batches:
+        widths = np.diff(np.asarray(batch.column("v").offsets))
+        for d in np.unique(widths):
+            own = batch if (widths == d).all() else batch.filter(pa.array(widths == d))
+            at = 0
+            while at < own.num_rows:
+                parts = held.setdefault(int(d), [])
+                room = block - sum(p.num_rows for p in parts)
+                parts.append(own.slice(at, room))
+                at += room
+                if sum(p.num_rows for p in parts) >= block:
+                    yield made(held.pop(int(d)))
+    for parts in held.values():
+        yield made(parts)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
     return np.lexsort((ids, -scores))[:k]
+
+
+def found_batch(found: dict[int, tuple[np.ndarray, np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
+    """query_id, vec_id, score from ids and scores by query."""
+    own = [(q, i, s) for q, (i, s) in found.items() if len(i)]
+    queries = np.repeat([q for q, _, _ in own], [len(i) for _, i, _ in own]).astype(np.int64) if own else np.empty(0, dtype=np.int64)
+    flat = lambda k: np.concatenate([x[k] for x in own]) if own else np.empty(0)
+    return pa.RecordBatch.from_arrays([pa.array(queries), pa.array(flat(1).astype(np.int64)), pa.array(flat(2)).cast(kind)], names=["query_id", "vec_id", "score"])
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the ``k`` best, ties to the smaller vec_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
