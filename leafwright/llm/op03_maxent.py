@@ -1,14 +1,17 @@
 """Language-model scores: a hashed maximum-entropy model with class-factored softmax.
 
 The probability of a token is that of its class given the tokens before it,
-times that of the token in its class. Classes are the most frequent tokens, one
-each, and clusters of spelling (character pairs) for all others, so every word,
-seen or not, has a class. The class softmax sums hashed features: the three
-tokens before (an n-gram feature and two skips) and the classes of the last two.
-It is trained by distributed gradient updates: in each round every task runs
-AdaGrad over its documents from the shared weights, and the tasks' changes are
-averaged by tokens in a stream, a slice of the table at a time. Within a class,
-counts over the whole training corpus decide. Scoring is in sparse numpy batches.
+times that of its leaf in the class given the same, times, in a leaf that many
+words share, its share of that leaf's counts. The most frequent tokens are
+classes of their own; the next ``FEATURED`` lie in classes by frequency, sized to
+equal mass, with a leaf for each of a class's most frequent words and one for its
+rest; all other words, seen or not, lie in classes by spelling (character pairs).
+Both softmaxes sum hashed features: the three tokens before (an n-gram feature and
+two skips), the pair of the last two, and their classes; those of the leaves are
+hashed together with the class. They are trained by distributed gradient updates:
+in each round every task runs AdaGrad over its documents from the shared weights,
+and the tasks' changes are averaged by tokens in a stream, a slice of the table at
+a time. Scoring is in sparse numpy batches.
 
 Counts of at most ``HOT`` of the most frequent tokens, a bounded table, sit in every task.
 All other tokens of a document go through one join with the full count table.
@@ -36,10 +39,13 @@ from .common import bytes_of, mix64, settled, slices
 HOT = 100_000
 #: Tokens that are features of their own; others are known by their class.
 FEATURED = 8_192
-SINGLES, CLUSTERS, PAIRS = 16, 16, 1024
-CLASSES = SINGLES + CLUSTERS
+SINGLES, BANDS, CLUSTERS, PAIRS = 8, 16, 8, 1024
+CLASSES = SINGLES + BANDS + CLUSTERS
+#: Leaves of a class; the last is that of all words without one of their own.
+LEAVES = 32
+REST = LEAVES - 1
 TABLE = 1 << 14
-FEATURES = 4
+FEATURES, LEAF_FEATURES = 5, 3
 ROUNDS, STEP, BATCH = 3, 0.25, 16384
 PIECES = 16
 #: No word holds a space, so the end token is one.
@@ -116,17 +122,36 @@ class Model:
     tokens: int
     distinct: int
     spelling: np.ndarray
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    rest_tokens: np.ndarray
+    rest_words: np.ndarray
     weights: np.ndarray
+    leaf_weights: np.ndarray
+    places: tuple[np.ndarray, np.ndarray]
+
+
+def classed_words(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and leaf of the first ``FEATURED`` hot words, most frequent first: single ones, then classes of equal mass."""
+    n = min(len(sizes), FEATURED)
+    mass = np.cumsum(sizes[SINGLES:n])
+    band = np.minimum(BANDS - 1, (mass - sizes[SINGLES:n] / 2) * BANDS // max(1, mass[-1] if len(mass) else 1)).astype(np.int64)
+    cls = np.concatenate([np.arange(min(n, SINGLES)), SINGLES + np.maximum.accumulate(band)]) if n > SINGLES else np.arange(n)
+    first = np.searchsorted(cls, cls)
+    return cls, np.minimum(np.arange(n) - first, REST)
+
+
+def leaf_mask(places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Classes x leaves: 0 where there is such a leaf. Classes by spelling have the last alone."""
+    out = np.full((CLASSES, LEAVES), -1e9, dtype=np.float32)
+    out[SINGLES + BANDS :, REST] = 0
+    out[places] = 0
+    return out
 
 
 class Reader:
     """Turns texts into token numbers and their features; words beyond the hot ones get numbers for a while."""
 
-    def __init__(self, hot: list[bytes], spelling: np.ndarray, spare: int = 300_000):
-        self.hot, self.spelling, self.spare = hot, Spelling(spelling), spare
-        self.singles = {w: k for k, w in enumerate([END, *(w for w in hot if w != END)][:SINGLES])}
+    def __init__(self, hot: list[bytes], spelling: np.ndarray, places: tuple[np.ndarray, np.ndarray], spare: int = 200_000):
+        self.hot, self.spelling, self.places, self.spare = hot, Spelling(spelling), places, spare
         self.numbers: dict[bytes, int] = {}
         self._fill()
 
@@ -134,20 +159,21 @@ class Reader:
         self.words: list[bytes] = []
         self.numbers.clear()
         # Number 0 is what stands before a text.
-        self.cls, self.mark = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint64)
+        self.cls, self.leaf, self.mark = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint64)
         self.words.append(b"")
         self._add(self.hot)
 
     def _add(self, words: list[bytes]) -> None:
         first = len(self.words)
-        own = SINGLES + self.spelling.clusters(words)
-        for k, w in enumerate(words):
-            if w in self.singles:
-                own[k] = self.singles[w]
+        cls = SINGLES + BANDS + self.spelling.clusters(words)
+        leaf = np.full(len(words), REST)
+        if first == 1:
+            n = len(self.places[0])
+            cls[:n], leaf[:n] = self.places
         number = np.arange(first, first + len(words))
         # A frequent token is its own feature, another one that of its class.
-        mark = np.where(number <= min(FEATURED, len(self.hot)), CLASSES + 1 + number, 1 + own).astype(np.uint64)
-        self.cls, self.mark = np.concatenate([self.cls, own]), np.concatenate([self.mark, mark])
+        mark = np.where(number <= min(FEATURED, len(self.hot)), CLASSES + 1 + number, 1 + cls).astype(np.uint64)
+        self.cls, self.leaf, self.mark = np.concatenate([self.cls, cls]), np.concatenate([self.leaf, leaf]), np.concatenate([self.mark, mark])
         self.words += words
         self.numbers.update(zip(words, number.tolist()))
 
@@ -170,47 +196,70 @@ class Reader:
             own = np.zeros(len(ids), dtype=np.int64)
             own[k:] = ids[: len(ids) - k] if k < len(ids) else ids[:0]
             before.append(np.where(place >= k, own, 0))
-        seen = [mix64(self.mark[b], 20 + k) for k, b in enumerate(before)]
-        seen.append(mix64((self.cls[before[0]] * CLASSES + self.cls[before[1]]).astype(np.uint64), 30))
-        return ids, np.stack([(s % np.uint64(TABLE)).astype(np.int64) for s in seen], axis=1), starts
+        marks = [self.mark[b] for b in before]
+        pair = mix64(marks[0] ^ mix64(marks[1], 31), 32)
+        seen = [mix64(m, 20 + k) for k, m in enumerate(marks)]
+        seen += [pair, mix64((self.cls[before[0]] * CLASSES + self.cls[before[1]]).astype(np.uint64), 30)]
+        return ids, np.stack([_slot(s) for s in seen], axis=1), np.stack([seen[0], seen[1], pair], axis=1), starts
+
 
+def _slot(hashed: np.ndarray) -> np.ndarray:
+    return (hashed % np.uint64(TABLE)).astype(np.uint16)
 
-def log_classes(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, tokens x CLASSES."""
+
+def leaf_slots(hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Slots of the features that choose among a class's leaves."""
+    return _slot(mix64(hashed ^ mix64(classes.astype(np.uint64), 40)[:, None], 41))
+
+
+def log_softmax(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probabilities, tokens x outcomes, from the summed rows of their features; ``mask`` is added."""
     score = weights[features[:, 0]]
     for k in range(1, features.shape[1]):
-        score = score + weights[features[:, k]]
+        score += weights[features[:, k]]
+    if mask is not None:
+        score += mask
     score -= score.max(axis=1, keepdims=True)
     return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
 
 
-def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, classes: np.ndarray, step: float = STEP) -> None:
+def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, outcomes: np.ndarray, mask: np.ndarray | None = None, step: float = STEP) -> None:
     """One AdaGrad step on a batch, in place."""
-    gap = -np.exp(log_classes(weights, features))
-    gap[np.arange(len(classes)), classes] += 1
-    # The gradient of the whole table, class by class: what each row's tokens gave.
-    rows, gap = features.T.ravel(), np.ascontiguousarray(gap.T)
-    total = np.stack([np.bincount(rows, np.tile(g, features.shape[1]), TABLE) for g in gap], axis=1).astype(np.float32)
-    squares += total**2
-    weights += step * total / np.sqrt(squares + 1e-3)
-
-
-def _updates(docs: DataFrame, reader_of, weights: np.ndarray) -> np.ndarray:
+    gap = -np.exp(log_softmax(weights, features, mask))
+    gap[np.arange(len(outcomes)), outcomes] += 1
+    # Each row's gradient: what its tokens gave, summed row by row.
+    rows, width = features.ravel(), features.shape[1]
+    order = np.argsort(rows, kind="stable")
+    starts = np.flatnonzero(np.diff(rows[order].astype(np.int64), prepend=-1))
+    total, touched = np.add.reduceat(gap[order // width], starts, axis=0), rows[order[starts]]
+    new = squares[touched] + total**2
+    squares[touched] = new
+    weights[touched] += step * total / np.sqrt(new + 1e-3)
+
+
+def _updates(docs: DataFrame, words: tuple, weights: np.ndarray, leaf_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The weights after one round: the tasks' changes, averaged by their tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((reader_of, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((words, weights, leaf_weights))
+    both = np.concatenate([weights, leaf_weights], axis=1)
     size = TABLE // PIECES
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, spelling), start = shared.value
-        reader, own, squares, seen = Reader(hot, spelling), start.copy(), np.zeros_like(start), 0
+        (hot, spelling, places), start, leaf_start = shared.value
+        reader, own, leaf_own, seen = Reader(hot, spelling, places), start.copy(), leaf_start.copy(), 0
+        squares, leaf_squares, mask = np.zeros_like(start), np.zeros_like(leaf_start), leaf_mask(places)
+        chosen = (mask == 0).sum(axis=1) > 1
         for batch in slices(batches):
-            ids, features, _ = reader.read(bytes_of(batch))
-            classes = reader.cls[ids]
+            ids, features, hashed, _ = reader.read(bytes_of(batch))
             for at in range(0, len(ids), BATCH):
-                ascend(own, squares, features[at : at + BATCH], classes[at : at + BATCH])
+                part = ids[at : at + BATCH]
+                classes = reader.cls[part]
+                ascend(own, squares, features[at : at + BATCH], classes)
+                some = np.flatnonzero(chosen[classes])
+                if len(some):
+                    ascend(leaf_own, leaf_squares, leaf_slots(hashed[at : at + BATCH][some], classes[some]), reader.leaf[part[some]], mask[classes[some]])
             seen += len(ids)
         if seen:
-            change = (own - start).astype(np.float16).reshape(PIECES, -1)
+            change = np.concatenate([own - start, leaf_own - leaf_start], axis=1).astype(np.float16).reshape(PIECES, -1)
             yield pa.RecordBatch.from_pydict({"piece": pa.array(range(PIECES), pa.int32()), "n": pa.array([seen] * PIECES, pa.int64()), "change": pa.array([c.tobytes() for c in change], pa.binary())})
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +267,7 @@ def _updates(docs: DataFrame, reader_of, weights: np.ndarray) -> np.ndarray:
         sums: dict[int, list] = {}
         for batch in batches:
             for piece, n, change in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = sums.setdefault(piece, [0, np.zeros(size * CLASSES)])
+                own = sums.setdefault(piece, [0, np.zeros(size * both.shape[1])])
                 own[0] += n
                 own[1] += n * np.frombuffer(change, dtype=np.float16).astype(np.float64)
         if sums:
@@ -226,10 +275,11 @@ def _updates(docs: DataFrame, reader_of, weights: np.ndarray) -> np.ndarray:
 
     kind = "piece int, n long, change binary"
     summed = docs.select("text").mapInArrow(climb, kind).repartition(PIECES, "piece").mapInArrow(add_up, kind)
-    new = weights.copy().reshape(PIECES, -1)
-    for row in summed.collect():  # PIECES rows, TABLE x CLASSES numbers in all
+    new = both.copy().reshape(PIECES, -1)
+    for row in summed.collect():  # PIECES rows, TABLE x (CLASSES + LEAVES) numbers in all
         new[row.piece] += np.frombuffer(row.change, dtype=np.float32) / row.n
-    return new.reshape(weights.shape)
+    new = new.reshape(both.shape)
+    return np.ascontiguousarray(new[:, :CLASSES]), np.ascontiguousarray(new[:, CLASSES:])
 
 
 def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -260,31 +310,33 @@ def train(docs: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> tuple[Model,
     if END not in words:
         words, sizes = [*words, END], [*sizes, 0]
     spelling = Spelling.fit([w for w in words[:FEATURED] if w != END]).centroids
-    shared = docs.sparkSession.sparkContext.broadcast((words, spelling))
+    places = classed_words(np.array(sizes, dtype=np.float64))
+    shared = docs.sparkSession.sparkContext.broadcast((words[: len(places[0])], spelling, places))
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words, centroids = shared.value
-        singles, clusters = Reader(hot_words[: SINGLES + 1], centroids, 0).singles, Spelling(centroids).clusters
+        named, centroids, (cls, leaf) = shared.value
+        known, clusters = dict(zip(named, range(len(named)))), Spelling(centroids).clusters
         tokens, distinct = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
         for batch in batches:
-            words = bytes_of(batch, "word")
-            own = SINGLES + clusters(words)
+            words, n = bytes_of(batch, "word"), batch.column("n").to_numpy()
+            own = SINGLES + BANDS + clusters(words)
+            counted = np.ones(len(words), dtype=bool)
             for k, w in enumerate(words):
-                if w in singles:
-                    own[k] = singles[w]
-            np.add.at(tokens, own, batch.column("n").to_numpy())
-            np.add.at(distinct, own, 1)
+                if (at := known.get(w)) is not None:
+                    own[k], counted[k] = cls[at], leaf[at] == REST
+            np.add.at(tokens, own[counted], n[counted])
+            np.add.at(distinct, own[counted], 1)
         yield pa.RecordBatch.from_pydict({"cls": pa.array(range(CLASSES), pa.int32()), "n": tokens, "v": distinct})
 
     sums = counts.mapInArrow(classed, "cls int, n long, v long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # CLASSES rows
-    class_tokens, class_words = np.zeros(CLASSES), np.zeros(CLASSES)
+    rest_tokens, rest_words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
-        class_tokens[r.cls], class_words[r.cls] = r.n, r.v
-    weights = np.zeros((TABLE, CLASSES), dtype=np.float32)
+        rest_tokens[r.cls], rest_words[r.cls] = r.n, r.v
+    weights, leaf_weights = np.zeros((TABLE, CLASSES), dtype=np.float32), np.zeros((TABLE, LEAVES), dtype=np.float32)
     for k in range(rounds if n else 0):
         own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
-        weights = _updates(own, (words, spelling), weights)
-    return Model(words, np.array(sizes, dtype=np.float64), int(n), int(v), spelling, class_tokens, class_words, weights), counts
+        weights, leaf_weights = _updates(own, (words, spelling, places), weights, leaf_weights)
+    return Model(words, np.array(sizes, dtype=np.float64), int(n), int(v), spelling, rest_tokens, rest_words, weights, leaf_weights, places), counts
 
 
 def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
@@ -292,22 +344,29 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
     model, counts = trained
     shared = docs.sparkSession.sparkContext.broadcast(model)
     in_all = model.tokens + 0.5 * (model.distinct + 1)
-    in_class = model.class_tokens + 0.5 * (model.class_words + 1)
+    in_rest = model.rest_tokens + 0.5 * (model.rest_words + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader, row = Reader(own.hot, own.spelling), TaskContext.get().partitionId() << 40
+        reader, row = Reader(own.hot, own.spelling, own.places), TaskContext.get().partitionId() << 40
         n_hot = len(own.hot)
         counts = np.concatenate([[0], own.counts])
         base_of = np.log10((counts + 0.5) / in_all)
-        word_of = np.log10((counts + 0.5) / in_class[reader.cls[: n_hot + 1]])
+        in_leaf = reader.leaf[: n_hot + 1] == REST
+        word_of = np.where(in_leaf, np.log10((counts + 0.5) / in_rest[reader.cls[: n_hot + 1]]), 0)
+        mask = leaf_mask(own.places)
+        chosen = (mask == 0).sum(axis=1) > 1
         for batch in slices(batches, 64):
-            ids, features, starts = reader.read(bytes_of(batch))
+            ids, features, hashed, starts = reader.read(bytes_of(batch))
             classes, hot, n = reader.cls[ids], ids <= n_hot, len(starts)
             by_class = np.empty(len(ids))
             for at in range(0, len(ids), BATCH):
-                part = log_classes(own.weights, features[at : at + BATCH])
-                by_class[at : at + BATCH] = part[np.arange(len(part)), classes[at : at + BATCH]]
+                part, here = log_softmax(own.weights, features[at : at + BATCH]), classes[at : at + BATCH]
+                by_class[at : at + BATCH] = part[np.arange(len(part)), here]
+                some = np.flatnonzero(chosen[here])
+                if len(some):
+                    part = log_softmax(own.leaf_weights, leaf_slots(hashed[at : at + BATCH][some], here[some]), mask[here[some]])
+                    by_class[at + some] += part[np.arange(len(some)), reader.leaf[ids[at : at + BATCH][some]]]
             number = np.where(hot, ids, 0)
             scores = np.add.reduceat(by_class / np.log(10) + np.where(hot, word_of[number], 0), starts)
             bases = np.add.reduceat(np.where(hot, base_of[number], 0), starts)
@@ -327,7 +386,7 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
             row += n
 
     rows = settled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORED), "scored")
-    classes = F.array(*(F.lit(float(x)) for x in in_class))
+    classes = F.array(*(F.lit(float(x)) for x in in_rest))
     rare = rows.select("row", F.explode("tail").alias("t")).select("row", "t.word", "t.cls", "t.k").join(counts, "word", "left")
     seen = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(
