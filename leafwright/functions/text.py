@@ -6,8 +6,23 @@ import re
 
 from ..plans.dialect import Spark
 
-STOP_WORDS = "a an the of with without and or to in on for by at from that which has have had is are be been patients patient subjects subject must".split()
-NUMBER_WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+# The stop words of the three recall measures, number words and units.
+STOP_WORDS = (
+    "a", "an", "the", "of", "with", "without", "and", "or", "to", "in", "on", "for", "by", "at", "from", "that", "which",
+    "have", "has", "had", "is", "are", "be", "been", "patients", "patient", "subjects", "subject", "must",
+)
+STOP_WORDS_CLAUSE = (
+    "a", "an", "the", "of", "with", "without", "and", "or", "to", "in", "on", "for", "by", "at", "from", "that", "which",
+    "patients", "patient", "subjects", "subject", "must", "should", "be", "been", "are", "is",
+)
+STOP_WORDS_GROUNDING = (
+    "a", "an", "the", "of", "with", "without", "and", "or", "to", "in", "on", "for", "by", "at", "from", "that", "which",
+    "patients", "patient", "subjects", "subject", "participant", "participants", "must", "should", "be", "been", "are", "is", "have", "has", "had", "any",
+)
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+SURFACE_MARKERS = ("count", "number", "volume", "diameter", "percentage", "percent", "grade", "class", "score", "regimen", "regimens", "lesion", "lesions", "stenosis", "age", "size", "cm", "mm", "ml", "fetuses", "x uln", "upper limit")
+NORMALITY_MARKERS = ("normal", "abnormal", "elevated", "positive", "negative", "level", "levels", "mg/dl", "ng/ml", "mmol/l", "grade", "%", "returned to normal", "x uln", "upper limit")
 
 
 def norm(d: Spark, x: str) -> str:
@@ -18,12 +33,20 @@ def norm(d: Spark, x: str) -> str:
 NORMALISED = ("evidence_text", "entity_text", "value_text")
 
 
+#: The same for texts of the clause, which ``clause_columns`` normalises once they are joined.
+OF_CLAUSE = ("clause_text", "item_text")
+
+
+def clause_columns(d: Spark) -> list[tuple[str, str]]:
+    return [(f"low_{x}", f"lower({norm(d, x)})") for x in OF_CLAUSE]
+
+
 def columns(d: Spark) -> list[tuple[str, str]]:
     return [(f"low_{x}", f"lower({norm(d, x)})") for x in NORMALISED]
 
 
 def lower_norm(d: Spark, x: str) -> str:
-    return f"low_{x}" if x in NORMALISED else f"lower({norm(d, x)})"
+    return f"low_{x}" if x in (*NORMALISED, *OF_CLAUSE) else f"lower({norm(d, x)})"
 
 
 def any_marker(d: Spark, x: str, markers) -> str:
@@ -39,19 +62,19 @@ def duration(d: Spark, x: str) -> str:
 
 def quantitative_surface(d: Spark, x: str) -> str:
     t = lower_norm(d, x)
-    markers = "count number volume diameter percentage percent grade class score regimen regimens lesion lesions stenosis age size cm mm ml fetuses".split() + ["x uln", "upper limit"]
+    markers = SURFACE_MARKERS
     return f"({d.like(t, r'\b\d+(\.\d+)?\s*(cm|mm|ml|mg|kg|%)\b')} OR {d.like(t, r'\b\d+(\.\d+)?\s*x\s*(uln|upper limit)')} OR {any_marker(d, x, markers)})"
 
 
 def normality(d: Spark, x: str) -> str:
     t = lower_norm(d, x)
-    markers = "normal abnormal elevated positive negative level levels mg/dl ng/ml mmol/l grade %".split() + ["returned to normal", "x uln", "upper limit"]
+    markers = NORMALITY_MARKERS
     return f"({any_marker(d, x, markers)} OR {d.like(t, r'(<=|>=|<|>|=)\s*\d')} OR {d.like(t, r'\b\d+(\.\d+)?\s*(mg/dl|ng/ml|mmol/l|x\s*uln|%)\b')})"
 
 
-def token_set(d: Spark, x: str, keep: str = "[^a-z0-9]+", stop: bool = True, least: int = 2) -> str:
+def token_set(d: Spark, x: str, keep: str = "[^a-z0-9]+", stop: tuple = STOP_WORDS, least: int = 2) -> str:
     own = d.tokens(lower_norm(d, x), keep)
-    test = f"length(t) >= {least}" + (f" AND t NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})" if stop else "")
+    test = f"length(t) >= {least}" + (f" AND t NOT IN ({', '.join(repr(w) for w in stop)})" if stop else "")
     return d.keep(own, test)
 
 
@@ -62,9 +85,31 @@ def recall(d: Spark, a: str, b: str, **kind) -> str:
 
 
 def jaccard(d: Spark, a: str, b: str, both_empty: float = 0.0, keep: str = "[^a-z0-9+-]+") -> str:
-    x, y = (token_set(d, z, keep=keep, stop=False, least=1) for z in (a, b))
+    x, y = (token_set(d, z, keep=keep, stop=(), least=1) for z in (a, b))
     common = d.size(d.common(x, y))
     return (
         f"CASE WHEN {d.size(x)} = 0 AND {d.size(y)} = 0 THEN CAST({both_empty} AS DOUBLE) WHEN {d.size(x)} = 0 OR {d.size(y)} = 0 THEN CAST(0 AS DOUBLE) "
         f"ELSE CAST({common} AS DOUBLE) / ({d.size(x)} + {d.size(y)} - {common}) END"
     )
+
+
+GROUNDING = {"keep": "[^a-z0-9%<>=./+-]+", "stop": STOP_WORDS_GROUNDING}
+
+
+def clinical(d: Spark, x: str) -> str:
+    """Lower case, no thousand commas, signs of comparison and multiplication in ASCII, one space between what is left."""
+    t = f"lower(coalesce({x}, ''))"
+    t = d.replace(d.replace(t, r"(\d),(\d)", "$1$2"), r"(\d),(\d)", "$1$2")
+    t = f"replace(replace(replace(replace(replace({t}, '×', 'x'), '≤', '<='), '≥', '>='), '–', '-'), '—', '-')"
+    return f"trim({d.replace(t, '[^a-z0-9%<>=./+-]+', ' ')})"
+
+
+def numeric(d: Spark, x: str) -> str:
+    """The clinical form with number words as digits, no articles and multiples of limits spaced alike."""
+    t = f"lower(trim(coalesce({x}, '')))"
+    t = d.replace(d.replace(t, r"(\d),(\d)", "$1$2"), r"(\d),(\d)", "$1$2")
+    t = f"replace(replace(replace({d.replace(t, chr(92) + 'bthe' + chr(92) + 'b', ' ')}, '×', 'x'), '≤', '<='), '≥', '>=')"
+    for k, w in enumerate(DIGIT_WORDS):
+        t = d.replace(t, rf"\b{w}\b", str(k))
+    t = d.replace(t, r"(\d)\s*x\s*(uln|lln)", "$1x $2")
+    return f"trim({d.replace(t, '[^a-z0-9%<>=./+-]+', ' ')})"

@@ -167,60 +167,84 @@ def action_hint(d: Spark) -> list[tuple[str, str]]:
     return [("hint_1a", choose(rules, "'flag_only'"))]
 
 
-def consistency_codes(d: Spark) -> list[tuple[str, str]]:
-    """codes_1d: the leaf against its clause (columns clause_text, clause_evidence, clause_negated, has_clause)."""
-    src = f"concat_ws(' ', {text.lower_norm(d, 'clause_text')}, {text.lower_norm(d, 'clause_evidence')})"
-    ev = text.lower_norm(d, "evidence_text")
-    negation = f"(coalesce(clause_negated, false) OR {d.like(src, r'\b(no|not|without|absence of|free of|negative for|never|none|neither|nor|denies|lack of)\b')})"
-    context = d.like(src, r"\b(except|unless|if|provided that|in case|only if|other than|excluding)\b")
-    handled = "(coalesce(cond_text, '') <> '' OR coalesce(exc_text, '') <> '')"
-    within = f"({ev} = '' OR contains({src}, {ev}) OR {text.recall(d, 'evidence_text', src)} >= 0.7)"
+# What makes a clause negative, what makes an entity negative, what makes a clause conditional.
+NEGATIVE_CLAUSE = (
+    r"no\b", r"not\b", r"without\b", r"absence of\b", r"free of\b", r"negative for\b", r"unable to\b", r"inability to\b", r"unability to\b", r"lack of\b",
+    r"failure to\b", r"failed to\b", r"not agreed to\b", r"not amenable to\b", r"not available\b", r"non[- ]diabetic\b", r"non[- ]pregnant\b",
+    r"non[- ]smoker\b", r"non[- ]lactating\b", r"asymptomatic\b", r"symptom[- ]free\b",
+)
+NEGATIVE_ENTITY = (
+    r"not\b", r"without\b", r"unable to\b", r"inability to\b", r"unability to\b", r"unwilling\b", r"unwillingness\b", r"lack of\b", r"failure to\b",
+    r"failed to\b", r"can not\b", r"cannot\b", r"not amenable to\b", r"not controlled\b", r"not recovered\b", r"asymptomatic\b", r"symptom[- ]free\b",
+    r"non[- ]diabetic\b", r"non[- ]pregnant\b", r"non[- ]smoker\b", r"non[- ]lactating\b",
+)
+CONDITIONAL_CLAUSE = r"\b(if|unless|except|provided that|only if|if applicable)\b"
+
+
+def clause_facts(d: Spark) -> list[tuple[str, str]]:
+    """What the clause and the entity say, for the consistency codes (columns clause_text, item_text, clause_type, clause_negated)."""
+    clause, item, ev = (text.lower_norm(d, x) for x in ("clause_text", "item_text", "evidence_text"))
+    kind = "lower(coalesce(clause_type, ''))"
+    share = lambda of: text.recall(d, "evidence_text", of, stop=text.STOP_WORDS_CLAUSE)
     return [
-        (
-            "codes_1d",
-            codes(
-                [
-                    ("pass2_leaf_without_pass1_clause", "NOT has_clause"),
-                    ("evidence_text_not_substring_of_pass1_source_text", f"has_clause AND NOT {within}"),
-                    ("negation_clause_with_exists_operator", f"has_clause AND {negation} AND coalesce(operator = 'exists', false)"),
-                    ("positive_clause_with_not_exists_operator", f"has_clause AND NOT {negation} AND coalesce(operator = 'not_exists', false)"),
-                    ("negative_entity_with_not_exists_operator", f"coalesce(operator = 'not_exists', false) AND {d.like(text.lower_norm(d, 'entity_text'), r'^(no|not|without|absence of|free of|lack of) ')}"),
-                    ("exception_or_condition_clause_without_context_handling", f"has_clause AND {context} AND NOT {handled}"),
-                    ("exception_or_condition_clause_with_computable_status", f"has_clause AND {context} AND coalesce(computability = 'computable', false)"),
-                    ("exception_clause_computable_despite_context", f"has_clause AND {context} AND {handled} AND coalesce(computability = 'computable', false)"),
-                ]
-            ),
-        )
+        ("evidence_found", f"({ev} <> '' AND (contains({clause}, {ev}) OR contains({item}, {ev})) OR greatest({share('clause_text')}, {share('item_text')}) >= 0.7)"),
+        ("negative_clause", f"(coalesce(clause_negated, false) OR contains({kind}, 'negation') OR {kind} = 'negative' OR {d.like(clause, chr(92) + 'b(' + '|'.join(NEGATIVE_CLAUSE) + ')')})"),
+        ("negative_entity", d.like(text.lower_norm(d, "entity_text"), r"\b(" + "|".join(NEGATIVE_ENTITY) + ")")),
+        ("conditional_clause", f"(contains({kind}, 'exception') OR contains({kind}, 'condition') OR {d.like(clause, CONDITIONAL_CLAUSE)})"),
+        ("context_handled", f"({text.norm(d, 'cond_text')} <> '' OR {text.norm(d, 'exc_text')} <> '')"),
     ]
 
 
-def _policy(branch: str) -> list[tuple[str, str]]:
+def consistency_codes(d: Spark) -> list[tuple[str, str]]:
+    """codes_1d: the leaf against its clause, from ``clause_facts``; without a clause that is the only code."""
+    operator = lambda x: f"coalesce(operator = '{x}', false)"
+    computable = "coalesce(computability = 'computable', false)"
+    tests = [
+        ("evidence_text_not_substring_of_pass1_source_text", "NOT evidence_found"),
+        ("negation_clause_with_exists_operator", f"negative_clause AND {operator('exists')} AND NOT negative_entity"),
+        ("positive_clause_with_not_exists_operator", f"NOT negative_clause AND {operator('not_exists')}"),
+        ("negative_entity_with_not_exists_operator", f"negative_clause AND {operator('not_exists')} AND negative_entity"),
+        ("exception_or_condition_clause_without_context_handling", "conditional_clause AND NOT context_handled"),
+        ("exception_or_condition_clause_with_computable_status", f"conditional_clause AND NOT context_handled AND {computable}"),
+        ("exception_clause_computable_despite_context", f"conditional_clause AND context_handled AND {computable}"),
+    ]
+    return [("codes_1d", f"CASE WHEN NOT has_clause THEN 'pass2_leaf_without_pass1_clause' ELSE {codes(tests)} END")]
+
+
+def _policy_counts(branch: str) -> list[tuple[str, str]]:
+    """How many codes of each weight a leaf has; later columns look at the counts."""
     soft = SOFT_WARNINGS if branch == "b" else ()
     hard_c = tuple(x for x in WARNINGS if x not in soft)
-    n_hard = f"({hits('codes_1a', HARD_STRUCTURAL)} + {hits('codes_1b', ('duplicate_criterion_id',))} + {hits('codes_1c', hard_c)} + {hits('codes_1d', CONSISTENCY)})"
-    n_soft = hits("codes_1c", soft) if soft else "0"
-    n_exec, n_safe = hits("codes_1a", EXECUTION), hits("codes_1a", SAFE_NORMAL)
+    return [
+        (f"hard_{branch}", f"({hits('codes_1a', HARD_STRUCTURAL)} + {hits('codes_1b', ('duplicate_criterion_id',))} + {hits('codes_1c', hard_c)} + {hits('codes_1d', CONSISTENCY)})"),
+        (f"soft_{branch}", hits("codes_1c", soft) if soft else "0"),
+        (f"execution_{branch}", hits("codes_1a", EXECUTION)),
+        (f"safe_{branch}", hits("codes_1a", SAFE_NORMAL)),
+        (f"hard_codes_{branch}", f"concat_ws('|', nullif({held('codes_1a', HARD_STRUCTURAL)}, ''), nullif({held('codes_1c', hard_c)}, ''))"),
+    ]
+
+
+def _policy(branch: str) -> list[tuple[str, str]]:
     rows = [
-        (f"{n_hard} > 0", ("hard_or_semantic_layer1_issue", "high", "mandatory_rescue_or_review_candidate", 1.0), ("hard_semantic_or_structural_issue", "high", "mandatory_verifier_candidate", 1.0)),
-        (f"{n_exec} > 0", ("execution_or_computability_issue", "medium", "computability_review_candidate", 0.7), ("execution_or_computability_issue", "medium", "computability_review_candidate", 0.65)),
-        (f"{n_soft} > 0", None, ("soft_semantic_warning", "low_to_medium", "continue_to_layer2_grounding_screen", 0.4)),
-        (f"{n_safe} > 0", ("safe_normalization_only", "low", "safe_normalization_candidate", 0.2), ("safe_normalization_only", "low", "safe_normalization_candidate", 0.15)),
+        (f"hard_{branch} > 0", ("hard_or_semantic_layer1_issue", "high", "mandatory_rescue_or_review_candidate", 1.0), ("hard_semantic_or_structural_issue", "high", "mandatory_verifier_candidate", 1.0)),
+        (f"execution_{branch} > 0", ("execution_or_computability_issue", "medium", "computability_review_candidate", 0.7), ("execution_or_computability_issue", "medium", "computability_review_candidate", 0.65)),
+        (f"soft_{branch} > 0", None, ("soft_semantic_warning", "low_to_medium", "continue_to_layer2_grounding_screen", 0.4)),
+        (f"safe_{branch} > 0", ("safe_normalization_only", "low", "safe_normalization_candidate", 0.2), ("safe_normalization_only", "low", "safe_normalization_candidate", 0.15)),
     ]
     at = 1 if branch == "a" else 2
     rows = [(r[0], r[at]) for r in rows if r[at]]
     last = ("no_layer1_issue", "none", "continue_to_layer2", 0.0)
     pick = lambda k, quote: choose([(t, quote(v[k])) for t, v in rows], quote(last[k]))
     words, number = (lambda v: f"'{v}'"), (lambda v: f"CAST({v} AS DOUBLE)")
-    return [
-        (f"bucket_{branch}", pick(0, words)),
-        (f"severity_{branch}", pick(1, words)),
-        (f"action_{branch}", pick(2, words)),
-        (f"policy_score_{branch}", pick(3, number)),
-        (f"hard_{branch}", n_hard),
-        (f"soft_{branch}", n_soft),
-        (f"execution_{branch}", n_exec),
-        (f"hard_codes_{branch}", f"concat_ws('|', nullif({held('codes_1a', HARD_STRUCTURAL)}, ''), nullif({held('codes_1c', hard_c)}, ''))"),
-    ]
+    return [(f"bucket_{branch}", pick(0, words)), (f"severity_{branch}", pick(1, words)), (f"action_{branch}", pick(2, words)), (f"policy_score_{branch}", pick(3, number))]
+
+
+def policy_counts_a(d: Spark) -> list[tuple[str, str]]:
+    return _policy_counts("a")
+
+
+def policy_counts_b(d: Spark) -> list[tuple[str, str]]:
+    return _policy_counts("b")
 
 
 def policy_a(d: Spark) -> list[tuple[str, str]]:

@@ -70,8 +70,8 @@ def decisions(d: Spark) -> list[tuple[str, str]]:
     ]
     joined = "concat_ws(' ', codes_1a, codes_1b, codes_1c, codes_1d, {})"
     return [
-        *_decision("a", a, "branch_a_diagnostic_only_not_auto_accept", joined.format("bottlenecks, action_a"), "structured_llm_rescue_branch_a"),
-        *_decision("b", b, "human_review_or_abstain", joined.format("semantic_bottlenecks, action_b"), "structured_llm_judge_branch_b"),
+        *_decision("a", a, "branch_a_diagnostic_only_not_auto_accept", joined.format("risk_reasons, action_a"), "structured_llm_rescue_branch_a"),
+        *_decision("b", b, "human_review_or_abstain", joined.format("semantic_reasons, routing_reason, action_b"), "structured_llm_judge_branch_b"),
     ]
 
 
@@ -85,7 +85,9 @@ def safe_repairs(d: Spark) -> list[tuple[str, str]]:
     value = f"{has_1a('temporal_context_missing_value')} AND {context} AND t_value IS NULL AND {copied}"
     unit = f"{has_1a('temporal_context_missing_unit')} AND {context} AND t_unit IS NULL AND {copied}"
     partial = f"({has_1a('computable_with_exception_context')} OR {has_1a('computable_with_non_computable_reason')})"
-    reason = "concat_ws('; ', nullif(non_computable_reason, ''), {})"
+    # A reason is appended once.
+    parts = f"concat(';', {d.replace(text.norm(d, 'non_computable_reason'), ' *; *', ';')}, ';')"
+    reason = f"CASE WHEN {text.norm(d, 'non_computable_reason')} = '' THEN {{0}} WHEN contains({parts}, concat(';', {{0}}, ';')) THEN non_computable_reason ELSE concat({text.norm(d, 'non_computable_reason')}, '; ', {{0}}) END"
     return [
         ("new_value_kind", f"CASE WHEN {numeric} THEN 'number' ELSE value_kind END"),
         ("new_value_num", f"CASE WHEN {numeric} THEN CAST(trim(value_text) AS DOUBLE) END"),
@@ -115,8 +117,8 @@ def repair_check(d: Spark) -> list[tuple[str, str]]:
 
 
 def final_decisions(d: Spark) -> list[tuple[str, str]]:
-    """final_b, final_a and their rules; rescue columns: rescue_decision, apply_status, from_b."""
-    forced = "coalesce(rescue_decision <> 'no_change' AND (rescue_decision IN ('human_review', 'no_repair_possible') OR apply_status IN ('failed', 'skipped')), false)"
+    """final_b, final_a and their rules; rescue columns: rescue_decision, apply_status, from_b, local_validation, skip_reason."""
+    forced = "(coalesce(rescue_decision, '') NOT IN ('', 'no_change') AND NOT coalesce(substr(skip_reason, 1, 39) = 'not_applicable_final_decision:no_change', false) AND (rescue_decision IN ('human_review', 'no_repair_possible') OR coalesce(local_validation = 'fail', false) OR coalesce(apply_status = 'skipped', false) AND coalesce(skip_reason, '') <> ''))"
     b = [
         (forced, "human_review", "B_rescue_unresolved"),
         ("action_b = 'mandatory_verifier_candidate'", "human_review", "B_layer1_hard_issue"),

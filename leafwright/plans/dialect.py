@@ -50,7 +50,7 @@ class Duck(Spark):
         return f"regexp_matches({x}, {self.text(pattern)})"
 
     def replace(self, x: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({x}, {self.text(pattern)}, '{by}', 'g')"
+        return f"regexp_replace({x}, {self.text(pattern)}, '{by.replace('$', chr(92))}', 'g')"
 
     def tokens(self, x: str, cut: str) -> str:
         return f"list_distinct(list_filter(regexp_split_to_array({x}, {self.text(cut)}), lambda t: t <> ''))"
@@ -71,8 +71,19 @@ Step = Callable[[Spark], list[tuple[str, str]]]
 
 
 def apply(df: DataFrame, *steps: Step) -> DataFrame:
+    """``df`` with the steps' columns.
+
+    Each step is one row of a generator: the optimiser merges neighbouring
+    projections and would write a step's expressions once for each use of their
+    columns, but it does not merge across a generator.
+    """
     for step in steps:
-        df = df.selectExpr("*", *(f"{e} AS {n}" for n, e in step(SPARK)))
+        own = step(SPARK)
+        # A generator takes no window functions, so these columns stay a projection.
+        plain = [f"{e} AS {n}" for n, e in own if " OVER (" in e]
+        held = ", ".join(f"{e} AS {n}" for n, e in own if " OVER (" not in e)
+        df = df.selectExpr("*", *plain) if plain else df
+        df = df.selectExpr("*", f"inline(array(struct({held})))") if held else df
     return df
 
 

@@ -39,13 +39,13 @@ def leaves_sql() -> str:
         CASE WHEN o IN (0, 1, 8) THEN NULL WHEN k % 13 = 1 THEN NULL ELSE {q} END AS value_text,
         CASE WHEN o = 8 AND k % 4 <> 1 THEN l_quantity END AS value_min,
         CASE WHEN o = 8 AND k % 6 <> 1 THEN CAST(p_size AS DOUBLE) END AS value_max,
-        {units} AS unit,
+        CASE WHEN k % 21 = 13 THEN 'count' ELSE {units} END AS unit,
         CASE WHEN l_partkey % 7 IN (0, 4) AND k % 3 <> 0 THEN CASE WHEN l_partkey % 7 = 0 THEN 'within' WHEN k % 31 = 4 THEN 'near' ELSE 'before' END END AS t_relation,
         CASE WHEN l_partkey % 7 = 0 AND k % 3 <> 0 AND k % 8 <> 1 THEN {s} END AS t_value,
         CASE WHEN l_partkey % 7 = 0 AND k % 3 <> 0 AND k % 10 <> 1 THEN CASE WHEN k % 47 = 5 THEN 'fortnight' ELSE 'day' END END AS t_unit,
         CASE WHEN l_partkey % 7 IN (0, 4) AND k % 3 <> 0 THEN CASE k % 5 WHEN 0 THEN 'screening' WHEN 1 THEN 'randomization' WHEN 2 THEN 'screening' WHEN 3 THEN NULL ELSE 'visit' END END AS t_anchor,
         CASE k % 9 WHEN 0 THEN 'partial' WHEN 1 THEN 'non_computable' WHEN 2 THEN 'unknown' ELSE 'computable' END AS computability,
-        CASE WHEN k % 14 = 1 THEN 'subjective' END AS non_computable_reason,
+        CASE WHEN k % 28 = 15 THEN 'subjective; exception_context_unresolved' WHEN k % 14 = 1 THEN 'subjective' END AS non_computable_reason,
         CASE WHEN l_partkey % 7 = 1 AND k % 2 = 0 THEN 'prior' WHEN k % 53 = 9 THEN 'past' END AS history_context,
         CASE WHEN l_partkey % 7 = 5 AND k % 2 = 0 THEN 'if applicable' END AS cond_text,
         CASE WHEN l_partkey % 7 = 2 AND k % 2 = 1 THEN 'approved by the sponsor' END AS exc_text,

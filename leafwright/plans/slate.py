@@ -25,22 +25,26 @@ def context(d: Spark) -> list[tuple[str, str]]:
     """The clause a leaf came from, duplicate codes, and what rescue reported."""
     signature = "document_id, item_uid, entity_type, lower(entity_text), operator, value_type, value_text, unit, t_relation"
     return [
-        ("item_text", "concat(evidence_text, ' in this study')"),
+        ("item_text", "CASE WHEN k % 54 = 9 THEN 'an unrelated item' ELSE concat(evidence_text, ' in this study') END"),
+        ("clause_type", "CASE k % 29 WHEN 3 THEN 'negation' WHEN 5 THEN 'exception' ELSE 'simple' END"),
         ("clause_text", "CASE WHEN k % 27 = 9 THEN 'another sentence' ELSE evidence_text END"),
-        ("clause_evidence", "CASE WHEN k % 27 = 9 THEN 'other words' ELSE evidence_text END"),
         ("clause_negated", "k % 11 = 3"),
         ("has_clause", "k % 61 <> 7"),
         ("codes_1b", codes([("duplicate_criterion_id", "criterion_id IS NOT NULL AND count(*) OVER (PARTITION BY document_id, criterion_id) > 1"), ("duplicate_identical_leaf", f"count(*) OVER (PARTITION BY {signature}) > 1")])),
         ("rescue_decision", "CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'use_b' END"),
         ("apply_status", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 24 = 2 THEN 'applied' ELSE 'skipped' END END"),
+        ("skip_reason", "CASE WHEN k % 12 = 2 AND k % 24 <> 2 AND k % 5 <> 0 THEN CASE WHEN k % 5 = 1 THEN 'not_applicable_final_decision:no_change' ELSE 'no_selected_leaf' END END"),
+        ("local_validation", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 72 = 2 THEN 'fail' ELSE 'pass' END END"),
         ("from_b", "k % 24 = 2"),
     ]
 
 
-LAYER1 = (context, layer1.structural_codes, layer1.source_warnings, layer1.action_hint, layer1.consistency_codes, layer1.policy_a, layer1.policy_b)
-BRANCH_A = (*LAYER1, layer2.signals_a, layer2.scores_a, layer2.label_a)
-BRANCH_B = (*BRANCH_A, layer2.screen_b, layer2.routing_b)
-LAYER3 = (*BRANCH_B, layer3.decisions)
+CONTEXT = (context, text.clause_columns)
+LAYER1 = (*CONTEXT, layer1.structural_codes, layer1.source_warnings, layer1.action_hint, layer1.clause_facts, layer1.consistency_codes, layer1.policy_counts_a, layer1.policy_a, layer1.policy_counts_b, layer1.policy_b)
+BRANCH_A = (*LAYER1, layer2.signals_a, layer2.scores_a, layer2.least_a, layer2.label_a)
+SCREEN_B = (*BRANCH_A, layer2.grounding_b, layer2.screen_b)
+BRANCH_B = (*SCREEN_B, layer2.least_b, layer2.routing_b)
+LAYER3 = (*BRANCH_B, layer2.reasons_a, layer2.reasons_b, layer3.decisions)
 FINAL = (*LAYER3, layer3.final_decisions, layer3.cross_branch)
 
 
@@ -71,7 +75,7 @@ def _table(name: str, closing: str, *names: str, duck: str | None = None) -> Non
 # --- layer 1 -------------------------------------------------------------------
 _leaf("structural_codes", (layer1.structural_codes, layer1.action_hint), "SELECT key_id, codes_1a, hint_1a FROM {leaf}")
 _leaf("source_warnings", (layer1.source_warnings,), "SELECT key_id, codes_1c FROM {leaf}")
-_leaf("consistency_codes", (context, layer1.consistency_codes), "SELECT key_id, codes_1d FROM {leaf}")
+_leaf("consistency_codes", (*CONTEXT, layer1.clause_facts, layer1.consistency_codes), "SELECT key_id, codes_1d FROM {leaf}")
 _leaf("duplicate_codes", (context,), "SELECT key_id, codes_1b FROM {leaf} WHERE codes_1b <> ''")
 _leaf("duplicate_paths", (context,), "SELECT document_id, criterion_id, count(*) AS n, min(key_id) AS first_key, max(key_id) AS last_key FROM {leaf} WHERE criterion_id IS NOT NULL GROUP BY document_id, criterion_id HAVING count(*) > 1")
 _leaf("missing_leaves", (context,), "SELECT c.key_id, c.clause_text FROM {leaf} AS c LEFT ANTI JOIN (SELECT key_id FROM {leaf} WHERE k % 61 <> 7) AS l ON c.key_id = l.key_id", "SELECT c.key_id, c.clause_text FROM {leaf} AS c ANTI JOIN (SELECT key_id FROM {leaf} WHERE k % 61 <> 7) AS l ON c.key_id = l.key_id")
@@ -87,13 +91,14 @@ _leaf(
 )
 _leaf("top_codes", LAYER1, "SELECT code, count(*) AS n FROM (SELECT explode(split(codes_1c, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code ORDER BY n DESC, code LIMIT 5", "SELECT code, count(*) AS n FROM (SELECT unnest(string_split(codes_1c, ';')) AS code FROM {leaf}) WHERE code <> '' GROUP BY code ORDER BY n DESC, code LIMIT 5")
 # --- layer 2 -------------------------------------------------------------------
-_leaf("support_signals_a", (layer2.signals_a,), "SELECT key_id, operator_category, entity_in_evidence, generic_entity, value_supported, value_in_evidence, temporal_marker, history_marker, condition_marker, exception_marker, quantitative_cue FROM {leaf}")
+_leaf("support_signals_a", (*CONTEXT, layer2.signals_a), "SELECT key_id, operator_category, entity_in_evidence, generic_entity, value_supported, value_in_evidence, temporal_marker, history_marker, condition_marker, exception_marker, quantitative_cue FROM {leaf}")
 _leaf("scores_a", BRANCH_A, "SELECT key_id, entity_support, operator_value_support, quantitative_support, temporal_support, history_support, context_support, computability_support, layer1_support, leaf_support, risk_score, risk_label, bottlenecks FROM {leaf}")
 _leaf("risk_by_operator_category", BRANCH_A, "SELECT operator_category, risk_label, count(*) AS n, avg(leaf_support) AS mean_support, min(leaf_support) AS least_support FROM {leaf} GROUP BY operator_category, risk_label")
 _leaf("ablation", (*BRANCH_A, layer2.ablation), "SELECT key_id, signal_support, signal_label, severity_difference FROM {leaf}")
 _leaf("ablation_crosstab", (*BRANCH_A, layer2.ablation), "SELECT risk_label, signal_label, count(*) AS n FROM {leaf} GROUP BY CUBE (risk_label, signal_label)")
 _leaf("screen_b", BRANCH_B, "SELECT key_id, entity_b, value_b, unit_b, operator_value_b, quantitative_b, temporal_b, history_b, context_b, modifier_b, allowance_b, layer1_b, computability_b, execution_b_support FROM {leaf}")
-_leaf("routing_b", BRANCH_B, "SELECT key_id, semantic_support, execution_support, semantic_label, execution_label, semantic_bottlenecks, routing FROM {leaf}")
+_leaf("routing_b", BRANCH_B, "SELECT key_id, semantic_support, execution_support, semantic_label, execution_label, semantic_bottlenecks, routing, routing_reason FROM {leaf}")
+_leaf("risk_reasons", LAYER3, "SELECT key_id, risk_reasons, semantic_reasons, execution_reasons FROM {leaf}")
 _leaf("branch_agreement", BRANCH_B, "SELECT risk_label, semantic_label, routing, count(*) AS n FROM {leaf} GROUP BY risk_label, semantic_label, routing")
 _leaf("component_summary", BRANCH_A, "SELECT criterion_type, round(avg(leaf_support), 6) AS mean_support, round(median(leaf_support), 6) AS median_support, min(leaf_support) AS least, max(leaf_support) AS most FROM {leaf} GROUP BY criterion_type")
 # --- labels and metrics -----------------------------------------------------------
@@ -102,7 +107,7 @@ _leaf("error_by_label", BRANCH_A, f"SELECT risk_label, count(*) AS n, count(manu
 _leaf("label_crosstab", BRANCH_A, "SELECT risk_label, sum(CASE WHEN manual_label = 'correct' THEN 1 ELSE 0 END) AS n_correct, sum(CASE WHEN manual_label = 'partial' THEN 1 ELSE 0 END) AS n_partial, sum(CASE WHEN manual_label = 'incorrect' THEN 1 ELSE 0 END) AS n_incorrect, count(*) AS n_all FROM {leaf} GROUP BY risk_label")
 _leaf("grouped_error_rates", BRANCH_B, f"SELECT routing, entity_type, count(*) AS n, round(avg(CAST({_WRONG} AS DOUBLE)), 6) AS error_rate FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY routing, entity_type")
 _leaf("risk_coverage", BRANCH_A, f"SELECT policy, sum(CASE WHEN kept THEN n ELSE 0 END) AS accepted, sum(n) AS labelled, sum(CASE WHEN kept THEN errors ELSE 0 END) AS accepted_errors, sum(CASE WHEN kept THEN 0 ELSE errors END) AS deferred_errors FROM (SELECT policy, n, errors, policy = 'all' OR policy = 'not_review' AND risk_label <> 'review_priority' OR policy = 'high_only' AND risk_label = 'high_support_not_auto_accept' AS kept FROM (SELECT risk_label, count(*) AS n, sum({_WRONG}) AS errors FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY risk_label) AS g JOIN (VALUES ('all'), ('not_review'), ('high_only')) AS p(policy) ON g.n > 0) AS x GROUP BY policy")
-_leaf("threshold_sweep", BRANCH_A, f"SELECT t.step, sum(CASE WHEN g.leaf_support >= 0.5 + 0.05 * t.step THEN n ELSE 0 END) AS accepted, sum(CASE WHEN g.leaf_support >= 0.5 + 0.05 * t.step THEN errors ELSE 0 END) AS errors, sum(CASE WHEN g.leaf_support < 0.5 + 0.05 * t.step THEN errors ELSE 0 END) AS caught FROM (SELECT round(leaf_support, 4) + 0.0001 AS leaf_support, count(*) AS n, sum({_WRONG}) AS errors FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY round(leaf_support, 4) + 0.0001) AS g JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(step) ON g.n > 0 GROUP BY t.step")
+_leaf("threshold_sweep", BRANCH_A, f"SELECT t.step, sum(CASE WHEN g.millionths >= 500000 + 50000 * t.step THEN n ELSE 0 END) AS accepted, sum(CASE WHEN g.millionths >= 500000 + 50000 * t.step THEN errors ELSE 0 END) AS errors, sum(CASE WHEN g.millionths < 500000 + 50000 * t.step THEN errors ELSE 0 END) AS caught FROM (SELECT CAST(round(leaf_support * 1000000) AS BIGINT) AS millionths, count(*) AS n, sum({_WRONG}) AS errors FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY CAST(round(leaf_support * 1000000) AS BIGINT)) AS g JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS t(step) ON g.n > 0 GROUP BY t.step")
 # Scores are grouped first, so the windows run over distinct scores only.
 _BY_SCORE = f"(SELECT risk_score, count(*) AS n, sum({_WRONG}) AS pos FROM {{leaf}} WHERE manual_label IS NOT NULL GROUP BY risk_score)"
 _leaf("auroc", BRANCH_A, f"SELECT round((sum(pos * (below + (n + 1) / 2.0D)) - sum(pos) * (sum(pos) + 1) / 2.0D) / (sum(pos) * sum(n - pos)), 9) AS auroc, sum(pos) AS positives, sum(n) AS labelled FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY risk_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {_BY_SCORE} AS g) AS w", f"SELECT round((sum(pos * (below + (n + 1) / 2)) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * sum(n - pos)), 9) AS auroc, sum(pos) AS positives, sum(n) AS labelled FROM (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY risk_score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS below FROM {_BY_SCORE} AS g) AS w")
@@ -113,8 +118,8 @@ _leaf("labels_by_stratum", (), f"SELECT stratum, count(*) AS n, sum(CASE WHEN ma
 _leaf("label_transitions", FINAL, "SELECT concat(manual_label, '_to_', CASE chosen_decision WHEN 'accept' THEN 'correct' WHEN 'partial' THEN 'partial' ELSE 'incorrect' END) AS transition, count(*) AS n FROM {leaf} WHERE manual_label IS NOT NULL GROUP BY 1")
 _leaf("document_structure", LAYER1, "SELECT document_id, count(*) AS leaves, sum(CASE WHEN codes_1a <> '' THEN 1 ELSE 0 END) AS with_issue, count(DISTINCT item_uid) AS items, count(DISTINCT criterion_id) AS ids, round(avg(CASE WHEN codes_1a = '' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS valid_rate FROM {leaf} GROUP BY document_id")
 _leaf("branch_structure_summary", LAYER1, "SELECT count(*) AS documents, round(avg(valid_rate), 6) AS mean_valid_rate, sum(leaves) AS leaves FROM (SELECT document_id, CAST(count(*) AS BIGINT) AS leaves, avg(CASE WHEN codes_1a = '' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS valid_rate FROM {leaf} GROUP BY document_id) AS g")
-_leaf("entity_grounding", (layer2.signals_a,), "SELECT operator_category, count(*) AS n, sum(CASE WHEN entity_in_evidence THEN 1 ELSE 0 END) AS grounded, sum(CASE WHEN has_anchor THEN 1 ELSE 0 END) AS anchored, sum(CASE WHEN has_anchor AND anchor_type_match THEN 1 ELSE 0 END) AS typed, round(avg(CASE WHEN has_anchor THEN anchor_score END), 6) AS mean_anchor FROM {leaf} GROUP BY operator_category")
-_leaf("token_burden", (), "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4.0D AS tokens_in, sum(length(entity_text)) / 4.0D AS tokens_out, round(sum(length(evidence_text)) / 4.0D + 8 * sum(length(entity_text)) / 4.0D, 6) AS burden, round(sum(length(evidence_text)) / 4.0D / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid", "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4 AS tokens_in, sum(length(entity_text)) / 4 AS tokens_out, round(sum(length(evidence_text)) / 4 + 8 * sum(length(entity_text)) / 4, 6) AS burden, round(sum(length(evidence_text)) / 4 / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid")
+_leaf("entity_grounding", (*CONTEXT, layer2.signals_a), "SELECT operator_category, count(*) AS n, sum(CASE WHEN entity_in_evidence THEN 1 ELSE 0 END) AS grounded, sum(CASE WHEN has_anchor THEN 1 ELSE 0 END) AS anchored, sum(CASE WHEN has_anchor AND anchor_type_match THEN 1 ELSE 0 END) AS typed, round(avg(CASE WHEN has_anchor THEN anchor_score END), 6) AS mean_anchor FROM {leaf} GROUP BY operator_category")
+_leaf("token_burden", (), "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4.0D AS tokens_in, sum(length(entity_text)) / 4.0D AS tokens_out, count(*) * 25 AS tokens_cached, round(sum(length(evidence_text)) / 4.0D + 0.1D * 25 * count(*) + 8 * sum(length(entity_text)) / 4.0D, 6) AS burden, round(sum(length(evidence_text)) / 4.0D / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid", "SELECT item_uid, count(*) AS leaves, sum(length(evidence_text)) / 4 AS tokens_in, sum(length(entity_text)) / 4 AS tokens_out, count(*) * 25 AS tokens_cached, round(sum(length(evidence_text)) / 4 + 0.1 * 25 * count(*) + 8 * sum(length(entity_text)) / 4, 6) AS burden, round(sum(length(evidence_text)) / 4 / count(*), 6) AS per_leaf FROM {leaf} GROUP BY item_uid")
 # --- layer 3 -------------------------------------------------------------------
 _leaf("decisions", LAYER3, "SELECT key_id, decision_a, family_a, priority_a, changes_tree_a, task_a, decision_b, family_b, priority_b, changes_tree_b, task_b FROM {leaf}")
 _leaf("decision_counts", LAYER3, "SELECT decision_a, decision_b, count(*) AS n FROM {leaf} GROUP BY decision_a, decision_b")
