@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, layer1, layer2, layer3, spans, tree
 from .dialect import DUCK, Spark, apply, codes, render
+from . import oracle
 from .leaves import leaves, leaves_sql, tables
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,4 +227,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | oracle.oracle_sql()
