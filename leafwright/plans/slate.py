@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, layer1, layer2, layer3, spans, tree
 from .dialect import DUCK, Spark, apply, codes, render
-from . import oracle
+from . import branches, oracle
 from .leaves import leaves, leaves_sql, tables
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,7 +149,7 @@ _kept = "SELECT * EXCLUDE (codes_1a) REPLACE (" + ", ".join(f"{n} AS {o}" for o,
 _codes = ", ".join(f"{e} AS {n}" for n, e in layer1.structural_codes(DUCK))
 _SQL["reverified_after_repair"] = f"{_ctes}, repaired AS ({_kept} FROM {_last}) SELECT key_id, codes_before, {_codes} FROM repaired"
 # --- extraction and text -----------------------------------------------------------
-_leaf("extracted_fields", (extract.extracted,), "SELECT key_id, x_operator, x_value, x_unit, x_relation, x_t_value, x_t_unit, x_anchor, x_history, x_computability FROM {leaf}")
+_leaf("extracted_fields", (*CONTEXT, *extract.EXTRACTION), "SELECT key_id, x_operator, x_value_type, x_value, CASE WHEN x_operator = 'between' THEN x_min END AS x_min, CASE WHEN x_operator = 'between' THEN x_max END AS x_max, x_unit, x_relation, x_t_value, x_t_unit, x_anchor, x_history, x_exception, x_condition, x_type, x_operational, x_computability FROM {leaf}")
 
 
 def _overlaps(d: Spark) -> list[tuple[str, str]]:
@@ -222,9 +222,12 @@ SELECT criterion_id, negated, concat(section, '_criteria.children[0]', CASE WHEN
 """
 
 
+branches.register(LAYER3, (*BRANCH_A, layer2.ablation))
+
+
 def queries() -> dict:
-    return dict(_SPARK)
+    return _SPARK | branches.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | oracle.oracle_sql()
+    return _SQL | oracle.oracle_sql() | branches.oracle_sql()
