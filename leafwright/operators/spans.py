@@ -1,8 +1,8 @@
 """Spans: containment and overlap with items, best anchors, de-duplication, and the sequential folds.
 
 Offsets are half-open. Joins are on the document with a range condition, so a
-document's spans meet its own items only. The folds that depend on order run on
-one document's spans at a time.
+document's spans meet its own items only. Merging is windows; the two folds that
+depend on order run on one group of overlapping spans at a time.
 """
 
 from __future__ import annotations
@@ -50,15 +50,20 @@ def suppress(pdf: pd.DataFrame, threshold: float = 0.8) -> pd.DataFrame:
     return pdf.loc[sorted(keep)]
 
 
-def merge_adjacent(pdf: pd.DataFrame, gap: int = 1) -> pd.DataFrame:
-    """Folds spans of one label that touch within ``gap`` characters; a merged span is compared again."""
-    out: list[dict] = []
-    for r in pdf.sort_values(["a", "b", "span"]).to_dict("records"):
-        if out and out[-1]["label"] == r["label"] and r["a"] - out[-1]["b"] <= gap:
-            out[-1].update(b=max(out[-1]["b"], r["b"]), score=min(out[-1]["score"], r["score"]))
-        else:
-            out.append(dict(r))
-    return pd.DataFrame(out, columns=pdf.columns)
+def merged(spans: DataFrame, gap: int = 1) -> DataFrame:
+    """Spans of one label that follow each other within ``gap`` characters become one, which is compared again with the next.
+
+    A span joins the run before it if it has its label and starts at most ``gap``
+    behind the furthest end of the run; offsets only grow, so windows say so.
+    """
+    order = Window.partitionBy("doc").orderBy("a", "b", "span")
+    run = F.sum(F.when(F.lag("label").over(order).eqNullSafe(F.col("label")), 0).otherwise(1)).over(order)
+    within = Window.partitionBy("doc", "run").orderBy("a", "b", "span")
+    far = F.max("b").over(within.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("a") - F.col("far") <= gap, 0).otherwise(1)).over(within)
+    placed = spans.withColumn("run", run).withColumn("far", far).withColumn("part", part)
+    first = F.min_by("span", F.struct("a", "b", "span"))
+    return placed.groupBy("doc", "run", "part").agg(first.alias("span"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("label").alias("label"), F.min("score").alias("score")).drop("run", "part")
 
 
 def greedy_match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,9 +83,17 @@ def greedy_match(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["doc", "span", "gold_span", "shared"])
 
 
-def per_document(spans: DataFrame, fold, schema: str | None = None) -> DataFrame:
-    """A fold over each document's spans (a document's spans are few)."""
-    return spans.groupBy("doc").applyInPandas(lambda pdf: fold(pdf), schema or spans.schema)
+def clustered(spans: DataFrame, *keys: str) -> DataFrame:
+    """``cluster`` numbers, within the keys, the groups of spans between which nothing overlaps."""
+    order = Window.partitionBy(*keys).orderBy("a", "b", "span")
+    far = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("far", far).withColumn("cluster", F.sum(F.when(F.col("a") < F.col("far"), 0).otherwise(1)).over(order)).drop("far")
+
+
+def per_cluster(spans: DataFrame, fold, schema: str | None = None, keys: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """A fold over each group of spans that overlap, directly or by way of others; only these see each other, so long documents are many groups."""
+    names = [c for c in spans.columns]
+    return clustered(spans, *keys).groupBy(*keys, "cluster").applyInPandas(lambda pdf: fold(pdf[names]), schema or spans.schema)
 
 
 def bio_spans(tokens: DataFrame) -> DataFrame:

@@ -198,9 +198,9 @@ _span_query("spans_over_items", spans.overlapping, _OVERLAP)
 _span_query("best_anchor", lambda s, i: spans.best_anchor(spans.overlapping(s, i), _RANKS), f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY CASE label WHEN 'Condition' THEN 0 WHEN 'Measurement' THEN 1 ELSE 2 END, shared DESC, score DESC, size DESC, span) AS n FROM ({_OVERLAP})) WHERE n = 1")
 _span_query("distinct_spans", lambda s, i: spans.distinct_spans(s), "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, a, b, label ORDER BY score DESC, span) AS n FROM spans) WHERE n = 1")
 # Folds that depend on order have no SQL; tests hold them against plain loops.
-_span_query("suppressed_spans", lambda s, i: spans.per_document(s, spans.suppress), None)
-_span_query("merged_spans", lambda s, i: spans.per_document(s, spans.merge_adjacent), None)
-_span_query("greedy_span_match", lambda s, i: spans.per_document(s.select("*", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred").alias("side")), spans.greedy_match, "doc long, span long, gold_span long, shared long"), None)
+_span_query("suppressed_spans", lambda s, i: spans.per_cluster(s, spans.suppress, keys=("doc", "label")), None)
+_span_query("greedy_span_match", lambda s, i: spans.per_cluster(s.select("*", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred").alias("side")), spans.greedy_match, "doc long, span long, gold_span long, shared long"), None)
+_span_query("merged_spans", lambda s, i: spans.merged(s), "SELECT doc, min(span) FILTER (nth = 1) AS span, min(a) AS a, max(b) AS b, any_value(label) AS label, min(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, run, part ORDER BY a, b, span) AS nth FROM (SELECT *, sum(CASE WHEN a - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, run ORDER BY a, b, span) AS part FROM (SELECT *, max(b) OVER (PARTITION BY doc, run ORDER BY a, b, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT *, sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY a, b, span) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY doc ORDER BY a, b, span) AS before FROM spans))))) GROUP BY doc, run, part")
 
 
 # --- trees ---------------------------------------------------------------------

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,30 +26,40 @@ def replay(requests: DataFrame, recorded: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(missing, "error").otherwise("ok")).withColumn("error", F.when(missing, "no_recorded_response"))
 
 
-def call(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0) -> DataFrame:
-    """request_id, response, status, error from a client made once for each task."""
+def call(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], attempts: int = 3, wait: float = 1.0, timeout: float = 60.0) -> DataFrame:
+    """request_id, response, status, error from a client made once for each task: one row for each request, repeated ids among them.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    An attempt that takes longer than ``timeout`` seconds counts as failed; what
+    a content filter refuses is not tried again. Rows leave in small groups.
+    """
+
+    def ask(pool: ThreadPoolExecutor, client: Callable[[str], str], request: str) -> tuple[str | None, str, str | None]:
+        error = None
+        for k in range(attempts):
+            try:
+                return pool.submit(client, request).result(timeout), "ok", None
+            except TimeoutError:
+                error = f"no answer within {timeout} seconds"
+            except Exception as e:  # noqa: BLE001  any failure of a foreign service is a row
+                error = str(e)
+                if "content_filter" in error.lower():
+                    break
+            if k + 1 < attempts:
+                time.sleep(wait * 2**k)
+        return None, "error", error
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
+        # As many threads as attempts that may still hang; they are not waited for at the end.
+        pool = ThreadPoolExecutor(max_workers=64)
         for batch in batches:
-            rows = []
-            for key, request in zip(batch["request_id"], batch["request"]):
-                error = None
-                for k in range(attempts):
-                    try:
-                        rows.append((key, client(request), "ok", None))
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a foreign service is a row
-                        error = str(e)
-                        if "content_filter" in error.lower():
-                            k = attempts
-                            break
-                        time.sleep(wait * 2**k)
-                if not rows or rows[-1][0] != key:
-                    rows.append((key, None, "error", error))
-            yield pd.DataFrame(rows, columns=["request_id", "response", "status", "error"])
-
-    return requests.select("request_id", "request").mapInPandas(run, "request_id string, response string, status string, error string")
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
+                got = [ask(pool, client, request) for request in part.column("request").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("request_id"), *(pa.array(c, pa.string()) for c in zip(*got))], names=["request_id", "response", "status", "error"])
+        pool.shutdown(wait=False, cancel_futures=True)
+
+    return requests.select(F.col("request_id").cast("string").alias("request_id"), "request").mapInArrow(run, "request_id string, response string, status string, error string")
 
 
 def parsed_json(df: DataFrame, column: str = "response") -> DataFrame:

@@ -1,5 +1,9 @@
+import random
+import time
+
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from leafwright.operators import spans, tree
 from leafwright.sources import adapters, files
@@ -17,9 +21,84 @@ def test_suppression_keeps_the_better_of_overlapping_spans():
     assert sorted(got.span) == [2, 3, 4, 5]
 
 
-def test_merging_compares_merged_spans_again():
-    got = spans.merge_adjacent(table([(1, 1, 0, 4, "x", 0.5), (1, 2, 5, 8, "x", 0.4), (1, 3, 9, 12, "x", 0.9), (1, 4, 20, 22, "x", 0.1), (1, 5, 22, 25, "y", 0.1)]))
-    assert got[["a", "b", "score"]].values.tolist() == [[0, 12, 0.4], [20, 22, 0.1], [22, 25, 0.1]]
+def test_merging_compares_merged_spans_again(spark):
+    got = spans.merged(spark.createDataFrame([(1, 1, 0, 4, "x", 0.5), (1, 2, 5, 8, "x", 0.4), (1, 3, 9, 12, "x", 0.9), (1, 4, 20, 22, "x", 0.1), (1, 5, 22, 25, "y", 0.1)], SPANS))
+    assert sorted((r.a, r.b, r.score) for r in got.collect()) == [(0, 12, 0.4), (20, 22, 0.1), (22, 25, 0.1)]
+
+
+SPANS = "doc long, span long, a long, b long, label string, score double"
+
+
+def generated(seed, n=600):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a = rng.randrange(400)
+        rows.append((rng.randrange(4), i, a, a + rng.randint(1, 40), rng.choice("xy"), rng.choice([0.2, 0.5, 0.5, 0.9])))
+    return rows
+
+
+def plain_suppress(rows):
+    out = []
+    for r in sorted(rows, key=lambda r: (-r[5], -(r[3] - r[2]), r[1])):
+        hit = False
+        for o in out:
+            if o[0] == r[0] and o[4] == r[4]:
+                shared = max(0, min(o[3], r[3]) - max(o[2], r[2]))
+                hit = hit or shared / min(o[3] - o[2], r[3] - r[2]) >= 0.8
+        if not hit:
+            out.append(r)
+    return {r[1] for r in out}
+
+
+def plain_merge(rows):
+    out = []
+    for r in sorted(rows, key=lambda r: (r[0], r[2], r[3], r[1])):
+        if out and out[-1][0] == r[0] and out[-1][3] == r[4] and r[2] <= out[-1][2] + 1:
+            o = out[-1]
+            out[-1] = (o[0], o[1], max(o[2], r[3]), o[3], min(o[4], r[5]))
+        else:
+            out.append((r[0], r[2], r[3], r[4], r[5]))
+    return sorted(out)
+
+
+def plain_match(rows):
+    out, used = {}, set()
+    for p in sorted(r for r in rows if r[1] % 2):
+        best, found = 0, None
+        for g in sorted(r for r in rows if r[1] % 2 == 0 and r[0] == p[0]):
+            shared = min(p[3], g[3]) - max(p[2], g[2])
+            if g[1] not in used and shared > best:
+                best, found = shared, g[1]
+        used.add(found)
+        out[p[1]] = (found, best)
+    return out
+
+
+def test_span_folds_against_plain_loops(spark):
+    rows = generated(3)
+    df = spark.createDataFrame(rows, SPANS)
+    assert {r.span for r in spans.per_cluster(df, spans.suppress, keys=("doc", "label")).collect()} == plain_suppress(rows)
+    assert sorted((r.doc, r.a, r.b, r.label, r.score) for r in spans.merged(df).collect()) == plain_merge(rows)
+    sides = df.withColumn("side", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred"))
+    got = spans.per_cluster(sides, spans.greedy_match, "doc long, span long, gold_span long, shared long").collect()
+    assert {r.span: (r.gold_span, r.shared) for r in got} == plain_match(rows)
+
+
+def test_calls_leave_a_row_for_each_request(spark):
+    def make():
+        def client(request):
+            if request == "bad":
+                raise ValueError("content_filter")
+            if request == "slow":
+                time.sleep(1.5)
+            return request.upper()
+
+        return client
+
+    df = spark.createDataFrame([("1", "a"), ("1", "bad"), ("2", "slow"), (None, "b")], "request_id string, request string").coalesce(1)
+    got = sorted(((r.request_id or "", r.response, r.status) for r in adapters.call(df, make, 2, 0.01, 0.3).collect()), key=str)
+    assert got == [("", "B", "ok"), ("1", "A", "ok"), ("1", None, "error"), ("2", None, "error")]
 
 
 def test_greedy_match_depends_on_order():
