@@ -13,14 +13,16 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,39 +34,39 @@ MAGIC = b"LEAFIDS1"
 MANIFEST = "part int, docs long, tokens long, path string"
 
 
-def _publish(local: str, target: str) -> None:
-    """Moves a finished file into place at once, so a repeated task never shows half a file."""
-    place = local_path(target)
+@contextmanager
+def _published(target: str):
+    """A stream to a file of the shared store that gets its name only when it is whole, so a repeated task never shows half of one."""
+    place, tag = local_path(target), uuid.uuid4().hex
     if place is not None:
-        half = f"{place}.{uuid.uuid4().hex}"
-        with open(local, "rb") as src, open(half, "wb") as dst:
-            while chunk := src.read(1 << 22):
-                dst.write(chunk)
-        os.replace(half, place)
-        os.unlink(local)
+        with open(f"{place}.{tag}", "wb") as out:
+            yield out
+        os.replace(f"{place}.{tag}", place)
         return
-    from pyarrow import fs
-
     store, path = fs.FileSystem.from_uri(target)
-    with open(local, "rb") as src, store.open_output_stream(path) as dst:
-        while chunk := src.read(1 << 22):
-            dst.write(chunk)
-    os.unlink(local)
+    with store.open_output_stream(f"{path}.{tag}") as out:
+        yield out
+    store.move(f"{path}.{tag}", path)
 
 
-def _fetched(target: str) -> tuple[str, bool]:
-    """A path that can be memory-mapped, and whether it is a copy to delete."""
-    place = local_path(target)
-    if place is not None:
-        return place, False
-    from pyarrow import fs
+class _Bytes:
+    """A file's bytes by range: mapped where the store has local paths, else read range by range."""
 
-    store, path = fs.FileSystem.from_uri(target)
-    fd, copy = tempfile.mkstemp()
-    with store.open_input_stream(path) as src, os.fdopen(fd, "wb") as dst:
-        while chunk := src.read(1 << 22):
-            dst.write(chunk)
-    return copy, True
+    def __init__(self, target: str):
+        place = local_path(target)
+        self.mapped = np.memmap(place, dtype="u1", mode="r") if place is not None else None
+        if place is None:
+            store, path = fs.FileSystem.from_uri(target)
+            self.file = store.open_input_file(path)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[part]
+        self.file.seek(part.start)
+        return np.frombuffer(self.file.read(part.stop - part.start), dtype="u1")
+
+    def whole(self) -> np.ndarray:
+        return self.mapped if self.mapped is not None else np.frombuffer(self.file.read(), dtype="u1")
 
 
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
@@ -83,28 +85,25 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         bpe = byte_bpe.load(path)
         end = np.array([end_id], dtype=bpe.dtype).tobytes()
         part, ids, ends, at = TaskContext.get().partitionId(), [], [], 0
-        fd, scratch = tempfile.mkstemp()
-        with os.fdopen(fd, "wb") as out:
-            for batch in slices(batches):
+        rows = (batch for batch in slices(batches) if batch.num_rows)
+        first = next(rows, None)
+        if first is None:
+            return
+        base = f"{out_dir}/part-{part:06d}"
+        with _published(f"{base}.bin") as out:
+            for batch in chain([first], rows):
                 for text in texts_of(batch):
                     data = bpe.encode(text) + end
                     out.write(data)
                     at += len(data) // bpe.dtype.itemsize
                     ends.append(at)
                 ids += batch.column("doc_id").to_pylist()
-        if not ids:
-            os.unlink(scratch)
-            return
-        base = f"{out_dir}/part-{part:06d}"
-        _publish(scratch, f"{base}.bin")
-        fd, scratch = tempfile.mkstemp()
-        with os.fdopen(fd, "wb") as out:
+        with _published(f"{base}.idx") as out:
             out.write(MAGIC)
             out.write(np.array([bpe.dtype.itemsize, len(ids)], dtype="<u8").tobytes())
             out.write(np.array([0, *ends], dtype="<u8").tobytes())
             out.write(np.array([x or 0 for x in ids], dtype="<i8").tobytes())
             out.write(np.array([x is not None for x in ids], dtype="u1").tobytes())
-        _publish(scratch, f"{base}.idx")
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": [len(ids)], "tokens": [at], "path": [base]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -117,7 +116,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 
 def read_index(path: str) -> tuple[np.dtype, np.ndarray, np.ndarray, np.ndarray]:
     """dtype of the ids, offsets (documents + 1), document ids and their validity, of one .idx file."""
-    raw = np.memmap(path, dtype="u1", mode="r")
+    raw = _Bytes(path).whole()
     if raw[:8].tobytes() != MAGIC:
         raise ValueError(f"{path} is no token index")
     width, n = (int(x) for x in raw[8:24].view("<u8"))
@@ -131,12 +130,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                (index, a), (flat, b) = _fetched(f"{row['path']}.idx"), _fetched(f"{row['path']}.bin")
-                dtype, offsets, ids, valid = read_index(index)
-                tokens = np.memmap(flat, dtype=dtype, mode="r")
+                dtype, offsets, ids, valid = read_index(f"{row['path']}.idx")
+                flat, wide = _Bytes(f"{row['path']}.bin"), dtype.itemsize
                 for at in range(0, len(ids), 4096):
                     ends = offsets[at : at + 4097].astype(np.int64)
-                    crcs = [zlib.crc32(tokens[x:y].astype("<u4").tobytes()) for x, y in zip(ends[:-1], ends[1:])]
+                    crcs = [zlib.crc32(flat[int(x) * wide : int(y) * wide].view(dtype).astype("<u4").tobytes()) for x, y in zip(ends[:-1], ends[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array(ids[at : at + 4096]), mask=~np.array(valid[at : at + 4096])),
@@ -146,10 +144,6 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         ],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
-                del tokens
-                for copy, mine in ((index, a), (flat, b)):
-                    if mine:
-                        os.unlink(copy)
 
     # Some files for each task; a file is read by one task.
     spread = manifest.repartition(max(1, min(manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism * 4)), "part")
