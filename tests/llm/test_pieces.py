@@ -29,6 +29,14 @@ def test_same_as_library(both):
         assert own.decode(np.array(ids)).decode() == lib.decode(want), text
 
 
+def test_long_runs_without_spaces(both):
+    own, lib = both
+    rng = random.Random(8)
+    for text in ("".join(rng.choice("abcdefghinorst") for _ in range(40_000)), "ab" * 20_000, "é1" * 5_000):
+        assert np.frombuffer(own.encode(text), dtype="<u4").tolist() == lib.encode(text, add_bos=True, add_eos=True)
+    assert all(len(w) <= own.known.longest for w in own.known)  # such words are not remembered
+
+
 def test_query(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, None, None), (1, TEXTS[1], None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
