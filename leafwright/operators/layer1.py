@@ -25,13 +25,14 @@ HISTORY = ("current", "prior", "previously_treated", "stable_dose", "investigati
 VALUE_TYPES = ("scalar", "list", "range", "null")
 COMPUTABILITY = ("computable", "partial", "non_computable")
 CONCEPT_SYSTEMS = ("SNOMED-CT", "RxNorm", "LOINC", "ICD-10-CM", "UCUM")
+# Quantitative types, qualifiers, markers, generic words, anchors by phrase, weights of codes, warnings, checks.
 QUANTITATIVE_TYPES = ("lab", "vital", "observation", "demographic", "stage", "line_of_therapy")
 QUALIFIERS = ("active", "uncontrolled", "compromised", "refusal", "refuse", "unresolved", "severe", "stable")
 TEMPORAL_MARKERS = ("at screening", "during screening", "prior to", "before", "after", "within", "since", "baseline", "randomization", "study start", "study entry", "pre-procedure", "post-procedure")
 RELATION_MARKERS = ("within", "prior to", "before", "after", "since", "following", "pre-procedure", "post-procedure", "study entry", "study start", "randomization", "screening")
 CONDITION_MARKERS = ("if", "unless", "except", "if applicable", "provided that", "in case", "only if")
 GENERIC = ("of", "and", "or", "with", "without", "other", "any", "patients", "subjects", "patient", "subject", "condition", "disease", "history")
-#: The first phrase present decides.
+# The first phrase present decides.
 ANCHOR_OF = (
     ("randomization", "randomization"), ("screening", "screening"), ("baseline", "baseline"), ("study start", "screening"), ("study entry", "screening"),
     ("treatment start", "treatment_start"), ("prior to treatment", "treatment_start"), ("before treatment", "treatment_start"), ("diagnosis", "diagnosis"),
