@@ -212,29 +212,47 @@ def leaf_slots(hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return _slot(mix64(hashed ^ mix64(classes.astype(np.uint64), 40)[:, None], 41))
 
 
-def log_softmax(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
-    """Natural log probabilities, tokens x outcomes, from the summed rows of their features; ``mask`` is added."""
-    score = weights[features[:, 0]]
+def _scores(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
+    """The summed rows of the tokens' features, less each token's greatest."""
+    score = np.take(weights, features[:, 0], axis=0, mode="clip")
+    more = np.empty_like(score)
     for k in range(1, features.shape[1]):
-        score += weights[features[:, k]]
+        score += np.take(weights, features[:, k], axis=0, mode="clip", out=more)
     if mask is not None:
         score += mask
     score -= score.max(axis=1, keepdims=True)
-    return score - np.log(np.exp(score).sum(axis=1, keepdims=True))
+    return score
+
+
+def softmax(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Probabilities, tokens x outcomes; ``mask`` is added to the scores."""
+    score = _scores(weights, features, mask)
+    np.exp(score, out=score)
+    score /= score.sum(axis=1, keepdims=True)
+    return score
+
+
+def log_of(weights: np.ndarray, features: np.ndarray, outcomes: np.ndarray, mask: np.ndarray | None = None) -> np.ndarray:
+    """Natural log probability of each token's outcome."""
+    score = _scores(weights, features, mask)
+    own = score[np.arange(len(outcomes)), outcomes]
+    np.exp(score, out=score)
+    return own - np.log(score.sum(axis=1))
 
 
 def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, outcomes: np.ndarray, mask: np.ndarray | None = None, step: float = STEP) -> None:
     """One AdaGrad step on a batch, in place."""
-    gap = -np.exp(log_softmax(weights, features, mask))
-    gap[np.arange(len(outcomes)), outcomes] += 1
+    gap = softmax(weights, features, mask)
+    gap[np.arange(len(outcomes)), outcomes] -= 1
     # Each row's gradient: what its tokens gave, summed row by row.
     rows, width = features.ravel(), features.shape[1]
     order = np.argsort(rows, kind="stable")
     starts = np.flatnonzero(np.diff(rows[order].astype(np.int64), prepend=-1))
-    total, touched = np.add.reduceat(gap[order // width], starts, axis=0), rows[order[starts]]
+    total, touched = np.add.reduceat(np.take(gap, order // width, axis=0, mode="clip"), starts, axis=0), rows[order[starts]]
     new = squares[touched] + total**2
     squares[touched] = new
-    weights[touched] += step * total / np.sqrt(new + 1e-3)
+    total *= -step
+    weights[touched] += total / np.sqrt(new + np.float32(1e-3))
 
 
 def _updates(docs: DataFrame, words: tuple, weights: np.ndarray, leaf_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,12 +379,11 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
             classes, hot, n = reader.cls[ids], ids <= n_hot, len(starts)
             by_class = np.empty(len(ids))
             for at in range(0, len(ids), BATCH):
-                part, here = log_softmax(own.weights, features[at : at + BATCH]), classes[at : at + BATCH]
-                by_class[at : at + BATCH] = part[np.arange(len(part)), here]
+                here = classes[at : at + BATCH]
+                by_class[at : at + BATCH] = log_of(own.weights, features[at : at + BATCH], here)
                 some = np.flatnonzero(chosen[here])
                 if len(some):
-                    part = log_softmax(own.leaf_weights, leaf_slots(hashed[at : at + BATCH][some], here[some]), mask[here[some]])
-                    by_class[at + some] += part[np.arange(len(some)), reader.leaf[ids[at : at + BATCH][some]]]
+                    by_class[at + some] += log_of(own.leaf_weights, leaf_slots(hashed[at : at + BATCH][some], here[some]), reader.leaf[ids[at : at + BATCH][some]], mask[here[some]])
             number = np.where(hot, ids, 0)
             scores = np.add.reduceat(by_class / np.log(10) + np.where(hot, word_of[number], 0), starts)
             bases = np.add.reduceat(np.where(hot, base_of[number], 0), starts)
