@@ -166,7 +166,7 @@ def _leaf(name: str, steps: tuple, closing: str | Callable[[DataFrame], DataFram
         own = apply(leaves(spark, sf_dir), text.columns, *steps)
         return spark.sql(closing, leaf=own) if isinstance(closing, str) else closing(own)
 
-    _SPARK[name], _SQL[name] = run, oracle.rules() + sql
+    _SPARK[name], _SQL[name] = run, oracle.rules() + oracle.once(sql)
 
 
 def register(layer3_steps: tuple, ablation: tuple) -> None:

@@ -7,6 +7,8 @@ side shows. Only the leaf fixture is shared. Values are fixed by the rules.
 
 from __future__ import annotations
 
+import re
+
 from .leaves import leaves_sql
 
 _N = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\n\r\f]+', ' ', 'g')))"
@@ -234,8 +236,8 @@ def _of(decision: str, k: int) -> str:
 
 
 def rules() -> str:
-    """Common table expressions up to ``final``, one row for each leaf."""
-    return rf"""
+    """Common table expressions up to ``final``, one row for each leaf, each computed once."""
+    text = rf"""
 WITH leaf AS ({leaves_sql()}),
 context AS (SELECT *,
   CASE WHEN k % 54 = 9 THEN 'an unrelated item' ELSE evidence_text || ' in this study' END AS item_text,
@@ -332,6 +334,12 @@ final AS (SELECT *, split_part(fb, '|', 1) AS final_b, split_part(fb, '|', 2) AS
   CASE WHEN forced THEN 'human_review' WHEN from_b THEN split_part(fb, '|', 1) ELSE split_part(fa, '|', 1) END AS final_a,
   CASE WHEN forced THEN 'A_rescue_unresolved' WHEN from_b THEN 'A_hybrid_from_B_' || split_part(fb, '|', 1) ELSE split_part(fa, '|', 2) END AS rule_a FROM ruled)
 """
+    return once(text)
+
+
+def once(text: str) -> str:
+    """The same with every table expression that starts a line materialised."""
+    return re.sub(r"(?m)^(WITH |, )?(\w+) AS \((SELECT|\n)", r"\1\2 AS MATERIALIZED (\3", text)
 
 
 #: Queries whose oracle statement is written by hand.
