@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing, op12_divergence
 from . import op10_toxicity as toxicity
 from .common import bucket_of_id
 
@@ -60,9 +60,13 @@ def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_maxent.score(docs, op03_maxent.train(docs.where(bucket_of_id("doc_id", 5) != 1))).withColumn("held_out", bucket_of_id("doc_id", 5) == 1)
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_personal, op3_maxent, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language, op2_personal, op3_maxent, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity, op12_divergence_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_topk": op04_topk.TOP_5_SQL, "op5_minhash": op05_minhash.NEAR_DUPLICATES_SQL}
+    return {"op4_topk": op04_topk.TOP_5_SQL, "op5_minhash": op05_minhash.NEAR_DUPLICATES_SQL, "op12_divergence_audit": op12_divergence.AUDIT_SQL}
