@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing, op12_divergence, op13_variants
+from . import op01_language, op02_personal, op03_maxent, op04_topk, op05_minhash, op06_token_files, op07_quantised, op08_pieces, op09_packing, op11_main_text, op12_divergence, op13_variants
 from . import op10_toxicity as toxicity
 from .common import bucket_of_id
 
@@ -60,6 +60,10 @@ def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_maxent.score(docs, op03_maxent.train(docs.where(bucket_of_id("doc_id", 5) != 1))).withColumn("held_out", bucket_of_id("doc_id", 5) == 1)
 
 
+def op11_main_text_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_main_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language, op2_personal, op3_maxent, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity, op12_divergence_audit, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_language, op2_personal, op3_maxent, op4_topk, op5_minhash, op6_token_files, op7_quantised, op8_sentencepiece, op9_packing, op10_toxicity, op11_main_text_of_pages, op12_divergence_audit, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
