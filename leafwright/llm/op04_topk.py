@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as vec
-from .common import settled
+from .common import discard, settled
 
 BLOCK, QUERIES = 4096, 64
 #: Depths, as shares of a list, after which the bounds are formed.
@@ -56,6 +56,7 @@ class SortedLists:
         up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
         ids, x, place = self.ids, self.x, self.place
         open_, seen, a = ids[:, None] != own[None, :], np.zeros((n, len(queries))), 0
+        lower = seen
         for share in steps:
             b = max(1, min(n, int(np.ceil(share * n))))
             if b == a or not len(ids):
@@ -73,11 +74,12 @@ class SortedLists:
             self.open_after.append(int(open_.sum()))
             left = open_.any(axis=1)
             known = ((lower == upper) | ~open_).all()
-            ids, x, place, open_, seen = ids[left], x[left], place[left], open_[left], seen[left]
+            ids, x, place, open_, seen, lower = ids[left], x[left], place[left], open_[left], seen[left], lower[left]
             a = b
             if known:
                 break
-        return [(ids[open_[:, j]], seen[open_[:, j], j]) for j in range(len(queries))]
+        # Where both bounds met before the end of a list, what was read is only a part of the score; the bound is all of it.
+        return [(ids[open_[:, j]], lower[open_[:, j], j]) for j in range(len(queries))]
 
 
 def scan(blocks: Iterator, wave: dict[int, tuple[np.ndarray, np.ndarray]], k: int, group: int = QUERIES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -112,6 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK, wa
 
         out.append(settled(own.mapInArrow(run, FOUND), "found"))
         shared.destroy()
+    discard(own)
     if not out:
         return own.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return vec.ranked(vec.union(out), k)

@@ -43,6 +43,36 @@ def test_exact(spark, block):
     assert op04_topk.top_k(none, none, 5).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17])
+@pytest.mark.parametrize("kind", ["equal", "constant", "binary", "normal"])
+def test_scores_are_whole_in_short_blocks(n, kind):
+    """Bounds that meet before a list is read to its end give the whole score."""
+    rng = np.random.default_rng(n)
+    x = {
+        "equal": np.repeat([[3.0, -4.0, 5.0]], n, axis=0),
+        "constant": np.column_stack([np.full(n, 7.0), np.floor(rng.normal(0, 9, n)), np.full(n, -2.0)]),
+        "binary": rng.integers(0, 2, (n, 3)).astype(float),
+        "normal": np.floor(rng.normal(0, 9, (n, 3))),
+    }[kind]
+    queries = np.array([[2.0, 5.0, -1.0], [0.0, 0.0, 0.0], [-3.0, 1.0, 4.0]])
+    ids = np.arange(n)
+    for k in (1, 2, 5):
+        for j, (found, scores) in enumerate(op04_topk.SortedLists(ids, x).top(queries, np.full(3, -1), k, np.full(3, -np.inf))):
+            every = x @ queries[j]
+            assert np.array_equal(scores, every[found])
+            assert set(np.lexsort((ids, -every))[:k].tolist()) <= set(found.tolist())
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 16, 40])
+def test_exact_however_dealt(spark, monkeypatch, parts):
+    """The same rows whatever the number of tasks: short last blocks, equal vectors in each."""
+    df, rows = table(spark, 250)
+    monkeypatch.setattr(op04_topk.vec, "dealt", lambda vectors, name: op04_topk.settled(vectors.repartition(parts, "vec_id"), name))
+    own = op04_topk.quantised(df)
+    got = op04_topk.top_k(own, own.where("vec_id % 50 = 0"), 5, 64, 16)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 50, 5, True, True)
+
+
 def test_exact_same_as_sql(spark):
     path = "/root/testdata/sf0.01/embeddings.parquet"
     own = op04_topk.quantised(spark.read.parquet(path))
