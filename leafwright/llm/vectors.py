@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, settled
 
 #: Queries of a wave, at most about so many.
-WAVE = 4096
+WAVE = 16_384
+#: Bytes of vectors in a part of the table: what a lost task costs again.
+PART = 64 << 20
 
 
 def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
@@ -38,8 +40,12 @@ def usable(vectors: DataFrame, zero: bool = True) -> DataFrame:
 
 
 def dealt(vectors: DataFrame, name: str) -> DataFrame:
-    """The table written in even parts, at least one for each core."""
-    return settled(vectors.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, "vec_id"), name)
+    """The table written in even parts of at most about ``PART`` bytes, at least two for each core."""
+    vectors = settled(vectors, name)
+    held = vectors.agg(F.sum(8 * F.size("v") + 8)).first()[0] or 0
+    out = settled(vectors.repartition(max(2 * vectors.sparkSession.sparkContext.defaultParallelism, math.ceil(held / PART)), "vec_id"), name)
+    discard(vectors)
+    return out
 
 
 def waves(queries: DataFrame, size: int = WAVE) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -54,6 +60,7 @@ def waves(queries: DataFrame, size: int = WAVE) -> Iterator[dict[int, tuple[np.n
             out.setdefault(len(r.v), []).append(r)
         if out:
             yield {d: (np.array([r.vec_id for r in own]), np.array([r.v for r in own])) for d, own in out.items()}
+    discard(queries)
 
 
 def matrices(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
