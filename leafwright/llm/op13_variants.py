@@ -6,9 +6,11 @@ its first L // 2 code points and the rest, under (L, segment). One edit leaves o
 the two whole, so a word meets its neighbours of equal length under its own two
 segments, and those one shorter under the two substrings where an insertion would
 have left them: the first at its place, the second one place further on. The edit is
-verified within the join, which passes on near pairs alone; a pair whose first
-segments agree is not taken from the second ones again. Segments that many words
-share are dealt over salts.
+verified within the join, which passes on near pairs alone. Short segments are shared by
+very many words, so the same rule is used once more within the key: the part of the word
+outside the segment, which holds the edit, is cut evenly as well, and one of its
+halves is whole and joins the key. A pair that meets under several keys counts under the
+first. Keys that many words share even so are dealt over salts.
 
 A word's form is its near word of the largest count, if that is ``RATIO`` times its
 own; roots are found by pointer jumping, as counts rise with every step at most the
@@ -78,28 +80,40 @@ def words(docs: DataFrame, length: int = LENGTH, occurrences: int = OCCURRENCES)
     return texts.mapInArrow(lambda batches: counted(batches, length), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= occurrences)
 
 
-def _segments(word: str, shorter: int) -> list[Column]:
-    """The keys (length, segment, content) of a word, or those under which words one shorter lie."""
+def _keys(word: str, shorter: int) -> Column:
+    """The keys of a word, or those under which words one shorter lie: length, which segment, which half of the rest, both contents."""
     w, size = F.col(word), F.char_length(word) - shorter
     half = F.floor(size / 2).cast("int")
-    rest = size - half
-    key = lambda nth, begin, n: F.struct(size.alias("length"), F.lit(nth).alias("nth"), F.substr(w, begin, n).alias("content"))
-    return [key(1, F.lit(1), half), key(2, half + 1 + shorter, rest)]
+    out = []
+    # The kept segment, and where the rest of this word begins and how long it is in the shorter one.
+    for nth, begin, kept, other, left in ((1, F.lit(1), half, half + 1, size - half), (2, half + 1 + shorter, size - half, F.lit(1), half)):
+        part = F.floor(left / 2).cast("int")
+        for nth_part, at, n in ((1, other, part), (2, other + part + shorter, left - part)):
+            out.append(F.struct(size.alias("length"), F.lit(2 * nth + nth_part - 2).alias("nth"), F.substr(w, begin, kept).alias("segment"), F.substr(w, at, n).alias("part")))
+    return F.array(*out)
 
 
 def near_pairs(own: DataFrame) -> DataFrame:
     """word, n, other, other_n: each pair of words at one edit once, the shorter (or smaller) first. Needs distinct words."""
-    index = own.select("word", "n", F.explode(F.array(*_segments("word", 0))).alias("key")).select("word", "n", "key.*")
-    probes = own.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(F.array(*_segments("word", 0), *_segments("word", 1))).alias("key")).select("other", "other_n", "key.*")
-    keys = ["length", "nth", "content"]
+    index = own.select("word", "n", F.explode(_keys("word", 0)).alias("key")).select("word", "n", "key.*")
+    probes = own.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.explode(F.concat(_keys("word", 0), _keys("word", 1))).alias("key")).select("other", "other_n", "key.*")
+    keys = ["length", "nth", "segment", "part"]
     counts = index.groupBy(*keys).agg(F.count("*").alias("n"))
-    slots = hot_slots(counts, keys, index.count())
+    slots = hot_slots(counts, keys, 4 * own.count())
     met = dealt(probes, keys, "other", slots).join(copied(index, keys, slots), [*keys, "salt"])
-    half = F.floor(F.col("length") / 2).cast("int")
-    begun_alike = F.substr("word", F.lit(1), half) == F.substr("other", F.lit(1), half)
-    same_length = F.char_length("other") == F.col("length")
     one_edit = F.levenshtein("word", "other", 1) == 1
-    return met.where((~same_length | (F.col("word") < F.col("other"))) & ((F.col("nth") == 1) | ~begun_alike) & one_edit).select("word", "n", "other", "other_n")
+    ordered = (F.char_length("other") != F.col("length")) | (F.col("word") < F.col("other"))
+    # The first of the keys that both words have is the one that counts.
+    found = met.where(ordered & one_edit)
+    same = F.char_length("other") == F.col("length")
+    met_first = F.when(same, _first_common(0)).otherwise(_first_common(1))
+    return found.where(F.col("nth") == met_first).select("word", "n", "other", "other_n")
+
+
+def _first_common(shorter: int) -> Column:
+    mine, theirs = _keys("word", 0), _keys("other", shorter)
+    hits = [F.when(mine[k] == theirs[k], k + 1) for k in range(4)]
+    return F.coalesce(*hits)
 
 
 def _roots(forms: DataFrame) -> DataFrame:
