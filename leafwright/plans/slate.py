@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, layer1, layer2, layer3, spans, tree
 from .dialect import DUCK, Spark, apply, codes, render
-from . import branches, oracle
+from . import branches, oracle, trees
 from .leaves import leaves, leaves_sql, tables
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,8 +226,8 @@ branches.register(LAYER3, (*BRANCH_A, layer2.ablation))
 
 
 def queries() -> dict:
-    return _SPARK | branches.queries()
+    return _SPARK | branches.queries() | trees.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | oracle.oracle_sql() | branches.oracle_sql()
+    return _SQL | oracle.oracle_sql() | branches.oracle_sql() | trees.oracle_sql()
