@@ -107,6 +107,38 @@ def rows_of_items(leaves: DataFrame) -> DataFrame:
     return grouped.select("item_uid", "document_id", "criterion_type", F.size("criteria").alias("n"), "criteria")
 
 
+def logic_text(docs: DataFrame) -> DataFrame:
+    """document_id, section, n, chain: a tree as one line, ``(C1: a AND NOT(C2: b) OR [AT_LEAST 2] (...))``.
+
+    On the way down each node takes along what stands before it and how many groups end with it,
+    so the leaves need only be put in order. A group without children is shown as its operator.
+    """
+    docs.sparkSession.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    kind, op = _text("node", "node_type"), f"coalesce({_text('node', 'group_operator')}, 'GROUP')"
+    quantifier = "try_variant_get(node, '$.group_quantifier.{}', 'string')"
+    opened = f"concat(CASE WHEN {quantifier.format('quantifier_type')} IS NOT NULL THEN concat('[', {quantifier.format('quantifier_type')}, ' ', coalesce({quantifier.format('value')}, 'None'), '] ') ELSE '' END, CASE WHEN {op} = 'NOT' THEN 'NOT(' ELSE '(' END)"
+    joiner = f"concat(' ', CASE WHEN {op} IN ('AND', 'OR') THEN {op} ELSE 'AND' END, ' ')"
+    n = f"CASE WHEN {kind} = 'group' THEN coalesce(size(try_variant_get(node, '$.children', 'array<variant>')), 0) ELSE 0 END"
+    entity = "trim(regexp_replace(coalesce(try_variant_get(node, '$.criterion.entity_text', 'string'), ''), '(?U)\\\\s+', ' '))"
+    said = f"concat(coalesce(substring_index(try_variant_get(node, '$.criterion.criterion_id', 'string'), '_', -1), '?'), ': ', {entity})"
+    said = f"CASE WHEN {kind} = 'group' THEN concat({op}, '()') WHEN coalesce(try_variant_get(node, '$.criterion.operator', 'string'), '') = 'not_exists' THEN concat('NOT(', {said}, ')') ELSE {said} END"
+    leaves = docs.sparkSession.sql(
+        f"""
+        WITH RECURSIVE walk(document_id, section, node, place, before, closes, n) AS (
+          SELECT document_id, section, node, CAST(array() AS ARRAY<INT>), '', 0, {n} FROM ({_ROOTS}) WHERE node IS NOT NULL AND NOT is_variant_null(node)
+          UNION ALL
+          SELECT document_id, section, node, place, before, closes, {n} FROM (
+            SELECT w.document_id, w.section, c.value AS node, concat(w.place, array(c.pos)) AS place, CASE WHEN c.pos = 0 THEN concat(w.before, w.opened) ELSE w.joiner END AS before, CASE WHEN c.pos = w.n - 1 THEN w.closes + 1 ELSE 0 END AS closes
+            FROM (SELECT *, {opened} AS opened, {joiner} AS joiner FROM walk WHERE n > 0) AS w, LATERAL variant_explode(try_variant_get(w.node, '$.children')) AS c(pos, key, value))
+        )
+        SELECT document_id, section, place, concat(before, {said}, repeat(')', closes)) AS said FROM walk WHERE n = 0
+        """,
+        docs=docs,
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("place", "said")))
+    return leaves.groupBy("document_id", "section").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("chain"))
+
+
 # --- edits ---------------------------------------------------------------------------
 _STRING = r'"(?:[^"\\]++|\\.)*+"'
 _FLAT = r"(?:[^{}\"]++|" + _STRING + r")*+"

@@ -1,14 +1,15 @@
 """Spans: containment and overlap with items, best anchors, de-duplication, and the sequential folds.
 
 Offsets are half-open. Joins are on the document with a range condition, so a
-document's spans meet its own items only. Merging is windows; the two folds that
-depend on order run on one group of overlapping spans at a time.
+document's spans meet its own items only. Merging is windows. The folds that depend on
+order (suppression, flat selection, greedy matching) run in the JVM over one group of
+overlapping spans at a time, as an array with the kept spans as state; most groups
+are a single span.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -39,15 +40,30 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
     return spans.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def suppress(pdf: pd.DataFrame, threshold: float = 0.8) -> pd.DataFrame:
-    """Same-label spans by falling score and length; one that overlaps a kept one by the threshold of the shorter goes."""
-    keep, kept = [], {}
-    for i, r in pdf.assign(n=lambda x: x.a - x.b).sort_values(["score", "n", "span"], ascending=[False, True, True]).iterrows():
-        rivals = kept.setdefault(r.label, [])
-        if all(min(r.b, b) - max(r.a, a) < threshold * max(1, min(r.b - r.a, b - a)) for a, b in rivals):
-            rivals.append((r.a, r.b))
-            keep.append(i)
-    return pdf.loc[sorted(keep)]
+def _shared(x: Column, y: Column) -> Column:
+    """Characters that two spans share; not positive where they are apart."""
+    return F.least(x["b"], y["b"]) - F.greatest(x["a"], y["a"])
+
+
+def _kept(spans: DataFrame, keys: tuple[str, ...], order: list[Column], rival) -> DataFrame:
+    """Spans in order, without those that a kept span rules out; within each group of overlapping spans of the keys."""
+    row = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)), *spans.columns)
+    groups = clustered(spans, *keys).groupBy(*keys, "cluster").agg(F.array_sort(F.collect_list(row)).alias("own"))
+    fold = lambda kept, x: F.when(F.exists(kept, lambda k: rival(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+    kept = F.when(F.size("own") == 1, F.col("own")).otherwise(F.aggregate("own", F.slice("own", 1, 0), fold))
+    return groups.select(F.explode(kept).alias("s")).select(*(F.col("s")[c].alias(c) for c in spans.columns))
+
+
+def suppressed(spans: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Same-label spans by falling score and length; one that shares the threshold of the shorter with a kept one goes."""
+    size = lambda x: x["b"] - x["a"]
+    rival = lambda k, x: (_shared(k, x) > 0) & (_shared(k, x) >= threshold * F.least(size(k), size(x)))
+    return _kept(spans, ("doc", "label"), [-F.col("score"), F.col("a") - F.col("b"), F.col("span")], rival)
+
+
+def flat(spans: DataFrame) -> DataFrame:
+    """Spans by start, longer first; one that lies in a kept one or overlaps it goes."""
+    return _kept(spans, ("doc",), [F.col("a"), F.col("a") - F.col("b"), F.col("span")], lambda k, x: _shared(k, x) > 0)
 
 
 def merged(spans: DataFrame, gap: int = 1) -> DataFrame:
@@ -66,21 +82,25 @@ def merged(spans: DataFrame, gap: int = 1) -> DataFrame:
     return placed.groupBy("doc", "run", "part").agg(first.alias("span"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("label").alias("label"), F.min("score").alias("score")).drop("run", "part")
 
 
-def greedy_match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Predictions in order take the free gold span that overlaps most; the first of equals."""
-    gold = pdf[pdf.side == "gold"].sort_values("span").to_dict("records")
-    used: set[int] = set()
-    out = []
-    for p in pdf[pdf.side == "pred"].sort_values("span").to_dict("records"):
-        best, at = 0, None
-        for k, g in enumerate(gold):
-            shared = min(p["b"], g["b"]) - max(p["a"], g["a"])
-            if k not in used and shared > best:
-                best, at = shared, k
-        if at is not None:
-            used.add(at)
-        out.append((p["doc"], p["span"], None if at is None else gold[at]["span"], best))
-    return pd.DataFrame(out, columns=["doc", "span", "gold_span", "shared"])
+def greedy_match(sides: DataFrame, keys: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """doc, span, gold_span, shared of every prediction: in order it takes the free gold span that it overlaps most, the first of equals, or none.
+
+    ``sides`` are spans with side 'gold' or 'pred'; ``keys`` keeps them apart, as by type.
+    """
+    row = F.struct("span", "a", "b")
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, row)))
+    groups = clustered(sides, *keys).groupBy(*keys, "cluster").agg(of("gold").alias("gold"), of("pred").alias("pred")).where(F.size("pred") > 0)
+
+    def take(state: Column, p: Column) -> Column:
+        free = F.transform("gold", lambda g, i: F.when((_shared(g, p) > 0) & ~F.array_contains(state["used"], i), F.struct(_shared(g, p).alias("shared"), (-i).alias("i"))))
+        best = F.array_max(free)
+        used = F.when(best.isNull(), state["used"]).otherwise(F.concat(state["used"], F.array(-best["i"])))
+        pair = F.struct(p["span"].alias("span"), F.when(best.isNotNull(), F.get("gold", -best["i"])["span"]).alias("gold_span"), F.coalesce(best["shared"], F.lit(0).cast("long")).alias("shared"))
+        return F.struct(used.alias("used"), F.concat(state["pairs"], F.array(pair)).alias("pairs"))
+
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<span:bigint,gold_span:bigint,shared:bigint>>").alias("pairs"))
+    pairs = F.aggregate("pred", start, take, lambda state: state["pairs"])
+    return groups.select("doc", F.explode(pairs).alias("p")).select("doc", "p.*")
 
 
 def clustered(spans: DataFrame, *keys: str) -> DataFrame:
@@ -90,12 +110,6 @@ def clustered(spans: DataFrame, *keys: str) -> DataFrame:
     return spans.withColumn("far", far).withColumn("cluster", F.sum(F.when(F.col("a") < F.col("far"), 0).otherwise(1)).over(order)).drop("far")
 
 
-def per_cluster(spans: DataFrame, fold, schema: str | None = None, keys: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """A fold over each group of spans that overlap, directly or by way of others; only these see each other, so long documents are many groups."""
-    names = [c for c in spans.columns]
-    return clustered(spans, *keys).groupBy(*keys, "cluster").applyInPandas(lambda pdf: fold(pdf[names]), schema or spans.schema)
-
-
 def bio_spans(tokens: DataFrame) -> DataFrame:
     """Spans from BIO tags (doc, pos, a, b, tag, score): a B, or an I after another label, starts one; a first I is dropped."""
     w = Window.partitionBy("doc").orderBy("pos")

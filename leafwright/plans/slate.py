@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, layer1, layer2, layer3, spans, tree
 from .dialect import DUCK, Spark, apply, codes, render
-from . import branches, oracle, trees
+from . import branches, evaluation, oracle, trees
 from .leaves import leaves, leaves_sql, tables
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,9 +197,18 @@ _span_query("spans_in_items", spans.contained, "SELECT i.doc, i.item, s.span, s.
 _span_query("spans_over_items", spans.overlapping, _OVERLAP)
 _span_query("best_anchor", lambda s, i: spans.best_anchor(spans.overlapping(s, i), _RANKS), f"SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY CASE label WHEN 'Condition' THEN 0 WHEN 'Measurement' THEN 1 ELSE 2 END, shared DESC, score DESC, size DESC, span) AS n FROM ({_OVERLAP})) WHERE n = 1")
 _span_query("distinct_spans", lambda s, i: spans.distinct_spans(s), "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY doc, a, b, label ORDER BY score DESC, span) AS n FROM spans) WHERE n = 1")
-# Folds that depend on order have no SQL; tests hold them against plain loops.
-_span_query("suppressed_spans", lambda s, i: spans.per_cluster(s, spans.suppress, keys=("doc", "label")), None)
-_span_query("greedy_span_match", lambda s, i: spans.per_cluster(s.select("*", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred").alias("side")), spans.greedy_match, "doc long, span long, gold_span long, shared long"), None)
+# Folds that depend on order: the oracle goes from span to span, with the kept ones in a list.
+_FOLD = "WITH RECURSIVE spans AS ({0}), items AS ({1}), placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {{keys}} ORDER BY {{order}}) AS nth FROM spans), fold AS (SELECT {{keys}}, nth, [{{{{'a': a, 'b': b, 'span': span}}}}] AS kept FROM placed WHERE nth = 1 UNION ALL SELECT {{on}}, p.nth, CASE WHEN len(list_filter(f.kept, lambda k: {{rival}})) > 0 THEN f.kept ELSE list_append(f.kept, {{{{'a': p.a, 'b': p.b, 'span': p.span}}}}) END FROM fold AS f JOIN placed AS p ON p.nth = f.nth + 1 AND {{same}}) SELECT s.* FROM spans AS s JOIN (SELECT doc, unnest(kept).span AS span FROM (SELECT doc, arg_max(kept, nth) AS kept FROM fold GROUP BY {{keys}})) AS k ON k.doc = s.doc AND k.span = s.span".format(_SPANS, _ITEMS)
+_LEAST = "least(k.b - k.a, p.b - p.a)"
+_span_query("suppressed_spans", lambda s, i: spans.suppressed(s), None)
+_SQL["suppressed_spans"] = _FOLD.format(keys="doc, label", on="p.doc, p.label", same="p.doc = f.doc AND p.label = f.label", order="score DESC, b - a DESC, span", rival=f"least(k.b, p.b) > greatest(k.a, p.a) AND least(k.b, p.b) - greatest(k.a, p.a) >= 0.8 * {_LEAST}")
+_span_query("flat_spans", lambda s, i: spans.flat(s), None)
+_SQL["flat_spans"] = _FOLD.format(keys="doc", on="p.doc", same="p.doc = f.doc", order="a, b - a DESC, span", rival="least(k.b, p.b) > greatest(k.a, p.a)")
+_SIDES = "SELECT doc, span, a, b, label, CASE WHEN span % 2 = 0 THEN 'gold' ELSE 'pred' END AS side FROM spans"
+_span_query("greedy_span_match", lambda s, i: spans.greedy_match(s.withColumn("side", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred"))), None)
+#: Predictions of a document one after the other; the gold spans taken so far stand in a list.
+GREEDY = "{name}p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY span) AS nth FROM sides WHERE side = 'pred'), {name} AS (SELECT {keys}, 0::BIGINT AS nth, NULL::BIGINT AS span, NULL::BIGINT AS gold_span, 0::BIGINT AS shared, []::BIGINT[] AS used FROM {name}p WHERE nth = 1 UNION ALL SELECT {on}, p.nth, p.span, g.span, coalesce(g.shared, 0), CASE WHEN g.span IS NULL THEN m.used ELSE list_append(m.used, g.span) END FROM {name} AS m JOIN {name}p AS p ON {same} AND p.nth = m.nth + 1 LEFT JOIN LATERAL (SELECT x.span, least(x.b, p.b) - greatest(x.a, p.a) AS shared FROM sides AS x WHERE x.side = 'gold' AND {gold} AND least(x.b, p.b) > greatest(x.a, p.a) AND NOT list_contains(m.used, x.span) ORDER BY shared DESC, x.span LIMIT 1) AS g ON true)"
+_SQL["greedy_span_match"] = f"WITH RECURSIVE spans AS ({_SPANS}), sides AS MATERIALIZED ({_SIDES}), " + GREEDY.format(name="m", keys="doc", on="p.doc", same="p.doc = m.doc", gold="x.doc = p.doc") + " SELECT doc, span, gold_span, shared FROM m WHERE nth > 0"
 _span_query("merged_spans", lambda s, i: spans.merged(s), "SELECT doc, min(span) FILTER (nth = 1) AS span, min(a) AS a, max(b) AS b, any_value(label) AS label, min(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, run, part ORDER BY a, b, span) AS nth FROM (SELECT *, sum(CASE WHEN a - far <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, run ORDER BY a, b, span) AS part FROM (SELECT *, max(b) OVER (PARTITION BY doc, run ORDER BY a, b, span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT *, sum(CASE WHEN label = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY a, b, span) AS run FROM (SELECT *, lag(label) OVER (PARTITION BY doc ORDER BY a, b, span) AS before FROM spans))))) GROUP BY doc, run, part")
 
 
@@ -226,8 +235,8 @@ branches.register(LAYER3, (*BRANCH_A, layer2.ablation))
 
 
 def queries() -> dict:
-    return _SPARK | branches.queries() | trees.queries()
+    return _SPARK | branches.queries() | trees.queries() | evaluation.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | oracle.oracle_sql() | branches.oracle_sql() | trees.oracle_sql()
+    return _SQL | oracle.oracle_sql() | branches.oracle_sql() | trees.oracle_sql() | evaluation.oracle_sql()

@@ -177,6 +177,11 @@ _query("schema_errors", lambda s, d: validate.tree_errors(documents(s, d), SCHEM
        UNION ALL SELECT document_id, path || '.temporal_context.anchor_event', '"visit" is not one of' FROM c WHERE json_extract_string(x, '$.temporal_context.anchor_event') = 'visit'""")
 
 
+def oracle_with(sql: str) -> str:
+    """A statement over the nested documents; ROOTS stands for the roots of their sections."""
+    return f"WITH RECURSIVE leaf AS ({leaves_sql()}), docs AS MATERIALIZED ({_documents(OLD_LEAF, _Joined.duck).replace('LEAVES', 'leaf')}), {sql.replace('ROOTS', _ROOTS)}"
+
+
 def queries() -> dict:
     return dict(_SPARK)
 
