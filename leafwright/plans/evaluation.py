@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clauses, gold, judge, nested, rescue_apply, splits, tagging
+from ..operators import clauses, gold, judge, nested, splits, tagging
 from . import trees
 from .leaves import leaves, leaves_sql, tables
 
@@ -170,6 +171,41 @@ _SPARK["trace_tokens"] = lambda s, d: _traces(s, d).select("conv_id", *judge.tok
 _SQL["trace_tokens"] = "SELECT conv_id, (count(*) FILTER (c))::INT AS calls, coalesce(sum(n) FILTER (c AND turn % 5 = 0), 0)::BIGINT AS prompt_tokens, (7 * count(*) FILTER (c AND turn % 5 = 0))::BIGINT AS completion_tokens, coalesce(sum(n + CASE WHEN turn % 5 = 0 THEN 7 ELSE 0 END) FILTER (c), 0)::BIGINT AS total_tokens FROM (SELECT conv_id, turn, coalesce(length(text), 0) AS n, turn % 5 IN (0, 3) AND conv_id % 9 NOT IN (4, 5) AS c FROM conversations) GROUP BY conv_id"
 
 
+# --- the judge loop ------------------------------------------------------------------
+#: Recorded plans, verdicts and repairs: verdicts that fail to parse, are missing or have single scores only; repairs that abstain, are missing or do not hold.
+_PLAN = """SELECT key_id AS plan_id, key_id AS criterion_id, CASE WHEN k % 2 = 0 THEN 'entity_regrounding' ELSE '' END AS rescue_task_type, concat('{"criterion_id":"', key_id, '","entity_type":"drug","entity_text":"', entity_text, '","operator":"exists","value_type":"null","value":null,"unit":null,"computability":"computable","evidence_text":"', evidence_text, '"}') AS leaf, concat(evidence_text, ' in this study') AS context_text, '{}' AS a_leaf FROM LEAF WHERE k % 3 < 2"""
+_VERDICT = """SELECT key_id AS plan_id, 'B_current' AS candidate_id, CASE WHEN k % 17 = 5 THEN 'error' ELSE 'ok' END AS parse_status, 'no object' AS parse_error, CASE WHEN k % 13 <> 1 THEN (k % 12) / 2.0 END AS average_score, 3.0 AS single, k % 9 = 4 AS crit FROM LEAF WHERE k % 23 <> 6
+UNION ALL SELECT key_id, concat('LLM_candidate_', CAST(n AS STRING)), 'ok', '', ((k * 3 + n * 7) % 13) * 0.4, 0.0, (k + n) % 8 = 1 FROM LEAF, (VALUES (1), (2), (3)) AS v(n) WHERE (k + n) % 10 <> 2"""
+_REPAIR = """SELECT key_id AS plan_id, n AS attempt, (k + n) % 7 = 3 AS abstain, concat('{"criterion_id":"other","entity_type":"', CASE WHEN (k + n) % 5 = 0 THEN 'device' ELSE 'lab' END, '","entity_text":"', entity_text, '"}') AS leaf FROM LEAF, (VALUES (1), (2), (3)) AS v(n) WHERE (k + n) % 4 <> 1"""
+
+
+def _braced(sql: str) -> str:
+    return sql.replace("{", "\\u007B").replace("}", "\\u007D").replace("LEAF", "{leaf}")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = leaves(spark, sf_dir)
+    plans, given, repairs = (spark.sql(_braced(x), leaf=own) for x in (_PLAN, _VERDICT, _REPAIR))
+    marks = F.map_from_arrays(F.array(*map(F.lit, judge.CRITERIA)), F.array_repeat(F.col("single").cast("double"), len(judge.CRITERIA)))
+    verdicts = given.select("plan_id", "candidate_id", "parse_status", "parse_error", F.col("average_score").cast("double").alias("average_score"), marks.alias("scores"), F.array(F.when(F.col("crit"), " wrong entity ").otherwise(" ")).alias("critical_errors"))
+    out = judge.run(plans, verdicts, repairs, f"slate-{uuid.uuid4().hex}")
+    return out.select("plan_id", "final_decision", "selected_source", F.round("original_score", 6).alias("original_score"), F.round("best_score", 6).alias("best_score"), "used", "generated", "confidence", "local_validation_status")
+
+
+_SPARK["judged_rescue"] = _judged
+_ROUND = """s{n} AS MATERIALIZED (SELECT plan_id, b_ok, o, CASE WHEN better THEN 'LLM_candidate_{n}' ELSE src END AS src, CASE WHEN better THEN score ELSE best END AS best, CASE WHEN better THEN valid ELSE ok END AS ok, {n} AS used, gen + made::INT AS gen,
+  (better OR src <> 'B_current') AND CASE WHEN better THEN score ELSE best END >= 4.0 AND CASE WHEN better THEN score ELSE best END - o >= 0.25 AS done FROM (SELECT *, made AND valid AND score > best AND NOT crit AS better FROM (
+  SELECT s.*, r.attempt IS NOT NULL AS made, r.good AND s.grounded AS valid, coalesce(v.score, 0.0) AS score, coalesce(v.crit, true) AS crit FROM (SELECT q.*, p.grounded FROM s{m} AS q JOIN plan AS p USING (plan_id) WHERE NOT done) AS s LEFT JOIN repair AS r ON r.plan_id = s.plan_id AND r.attempt = {n} LEFT JOIN verdict AS v ON v.plan_id = s.plan_id AND v.candidate_id = 'LLM_candidate_{n}')))"""
+_SQL["judged_rescue"] = f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), plan AS MATERIALIZED (SELECT plan_id, trim(e) <> '' AND trim(v) <> '' AND contains(lower(v), lower(e)) AS grounded FROM (SELECT plan_id, json_extract_string(leaf, '$.entity_text') AS e, json_extract_string(leaf, '$.evidence_text') AS v FROM ({_PLAN.replace('LEAF', 'leaf')}))),
+verdict AS MATERIALIZED (SELECT plan_id, candidate_id, CASE WHEN parse_status = 'ok' THEN least(5.0, greatest(0.0, coalesce(average_score, single)))::DOUBLE ELSE 0.0 END AS score, crit OR parse_status <> 'ok' AS crit FROM ({_VERDICT.replace('LEAF', 'leaf')})),
+repair AS MATERIALIZED (SELECT plan_id, attempt, NOT contains(leaf, 'device') AS good FROM ({_REPAIR.replace('LEAF', 'leaf')}) WHERE NOT abstain),
+s0 AS MATERIALIZED (SELECT plan_id, grounded AS b_ok, coalesce(score, 0.0) AS o, 'B_current' AS src, coalesce(score, 0.0) AS best, grounded AS ok, 0 AS used, 0 AS gen, coalesce(score >= 4.5 AND NOT crit, false) AS done FROM plan LEFT JOIN (SELECT * FROM verdict WHERE candidate_id = 'B_current') USING (plan_id)),
+{', '.join(_ROUND.format(n=n, m=n - 1) for n in (1, 2, 3))},
+last AS (SELECT *, CASE WHEN src = 'B_current' AND o >= 4.5 THEN 'no_change' WHEN src <> 'B_current' AND best >= 4.0 AND best - o >= 0.25 THEN 'select_candidate' ELSE 'human_review' END AS d FROM (SELECT * FROM s0 WHERE done UNION ALL SELECT * FROM s1 WHERE done UNION ALL SELECT * FROM s2 WHERE done UNION ALL SELECT * FROM s3))
+SELECT plan_id, CASE WHEN ok THEN d ELSE 'human_review' END AS final_decision, CASE WHEN d = 'human_review' OR NOT ok THEN 'none' ELSE src END AS selected_source, round(o, 6) AS original_score, round(best, 6) AS best_score, used, gen AS generated,
+  CASE WHEN d = 'human_review' OR NOT ok THEN 'low' WHEN d = 'select_candidate' OR o >= 4.75 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN d = 'human_review' THEN 'not_applicable' WHEN ok THEN 'pass' ELSE 'fail' END AS local_validation_status FROM last"""
+
+
 def queries() -> dict:
     return dict(_SPARK)
 
