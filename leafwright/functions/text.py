@@ -78,14 +78,18 @@ def token_set(d: Spark, x: str, keep: str = "[^a-z0-9]+", stop: tuple = STOP_WOR
     return d.keep(own, test)
 
 
+def recall_of(d: Spark, x: str, y: str) -> str:
+    """Share of the tokens x that y has; 0 where x has none."""
+    return f"CASE WHEN {d.size(x)} = 0 THEN CAST(0 AS DOUBLE) ELSE CAST({d.size(d.common(x, y))} AS DOUBLE) / {d.size(x)} END"
+
+
 def recall(d: Spark, a: str, b: str, **kind) -> str:
     """Share of a's tokens that b has; 0 where a has none."""
-    x, y = token_set(d, a, **kind), token_set(d, b, **kind)
-    return f"CASE WHEN {d.size(x)} = 0 THEN 0.0D ELSE CAST({d.size(d.common(x, y))} AS DOUBLE) / {d.size(x)} END".replace("0.0D", "CAST(0 AS DOUBLE)")
+    return recall_of(d, token_set(d, a, **kind), token_set(d, b, **kind))
 
 
-def jaccard(d: Spark, a: str, b: str, both_empty: float = 0.0, keep: str = "[^a-z0-9+-]+") -> str:
-    x, y = (token_set(d, z, keep=keep, stop=(), least=1) for z in (a, b))
+def jaccard_of(d: Spark, x: str, y: str, both_empty: float = 0.0) -> str:
+    """Share of all tokens that both have; 0 where one has none."""
     common = d.size(d.common(x, y))
     return (
         f"CASE WHEN {d.size(x)} = 0 AND {d.size(y)} = 0 THEN CAST({both_empty} AS DOUBLE) WHEN {d.size(x)} = 0 OR {d.size(y)} = 0 THEN CAST(0 AS DOUBLE) "
@@ -93,6 +97,10 @@ def jaccard(d: Spark, a: str, b: str, both_empty: float = 0.0, keep: str = "[^a-
     )
 
 
+def jaccard(d: Spark, a: str, b: str, both_empty: float = 0.0, keep: str = "[^a-z0-9+-]+") -> str:
+    return jaccard_of(d, *(token_set(d, z, keep=keep, stop=(), least=1) for z in (a, b)), both_empty=both_empty)
+
+
 GROUNDING = {"keep": "[^a-z0-9%<>=./+-]+", "stop": STOP_WORDS_GROUNDING}
 
 

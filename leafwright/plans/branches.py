@@ -45,7 +45,7 @@ def _query(name: str, tables: str, run: Callable[..., DataFrame], sql: str) -> N
     """``run`` over the named fixtures, and its statement over tables of the same names."""
     names = tables.split()
     _SPARK[name] = lambda spark, sf_dir: run(*(_fixture(spark, sf_dir, n) for n in names))
-    _SQL[name] = f"WITH leaf AS ({leaves_sql()}), " + ", ".join(f"{n} AS ({FIXTURES[n]})" for n in names) + " " + sql
+    _SQL[name] = f"WITH leaf AS MATERIALIZED ({leaves_sql()}), " + ", ".join(f"{n} AS MATERIALIZED ({FIXTURES[n]})" for n in names) + " " + sql
 
 
 # --- clauses and leaves ------------------------------------------------------------
@@ -161,9 +161,9 @@ _query("recovered_spans", "leaf_a", _spans,
 
 
 # --- rules over all layers -----------------------------------------------------------
-def _leaf(name: str, steps: tuple, closing: str | Callable[[DataFrame], DataFrame], sql: str) -> None:
+def _leaf(name: str, steps: tuple, closing: str | Callable[[DataFrame], DataFrame], sql: str, wanted: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = apply(leaves(spark, sf_dir), text.columns, *steps)
+        own = apply(leaves(spark, sf_dir), text.columns, *steps, wanted=closing if isinstance(closing, str) else wanted)
         return spark.sql(closing, leaf=own) if isinstance(closing, str) else closing(own)
 
     _SPARK[name], _SQL[name] = run, oracle.rules() + oracle.once(sql)
@@ -203,9 +203,9 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
 
     _leaf("applied_rescue", plan, applied, _CANDIDATES + _APPLIED)
     _SPARK["normal_leaves"], _SQL["normal_leaves"] = _normal, f"WITH leaf AS ({leaves_sql()})" + _NORMAL
-    _leaf("ablation_by_variant", ablation, lambda own: aggregates.by_variant(own.where("manual_label is not null"), {"full": "risk_label", "signals": "signal_label"}, "manual_label"), _VARIANTS)
-    _leaf("ablation_overlap", ablation, lambda own: aggregates.overlaps(own, F.col("risk_label") == "review_priority", F.col("signal_label") == "review_priority"), _OVERLAPS)
-    _leaf("prioritised_sweep", layer3_steps, lambda own: aggregates.prioritised(own.where("manual_label is not null"), "semantic_support", "manual_label"), _SWEEP)
+    _leaf("ablation_by_variant", ablation, lambda own: aggregates.by_variant(own.where("manual_label is not null"), {"full": "risk_label", "signals": "signal_label"}, "manual_label"), _VARIANTS, "risk_label signal_label")
+    _leaf("ablation_overlap", ablation, lambda own: aggregates.overlaps(own, F.col("risk_label") == "review_priority", F.col("signal_label") == "review_priority"), _OVERLAPS, "risk_label signal_label")
+    _leaf("prioritised_sweep", layer3_steps, lambda own: aggregates.prioritised(own.where("manual_label is not null"), "semantic_support", "manual_label"), _SWEEP, "semantic_support")
 
 
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:

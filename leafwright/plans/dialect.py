@@ -7,6 +7,7 @@ Operators state their columns once, as functions from a dialect to SQL text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -66,19 +67,34 @@ class Duck(Spark):
 
 
 SPARK, DUCK = Spark(), Duck()
+_NAME = re.compile("[a-z_][a-z0-9_]*")
 #: New columns of an operator: name and expression.
 Step = Callable[[Spark], list[tuple[str, str]]]
 
 
-def apply(df: DataFrame, *steps: Step) -> DataFrame:
-    """``df`` with the steps' columns.
+def needed(steps: tuple[Step, ...], wanted: str | None) -> list[list[tuple[str, str]]]:
+    """The steps' columns that ``wanted`` (a statement, or names) leads back to, by step; all of them without it."""
+    rendered = [step(SPARK) for step in steps]
+    if wanted is None:
+        return rendered
+    names = set(_NAME.findall(wanted))
+    out = []
+    for own in reversed(rendered):
+        kept = [(n, e) for n, e in own if n in names]
+        names.update(*(_NAME.findall(e) for _, e in kept))
+        out.append(kept)
+    return out[::-1]
+
+
+def apply(df: DataFrame, *steps: Step, wanted: str | None = None) -> DataFrame:
+    """``df`` with the steps' columns, only those that ``wanted`` reads if it is given.
 
     Each step is one row of a generator: the optimiser merges neighbouring
     projections and would write a step's expressions once for each use of their
-    columns, but it does not merge across a generator.
+    columns, but it does not merge across a generator. Nor does it drop columns of a
+    generator that nothing reads, so what is not needed is left out here.
     """
-    for step in steps:
-        own = step(SPARK)
+    for own in needed(steps, wanted):
         # A generator takes no window functions, so these columns stay a projection.
         plain = [f"{e} AS {n}" for n, e in own if " OVER (" in e]
         held = ", ".join(f"{e} AS {n}" for n, e in own if " OVER (" not in e)

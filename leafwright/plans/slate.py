@@ -24,14 +24,15 @@ _SQL: dict[str, str] = {}
 
 def context(d: Spark) -> list[tuple[str, str]]:
     """The clause a leaf came from, duplicate codes, and what rescue reported."""
-    signature = "document_id, item_uid, entity_type, lower(entity_text), operator, value_type, value_text, unit, t_relation"
+    # A document is an order; by its key the rows lie together already.
+    signature = "l_orderkey, item_uid, entity_type, lower(entity_text), operator, value_type, value_text, unit, t_relation"
     return [
         ("item_text", "CASE WHEN k % 54 = 9 THEN 'an unrelated item' ELSE concat(evidence_text, ' in this study') END"),
         ("clause_type", "CASE k % 29 WHEN 3 THEN 'negation' WHEN 5 THEN 'exception' ELSE 'simple' END"),
         ("clause_text", "CASE WHEN k % 27 = 9 THEN 'another sentence' ELSE evidence_text END"),
         ("clause_negated", "k % 11 = 3"),
         ("has_clause", "k % 61 <> 7"),
-        ("codes_1b", codes([("duplicate_criterion_id", "criterion_id IS NOT NULL AND count(*) OVER (PARTITION BY document_id, criterion_id) > 1"), ("duplicate_identical_leaf", f"count(*) OVER (PARTITION BY {signature}) > 1")])),
+        ("codes_1b", codes([("duplicate_criterion_id", "criterion_id IS NOT NULL AND count(*) OVER (PARTITION BY l_orderkey, criterion_id) > 1"), ("duplicate_identical_leaf", f"count(*) OVER (PARTITION BY {signature}) > 1")])),
         ("rescue_decision", "CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'use_b' END"),
         ("apply_status", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 24 = 2 THEN 'applied' ELSE 'skipped' END END"),
         ("skip_reason", "CASE WHEN k % 12 = 2 AND k % 24 <> 2 AND k % 5 <> 0 THEN CASE WHEN k % 5 = 1 THEN 'not_applicable_final_decision:no_change' ELSE 'no_selected_leaf' END END"),
@@ -53,7 +54,7 @@ def _leaf(name: str, steps: tuple, closing: str, duck: str | None = None) -> Non
     steps = (text.columns, *steps)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(closing, leaf=apply(leaves(spark, sf_dir), *steps))
+        return spark.sql(closing, leaf=apply(leaves(spark, sf_dir), *steps, wanted=closing))
 
     _SPARK[name] = run
     ctes, last = render(leaves_sql(), *steps)
@@ -135,7 +136,7 @@ _leaf("review_sheet", (layer3.review_text,), "SELECT key_id, compact_leaf, conca
 
 def _reverified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same layer-1 functions, over repaired leaves."""
-    fixed = apply(leaves(spark, sf_dir), text.columns, *LAYER1, layer3.safe_repairs)
+    fixed = apply(leaves(spark, sf_dir), text.columns, *LAYER1, layer3.safe_repairs, wanted=f"codes_1a {' '.join(_NEW_FIELDS.values())}")
     for old, new in _NEW_FIELDS.items():
         fixed = fixed.withColumn(old, F.col(new))
     fixed = fixed.select(*leaves(spark, sf_dir).columns, F.col("codes_1a").alias("codes_before"))
@@ -152,12 +153,20 @@ _SQL["reverified_after_repair"] = f"{_ctes}, repaired AS ({_kept} FROM {_last})
 _leaf("extracted_fields", (*CONTEXT, *extract.EXTRACTION), "SELECT key_id, x_operator, x_value_type, x_value, CASE WHEN x_operator = 'between' THEN x_min END AS x_min, CASE WHEN x_operator = 'between' THEN x_max END AS x_max, x_unit, x_relation, x_t_value, x_t_unit, x_anchor, x_history, x_exception, x_condition, x_type, x_operational, x_computability FROM {leaf}")
 
 
+#: Each measure's tokens, once for both texts: how they are cut, stop words, shortest.
+_MEASURES = {"v1": {}, "v3": {"keep": "[^a-z0-9+-]+", "stop": (), "least": 1}, "v4": {"keep": "[^a-z0-9]+", "stop": (), "least": 1}, "v5": {"keep": "[^a-z0-9%<>=./+-]+"}}
+
+
+def _token_sets(d: Spark) -> list[tuple[str, str]]:
+    return [(f"{side}_{v}", text.token_set(d, x, **kind)) for v, kind in _MEASURES.items() for side, x in (("ent", "entity_text"), ("evi", "evidence_text"))]
+
+
 def _overlaps(d: Spark) -> list[tuple[str, str]]:
-    a, b = "entity_text", "evidence_text"
-    return [("recall_v1", text.recall(d, a, b)), ("jaccard_v3", text.jaccard(d, a, b)), ("jaccard_v4", text.jaccard(d, a, b, 1.0, "[^a-z0-9]+")), ("recall_v5", text.recall(d, a, b, keep="[^a-z0-9%<>=./+-]+"))]
+    of = lambda v, measure, **more: measure(d, f"ent_{v}", f"evi_{v}", **more)
+    return [("recall_v1", of("v1", text.recall_of)), ("jaccard_v3", of("v3", text.jaccard_of)), ("jaccard_v4", of("v4", text.jaccard_of, both_empty=1.0)), ("recall_v5", of("v5", text.recall_of))]
 
 
-_leaf("token_overlaps", (_overlaps,), "SELECT key_id, round(recall_v1, 9) AS recall_v1, round(jaccard_v3, 9) AS jaccard_v3, round(jaccard_v4, 9) AS jaccard_v4, round(recall_v5, 9) AS recall_v5 FROM {leaf}")
+_leaf("token_overlaps", (_token_sets, _overlaps), "SELECT key_id, round(recall_v1, 9) AS recall_v1, round(jaccard_v3, 9) AS jaccard_v3, round(jaccard_v4, 9) AS jaccard_v4, round(recall_v5, 9) AS recall_v5 FROM {leaf}")
 _ITEM = "doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS item_index, first_char AS start_char, first_char + length(trim(line)) AS end_char, md5(trim(line)) AS digest"
 _table(
     "item_split",

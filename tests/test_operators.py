@@ -1,7 +1,6 @@
 import random
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,16 +8,9 @@ from leafwright.operators import spans, tree
 from leafwright.sources import adapters, files
 from leafwright.streaming import ingest
 
-COLUMNS = ["doc", "span", "a", "b", "label", "score"]
-
-
-def table(rows):
-    return pd.DataFrame(rows, columns=COLUMNS)
-
-
-def test_suppression_keeps_the_better_of_overlapping_spans():
-    got = spans.suppress(table([(1, 1, 0, 10, "x", 0.5), (1, 2, 0, 9, "x", 0.9), (1, 3, 0, 10, "y", 0.1), (1, 4, 20, 30, "x", 0.2), (1, 5, 29, 50, "x", 0.3)]))
-    assert sorted(got.span) == [2, 3, 4, 5]
+def test_suppression_keeps_the_better_of_overlapping_spans(spark):
+    got = spans.suppressed(spark.createDataFrame([(1, 1, 0, 10, "x", 0.5), (1, 2, 0, 9, "x", 0.9), (1, 3, 0, 10, "y", 0.1), (1, 4, 20, 30, "x", 0.2), (1, 5, 29, 50, "x", 0.3)], SPANS))
+    assert sorted(r.span for r in got.collect()) == [2, 3, 4, 5]
 
 
 def test_merging_compares_merged_spans_again(spark):
@@ -78,10 +70,10 @@ def plain_match(rows):
 def test_span_folds_against_plain_loops(spark):
     rows = generated(3)
     df = spark.createDataFrame(rows, SPANS)
-    assert {r.span for r in spans.per_cluster(df, spans.suppress, keys=("doc", "label")).collect()} == plain_suppress(rows)
+    assert {r.span for r in spans.suppressed(df).collect()} == plain_suppress(rows)
     assert sorted((r.doc, r.a, r.b, r.label, r.score) for r in spans.merged(df).collect()) == plain_merge(rows)
     sides = df.withColumn("side", F.when(F.col("span") % 2 == 0, "gold").otherwise("pred"))
-    got = spans.per_cluster(sides, spans.greedy_match, "doc long, span long, gold_span long, shared long").collect()
+    got = spans.greedy_match(sides).collect()
     assert {r.span: (r.gold_span, r.shared) for r in got} == plain_match(rows)
 
 
@@ -101,10 +93,10 @@ def test_calls_leave_a_row_for_each_request(spark):
     assert got == [("", "B", "ok"), ("1", "A", "ok"), ("1", None, "error"), ("2", None, "error")]
 
 
-def test_greedy_match_depends_on_order():
+def test_greedy_match_depends_on_order(spark):
     rows = [(1, 1, 0, 10, "x", 1.0, "pred"), (1, 2, 0, 12, "x", 1.0, "pred"), (1, 3, 0, 11, "x", 1.0, "gold"), (1, 4, 8, 12, "x", 1.0, "gold")]
-    got = spans.greedy_match(pd.DataFrame(rows, columns=[*COLUMNS, "side"]))
-    assert got[["span", "gold_span", "shared"]].values.tolist() == [[1, 3, 10], [2, 4, 4]]
+    got = spans.greedy_match(spark.createDataFrame(rows, SPANS + ", side string"))
+    assert sorted((r.span, r.gold_span, r.shared) for r in got.collect()) == [(1, 3, 10), (2, 4, 4)]
 
 
 def test_bio(spark):
