@@ -9,7 +9,7 @@ from ..plans.dialect import Spark
 # The stop words of the three recall measures, number words and units.
 STOP_WORDS = (
     "a", "an", "the", "of", "with", "without", "and", "or", "to", "in", "on", "for", "by", "at", "from", "that", "which",
-    "have", "has", "had", "is", "are", "be", "been", "patients", "patient", "subjects", "subject", "must",
+    "has", "have", "had", "is", "are", "be", "been", "patients", "patient", "subjects", "subject", "must",
 )
 STOP_WORDS_CLAUSE = (
     "a", "an", "the", "of", "with", "without", "and", "or", "to", "in", "on", "for", "by", "at", "from", "that", "which",
@@ -22,7 +22,7 @@ STOP_WORDS_GROUNDING = (
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
 DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
 SURFACE_MARKERS = ("count", "number", "volume", "diameter", "percentage", "percent", "grade", "class", "score", "regimen", "regimens", "lesion", "lesions", "stenosis", "age", "size", "cm", "mm", "ml", "fetuses", "x uln", "upper limit")
-NORMALITY_MARKERS = ("normal", "abnormal", "elevated", "positive", "negative", "level", "levels", "mg/dl", "ng/ml", "mmol/l", "grade", "%", "returned to normal", "x uln", "upper limit")
+NORMALITY_MARKERS = ("normal", "abnormal", "elevated", "positive", "negative", "returned to normal", "level", "levels", "mg/dl", "ng/ml", "mmol/l", "x uln", "upper limit", "grade", "%")
 
 
 def norm(d: Spark, x: str) -> str:

@@ -116,42 +116,66 @@ def repair_check(d: Spark) -> list[tuple[str, str]]:
     ]
 
 
-def final_decisions(d: Spark) -> list[tuple[str, str]]:
-    """final_b, final_a and their rules; rescue columns: rescue_decision, apply_status, from_b, local_validation, skip_reason."""
-    forced = "(coalesce(rescue_decision, '') NOT IN ('', 'no_change') AND NOT coalesce(substr(skip_reason, 1, 39) = 'not_applicable_final_decision:no_change', false) AND (rescue_decision IN ('human_review', 'no_repair_possible') OR coalesce(local_validation = 'fail', false) OR coalesce(apply_status = 'skipped', false) AND coalesce(skip_reason, '') <> ''))"
-    b = [
-        (forced, "human_review", "B_rescue_unresolved"),
-        ("action_b = 'mandatory_verifier_candidate'", "human_review", "B_layer1_hard_issue"),
-        ("routing = 'llm_verifier'", "human_review", "B_llm_verifier"),
-        ("semantic_label = 'reference_review_priority'", "human_review", "B_semantic_high_risk"),
-        ("computability = 'non_computable'", "non_computable", "B_non_computable"),
-        ("routing = 'computability_review'", "partial", "B_computability_review"),
-        ("computability = 'partial'", "partial", "B_partial_computability"),
-        ("execution_label <> 'reference_high_support_not_auto_accept'", "partial", "B_execution_risk"),
-        ("routing = 'optional_llm_verifier_or_review'", "partial", "B_optional_review_partial"),
-        ("semantic_label = 'reference_intermediate_support'", "partial", "B_semantic_medium_risk"),
-        ("routing = 'keep_without_layer2_action'", "accept", "B_accept"),
-    ]
-    final_b = choose([(t, f"'{v}'") for t, v, _ in b], "'partial'")
-    replaced = "coalesce(from_b, false)"
-    a = [
-        (forced, "human_review", "A_rescue_unresolved"),
-        ("action_a = 'mandatory_rescue_or_review_candidate'", "human_review", "A_layer1_hard_issue"),
-        ("risk_label = 'review_priority'", "human_review", "A_layer2_high_risk"),
-        ("computability = 'non_computable'", "non_computable", "A_non_computable"),
-        ("computability = 'partial'", "partial", "A_partial_computability"),
-        ("action_a = 'computability_review_candidate'", "partial", "A_computability_review"),
-        ("risk_label = 'intermediate_support'", "partial", "A_layer2_medium_risk"),
-        ("risk_label = 'high_support_not_auto_accept' AND coalesce(computability, '') IN ('', 'computable')", "accept", "A_low_risk_accept"),
-        ("bucket_a = 'safe_normalization_only'", "accept", "A_safe_normalization_accept"),
+# Rules of the final decisions in their order, with what they come to and why.
+FINAL_B = (
+    ("action_b = 'mandatory_verifier_candidate'", "human_review", "B_layer1_hard_issue", "branch_b_layer1_mandatory_verifier_remains"),
+    ("routing = 'llm_verifier'", "human_review", "B_llm_verifier", "branch_b_final_routing_llm_verifier"),
+    ("semantic_label = 'reference_review_priority'", "human_review", "B_semantic_high_risk", "branch_b_semantic_grounding_high_risk"),
+    ("computability = 'non_computable'", "non_computable", "B_non_computable", "branch_b_non_computable"),
+    ("routing = 'computability_review'", "partial", "B_computability_review", "branch_b_computability_review"),
+    ("computability = 'partial'", "partial", "B_partial_computability", "branch_b_partial_computability"),
+    ("execution_label = 'reference_review_priority'", "partial", "B_execution_risk", "branch_b_execution_reference_review_priority_risk"),
+    ("execution_label = 'reference_intermediate_support'", "partial", "B_execution_risk", "branch_b_execution_reference_intermediate_support_risk"),
+    ("routing = 'optional_llm_verifier_or_review'", "partial", "B_optional_review_partial", "branch_b_optional_verifier_or_review"),
+    ("semantic_label = 'reference_intermediate_support'", "partial", "B_semantic_medium_risk", "branch_b_semantic_grounding_medium_risk"),
+    ("routing = 'keep_without_layer2_action'", "accept", "B_accept", "branch_b_accept_routing_low_semantic_risk"),
+)
+FINAL_A = (
+    ("action_a = 'mandatory_rescue_or_review_candidate'", "human_review", "A_layer1_hard_issue", "branch_a_layer1_mandatory_rescue_or_review_remains"),
+    ("risk_label = 'review_priority'", "human_review", "A_layer2_high_risk", "branch_a_layer2_high_risk_after_rescue"),
+    ("computability = 'non_computable'", "non_computable", "A_non_computable", "branch_a_non_computable"),
+    ("computability = 'partial'", "partial", "A_partial_computability", "branch_a_partial_computability"),
+    ("action_a = 'computability_review_candidate'", "partial", "A_computability_review", "branch_a_layer1_computability_review"),
+    ("risk_label = 'intermediate_support'", "partial", "A_layer2_medium_risk", "branch_a_medium_risk_after_rescue"),
+    ("risk_label = 'high_support_not_auto_accept' AND coalesce(computability, '') IN ('', 'computable')", "accept", "A_low_risk_accept", "branch_a_low_risk_no_hard_issue"),
+    ("bucket_a = 'safe_normalization_only'", "accept", "A_safe_normalization_accept", "branch_a_safe_normalization_only"),
+)
+
+
+def _first(rules, at: int, default: str) -> str:
+    return choose([(r[0], f"'{r[at]}'") for r in rules], f"'{default}'")
+
+
+def forced_review(d: Spark) -> list[tuple[str, str]]:
+    """forced_why: why the rescue leaves a leaf to a person, in order; empty if it does not. Columns: rescue_decision, apply_status, local_validation, skip_reason."""
+    unchanged = "coalesce(rescue_decision, '') IN ('', 'no_change') OR coalesce(substr(skip_reason, 1, 39) = 'not_applicable_final_decision:no_change', false)"
+    rules = [
+        (unchanged, "''"),
+        ("rescue_decision = 'human_review'", "'candidate_selection_rescue_returned_human_review'"),
+        ("rescue_decision = 'no_repair_possible'", "'candidate_selection_rescue_returned_no_repair_possible'"),
+        ("coalesce(local_validation = 'fail', false)", "'candidate_selection_rescue_failed_local_validation'"),
+        ("coalesce(apply_status = 'skipped', false) AND coalesce(skip_reason, '') <> ''", "concat('candidate_selection_rescue_skipped:', lower(skip_reason))"),
     ]
-    rest = choose([(t, f"'{v}'") for t, v, _ in a[1:]], "'partial'")
-    rule = choose([(t, f"'{r}'") for t, _, r in a[1:]], "'A_default_partial'")
+    return [("forced_why", choose(rules, "''"))]
+
+
+def final_b(d: Spark) -> list[tuple[str, str]]:
+    """final_b, its rule and its reason; a rescue that is not resolved goes first."""
+    first = lambda unresolved, at, default: f"CASE WHEN forced_why <> '' THEN {unresolved} ELSE {_first(FINAL_B, at, default)} END"
+    return [("final_b", first("'human_review'", 1, "partial")), ("rule_b", first("'B_rescue_unresolved'", 2, "B_default_partial")), ("final_reasons_b", first("forced_why", 3, "branch_b_uncertain_default_partial"))]
+
+
+def final_decisions(d: Spark) -> list[tuple[str, str]]:
+    """final_a, its rule and its reasons: a leaf taken over from branch B follows B's decision, or goes to a person if there is none (``b_decided``)."""
+    replaced, missing = "coalesce(from_b, false)", "NOT coalesce(b_decided, false)"
+
+    def first(unresolved: str, lost: str, taken: str, at: int, default: str) -> str:
+        return f"CASE WHEN forced_why <> '' THEN {unresolved} WHEN {replaced} AND {missing} THEN {lost} WHEN {replaced} THEN {taken} ELSE {_first(FINAL_A, at, default)} END"
+
     return [
-        ("final_b", final_b),
-        ("rule_b", choose([(t, f"'{r}'") for t, _, r in b], "'B_default_partial'")),
-        ("final_a", f"CASE WHEN {forced} THEN 'human_review' WHEN {replaced} THEN {final_b} ELSE {rest} END"),
-        ("rule_a", f"CASE WHEN {forced} THEN 'A_rescue_unresolved' WHEN {replaced} THEN concat('A_hybrid_from_B_', {final_b}) ELSE {rule} END"),
+        ("final_a", first("'human_review'", "'human_review'", "final_b", 1, "partial")),
+        ("rule_a", first("'A_rescue_unresolved'", "'A_hybrid_from_B_missing_b_decision'", "concat('A_hybrid_from_B_', final_b)", 2, "A_default_partial")),
+        ("final_reasons_a", first("forced_why", "'branch_a_replaced_by_branch_b_but_missing_branch_b_final_decision'", "concat('branch_a_replaced_by_validated_branch_b_leaf;using_branch_b_post_rescue_decision:', final_b)", 3, "branch_a_uncertain_default_partial")),
     ]
 
 

@@ -27,6 +27,7 @@ OTHER_ACTIONABLE = ("temporal_marker_without_temporal_context", "history_marker_
 POLARITY_TERMS = ("negation_clause_with_exists_operator", "positive_clause_with_not_exists_operator", "negative_entity_with_not_exists_operator")
 SCOPE_TERMS = ("condition_context_present", "condition_context_present_without_handling", "exception_or_condition_clause_without_context_handling", "exception_clause_computable_despite_context", "computable_with_exception_context", "condition_exception", "exception_context")
 ACTIONABLE_TASKS = ("list_value_recovery", "range_bounds_recovery", "scalar_value_recovery", "value_or_operator_recovery", "temporal_context_recovery", "history_context_recovery", "polarity_negation_repair")
+APPLICABLE = ("select_candidate", "mark_partial_or_non_computable")
 JUDGED_TASKS = ("branch_a_field_level_semantic_rescue", "duplicate_prune_or_merge_judge", "condition_exception_context_recovery")
 
 
@@ -147,21 +148,17 @@ def validation(d: Spark) -> list[tuple[str, str]]:
 
 
 def gate(d: Spark) -> list[tuple[str, str]]:
-    """Why the candidate is not applied, empty if it is: the decision, then validation, then a selected leaf, then new schema errors.
+    """Why the candidate is not applied, empty if it is: the decision, validation, a selected leaf, a change at all, then new schema errors.
 
-    ``new_codes`` are the structural codes of the overlaid leaf.
+    ``old_*`` are the fields before the overlay, ``new_errors`` structural codes of the overlaid leaf that the old one had not. ``rescue_apply`` is the same over nested trees.
     """
-    return [
-        (
-            "skip_why",
-            choose(
-                [
-                    ("coalesce(rescue_decision, '') <> 'use_b'", "concat('not_applicable_final_decision:', coalesce(rescue_decision, ''))"),
-                    ("validation_errors <> ''", "'local_validation_not_pass:fail'"),
-                    ("NOT b_found", "'selected_leaf_missing_or_not_object'"),
-                    ("new_errors <> ''", "'new_schema_errors'"),
-                ],
-                "''",
-            ),
-        )
+    fields = ("entity_type", "entity_text", "operator", "value_type", "value_kind", "value_text", "unit", "computability")
+    same = " AND ".join(f"c_{f} IS NOT DISTINCT FROM old_{f}" for f in fields) + " AND c_reason IS NOT DISTINCT FROM old_non_computable_reason"
+    rules = [
+        (f"NOT {one_of('rescue_decision', APPLICABLE)}", "concat('not_applicable_final_decision:', coalesce(rescue_decision, ''))"),
+        ("validation_errors <> ''", "'local_validation_not_pass:fail'"),
+        ("NOT b_found", "'selected_leaf_missing_or_not_object'"),
+        (same, "'candidate_identical_to_target_leaf'"),
+        ("new_errors <> ''", "concat('full_ast_schema_new_invalid:', new_errors)"),
     ]
+    return [("skip_why", choose(rules, "''"))]

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from ..plans.dialect import apply
 from . import nested, validate
 from .layer1 import ANCHORS, COMPARISONS, COMPUTABILITY, ENTITY_TYPES, EQUALITIES, EXISTENCE, HISTORY, LISTS, OPERATORS, RELATIONS, UNITS, VALUE_TYPES
+from .rescue import APPLICABLE
 
-# Decisions that are applied, fields that a candidate may change, and keys of a time.
-APPLICABLE = ("select_candidate", "mark_partial_or_non_computable")
+# Fields that a candidate may change, and keys of a time.
 FIELDS = ("entity_text", "entity_type", "normalized_concept", "operator", "value", "value_type", "unit", "temporal_context", "history_context", "negated", "computability", "non_computable_reason", "evidence_text")
 TEMPORAL_KEYS = ("relation", "value", "unit", "anchor_event")
 REASON = "Marked non-computable by Layer 3 candidate-selection rescue."

@@ -193,9 +193,10 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
     def applied(own: DataFrame) -> DataFrame:
         done = apply(own, rescue.overlay, rescue.validation)
         old = done.columns
+        # Old fields stay beside the overlaid ones for the gate.
         # The structural codes of the overlaid leaf: the same function over other columns.
         swap = {f: f"c_{f}" for f in ("entity_type", "entity_text", "operator", "value_type", "value_kind", "value_text", "unit", "computability")} | {"non_computable_reason": "c_reason"}
-        fixed = done.select(*(F.col(swap[c]).alias(c) if c in swap else F.col(c) for c in old if c not in ("codes_1a", "low_entity_text", "low_value_text")), F.col("codes_1a").alias("codes_before"), F.col("operator").alias("old_operator"))
+        fixed = done.select(*(F.col(swap[c]).alias(c) if c in swap else F.col(c) for c in old if c not in ("codes_1a", "low_entity_text", "low_value_text")), F.col("codes_1a").alias("codes_before"), *(F.col(f).alias(f"old_{f}") for f in swap))
         again = apply(fixed.withColumn("low_entity_text", F.lower(F.trim(F.regexp_replace(F.coalesce("entity_text", F.lit("")), "[ \\t\\n\\r\\f]+", " ")))), layer1.structural_codes)
         news = F.array_except(F.split("codes_1a", ";"), F.split("codes_before", ";"))
         gated = apply(again.withColumn("new_errors", F.array_join(news, ";")), rescue.gate)
@@ -216,16 +217,7 @@ def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HAS = "regexp_matches(lower({0}), '{1}')"
-_TYPES = (
-    ("entity_regrounding", "entity_not_grounded|entity_not_in_evidence|entity_text_empty|generic_entity_text|no_bert_anchor|entity_partially_supported|entity_supported_by_source_token_overlap"),
-    ("value_or_operator_recovery", "comparison_without_scalar_value|operator_value_not_structurally_supported|value_not_grounded|value_missing|quantitative_cue_not_represented|quantitative_cue_unhandled|equality_without_value|pattern_operator_without_scalar_value"),
-    ("temporal_context_recovery", "temporal_marker_without_temporal_context|temporal_context_missing|temporal_anchor_mismatch|duration_marker_missing"),
-    ("history_context_recovery", "history_marker_without_history_context|history_context_invalid|history_context_missing"),
-    ("condition_exception_context_recovery", "condition_context_present|condition_or_exception|exception_context|exception_clause|condition_exception|exception_or_condition_clause_without_context_handling"),
-    ("polarity_negation_repair", "negation|not_exists|polarity"),
-    ("entity_type_reclassification", "entity_type_invalid|entity_type_other|entity_type_not_supported|bad_entity_type"),
-    ("duplicate_prune_or_merge_judge", "duplicate"),
-)
+_TYPES = tuple((task, "|".join(terms)) for task, terms in rescue.TASK_TERMS)
 
 
 def _type(said: str, default: str) -> str:
@@ -293,7 +285,7 @@ _APPLIED = f""", laid AS (SELECT *, CASE WHEN NOT bf THEN entity_type WHEN k % 1
 laid2 AS (SELECT *, CASE WHEN cv = 'null' THEN 'null' ELSE value_kind END AS ck, CASE WHEN cv = 'null' THEN NULL WHEN bf AND k % 6 <> 1 AND k % 9 = 4 THEN '7' ELSE value_text END AS cx, {oracle._N.format('ce')} AS n_ce FROM laid),
 checked AS (SELECT *, {oracle._codes(_VALIDATION)} AS validation_errors, {oracle._codes(_AGAIN)} AS again FROM laid2),
 gated AS (SELECT *, array_to_string(list_filter(string_split(again, ';'), lambda c: NOT list_contains(string_split(codes_1a, ';'), c)), ';') AS new_errors FROM checked),
-whys AS (SELECT *, CASE WHEN coalesce(rescue_decision, '') <> 'use_b' THEN 'not_applicable_final_decision:' || coalesce(rescue_decision, '') WHEN validation_errors <> '' THEN 'local_validation_not_pass:fail' WHEN NOT bf THEN 'selected_leaf_missing_or_not_object' WHEN new_errors <> '' THEN 'new_schema_errors' ELSE '' END AS skip_why FROM gated)
+whys AS (SELECT *, CASE WHEN coalesce(rescue_decision, '') <> 'select_candidate' THEN 'not_applicable_final_decision:' || coalesce(rescue_decision, '') WHEN validation_errors <> '' THEN 'local_validation_not_pass:fail' WHEN NOT bf THEN 'selected_leaf_missing_or_not_object' WHEN (ct, ce, co, cv, ck, cu, coalesce(cx, '~'), coalesce(cr, '~')) IS NOT DISTINCT FROM (entity_type, entity_text, operator, value_type, value_kind, unit, coalesce(value_text, '~'), coalesce(non_computable_reason, '~')) THEN 'candidate_identical_to_target_leaf' WHEN new_errors <> '' THEN 'full_ast_schema_new_invalid:' || new_errors ELSE '' END AS skip_why FROM gated)
 SELECT key_id, validation_errors, new_errors, skip_why, CASE WHEN skip_why = '' THEN co ELSE operator END AS final_operator FROM whys
 """
 _NORMAL = """, w AS (SELECT *, k % 15 = 4 AS misuse, coalesce(t_relation, t_value, t_unit, t_anchor) IS NOT NULL AS given, CASE WHEN lower(trim(value_text)) NOT IN ('null','none','') THEN value_text END AS wv, CASE WHEN k % 18 <> 2 THEN unit END AS wu FROM leaf)

@@ -2,15 +2,22 @@
 
 Nothing here is rendered from the operators: the rules are written a second
 time, in another form (code lists, set operations), so that a wrong rule on one
-side shows. Only the leaf fixture is shared. Values are fixed by the rules.
+side shows. Only the leaf fixture and the lists of fixed values are shared.
 """
 
 from __future__ import annotations
 
 import re
 
+from ..functions import text
+from ..operators import layer1, layer2
 from .leaves import leaves_sql
 
+
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 _N = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\n\r\f]+', ' ', 'g')))"
 _LIST = "array_to_string(list_sort(list_filter([{0}], lambda x: x IS NOT NULL)), ';')"
 
@@ -25,9 +32,9 @@ def _tokens(x: str, cut: str, stop: str, least: int = 2) -> str:
     return f"list_distinct(list_filter(string_split(trim(regexp_replace({x}, '{cut}', ' ', 'g')), ' '), lambda t: len(t) >= {least} AND NOT list_contains([{stop}], t)))"
 
 
-_STOP_1 = "'a','an','and','are','at','be','been','by','for','from','had','has','have','in','is','must','of','on','or','patient','patients','subject','subjects','that','the','to','which','with','without'"
-_STOP_2 = "'a','an','and','are','at','be','been','by','for','from','in','is','must','of','on','or','patient','patients','should','subject','subjects','that','the','to','which','with','without'"
-_STOP_5 = "'a','an','and','any','are','at','be','been','by','for','from','had','has','have','in','is','must','of','on','or','participant','participants','patient','patients','should','subject','subjects','that','the','to','which','with','without'"
+_STOP_1 = _listed(text.STOP_WORDS)
+_STOP_2 = _listed(text.STOP_WORDS_CLAUSE)
+_STOP_5 = _listed(text.STOP_WORDS_GROUNDING)
 _PLAIN, _SIGNS = "[^a-z0-9]+", "[^a-z0-9%<>=./+-]+"
 
 
@@ -39,12 +46,12 @@ def _share(a: str, b: str, cut: str, stop: str) -> str:
 _CODES_1A = r"""
 criterion_id_missing: criterion_id IS NULL OR criterion_id = ''
 criterion_id_malformed: criterion_id <> '' AND NOT regexp_matches(criterion_id, '^.+_C\d+$')
-entity_type_invalid_enum: entity_type IS NULL OR NOT list_contains(['condition','drug','procedure','lab','demographic','therapy','biomarker','vital','observation','stage','line_of_therapy','other'], entity_type)
-history_context_invalid_enum: NOT list_contains(['current','prior','previously_treated','stable_dose','investigational_use','other'], history_context)
+entity_type_invalid_enum: entity_type IS NULL OR NOT list_contains([<ENTITY_TYPES>], entity_type)
+history_context_invalid_enum: NOT list_contains([<HISTORY>], history_context)
 entity_text_empty: n_ent = ''
 evidence_text_empty: n_ev = ''
 operator_missing: operator IS NULL
-operator_invalid_enum: NOT list_contains(['exists','not_exists','=','!=','<','<=','>','>=','between','in','not_in','contains','matches'], operator)
+operator_invalid_enum: NOT list_contains([<OPERATORS>], operator)
 comparison_without_scalar_value: cmp AND NOT (value_kind <> 'null' AND value_type = 'scalar')
 comparison_value_is_numeric_string: cmp AND value_type = 'scalar' AND value_kind = 'string' AND regexp_full_match(trim(value_text), '[-+]?\d+(\.\d+)?')
 equality_without_value: operator IN ('=', '!=') AND (value_kind = 'null' OR value_type = 'null')
@@ -59,33 +66,34 @@ null_value_type_with_non_null_value: value_type = 'null' AND value_kind <> 'null
 scalar_value_type_with_complex_value: value_type = 'scalar' AND value_kind IN ('list', 'range')
 list_value_type_without_list_value: value_type = 'list' AND value_kind <> 'list'
 range_value_type_without_dict_value: value_type = 'range' AND value_kind <> 'range'
-value_type_invalid_enum: NOT list_contains(['scalar','list','range','null'], value_type)
+value_type_invalid_enum: NOT list_contains([<VALUE_TYPES>], value_type)
 temporal_context_missing_relation: tc AND t_relation IS NULL
-temporal_context_invalid_relation: NOT list_contains(['before','after','during','within','since'], t_relation)
+temporal_context_invalid_relation: NOT list_contains([<RELATIONS>], t_relation)
 temporal_context_missing_anchor_event: tc AND t_anchor IS NULL
-temporal_context_invalid_anchor_event: NOT list_contains(['screening','randomization','treatment_start','diagnosis','index_date','surgery','procedure','baseline','other'], t_anchor)
-temporal_context_invalid_unit: NOT list_contains(['hour','day','week','month','year'], t_unit)
+temporal_context_invalid_anchor_event: NOT list_contains([<ANCHORS>], t_anchor)
+temporal_context_invalid_unit: NOT list_contains([<UNITS>], t_unit)
 temporal_context_missing_value: t_value IS NULL AND (t_unit IS NOT NULL OR t_relation = 'within')
 temporal_context_missing_unit: regexp_full_match(trim(t_value), '\d+(\.\d+)?') AND t_unit IS NULL
 computable_with_non_computable_reason: computability = 'computable' AND trim(coalesce(non_computable_reason, '')) <> ''
 non_computable_without_reason: computability = 'non_computable' AND trim(coalesce(non_computable_reason, '')) = ''
 computable_with_exception_context: computability = 'computable' AND ctx
-computability_invalid_enum: NOT list_contains(['computable','partial','non_computable'], computability)
+computability_invalid_enum: NOT list_contains([<COMPUTABILITY>], computability)
 unit_present_without_value: unit <> '' AND value_type = 'null' AND NOT ex
-normalized_concept_invalid_system: NOT list_contains(['SNOMED-CT','RxNorm','LOINC','ICD-10-CM','UCUM'], concept_system)
+normalized_concept_invalid_system: NOT list_contains([<CONCEPT_SYSTEMS>], concept_system)
 normalized_concept_system_without_code: concept_system IS NOT NULL AND concept_code IS NULL
 """
+_CODES_1A = re.sub("<([A-Z_]+)>", lambda m: _listed(getattr(layer1, m[1])), _CODES_1A)
 _SURFACE = r"(\b(count|number|volume|diameter|percentage|percent|grade|class|score|regimen|regimens|lesion|lesions|stenosis|age|size|cm|mm|ml|fetuses)\b|x uln|upper limit|\b\d+(\.\d+)?\s*(cm|mm|ml|mg|kg|%)\b)"
 _NORMALITY = r"(\b(normal|abnormal|elevated|positive|negative|level|levels|mg/dl|ng/ml|mmol/l|grade|%)\b|returned to normal|x uln|upper limit|(<=|>=|<|>|=)\s*\d|\b\d+(\.\d+)?\s*(mg/dl|ng/ml|mmol/l|x\s*uln|%)\b)"
 _CODES_1C = rf"""
-entity_text_too_generic: n_ent IN ('of','and','or','with','without','other','any','patients','subjects','patient','subject','condition','disease','history') OR len({_tokens('n_ent', _PLAIN, _STOP_1)}) = 0
-comparison_with_non_quantitative_entity: cmp AND entity_type NOT IN ('lab','vital','observation','demographic','stage','line_of_therapy') AND NOT regexp_matches(n_ent, '{_SURFACE}') AND NOT regexp_matches(n_ev, '{_SURFACE}')
+entity_text_too_generic: n_ent IN ({_listed(layer1.GENERIC)}) OR len({_tokens('n_ent', _PLAIN, _STOP_1)}) = 0
+comparison_with_non_quantitative_entity: cmp AND entity_type NOT IN ({_listed(layer1.QUANTITATIVE_TYPES)}) AND NOT regexp_matches(n_ent, '{_SURFACE}') AND NOT regexp_matches(n_ev, '{_SURFACE}')
 comparison_entity_mismatch_from_source: cmp AND head <> '' AND {_share('lower(head)', 'n_ent', _PLAIN, _STOP_1)} < 0.5
 categorical_value_missing: ex AND value_type = 'null' AND mark IS NOT NULL AND NOT regexp_matches(n_ent, '\b' || mark || '\b') AND NOT regexp_matches(n_val, '\b' || mark || '\b')
 temporal_marker_without_temporal_context: NOT tc AND regexp_matches(n_ev, '(at screening|during screening|prior to|\bbefore\b|\bafter\b|\bwithin\b|\bsince\b|\bbaseline\b|\brandomization\b|study start|study entry|\bpre-procedure\b|\bpost-procedure\b)')
 duration_marker_missing_from_temporal_context: (t_value IS NULL OR t_unit IS NULL) AND NOT (value_kind <> 'null' AND regexp_replace(lower(trim(coalesce(unit, ''))), 's+$', '') IN ('hour','day','week','month','year')) AND regexp_matches(n_ev, '\b(\d+(\.\d+)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s*(hour|hours|day|days|week|weeks|month|months|year|years)\b') AND regexp_matches(n_ev, '(\b(within|before|after|since|following|pre-procedure|post-procedure|randomization|screening)\b|prior to|study entry|study start)')
 temporal_anchor_mismatch_from_source: tc AND t_anchor <> said_anchor
-critical_qualifier_missing_from_entity: len(list_filter(['active','uncontrolled','compromised','refusal','refuse','unresolved','severe','stable'], lambda q: regexp_matches(n_ev, '\b' || q || '\b') AND NOT regexp_matches(n_ent, '\b' || q || '\b'))) > 0
+critical_qualifier_missing_from_entity: len(list_filter([{_listed(layer1.QUALIFIERS)}], lambda q: regexp_matches(n_ev, '\b' || q || '\b') AND NOT regexp_matches(n_ent, '\b' || q || '\b'))) > 0
 requirement_object_inversion: needed <> '' AND contains(n_ent, needed) AND NOT contains(n_ent, needing)
 condition_context_present_without_handling: NOT ctx AND regexp_matches(n_ev, '(\b(if|unless|except)\b|if applicable|provided that|in case|only if)')
 existence_operator_on_quantitative_phrase: ex AND value_type = 'null' AND entity_type IN ('lab','vital','observation') AND regexp_matches(n_ev, '{_NORMALITY}')
@@ -106,8 +114,8 @@ def _in(column: str, names: str) -> str:
     return f"len(list_intersect(string_split({column}, ';'), [{names}]))"
 
 
-_EXECUTION = "'computable_with_exception_context','computable_with_non_computable_reason','non_computable_without_reason','computability_invalid_enum'"
-_SOFT = "'comparison_with_non_quantitative_entity','temporal_marker_without_temporal_context','duration_marker_missing_from_temporal_context','critical_qualifier_missing_from_entity'"
+_EXECUTION = _listed(layer1.EXECUTION)
+_SOFT = _listed(layer1.SOFT_WARNINGS)
 _N_1A = "(CASE WHEN codes_1a = '' THEN 0 ELSE len(string_split(codes_1a, ';')) END)"
 _N_1C = "(CASE WHEN codes_1c = '' THEN 0 ELSE len(string_split(codes_1c, ';')) END)"
 _N_1D = "(CASE WHEN codes_1d = '' THEN 0 ELSE len(string_split(codes_1d, ';')) END)"
@@ -120,16 +128,16 @@ _TEMPORAL_B = r"\b(within|during|before|after|prior to|since|until|baseline|scre
 _HISTORY_B = r"\b(history of|prior|previous|previously|past|recurrent|active|current|currently|ongoing|known|documented|diagnosed|treated|received|receiving)\b"
 _CONDITION_B = r"\b(if|unless|except|other than|provided that|in case of|only if|as long as)\b"
 _CUE_B = r"[<>≤≥]|\b(at least|at most|less than|more than|greater than|no more than|no less than|minimum|maximum|above|below|under|over|between)\b|\b\d+(\.\d+)?\s*-\s*\d+(\.\d+)?\b|\bgrade\s+\d+"
-_GENERIC_B = "'','patient','patients','subject','subjects','participant','participants','individual','individuals','disease','condition','therapy','treatment','test','value','result','measurement','criteria','criterion','other','unknown','none','null'"
-_MODIFIERS = "'active','adequate trial','comorbid','current','currently','evident','measurable','need for','ongoing','planned','planned need','previous adequate trial','prior adequate trial','recurrent','refractory','relapsed','requiring','residual','severe','symptomatic','uncontrolled'"
-_SPECIFIC = "'adequate trial','comorbid','evident','measurable','need for','planned','planned need','previous adequate trial','prior adequate trial','requiring'"
+_GENERIC_B = _listed(layer2.GENERIC_B)
+_MODIFIERS = _listed(layer2.MODIFIERS)
+_SPECIFIC = _listed(layer2.HARD_MODIFIERS)
 
 
 def _numeric(x: str) -> str:
     """Commas between digits and articles gone, signs in ASCII, number words as digits, other signs as spaces."""
     t = rf"regexp_replace(regexp_replace(lower(trim(coalesce({x}, ''))), '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g')"
     t = rf"regexp_replace(replace(replace(replace({t}, '×', 'x'), '≤', '<='), '≥', '>='), '\bthe\b', ' ', 'g')"
-    for k, w in enumerate("zero one two three four five six seven eight nine ten".split()):
+    for k, w in enumerate(text.DIGIT_WORDS):
         t = rf"regexp_replace({t}, '\b{w}\b', '{k}', 'g')"
     return rf"trim(regexp_replace(regexp_replace({t}, '(\d)\s*x\s*(uln|lln)', '\1x \2', 'g'), '{_SIGNS}', ' ', 'g'))"
 
@@ -244,7 +252,7 @@ context AS (SELECT *,
   CASE k % 29 WHEN 3 THEN 'negation' WHEN 5 THEN 'exception' ELSE 'simple' END AS clause_type,
   CASE WHEN k % 27 = 9 THEN 'another sentence' ELSE evidence_text END AS clause_text,
   k % 11 = 3 AS clause_negated, k % 61 <> 7 AS has_clause,
-  CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'use_b' END AS rescue_decision,
+  CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'select_candidate' END AS rescue_decision,
   CASE WHEN k % 12 = 2 THEN CASE WHEN k % 24 = 2 THEN 'applied' ELSE 'skipped' END END AS apply_status,
   CASE WHEN k % 12 = 2 AND k % 24 <> 2 AND k % 5 = 1 THEN 'not_applicable_final_decision:no_change' WHEN k % 12 = 2 AND k % 24 <> 2 AND k % 5 <> 0 THEN 'no_selected_leaf' END AS skip_reason,
   CASE WHEN k % 72 = 2 THEN 'fail' WHEN k % 12 = 2 THEN 'pass' END AS local_validation,
@@ -331,8 +339,8 @@ ruled AS (SELECT *, {_FORCED} AS forced,
   CASE WHEN {_FORCED} THEN 'human_review|B_rescue_unresolved' WHEN n_hard_b > 0 THEN 'human_review|B_layer1_hard_issue' WHEN routing = 'llm_verifier' THEN 'human_review|B_llm_verifier' WHEN sem < 0.6 THEN 'human_review|B_semantic_high_risk' WHEN computability = 'non_computable' THEN 'non_computable|B_non_computable' WHEN routing = 'computability_review' THEN 'partial|B_computability_review' WHEN computability = 'partial' THEN 'partial|B_partial_computability' WHEN exe < 0.85 THEN 'partial|B_execution_risk' WHEN routing = 'optional_llm_verifier_or_review' THEN 'partial|B_optional_review_partial' WHEN sem < 0.85 THEN 'partial|B_semantic_medium_risk' ELSE 'accept|B_accept' END AS fb,
   CASE WHEN n_hard_a > 0 THEN 'human_review|A_layer1_hard_issue' WHEN least_a < 0.6 THEN 'human_review|A_layer2_high_risk' WHEN computability = 'non_computable' THEN 'non_computable|A_non_computable' WHEN computability = 'partial' THEN 'partial|A_partial_computability' WHEN n_exec > 0 THEN 'partial|A_computability_review' WHEN least_a < 0.85 THEN 'partial|A_layer2_medium_risk' WHEN coalesce(computability, '') IN ('', 'computable') THEN 'accept|A_low_risk_accept' WHEN n_safe > 0 THEN 'accept|A_safe_normalization_accept' ELSE 'partial|A_default_partial' END AS fa FROM tasked),
 final AS (SELECT *, split_part(fb, '|', 1) AS final_b, split_part(fb, '|', 2) AS rule_b,
-  CASE WHEN forced THEN 'human_review' WHEN from_b THEN split_part(fb, '|', 1) ELSE split_part(fa, '|', 1) END AS final_a,
-  CASE WHEN forced THEN 'A_rescue_unresolved' WHEN from_b THEN 'A_hybrid_from_B_' || split_part(fb, '|', 1) ELSE split_part(fa, '|', 2) END AS rule_a FROM ruled)
+  CASE WHEN forced THEN 'human_review' WHEN from_b AND k % 48 = 26 THEN 'human_review' WHEN from_b THEN split_part(fb, '|', 1) ELSE split_part(fa, '|', 1) END AS final_a,
+  CASE WHEN forced THEN 'A_rescue_unresolved' WHEN from_b AND k % 48 = 26 THEN 'A_hybrid_from_B_missing_b_decision' WHEN from_b THEN 'A_hybrid_from_B_' || split_part(fb, '|', 1) ELSE split_part(fa, '|', 2) END AS rule_a FROM ruled)
 """
     return once(text)
 
@@ -342,6 +350,34 @@ def once(text: str) -> str:
     return re.sub(r"(?m)^(WITH |, )?(\w+) AS \((SELECT|\n)", r"\1\2 AS MATERIALIZED (\3", text)
 
 
+#: Reasons by rule; those of a rescue and of the branch B label are put together.
+_WHY = """A_hybrid_from_B_missing_b_decision branch_a_replaced_by_branch_b_but_missing_branch_b_final_decision
+A_layer1_hard_issue branch_a_layer1_mandatory_rescue_or_review_remains
+A_layer2_high_risk branch_a_layer2_high_risk_after_rescue
+A_non_computable branch_a_non_computable
+A_partial_computability branch_a_partial_computability
+A_computability_review branch_a_layer1_computability_review
+A_layer2_medium_risk branch_a_medium_risk_after_rescue
+A_low_risk_accept branch_a_low_risk_no_hard_issue
+A_safe_normalization_accept branch_a_safe_normalization_only
+A_default_partial branch_a_uncertain_default_partial
+B_layer1_hard_issue branch_b_layer1_mandatory_verifier_remains
+B_llm_verifier branch_b_final_routing_llm_verifier
+B_semantic_high_risk branch_b_semantic_grounding_high_risk
+B_non_computable branch_b_non_computable
+B_computability_review branch_b_computability_review
+B_partial_computability branch_b_partial_computability
+B_optional_review_partial branch_b_optional_verifier_or_review
+B_semantic_medium_risk branch_b_semantic_grounding_medium_risk
+B_accept branch_b_accept_routing_low_semantic_risk
+B_default_partial branch_b_uncertain_default_partial"""
+_WHY_RESCUED = "CASE WHEN rescue_decision = 'human_review' THEN 'candidate_selection_rescue_returned_human_review' WHEN rescue_decision = 'no_repair_possible' THEN 'candidate_selection_rescue_returned_no_repair_possible' WHEN local_validation = 'fail' THEN 'candidate_selection_rescue_failed_local_validation' ELSE 'candidate_selection_rescue_skipped:' || lower(skip_reason) END"
+
+
+def _why(rule: str) -> str:
+    return f"CASE WHEN {rule} LIKE '%rescue!_unresolved' ESCAPE '!' THEN {_WHY_RESCUED} WHEN {rule} = 'B_execution_risk' THEN 'branch_b_execution_' || execution_label || '_risk' ELSE map_from_entries([{', '.join('({!r}, {!r})'.format(*x.split()) for x in _WHY.splitlines())}])[{rule}] END"
+
+
 #: Queries whose oracle statement is written by hand.
 STATEMENTS = {
     "structural_codes": "SELECT key_id, codes_1a, hint_1a FROM counted",
@@ -357,6 +393,7 @@ STATEMENTS = {
     "branch_agreement": "SELECT risk_label, semantic_label, routing, count(*) AS n FROM routed GROUP BY ALL",
     "decisions": "SELECT key_id, decision_a, family_a, priority_a, changes_tree_a, task_a, decision_b, family_b, priority_b, changes_tree_b, task_b FROM tasked",
     "decision_counts": "SELECT decision_a, decision_b, count(*) AS n FROM tasked GROUP BY ALL",
+    "final_reasons": f"SELECT key_id, CASE WHEN rule_a LIKE 'A!_hybrid%' ESCAPE '!' AND rule_a NOT LIKE '%missing%' THEN 'branch_a_replaced_by_validated_branch_b_leaf;using_branch_b_post_rescue_decision:' || final_b ELSE {_why('rule_a')} END AS final_reasons_a, {_why('rule_b')} AS final_reasons_b FROM final",
     "final_decisions": "SELECT key_id, final_a, rule_a, final_b, rule_b, CASE WHEN b <= a THEN 'B' ELSE 'A' END AS chosen_branch, CASE WHEN b <= a THEN final_b ELSE final_a END AS chosen_decision FROM (SELECT *, list_position(['accept','partial','non_computable','human_review'], final_a) AS a, list_position(['accept','partial','non_computable','human_review'], final_b) AS b FROM final)",
 }
 

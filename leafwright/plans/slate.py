@@ -33,11 +33,12 @@ def context(d: Spark) -> list[tuple[str, str]]:
         ("clause_negated", "k % 11 = 3"),
         ("has_clause", "k % 61 <> 7"),
         ("codes_1b", codes([("duplicate_criterion_id", "criterion_id IS NOT NULL AND count(*) OVER (PARTITION BY l_orderkey, criterion_id) > 1"), ("duplicate_identical_leaf", f"count(*) OVER (PARTITION BY {signature}) > 1")])),
-        ("rescue_decision", "CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'use_b' END"),
+        ("rescue_decision", "CASE k % 12 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'select_candidate' END"),
         ("apply_status", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 24 = 2 THEN 'applied' ELSE 'skipped' END END"),
         ("skip_reason", "CASE WHEN k % 12 = 2 AND k % 24 <> 2 AND k % 5 <> 0 THEN CASE WHEN k % 5 = 1 THEN 'not_applicable_final_decision:no_change' ELSE 'no_selected_leaf' END END"),
         ("local_validation", "CASE WHEN k % 12 = 2 THEN CASE WHEN k % 72 = 2 THEN 'fail' ELSE 'pass' END END"),
         ("from_b", "k % 24 = 2"),
+        ("b_decided", "k % 48 <> 26"),
     ]
 
 
@@ -47,7 +48,7 @@ BRANCH_A = (*LAYER1, layer2.signals_a, layer2.scores_a, layer2.least_a, layer2.l
 SCREEN_B = (*BRANCH_A, layer2.grounding_b, layer2.screen_b)
 BRANCH_B = (*SCREEN_B, layer2.least_b, layer2.routing_b)
 LAYER3 = (*BRANCH_B, layer2.reasons_a, layer2.reasons_b, layer3.decisions)
-FINAL = (*LAYER3, layer3.final_decisions, layer3.cross_branch)
+FINAL = (*LAYER3, layer3.forced_review, layer3.final_b, layer3.final_decisions, layer3.cross_branch)
 
 
 def _leaf(name: str, steps: tuple, closing: str, duck: str | None = None) -> None:
@@ -130,6 +131,7 @@ _leaf("rescue_queue", LAYER3, "SELECT key_id, priority_b, task_b, place FROM (SE
 _leaf("safe_repairs", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT key_id, repairs, new_value_kind, new_value_num, new_computability, new_reason, new_t_value, new_t_unit, changed_fields, forbidden_changes FROM {leaf} WHERE repairs <> ''")
 _leaf("unrepaired_unchanged", (*LAYER1, layer3.safe_repairs, layer3.repair_check), "SELECT count(*) AS n, sum(CASE WHEN changed_fields <> '' THEN 1 ELSE 0 END) AS changed FROM {leaf} WHERE repairs = ''")
 _leaf("final_decisions", FINAL, "SELECT key_id, final_a, rule_a, final_b, rule_b, chosen_branch, chosen_decision FROM {leaf}")
+_leaf("final_reasons", FINAL, "SELECT key_id, final_reasons_a, final_reasons_b FROM {leaf}")
 _leaf("cross_branch_summary", FINAL, "SELECT chosen_branch, chosen_decision, count(*) AS n FROM {leaf} GROUP BY chosen_branch, chosen_decision")
 _leaf("review_sheet", (layer3.review_text,), "SELECT key_id, compact_leaf, concat('I', lpad(CAST(row_number() OVER (PARTITION BY document_id ORDER BY key_id) AS STRING), 5, '0')) AS review_id FROM {leaf}")
 
