@@ -96,6 +96,20 @@ def plan_a(d: Spark) -> list[tuple[str, str]]:
     ]
 
 
+def plan_b(d: Spark) -> list[tuple[str, str]]:
+    """Execution group, priority, strategy, task and attempts of branch B: mandatory rows are judged, accepted ones stay as they are, all others are blocked from the main budget."""
+    mandatory = "stage_b = 'P1_run_now_branch_b_mandatory_judge'"
+    kept = "(decision_b = 'keep_without_layer2_action_candidate' OR routing = 'keep_without_layer2_action')"
+    rules = [
+        (mandatory, "B_main_llm_rescue", 25, "branch_b_dejure_judge_repair_loop", "rescue_type_b", 1, 3, 0),
+        (kept, "B_accept_no_change_reference", 5, "keep_without_layer2_action_reference", "'none'", 0, 0, 0),
+    ]
+    last = ("B_blocked_or_manual_review", 85, "optional_branch_b_review_not_main_rescue", "rescue_type_b", 0, 0, 1)
+    pick = lambda k, quote: choose([(r[0], quote(r[k + 1])) for r in rules], quote(last[k]))
+    words = lambda v: f"'{v}'"
+    return [("plan_group_b", pick(0, words)), ("plan_priority_b", pick(1, str)), ("plan_strategy_b", pick(2, words)), ("plan_task_b", pick(3, str)), ("requires_llm_b", pick(4, str)), ("max_attempts_b", pick(5, str)), ("blocked_b", pick(6, str))]
+
+
 def overlay(d: Spark) -> list[tuple[str, str]]:
     """The branch A leaf with the fields of the selected branch B leaf; the id stays, and so does a negation unless polarity is the task."""
     keeps = "(operator = 'not_exists' AND rescue_type_a <> 'polarity_negation_repair' AND b_operator = 'exists')"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import aggregates, joins, layer1, layer2, layer3, normalise, rescue
+from ..operators import aggregates, joins, labels, layer1, layer2, layer3, normalise, rescue
 from . import oracle
 from .dialect import apply
 from .leaves import leaves, leaves_sql
@@ -190,6 +190,11 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
     _leaf("rescue_candidates", plan, "SELECT key_id, rescue_type_a, kind_a, stage_a, judge_first_a, rescue_type_b, kind_b, stage_b, judge_first_b FROM {leaf}", _CANDIDATES + "SELECT key_id, rescue_type_a, kind_a, stage_a, judge_first_a, rescue_type_b, kind_b, stage_b, 1 AS judge_first_b FROM cand")
     _leaf("rescue_plan", plan, "SELECT key_id, b_allowed, b_reason, only_no_anchor, plan_group, plan_priority, plan_strategy FROM {leaf}", _CANDIDATES + _PLAN)
 
+    _leaf("rescue_plan_b", (*plan, rescue.plan_b), "SELECT key_id, plan_group_b, plan_priority_b, plan_strategy_b, plan_task_b, requires_llm_b, max_attempts_b, blocked_b FROM {leaf}", _CANDIDATES + _PLAN_B)
+    _leaf("run_first", plan, _subset, _CANDIDATES + _SUBSET, "key_id stage_a stage_b rescue_type_a rescue_type_b codes_1a")
+    _leaf("carried_labels", (*layer3_steps, layer3.review_text), _carried, _CARRIED, "key_id compact_leaf manual_label k")
+    _leaf("branch_label_shares", layer3_steps, _label_shares, _LABEL_SHARES, "key_id manual_label k")
+
     def applied(own: DataFrame) -> DataFrame:
         done = apply(own, rescue.overlay, rescue.validation)
         old = done.columns
@@ -209,6 +214,50 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
     _leaf("prioritised_sweep", layer3_steps, lambda own: aggregates.prioritised(own.where("manual_label is not null"), "semantic_support", "manual_label"), _SWEEP, "semantic_support")
 
 
+def _subset(own: DataFrame) -> DataFrame:
+    """Both branches' candidates as rows; some without an id or under the wrong branch."""
+    sides = [own.select("key_id", F.lit(b.upper()).alias("side"), F.when(F.col("k") % 21 == 4, None).otherwise(F.concat(F.lit(b.upper()), F.lit(":"), "key_id")).alias("candidate_id"), F.col(f"stage_{b}").alias("run_stage"), F.when(F.col("k") % 25 == 6, "A").otherwise(F.lit(b.upper())).alias("branch"), F.col(f"rescue_type_{b}").alias("rescue_task_type"), F.when(F.col("k") % 10 != 3, labels.conservative_issues("codes_1a")).alias("conservative_issues")) for b in "ab"]
+    return labels.run_first(sides[0].unionByName(sides[1])).select("key_id", "side", "selected_for_p1", "p1_group", "not_selected_reason", "review_only", "p1_errors")
+
+
+_PLAN_B = "SELECT key_id, split_part(p, '|', 1) AS plan_group_b, split_part(p, '|', 2)::INT AS plan_priority_b, split_part(p, '|', 3) AS plan_strategy_b, CASE WHEN p LIKE 'B!_accept%' ESCAPE '!' THEN 'none' ELSE rescue_type_b END AS plan_task_b, (p LIKE 'B!_main%' ESCAPE '!')::INT AS requires_llm_b, CASE WHEN p LIKE 'B!_main%' ESCAPE '!' THEN 3 ELSE 0 END AS max_attempts_b, (p LIKE 'B!_blocked%' ESCAPE '!')::INT AS blocked_b FROM (SELECT *, CASE WHEN stage_b LIKE 'P1!_%mandatory%' ESCAPE '!' THEN 'B_main_llm_rescue|25|branch_b_dejure_judge_repair_loop' WHEN 'keep_without_layer2_action' IN (routing, replace(decision_b, '_candidate', '')) THEN 'B_accept_no_change_reference|5|keep_without_layer2_action_reference' ELSE 'B_blocked_or_manual_review|85|optional_branch_b_review_not_main_rescue' END AS p FROM cand)"
+_SUBSET = """, sides AS (SELECT key_id, 'A' AS side, k, codes_1a, stage_a AS stage, rescue_type_a AS task FROM cand UNION ALL SELECT key_id, 'B', k, codes_1a, stage_b, rescue_type_b FROM cand),
+told AS (SELECT *, stage LIKE 'P1!_%' ESCAPE '!' AS ran, CASE WHEN k % 21 = 4 THEN '' ELSE side || ':' || key_id END AS cid, CASE WHEN k % 25 = 6 THEN 'A' ELSE side END AS own, len(list_intersect(string_split(codes_1a, ';'), ['list_operator_without_list_value','range_with_both_bounds_missing','comparison_without_scalar_value'])) > 0 AND k % 10 <> 3 AS issues FROM sides)
+SELECT key_id, side, ran::INT AS selected_for_p1, CASE WHEN stage LIKE '%conservative%' THEN 'p1_conservative_structural_recovery' WHEN ran THEN 'p1_branch_b_mandatory_llm_judge' ELSE '' END AS p1_group, CASE WHEN ran THEN '' ELSE 'not_p1_run_stage:' || stage END AS not_selected_reason, (ran AND task LIKE 'duplicate%')::INT AS review_only,
+  CASE WHEN NOT ran THEN '' ELSE array_to_string(list_sort(list_filter([CASE WHEN cid = '' THEN 'missing_candidate_id' END, CASE WHEN stage LIKE '%mandatory%' AND own <> 'B' THEN cid || ':branch_b_stage_but_branch_is_' || own END, CASE WHEN stage LIKE '%conservative%' AND NOT issues THEN cid || ':conservative_stage_without_conservative_issues' END, CASE WHEN task LIKE 'duplicate%' THEN cid || ':duplicate_task_should_be_review_only_not_executed' END], lambda x: x IS NOT NULL)), ';') END AS p1_errors FROM told"""
+#: Labels as people write them, by remainder.
+_WRITTEN = "CASE k % 9 WHEN 0 THEN upper(manual_label) WHEN 1 THEN ' partially   correct ' WHEN 2 THEN 'N/A' WHEN 3 THEN 'rather incorrect, see note' WHEN 4 THEN 'P' WHEN 5 THEN 'mostly correct' WHEN 6 THEN '' WHEN 7 THEN 'unclear' ELSE manual_label END"
+
+
+def _carried(own: DataFrame) -> DataFrame:
+    """Leaves whose text changed, that have no earlier row, or no earlier label."""
+    rows = own.withColumn("written", F.expr(_WRITTEN)).withColumn("pre_leaf", F.expr("CASE WHEN k % 4 = 1 THEN concat(compact_leaf, ' | changed') ELSE concat(' ', replace(compact_leaf, ' ', '  ')) END"))
+    step = lambda d: [("normal", labels.normal_label(d, "written")), *labels.copied(d, "pre_leaf", "compact_leaf", "written", "CASE WHEN k % 2 = 0 THEN 'wrong entity' END", "k % 13 <> 5")]
+    return apply(rows, step).select("key_id", "normal", "post_label", "post_issue", "copy_status")
+
+
+_CARRIED = f""", own AS (SELECT *, {_WRITTEN} AS written FROM final), form AS (SELECT *, trim(regexp_replace(coalesce(written, ''), ' +', ' ', 'g')) AS clean FROM own)
+SELECT key_id, CASE WHEN lower(clean) IN ('', 'n/a') THEN NULL WHEN lower(clean) IN ('p') OR contains(lower(clean), 'partial') THEN 'partial' WHEN contains(lower(clean), 'incorrect') THEN 'incorrect' WHEN contains(lower(clean), 'correct') THEN 'correct' END AS normal,
+  CASE WHEN k % 13 <> 5 AND k % 4 <> 1 THEN clean ELSE '' END AS post_label, CASE WHEN k % 13 <> 5 AND k % 4 <> 1 AND clean <> '' AND k % 2 = 0 THEN 'wrong entity' ELSE '' END AS post_issue,
+  CASE WHEN k % 13 = 5 THEN 'no_pre_row' WHEN k % 4 = 1 THEN 'changed' WHEN clean = '' THEN 'unchanged_but_old_label_missing' ELSE 'copied' END AS copy_status FROM form"""
+
+
+def _label_shares(own: DataFrame) -> DataFrame:
+    """Branch B against branch A by labels, the better one, and the label of the branch chosen (here by remainder)."""
+    step = lambda d: [("la", labels.normal_label(d, "manual_label")), ("lb", labels.normal_label(d, _WRITTEN)), ("branch", "CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END")]
+    rows = apply(own, step, lambda d: [*labels.compared(d, "la", "lb"), *labels.chosen_label(d, "branch", "la", "lb")])
+    out = [labels.shares(rows, c, none).withColumn("what", F.lit(c)) for c, none in (("b_vs_a", ("unlabeled",)), ("inferred_best", ("",)), ("chosen_label", ()))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_LABEL_SHARES = f""", form AS (SELECT k, manual_label AS la, trim(regexp_replace(coalesce({_WRITTEN}, ''), ' +', ' ', 'g')) AS w FROM final), both_labels AS (SELECT k, la, CASE WHEN lower(w) IN ('', 'n/a') THEN NULL WHEN lower(w) = 'p' OR contains(lower(w), 'partial') THEN 'partial' WHEN contains(lower(w), 'incorrect') THEN 'incorrect' WHEN contains(lower(w), 'correct') THEN 'correct' END AS lb FROM form),
+label_scores AS (SELECT *, list_position(['incorrect', 'partial', 'correct'], la) AS a, list_position(['incorrect', 'partial', 'correct'], lb) AS b FROM both_labels),
+told AS (SELECT 'b_vs_a' AS what, CASE WHEN b > a THEN 'B_better_than_A' WHEN b < a THEN 'B_worse_than_A' ELSE 'B_same_as_A' END AS value FROM label_scores WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT 'inferred_best', CASE WHEN a = 1 AND b = 1 THEN 'none' WHEN a > b THEN 'A' WHEN b > a THEN 'B' ELSE 'tie' END FROM label_scores WHERE a IS NOT NULL AND b IS NOT NULL
+  UNION ALL SELECT 'chosen_label', CASE WHEN k % 3 = 0 THEN la ELSE lb END FROM label_scores WHERE CASE WHEN k % 3 = 0 THEN la ELSE lb END IS NOT NULL)
+SELECT what, value, n, sum(n) OVER (PARTITION BY what)::BIGINT AS "of", round(100.0 * n / sum(n) OVER (PARTITION BY what), 2) AS percent FROM (SELECT what, value, count(*) AS n FROM told GROUP BY ALL)"""
+
+
 def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves as a model might write them: relations as operators, words for null."""
     own = leaves(spark, sf_dir).withColumn("operator", F.expr("CASE WHEN k % 15 = 4 THEN 'within' ELSE operator END")).withColumn("unit", F.expr("CASE WHEN k % 18 = 2 THEN ' None' ELSE unit END"))

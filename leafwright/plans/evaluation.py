@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clauses, gold, judge, nested, splits, tagging
+from ..operators import cleaning, clauses, gold, grounding, judge, nested, splits, tagging
 from . import trees
+from .dialect import apply
 from .leaves import leaves, leaves_sql, tables
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,6 +172,40 @@ _SPARK["trace_tokens"] = lambda s, d: _traces(s, d).select("conv_id", *judge.tok
 _SQL["trace_tokens"] = "SELECT conv_id, (count(*) FILTER (c))::INT AS calls, coalesce(sum(n) FILTER (c AND turn % 5 = 0), 0)::BIGINT AS prompt_tokens, (7 * count(*) FILTER (c AND turn % 5 = 0))::BIGINT AS completion_tokens, coalesce(sum(n + CASE WHEN turn % 5 = 0 THEN 7 ELSE 0 END) FILTER (c), 0)::BIGINT AS total_tokens FROM (SELECT conv_id, turn, coalesce(length(text), 0) AS n, turn % 5 IN (0, 3) AND conv_id % 9 NOT IN (4, 5) AS c FROM conversations) GROUP BY conv_id"
 
 
+# --- span cleaning and grounding ------------------------------------------------------
+_TEXTS = "CASE k % 14 WHEN 0 THEN '[' WHEN 1 THEN concat(entity_text, ' [') WHEN 2 THEN concat('] ', entity_text) WHEN 3 THEN '12' WHEN 4 THEN concat('>= ', qty, '  mg (and < ', qty, ')') WHEN 5 THEN 'a]' WHEN 6 THEN '' WHEN 7 THEN concat('grade ', qty) WHEN 8 THEN 'at least 5 or less' WHEN 9 THEN '<' WHEN 10 THEN 'ab' WHEN 11 THEN '≥ x' WHEN 12 THEN concat(entity_text, ' != ', qty, ' = ', qty) ELSE entity_text END"
+_LABELS = "CASE k % 9 WHEN 0 THEN 'Condition' WHEN 1 THEN 'Drug' WHEN 2 THEN 'Procedure' WHEN 3 THEN 'Measurement' WHEN 4 THEN 'Device' WHEN 5 THEN 'Value' WHEN 6 THEN 'Qualifier' WHEN 7 THEN 'Temporal' ELSE 'Reference_point' END"
+_SPANS = f"SELECT key_id, {_TEXTS} AS text, {_LABELS} AS label, CASE WHEN k % 6 <> 2 THEN 0.5 + CAST(l_discount AS DOUBLE) * 2 END AS score_min FROM LEAF"
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply(spark.sql(_SPANS.replace("LEAF", "{leaf}"), leaf=leaves(spark, sf_dir)), *cleaning.STEPS).select("key_id", "nested_value", "junk", "qa_flags", "part")
+
+
+_SPARK["cleaned_spans"] = _cleaned
+_SQL["cleaned_spans"] = rf"""WITH leaf AS MATERIALIZED ({leaves_sql()}), s AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM ({_SPANS.replace('LEAF', 'leaf')})),
+f AS (SELECT *, t = '' OR t[-1:] IN ('[', '/') OR t[1:1] = ']' OR (len(t) <= 6 AND (t LIKE '%]' AND t NOT LIKE '%[%' OR t LIKE '[%' AND t NOT LIKE '%]%')) AS bad, regexp_matches(t, '[()\[\]]') AS br, regexp_matches(t, '\p{{L}}') AS letter, regexp_full_match(t, '\p{{Nd}}+') AS num,
+  len(list_filter(regexp_extract_all(t, '[<>=!]+'), lambda x: list_contains(['<=', '>=', '!=', '<', '>', '='], x))) + len(regexp_extract_all(lower(t), '\b(less than|greater than|at least|or older|or less)\b')) AS n FROM s)
+SELECT key_id, br AND n >= 2 AS nested_value, bad OR (len(t) = 1 AND NOT list_contains(['<', '>', '='], t)) OR (num AND list_contains(['Condition', 'Procedure', 'Measurement'], label)) OR (label = 'Measurement' AND NOT letter) AS junk,
+  concat_ws(';', CASE WHEN len(t) >= 25 THEN 'long_span' END, CASE WHEN br THEN 'bracketed_span' END, CASE WHEN n >= 2 THEN 'multi_comparison' END, CASE WHEN score_min < 0.6::DOUBLE THEN 'low_score_min' END, CASE WHEN list_contains(['Condition', 'Procedure', 'Measurement'], label) AND len(list_filter(string_split(t, ' '), lambda x: x <> '')) = 1 THEN 'single_token_base_label' END) AS qa_flags,
+  CASE WHEN CASE label WHEN 'Condition' THEN NOT num AND len(t) >= 2 AND letter AND NOT bad WHEN 'Drug' THEN len(t) >= 3 AND letter WHEN 'Procedure' THEN letter AND len(t) >= 4 AND NOT bad WHEN 'Measurement' THEN letter AND NOT bad WHEN 'Device' THEN len(t) >= 3 ELSE false END THEN 'anchor'
+    WHEN t <> '' AND (label IN ('Qualifier', 'Temporal') OR label = 'Value' AND regexp_matches(lower(t), '\p{{Nd}}|[<>=≤≥]|grade|negative|positive')) THEN 'support' ELSE 'other' END AS part FROM f"""
+#: A leaf's clause with none, one or two anchors of which the first or the second is the better one.
+_GROUNDED = "SELECT operator, CASE WHEN k % 31 = 4 THEN 'Severe' ELSE entity_text END AS entity_text, entity_type, evidence_text, k % 3 AS n, CASE WHEN k % 4 = 0 THEN 'other words' ELSE concat(entity_text, ' x') END AS t1, CASE WHEN k % 5 <> 2 THEN CAST(anchor_score AS DOUBLE) END AS s1, CASE k % 6 WHEN 0 THEN 'Drug' WHEN 1 THEN 'Measurement' WHEN 2 THEN 'Value' ELSE 'Condition' END AS l1, concat('two ', evidence_text) AS t2, CASE WHEN k % 7 <> 3 THEN CAST(0.6 AS DOUBLE) END AS s2, 'Measurement' AS l2, k % 2 AS n_other FROM LEAF"
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(_GROUNDED.replace("LEAF", "{leaf}"), leaf=leaves(spark, sf_dir))
+    anchor = lambda i: F.struct(F.col(f"t{i}").alias("text"), F.col(f"l{i}").alias("label"), F.col(f"s{i}").alias("score"))
+    return grounding.rates(own.withColumn("anchors", F.slice(F.array(anchor(1), anchor(2)), F.lit(1), F.col("n").cast("int"))), "operator")
+
+
+_SPARK["grounding_rates"] = _rated
+_WORDS = "regexp_extract_all(lower({}), '[a-z0-9+-]+')"
+_SQL["grounding_rates"] = f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), g AS ({_GROUNDED.replace('LEAF', 'leaf')}), b AS (SELECT *, n = 2 AND (coalesce(s2, -1) > coalesce(s1, -1) OR coalesce(s2, -1) = coalesce(s1, -1) AND length(t2) > length(t1)) AS two, len(list_intersect({_WORDS.format('entity_text')}, {_WORDS.format('t1')})) > 0 AS m1, len(list_intersect({_WORDS.format('entity_text')}, {_WORDS.format('t2')})) > 0 AS m2 FROM g),
+f AS (SELECT *, trim(entity_text) <> '' AS ne, trim(entity_text) <> '' AND contains(lower(evidence_text), lower(trim(entity_text))) AS ev, n > 0 AS an, n > 0 OR n_other > 0 AS cand, n > 0 AND m1 OR n = 2 AND m2 AS any_, n > 0 AND CASE WHEN two THEN m2 ELSE m1 END AS best, n > 0 AND coalesce(map_from_entries([('Condition', 'condition'), ('Drug', 'drug'), ('Procedure', 'procedure'), ('Measurement', 'lab'), ('Device', 'other')])[CASE WHEN two THEN l2 ELSE l1 END] = entity_type, false) AS ty, list_contains([{', '.join(repr(w) for w in grounding.GENERIC)}], lower(trim(entity_text))) AS ge FROM b)
+SELECT operator, count(*) AS n, {', '.join(f"CASE WHEN {of} > 0 THEN round(count(*) FILTER ({test}) / {of}, 4) END AS {name}" for name, test, of in (("entity_nonempty", "ne", "count(*)"), ("entity_in_evidence", "ev", "count(*)"), ("anchor_present", "an", "count(*)"), ("no_anchor", "NOT an", "count(*)"), ("any_candidate_present", "cand", "count(*)"), ("no_candidate", "NOT cand", "count(*)"), ("in_evidence_when_anchored", "ev AND an", "count(*) FILTER (an)"), ("in_evidence_when_not_anchored", "ev AND NOT an", "count(*) FILTER (NOT an)"), ("overlaps_any_when_anchored", "any_ AND an", "count(*) FILTER (an)"), ("overlaps_best_when_anchored", "best AND an", "count(*) FILTER (an)"), ("overlaps_any", "any_", "count(*)"), ("overlaps_best", "best", "count(*)"), ("type_match_of_anchored", "ty", "count(*) FILTER (an)"), ("generic_entity", "ge", "count(*)")))} FROM f GROUP BY operator"""
+
 # --- the judge loop ------------------------------------------------------------------
 #: Recorded plans, verdicts and repairs: verdicts that fail to parse, are missing or have single scores only; repairs that abstain, are missing or do not hold.
 _PLAN = """SELECT key_id AS plan_id, key_id AS criterion_id, CASE WHEN k % 2 = 0 THEN 'entity_regrounding' ELSE '' END AS rescue_task_type, concat('{"criterion_id":"', key_id, '","entity_type":"drug","entity_text":"', entity_text, '","operator":"exists","value_type":"null","value":null,"unit":null,"computability":"computable","evidence_text":"', evidence_text, '"}') AS leaf, concat(evidence_text, ' in this study') AS context_text, '{}' AS a_leaf FROM LEAF WHERE k % 3 < 2"""

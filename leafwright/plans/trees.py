@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import nested, validate
+from ..operators import nested, rescue_apply, validate
 from .leaves import leaves, leaves_sql
 
 _SPARK: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +20,7 @@ _SQL: dict[str, str] = {}
 
 #: The leaf of a criterion as JSON text, from columns.
 _LEAF = """concat('{{"criterion_id":"', key_id, '","entity_type":"', {entity_type}, '","entity_text":"', {entity_text}, '","operator":"', {operator}, '","value_type":"', {value_type}, '","value":', {value},
-  ',"unit":', coalesce(concat('"', {unit}, '"'), 'null'), ',"temporal_context":', {temporal}, ',"computability":"', computability, '"', CASE WHEN k % 15 = 8 THEN ',"note":1' ELSE '' END, CASE WHEN k % 18 = 7 THEN '' ELSE concat(',"evidence_text":"', evidence_text, '"') END, '}}')"""
+  ',"unit":', CASE WHEN {unit} IS NULL THEN 'null' ELSE concat('"', {unit}, '"') END, ',"temporal_context":', {temporal}, ',"computability":"', computability, '"', CASE WHEN k % 15 = 8 THEN ',"note":1' ELSE '' END, CASE WHEN k % 18 = 7 THEN '' ELSE concat(',"evidence_text":"', evidence_text, '"') END, '}}')"""
 _VALUE = """CASE WHEN value_kind = 'range' THEN concat('{{"min":', coalesce(CAST(CAST(value_min AS BIGINT) AS STRING), 'null'), CASE WHEN k % 7 = 1 THEN '' ELSE concat(',"max":', coalesce(CAST(CAST(value_max AS BIGINT) AS STRING), 'null')) END, '}}') WHEN value_kind = 'list' THEN CASE WHEN k % 5 = 1 THEN '[]' ELSE concat('["', qty, '",', qty, ']') END WHEN value_kind = 'string' THEN concat('"', coalesce(value_text, ''), '"') WHEN value_kind = 'number' THEN coalesce(value_text, 'null') ELSE 'null' END"""
 _TEMPORAL = """CASE WHEN t_relation IS NULL THEN 'null' ELSE concat('{{"relation":"', t_relation, '","value":', coalesce(t_value, 'null'), CASE WHEN t_unit IS NULL THEN '' ELSE concat(',"unit":"', t_unit, '"') END, CASE WHEN t_anchor IS NULL THEN '' ELSE concat(',"anchor_event":"', t_anchor, '"') END, '}}') END"""
 _OLD = {"entity_type": "entity_type", "entity_text": "entity_text", "operator": "operator", "value_type": "value_type", "value": _VALUE.format(), "unit": "unit", "temporal": _TEMPORAL.format()}
@@ -177,6 +177,31 @@ _query("schema_errors", lambda s, d: validate.tree_errors(documents(s, d), SCHEM
        UNION ALL SELECT document_id, path || '.temporal_context.anchor_event', '"visit" is not one of' FROM c WHERE json_extract_string(x, '$.temporal_context.anchor_event') = 'visit'""")
 
 
+# --- applied results ---------------------------------------------------------------------
+#: What a rescue run wrote about the leaves of branch A: plans with a later word, other branches, failed checks, no leaf, leaves that do not hold.
+_SELECTED = """CASE WHEN k % 8 <> 5 THEN concat('{"entity_type":"', CASE WHEN k % 6 = 1 THEN 'device' ELSE 'drug' END, '","entity_text":"', entity_text, ' again","operator":"exists","value_type":"null","value":7,"temporal_context":"null","computability":"computable","evidence_text":"said so","criterion_id":"other"', CASE WHEN k % 16 = 2 THEN ',"normalized_concept":{"system":"OTHER"}' ELSE '' END, '}') END"""
+_DECIDED = "CASE k % 10 WHEN 0 THEN 'human_review' WHEN 1 THEN 'no_change' WHEN 2 THEN 'mark_partial_or_non_computable' ELSE 'select_candidate' END"
+_RESULTS = f"""SELECT key_id AS plan_id, k AS ord, CASE WHEN k % 41 = 7 THEN 'C' ELSE 'A' END AS branch_to_update, key_id AS criterion_id, {_DECIDED} AS final_decision, CASE WHEN k % 9 = 4 THEN 'fail' ELSE 'pass' END AS local_validation_status, '' AS rescue_task_type, {_SELECTED} AS selected_leaf FROM LEAVES WHERE k % 4 < 3
+UNION ALL SELECT key_id, -1 - k, 'A', key_id, 'select_candidate', 'pass', '', '{{}}' FROM LEAVES WHERE k % 20 = 2"""
+_NEW_LEAF = """concat('{"computability":"computable","criterion_id":"', key_id, '","entity_text":"', entity_text, ' again","entity_type":"drug","evidence_text":"said so",', CASE WHEN k % 15 = 8 THEN '"note":1,' ELSE '' END, '"operator":"exists","temporal_context":null,"unit":', CASE WHEN unit IS NULL THEN 'null' ELSE concat('"', unit, '"') END, ',"value":null,"value_type":"null"}')"""
+
+
+def _applied(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = documents(spark, sf_dir).select(F.lit("A").alias("branch"), "document_id", "doc")
+    results = spark.sql(_RESULTS.replace("{", "\\u007B").replace("}", "\\u007D").replace("LEAVES", "{own}"), own=leaves(spark, sf_dir))
+    return rescue_apply.apply_results(own, results, SCHEMA)
+
+
+_WHY = """, whys AS MATERIALIZED (SELECT plan_id, CASE WHEN branch_to_update = 'C' THEN 'unknown_branch:C' WHEN f.criterion_id IS NULL THEN 'criterion_id_not_found_in_target_ast' WHEN final_decision IN ('human_review', 'no_change') THEN 'not_applicable_final_decision:' || final_decision WHEN local_validation_status = 'fail' THEN 'local_validation_not_pass:fail'
+  WHEN selected_leaf IS NULL THEN 'selected_leaf_missing_or_not_object' WHEN contains(selected_leaf, 'device') THEN 'candidate_schema_invalid:entity_type_not_allowed:device' WHEN contains(selected_leaf, 'OTHER') THEN 'full_ast_schema_new_invalid' ELSE '' END AS why
+  FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY ord DESC) AS nth FROM results) AS r LEFT JOIN (SELECT json_extract_string(node, '$.criterion.criterion_id') AS criterion_id FROM walk WHERE json_extract_string(node, '$.node_type') = 'criterion') AS f ON f.criterion_id = r.criterion_id WHERE nth = 1)"""
+_GROUPS = _walk("'.children[' || i || ']'", "json_extract_string(w.node, '$.node_type') = 'group'") + f", results AS MATERIALIZED ({_RESULTS.replace('LEAVES', 'leaf')}){_WHY}"
+_query("apply_audit", lambda s, d: _applied(s, d)[1].select("plan_id", "apply_status", F.regexp_replace("skip_reason", "^(full_ast_schema_new_invalid):.*$", "$1").alias("why"), "changed_fields", "new_entity_text", "new_operator"),
+       _GROUPS + ", told AS (SELECT w.*, l.*, l.value_kind <> 'null' AND coalesce(CASE WHEN l.value_kind IN ('number') THEN l.value_text ELSE 'x' END, 'null') <> 'null' AS had FROM whys AS w JOIN leaf AS l ON l.key_id = w.plan_id) SELECT plan_id, CASE WHEN why = '' THEN 'applied' ELSE 'skipped' END AS apply_status, why, CASE WHEN why <> '' THEN '' ELSE concat_ws(';', 'entity_text', CASE WHEN entity_type <> 'drug' THEN 'entity_type' END, CASE WHEN operator <> 'exists' THEN 'operator' END, CASE WHEN had THEN 'value' END, CASE WHEN value_type <> 'null' THEN 'value_type' END, CASE WHEN t_relation IS NOT NULL THEN 'temporal_context' END, CASE WHEN computability <> 'computable' THEN 'computability' END, CASE WHEN k % 18 = 7 OR evidence_text <> 'said so' THEN 'evidence_text' END) END AS changed_fields, CASE WHEN why LIKE 'criterion%' OR why LIKE 'unknown%' THEN NULL WHEN why = '' OR why LIKE 'cand%' OR why LIKE 'full%' THEN entity_text || ' again' ELSE entity_text END AS new_entity_text, CASE WHEN why LIKE 'criterion%' OR why LIKE 'unknown%' THEN NULL WHEN why = '' OR why LIKE 'cand%' OR why LIKE 'full%' THEN 'exists' ELSE operator END AS new_operator FROM told")
+_query("applied_trees", lambda s, d: _applied(s, d)[0].select("document_id", F.md5("doc").alias("digest")),
+       _GROUPS + f", edited AS MATERIALIZED (SELECT l.*, coalesce(w.why = '', false) AS done FROM leaf AS l LEFT JOIN whys AS w ON w.plan_id = l.key_id), after AS ({_documents(f'CASE WHEN done THEN {_NEW_LEAF} ELSE {OLD_LEAF} END', _Joined.duck).replace('LEAVES', 'edited')}) SELECT document_id, md5(doc) AS digest FROM after")
+
+
 def oracle_with(sql: str) -> str:
     """A statement over the nested documents; ROOTS stands for the roots of their sections."""
     return f"WITH RECURSIVE leaf AS ({leaves_sql()}), docs AS MATERIALIZED ({_documents(OLD_LEAF, _Joined.duck).replace('LEAVES', 'leaf')}), {sql.replace('ROOTS', _ROOTS)}"
