@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from array import array
@@ -9,12 +10,16 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-from .common import Known
-
 _TAIL = ".,!?;:|"
+#: Bytes of a remembered word besides its letters and ids; longer words are made anew each time.
+ENTRY, LONGEST = 190, 64
+#: What stands for a comma and a full stop between words while a text is cut.
+_COMMA, _STOP = "\1", "\2"
+#: Such a sign behind anything but a letter or a digit belongs to the signs before it.
+_JOINED = re.compile(r"[.,](?<=[\W_][.,]) ")
 #: White space that stands alone between visible characters never joins other
 #: white space in the pre-tokenizer's pattern; texts with any other take the plain path.
-_UNEVEN = ["  ", "\n\n", " \n", "\n ", "\0", *(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")]
+_UNEVEN = ["  ", "\n\n", " \n", "\n ", _COMMA, _STOP, *(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -24,38 +29,83 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
+class _Words(dict):
+    """Remembered ids of words, in two generations of at most about ``room`` bytes: frequent words survive.
+
+    ``make`` gives the ids and whether to keep them: what is put together from
+    kept words is cheap to make again and would only crowd them out.
+    """
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room, self.old, self.held = make, room, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found, keep = self.make(word)
+            if not keep:
+                return found
+        if self.held >= self.room:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[word] = found
+        self.held += 2 * len(word) + len(found) + ENTRY
+        return found
+
+
 class ByteBpe:
     """Ids of whole texts, remembered by word.
 
     The pre-tokenizer's pattern cuts before every single space and around every
     single line break, so the words between them are encoded once by the library
     and their ids are reused. Closing punctuation is encoded apart only behind a
-    letter or a digit, as the pattern keeps a run of other signs together. All other
+    letter or a digit, as the pattern keeps a run of other signs together; commas and
+    stops before a space are cut off for the whole text at once where that holds. All other
     words, texts with any other white space, and texts with one of the file's added
     tokens (which get its id) go through the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = 12 << 20):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.plain = [*_UNEVEN, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.letters = _byte_letters()
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
-        self.known = Known(self._word)
+        # Words behind a space, and words that begin a line or follow another word's punctuation.
+        self.spaced = _Words(self._spaced, room)
+        self.bare = _Words(self._bare, room // 8)
+        self.line = self._library("\n")
+        self.signs = {_COMMA: self._library(","), _STOP: self._library(".")}
 
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if word[-1] in _TAIL:
-            stem = word.rstrip(_TAIL)
-            if stem and unicodedata.category(stem[-1])[0] in "LN":
-                return self.known[stem] + self.known[word[len(stem) :]]
-        bare = word[1:] if word[0] == " " else word
-        if bare.isalpha():
-            mapped = "Ġ" * (len(word) - len(bare)) + bare if bare.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-        return self._library(word)
+    def _spaced(self, word: str) -> tuple[bytes, bool]:
+        if word in self.signs:
+            return self.signs[word], True
+        if word.isalpha() or word.isascii() and word.isdecimal():
+            mapped = "Ġ" + word if word.isascii() else "Ġ" + "".join(map(self.letters.__getitem__, word.encode()))
+            return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes(), True
+        if "\n" in word:
+            head, *lines = word.split("\n")
+            return self.line.join([self.spaced[head], *map(self.bare.__getitem__, lines)]), False
+        stem = word.rstrip(_TAIL)
+        if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
+            return self.spaced[stem] + self.bare[word[len(stem) :]], False
+        return self._library(" " + word), len(word) <= LONGEST
+
+    def _bare(self, word: str) -> tuple[bytes, bool]:
+        if "\n" in word:
+            return self.line.join(map(self.bare.__getitem__, word.split("\n"))), False
+        if word.isalpha() or word.isascii() and word.isdecimal():
+            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes(), True
+        stem = word.rstrip(_TAIL)
+        if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
+            return self.bare[stem] + self.bare[word[len(stem) :]], False
+        return self._library(word), len(word) <= LONGEST
 
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian integers of ``dtype``."""
@@ -63,8 +113,10 @@ class ByteBpe:
             return b""
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.plain):
             return self._library(text)
-        words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return b"".join(map(self.known.__getitem__, words))
+        if not _JOINED.search(text):
+            text = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
+        words = iter(text.split(" "))
+        return self.bare[next(words)] + b"".join(map(self.spaced.__getitem__, words))
 
 
 _LOADED: dict[str, ByteBpe] = {}

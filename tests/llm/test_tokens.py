@@ -97,3 +97,14 @@ def test_encoder_same_as_library():
     texts += ["".join(rng.choices(signs, k=rng.randint(1, 14))) for _ in range(20000)]
     for text in texts:
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_any_mixture_of_signs_encodes_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), byte_bpe.ByteBpe(path, room=4000)
+    rng = random.Random(4)
+    parts = ["word", "Über", "é", "x1", "12", "12.5%", "don't", "'s", "world).", '"Hello".', "a_b", "_,", ",", "...", "é,", "é.", "日本", "½.", "%%%", "a,b", "end.\nNext", "\nLine", "tab\tx", "  ", "\x01", "\x02", "<|endoftext|>", "we've.", "1,000,", "z),", "Ⅷ.", "١٢", "🙂.", "b;", "e|", ",,", "., "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) + rng.choice((" ", " ", " ", "", "\n")) for _ in range(rng.randint(1, 9)))
+        text = text.strip(" \n") if rng.random() < 0.5 else text
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
