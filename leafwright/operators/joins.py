@@ -21,8 +21,8 @@ def _filled(x: str | Column) -> Column:
 
 
 def items_with_entities(items: DataFrame, entities: DataFrame, key: str = "chia_id") -> DataFrame:
-    """Items with the entity row of their key; ``entity_status`` is ok, missing, or duplicate where the build side repeats the key."""
-    built = entities.groupBy(key).agg(F.count("*").alias("entity_rows"), *(F.first(c).alias(c) for c in entities.columns if c != key))
+    """Items with the entity row of their key; ``entity_status`` is ok, missing, or duplicate where the build side repeats the key: then no row is taken."""
+    built = entities.groupBy(key).agg(F.count("*").alias("entity_rows"), *(F.when(F.count("*") == 1, F.any_value(c)).alias(c) for c in entities.columns if c != key))
     status = F.when(F.col("entity_rows").isNull(), "missing").when(F.col("entity_rows") > 1, "duplicate").otherwise("ok")
     return items.join(built, key, "left").withColumn("entity_status", status).drop("entity_rows")
 
@@ -146,9 +146,9 @@ def substituted(plan_a: DataFrame, results_b: DataFrame, leaves_b: DataFrame, ke
     return joined.select(key, source.alias("selected_source"))
 
 
-def labelled_scores(scores: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
-    """Scores with their manual label, unlabelled ones dropped; ``unique_key`` tells whether the label's key is one to one."""
-    per = labels.groupBy(key).agg(F.min(label).alias(label), F.count("*").alias("label_rows"))
+def labelled_scores(scores: DataFrame, labels: DataFrame, key: str, label: str, order: str = "ord") -> DataFrame:
+    """Scores with their first manual label, unlabelled ones dropped; ``unique_key`` tells whether the label's key is one to one."""
+    per = labels.groupBy(key).agg(F.min_by(label, order).alias(label), F.count("*").alias("label_rows"))
     out = scores.join(per, key).where(_filled(label).isNotNull())
     return out.withColumn("unique_key", F.col("label_rows") == 1).drop("label_rows")
 

@@ -21,6 +21,7 @@ MODIFIERS = ("active", "current", "currently", "ongoing", "uncontrolled", "sever
 HARD_MODIFIERS = ("adequate trial", "previous adequate trial", "prior adequate trial", "planned", "planned need", "need for", "requiring", "comorbid", "evident", "measurable")
 ALLOWANCES = ("not excluded", "are not excluded", "will not be excluded", "not exclusionary", "is allowed", "are allowed", "permitted", "eligible despite")
 GENERIC_B = ("", "patient", "patients", "subject", "subjects", "participant", "participants", "individual", "individuals", "disease", "condition", "therapy", "treatment", "test", "value", "result", "measurement", "criteria", "criterion", "other", "unknown", "none", "null")
+GENERIC_A = ("of", "and", "or", "with", "patients", "patient", "subjects", "subject", "condition", "disease", "therapy", "treatment", "other")
 REVIEW_BELOW, HIGH_FROM = 0.60, 0.85
 COMPONENTS_A = ("entity", "operator_value", "quantitative", "temporal", "history", "context", "computability", "layer1")
 COMPONENTS_B = ("entity", "value", "unit", "operator_value", "quantitative", "temporal", "history", "context", "modifier", "allowance", "layer1")
@@ -56,7 +57,7 @@ def signals_a(d: Spark) -> list[tuple[str, str]]:
         ("operator_category", choose([(one_of("operator", (*COMPARISONS, *EQUALITIES)), "'comparison'"), ("coalesce(operator = 'between', false)", "'range'"), (one_of("operator", LISTS), "'list'"), (one_of("operator", EXISTENCE), "'existence'")], "'other'")),
         ("entity_in_evidence", f"{ent} <> '' AND contains({ev}, {ent})"),
         ("entity_in_item", f"{ent} <> '' AND contains({item}, {ent})"),
-        ("generic_entity", one_of(ent, ("of", "and", "or", "with", "patients", "patient", "subjects", "subject", "condition", "disease", "therapy", "treatment", "other"))),
+        ("generic_entity", one_of(ent, GENERIC_A)),
         ("value_supported", supported),
         ("value_in_evidence", f"coalesce(value_text, '') <> '' AND contains({ev}, lower(value_text))"),
         ("temporal_marker", find(TEMPORAL_A)),
@@ -114,7 +115,9 @@ def reasons_a(d: Spark) -> list[tuple[str, str]]:
         ("layer1d_pass1_pass2_logic_flag", "codes_1d <> ''"),
         ("layer1_inventory_flag", "codes_1a <> '' OR codes_1c <> ''"),
     ]
-    return [("risk_reasons", codes(pairs))]
+    # The reason for an operator of no category names it.
+    named = "concat('unknown_or_other_operator_category:', coalesce(nullif(operator, ''), operator_category))"
+    return [("risk_reasons", f"replace({codes(pairs)}, 'unknown_or_other_operator_category', {named})")]
 
 
 def least_a(d: Spark) -> list[tuple[str, str]]:

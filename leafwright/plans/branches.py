@@ -93,7 +93,7 @@ _query("plan_inputs", "plan leaf_a leaf_b policies", lambda p, a, b, c: joins.pl
 _query("substitutions", "plan results leaf_b", joins.substituted,
        "SELECT p.criterion_id, CASE WHEN r.decision <> 'human_review' AND r.validation = 'pass' THEN 'b_dejure_best' WHEN b.criterion_id IS NOT NULL AND NOT needs_result THEN 'b_current' ELSE 'human_review' END AS selected_source FROM plan AS p LEFT JOIN results AS r ON r.criterion_id = p.criterion_id LEFT JOIN leaf_b AS b ON b.criterion_id = p.criterion_id")
 _query("labelled_scores", "leaf_a labels", lambda a, m: joins.labelled_scores(a.select("criterion_id", "computability"), m, "criterion_id", "label"),
-       "SELECT a.criterion_id, computability, l.label, n = 1 AS unique_key FROM leaf_a AS a JOIN (SELECT criterion_id, min(label) AS label, count(*) AS n FROM labels GROUP BY ALL) AS l ON l.criterion_id = a.criterion_id WHERE label <> ''")
+       "SELECT a.criterion_id, computability, l.label, n = 1 AS unique_key FROM leaf_a AS a JOIN (SELECT criterion_id, arg_min(label, ord) AS label, count(*) AS n FROM labels GROUP BY ALL) AS l ON l.criterion_id = a.criterion_id WHERE label <> ''")
 _query("grounding_with_labels", "leaf_b labels", lambda b, m: joins.grounding_with_labels(b.withColumn("criterion_id", F.when(F.col("k") % 2 == 0, F.col("criterion_id"))).select("criterion_id", "item_uid", "clause_id", "unit"), m.withColumn("criterion_id", F.when(F.col("ord") % 3 > 0, F.col("criterion_id"))), "label").select("join_key", "unit", "label", "manual_file__criterion_id", "note"),
        "SELECT b.criterion_id AS join_key, unit, label, CASE WHEN m.ord % 3 > 0 THEN m.criterion_id END AS \"manual_file__criterion_id\", note FROM leaf_b AS b JOIN labels AS m ON m.criterion_id = b.criterion_id WHERE label <> ''")
 _query("both_branches", "decisions", lambda x: joins.both_branches(x.where("branch = 'A' and decision <> 'late'"), x.where("branch = 'B_raw' or branch = 'A' and ord % 8 = 0 and decision <> 'late'")),

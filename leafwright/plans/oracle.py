@@ -300,7 +300,7 @@ scored AS (SELECT *,
   CASE WHEN NOT c_a THEN 1.0 WHEN ctx THEN 0.85 WHEN computability = 'computable' THEN 0.3 ELSE 0.4 END::DOUBLE AS s_context,
   CASE computability WHEN 'computable' THEN 1.0 WHEN 'partial' THEN 0.7 WHEN 'non_computable' THEN CASE WHEN trim(coalesce(non_computable_reason, '')) = '' THEN 0.6 ELSE 0.8 END ELSE 0.5 END::DOUBLE AS s_comp,
   least(CASE WHEN n_hard_a > 0 THEN 0.45 WHEN n_exec > 0 THEN 0.7 WHEN n_safe > 0 THEN 0.9 ELSE 1.0 END, CASE WHEN codes_1d <> '' THEN 0.55 ELSE 1.0 END, CASE WHEN codes_1a <> '' OR codes_1c <> '' THEN 0.65 ELSE 1.0 END)::DOUBLE AS s_layer1,
-  {_codes(_REASONS_A)} AS risk_reasons FROM signals),
+  replace({_codes(_REASONS_A)}, 'unknown_or_other_operator_category', 'unknown_or_other_operator_category:' || coalesce(nullif(operator, ''), cat)) AS risk_reasons FROM signals),
 branch_a AS (SELECT *, least(s_entity, s_operator, s_quant, s_time, s_history, s_context, s_comp, s_layer1) AS least_a FROM scored),
 labelled AS (SELECT *, {_BANDS.format('least_a', '')} AS risk_label FROM branch_a),
 ground AS (SELECT *, {_numeric('evidence_text')} || ' ' || {_numeric('item_text')} AS src, {_clinical('evidence_text')} AS g_ev, {_clinical('entity_text')} AS g_ent, {_clinical('unit')} AS g_unit,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import extract, layer1, layer2, layer3, spans, tree
+from ..sources import adapters
 from .dialect import DUCK, Spark, apply, codes, render
 from . import branches, evaluation, oracle, trees
 from .leaves import leaves, leaves_sql, tables
@@ -169,12 +170,25 @@ def _overlaps(d: Spark) -> list[tuple[str, str]]:
 
 
 _leaf("token_overlaps", (_token_sets, _overlaps), "SELECT key_id, round(recall_v1, 9) AS recall_v1, round(jaccard_v3, 9) AS jaccard_v3, round(jaccard_v4, 9) AS jaccard_v4, round(recall_v5, 9) AS recall_v5 FROM {leaf}")
-_ITEM = "doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS item_index, first_char AS start_char, first_char + length(trim(line)) AS end_char, md5(trim(line)) AS digest"
+#: Lines without leading white space and a bullet or number, without trailing white space; what is empty then is no item.
+_LINES = "SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({0}) AS l"
+_ITEM = "doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS item_index, first_char AS start_char, first_char + length(content) AS end_char, md5(content) AS digest"
+_MARKED = "SELECT *, {0} AS bullet FROM ({1}) AS m"
+_CUT = "SELECT doc_id, pos, before + length(line) - length(ltrim(line)) + length(bullet) AS first_char, rtrim(substr(ltrim(line), length(bullet) + 1)) AS content FROM ({0}) AS b"
+_BULLET = r"^([-•*]|[0-9]+[.)])\s*"
+
+
+def _items_of(lines: str, bullet: str) -> str:
+    return f"SELECT {_ITEM} FROM ({_CUT.format(_MARKED.format(bullet, _LINES.format(lines)))}) AS o WHERE content <> ''"
+
+
+# The given texts have no bullets, so every third line gets one.
+_GIVEN = "CASE WHEN pos % 3 = 1 THEN concat(' - ', raw) WHEN pos % 3 = 2 THEN concat('12) ', raw) ELSE raw END AS line"
 _table(
     "item_split",
-    f"SELECT {_ITEM} FROM (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(ltrim(line)) AS first_char FROM (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {{documents}}) AS l) AS o WHERE trim(line) <> ''",
+    _items_of(f"SELECT doc_id, pos, {_GIVEN} FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, raw) FROM {{documents}}) AS r", f"regexp_substr(ltrim(line), r'{_BULLET}')").replace("length(bullet)", "coalesce(length(bullet), 0)"),
     "documents",
-    duck=f"SELECT {_ITEM} FROM (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) - length(ltrim(line)) AS first_char FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {{documents}}) AS l) AS o WHERE trim(line) <> ''",
+    duck=_items_of(f"SELECT doc_id, pos, {_GIVEN} FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {{documents}}) AS r", f"regexp_extract(ltrim(line), '{_BULLET}')"),
 )
 _table("paired_sections", "SELECT l_orderkey AS document, count(*) AS n, md5(CAST(l_orderkey AS STRING)) AS place FROM {lineitem} GROUP BY l_orderkey HAVING max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END) = 1 ORDER BY place, document LIMIT 100", "lineitem")
 _table("latest_per_key", "SELECT user_id, event_type, event_id FROM (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS n FROM {events}) AS x WHERE n = 1", "events")
@@ -185,7 +199,21 @@ _table(
     "conversations",
 )
 _table("key_set_algebra", "SELECT side, count(*) AS n FROM (SELECT 'both' AS side, k FROM (SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey AS k FROM {customer}) AS i UNION ALL SELECT 'customers_only' AS side, k FROM (SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey AS k FROM {orders}) AS e UNION ALL SELECT 'any' AS side, k FROM (SELECT o_custkey AS k FROM {orders} UNION SELECT c_custkey AS k FROM {customer}) AS u) AS x GROUP BY side", "orders", "customer")
-_table("tolerant_json", "SELECT event_id, get_json_object(props, '$.k') AS k, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN trim(props) LIKE '{%' THEN 'ok' ELSE 'error' END AS status FROM {events}".replace("LIKE '{%'", "LIKE concat(chr(123), '%')"), "events", duck="SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN props IS NULL OR trim(props) = '' THEN 'empty' WHEN trim(props) LIKE concat(chr(123), '%') THEN 'ok' ELSE 'error' END AS status FROM {events}")
+
+
+#: What a model might write around an object: fences, a word before it, text around it, arrays, broken ones.
+_WRAPPED = "CASE event_id % 8 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 1 THEN concat('Here it is: ', props, ' as asked.') WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN substr(props, 1, length(props) - 1) WHEN 4 THEN '7' WHEN 5 THEN '' WHEN 6 THEN concat('json ', props) ELSE props END"
+
+
+def _tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(f"SELECT event_id, {_WRAPPED} AS response FROM {{events}}", **tables(spark, sf_dir, "events"))
+    return adapters.parsed_json(own).selectExpr("event_id", "parse_status", "CASE WHEN parse_status = 'ok' THEN try_variant_get(json, '$.k', 'string') END AS k")
+
+
+_SPARK["tolerant_json"] = _tolerant
+_SQL["tolerant_json"] = f"""WITH r AS (SELECT event_id, {_WRAPPED} AS response FROM events), b AS (SELECT event_id, response, trim(regexp_replace(regexp_replace(regexp_replace(trim(response), '^```(json)?', ''), '```$', ''), '^(\\s*)[jJ][sS][oO][nN]', '')) AS bare FROM r),
+p AS (SELECT *, CASE WHEN json_valid(bare) THEN bare WHEN json_valid(regexp_extract(bare, '(?s)(\\{{.*\\}})', 1)) THEN regexp_extract(bare, '(?s)(\\{{.*\\}})', 1) END AS j FROM b)
+SELECT event_id, CASE WHEN trim(coalesce(response, '')) = '' THEN 'empty' WHEN j IS NULL THEN 'error' WHEN json_type(j) <> 'OBJECT' THEN 'not_object' ELSE 'ok' END AS parse_status, CASE WHEN json_type(j) = 'OBJECT' THEN json_extract_string(j, '$.k') END AS k FROM p"""
 # --- spans ---------------------------------------------------------------------
 _SPANS = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS span, l_partkey % 150 AS a, l_partkey % 150 + 5 + CAST(l_quantity AS BIGINT) AS b, CASE l_suppkey % 3 WHEN 0 THEN 'Condition' WHEN 1 THEN 'Measurement' ELSE 'Value' END AS label, round(0.5 + l_discount * 4, 4) AS score FROM lineitem"
 _ITEMS = "SELECT o_orderkey AS doc, i AS item, i * 60 AS a, i * 60 + 60 AS b FROM orders JOIN (VALUES (0), (1), (2)) AS n(i) ON o_orderkey >= 0"

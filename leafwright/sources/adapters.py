@@ -10,6 +10,8 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from queue import Empty, Queue
+from threading import Thread
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +35,30 @@ def call(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], a
     a content filter refuses is not tried again. Rows leave in small groups.
     """
 
-    def ask(pool: ThreadPoolExecutor, client: Callable[[str], str], request: str) -> tuple[str | None, str, str | None]:
+    def answer(client: Callable[[str], str], request: str) -> str:
+        """A thread of its own for each attempt: one that hangs holds up no other, and ends with the worker."""
+        done: Queue = Queue()
+
+        def work() -> None:
+            try:
+                done.put((client(request), None))
+            except Exception as e:  # noqa: BLE001  any failure of a foreign service is a row
+                done.put((None, e))
+
+        Thread(target=work, daemon=True).start()
+        response, failure = done.get(timeout=timeout)
+        if failure is not None:
+            raise failure
+        return response
+
+    def ask(client: Callable[[str], str], request: str) -> tuple[str | None, str, str | None]:
         error = None
         for k in range(attempts):
             try:
-                return pool.submit(client, request).result(timeout), "ok", None
-            except TimeoutError:
+                return answer(client, request), "ok", None
+            except Empty:
                 error = f"no answer within {timeout} seconds"
-            except Exception as e:  # noqa: BLE001  any failure of a foreign service is a row
+            except Exception as e:  # noqa: BLE001
                 error = str(e)
                 if "content_filter" in error.lower():
                     break
@@ -50,20 +68,25 @@ def call(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
-        # As many threads as attempts that may still hang; they are not waited for at the end.
-        pool = ThreadPoolExecutor(max_workers=64)
         for batch in batches:
             for at in range(0, batch.num_rows, 8):
                 part = batch.slice(at, 8)
-                got = [ask(pool, client, request) for request in part.column("request").to_pylist()]
+                # The requests of a group go out together.
+                with ThreadPoolExecutor(max_workers=8) as group:
+                    got = list(group.map(lambda request: ask(client, request), part.column("request").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("request_id"), *(pa.array(c, pa.string()) for c in zip(*got))], names=["request_id", "response", "status", "error"])
-        pool.shutdown(wait=False, cancel_futures=True)
 
     return requests.select(F.col("request_id").cast("string").alias("request_id"), "request").mapInArrow(run, "request_id string, response string, status string, error string")
 
 
 def parsed_json(df: DataFrame, column: str = "response") -> DataFrame:
-    """json, parse_status: fences stripped, then the text itself, else what stands between the outer braces."""
+    """json, parse_status: fences and a leading "json" stripped, then the text itself, else what stands between the outer braces.
+
+    Status: ok (an object), not_object, error, or empty.
+    """
     bare = SPARK.replace(SPARK.replace(f"trim({column})", "^```(json)?", ""), "```$", "")
+    bare = f"trim({SPARK.replace(bare, '^(?i)([ \t\n\r]*)json', '')})"
     inner = SPARK.extract(f"coalesce({bare}, '')", r"(?s)(\{.*\})", 1)
-    return df.selectExpr("*", f"coalesce(try_parse_json(trim({bare})), try_parse_json({inner})) AS json").withColumn("parse_status", F.when(F.col(column).isNull(), "empty").when(F.col("json").isNull(), "error").otherwise("ok"))
+    own = df.selectExpr("*", f"coalesce(try_parse_json({bare}), try_parse_json({inner})) AS json")
+    is_object = F.expr("startswith(schema_of_variant(json), 'OBJECT')")
+    return own.withColumn("parse_status", F.when(F.trim(F.coalesce(column, F.lit(""))) == "", "empty").when(F.col("json").isNull(), "error").when(~is_object, "not_object").otherwise("ok"))
