@@ -147,23 +147,48 @@ def leaf_mask(places: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers of words; one that has none gets the next and is remembered as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.next, self.new = 0, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.next
+        self.next += 1
+        self.new.append(word)
+        return number
+
+
 class Reader:
     """Turns texts into token numbers and their features; words beyond the hot ones get numbers for a while."""
 
     def __init__(self, hot: list[bytes], spelling: np.ndarray, places: tuple[np.ndarray, np.ndarray], spare: int = 200_000):
         self.hot, self.spelling, self.places, self.spare = hot, Spelling(spelling), places, spare
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
+        # Marks are few, so what is hashed of one alone is looked up.
+        marks = np.arange(CLASSES + 2 + min(FEATURED, len(hot)), dtype=np.uint64)
+        self.first, self.second, self.third, self.paired = mix64(marks, 20), mix64(marks, 21), mix64(marks, 22), mix64(marks, 31)
+        self.slots = [_slot(x) for x in (self.first, self.second, self.third)]
+        self.class_pairs = _slot(mix64(np.arange(CLASSES * CLASSES, dtype=np.uint64), 30))
         self._fill()
 
     def _fill(self) -> None:
         self.words: list[bytes] = []
         self.numbers.clear()
         # Number 0 is what stands before a text.
-        self.cls, self.leaf, self.mark = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.uint64)
+        self.cls, self.leaf, self.mark = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.words.append(b"")
         self._add(self.hot)
 
     def _add(self, words: list[bytes]) -> None:
+        """Numbers for words that have none."""
+        self.numbers.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self._numbered(words)
+
+    def _numbered(self, words: list[bytes]) -> None:
+        """Class, leaf and mark of the words that were numbered last."""
         first = len(self.words)
         cls = SINGLES + BANDS + self.spelling.clusters(words)
         leaf = np.full(len(words), REST)
@@ -172,10 +197,9 @@ class Reader:
             cls[:n], leaf[:n] = self.places
         number = np.arange(first, first + len(words))
         # A frequent token is its own feature, another one that of its class.
-        mark = np.where(number <= min(FEATURED, len(self.hot)), CLASSES + 1 + number, 1 + cls).astype(np.uint64)
+        mark = np.where(number <= min(FEATURED, len(self.hot)), CLASSES + 1 + number, 1 + cls)
         self.cls, self.leaf, self.mark = np.concatenate([self.cls, cls]), np.concatenate([self.leaf, leaf]), np.concatenate([self.mark, mark])
         self.words += words
-        self.numbers.update(zip(words, number.tolist()))
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Token numbers of all texts end to end, their features (tokens x FEATURES), and where each text starts.
@@ -187,20 +211,27 @@ class Reader:
         tokens = [tokens_of(t) for t in texts]
         sizes = np.array([len(t) for t in tokens])
         every = list(chain.from_iterable(tokens))
-        self._add(list(set(every).difference(self.numbers)))
+        self.numbers.next = len(self.words)
         ids = np.fromiter(map(self.numbers.__getitem__, every), dtype=np.int64, count=len(every))
+        if len(self.numbers.new):
+            self._numbered(self.numbers.new)
+            self.numbers.new = []
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        place = np.arange(len(ids)) - np.repeat(starts, sizes)
-        before = []
-        for k in (1, 2, 3):
-            own = np.zeros(len(ids), dtype=np.int64)
-            own[k:] = ids[: len(ids) - k] if k < len(ids) else ids[:0]
-            before.append(np.where(place >= k, own, 0))
-        marks = [self.mark[b] for b in before]
-        pair = mix64(marks[0] ^ mix64(marks[1], 31), 32)
-        seen = [mix64(m, 20 + k) for k, m in enumerate(marks)]
-        seen += [pair, mix64((self.cls[before[0]] * CLASSES + self.cls[before[1]]).astype(np.uint64), 30)]
-        return ids, np.stack([_slot(s) for s in seen], axis=1), np.stack([seen[0], seen[1], pair], axis=1), starts
+
+        def before(own: np.ndarray, k: int) -> np.ndarray:
+            """What stands k places before; 0 where the text is not that long."""
+            out = np.zeros_like(own)
+            out[k:] = own[:-k]
+            for j in range(k):
+                at = starts + j
+                out[at[j < sizes]] = 0
+            return out
+
+        marks, classes = self.mark[ids], self.cls[ids]
+        m1, m2, m3 = (before(marks, k) for k in (1, 2, 3))
+        pair = mix64(m1.astype(np.uint64) ^ self.paired[m2], 32)
+        seen = [self.slots[0][m1], self.slots[1][m2], self.slots[2][m3], _slot(pair), self.class_pairs[before(classes, 1) * CLASSES + before(classes, 2)]]
+        return ids, np.stack(seen, axis=1), np.stack([self.first[m1], self.second[m2], pair], axis=1), starts
 
 
 def _slot(hashed: np.ndarray) -> np.ndarray:
@@ -213,14 +244,15 @@ def leaf_slots(hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def _scores(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
-    """The summed rows of the tokens' features, less each token's greatest."""
-    score = np.take(weights, features[:, 0], axis=0, mode="clip")
+    """The summed rows of the tokens' features, held to what has a finite exponential."""
+    columns = np.ascontiguousarray(features.T).astype(np.intp)
+    score = np.take(weights, columns[0], axis=0, mode="clip")
     more = np.empty_like(score)
-    for k in range(1, features.shape[1]):
-        score += np.take(weights, features[:, k], axis=0, mode="clip", out=more)
+    for column in columns[1:]:
+        score += np.take(weights, column, axis=0, mode="clip", out=more)
     if mask is not None:
         score += mask
-    score -= score.max(axis=1, keepdims=True)
+    np.clip(score, -80, 80, out=score)
     return score
 
 
@@ -228,7 +260,7 @@ def softmax(weights: np.ndarray, features: np.ndarray, mask: np.ndarray | None =
     """Probabilities, tokens x outcomes; ``mask`` is added to the scores."""
     score = _scores(weights, features, mask)
     np.exp(score, out=score)
-    score /= score.sum(axis=1, keepdims=True)
+    score *= (1 / (score @ np.ones(score.shape[1], dtype=score.dtype)))[:, None]
     return score
 
 
@@ -237,7 +269,7 @@ def log_of(weights: np.ndarray, features: np.ndarray, outcomes: np.ndarray, mask
     score = _scores(weights, features, mask)
     own = score[np.arange(len(outcomes)), outcomes]
     np.exp(score, out=score)
-    return own - np.log(score.sum(axis=1))
+    return own - np.log(score @ np.ones(score.shape[1], dtype=score.dtype))
 
 
 def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, outcomes: np.ndarray, mask: np.ndarray | None = None, step: float = STEP) -> None:
@@ -247,12 +279,18 @@ def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, outco
     # Each row's gradient: what its tokens gave, summed row by row.
     rows, width = features.ravel(), features.shape[1]
     order = np.argsort(rows, kind="stable")
-    starts = np.flatnonzero(np.diff(rows[order].astype(np.int64), prepend=-1))
-    total, touched = np.add.reduceat(np.take(gap, order // width, axis=0, mode="clip"), starts, axis=0), rows[order[starts]]
-    new = squares[touched] + total**2
-    squares[touched] = new
+    ranked = rows[order]
+    starts = np.flatnonzero(np.diff(ranked.astype(np.int32), prepend=-1))
+    order //= width
+    total, touched = np.add.reduceat(np.take(gap, order, axis=0, mode="clip"), starts, axis=0), ranked[starts]
+    seen = np.square(total)
+    seen += squares[touched]
+    squares[touched] = seen
+    seen += np.float32(1e-3)
+    np.sqrt(seen, out=seen)
     total *= -step
-    weights[touched] += total / np.sqrt(new + np.float32(1e-3))
+    total /= seen
+    weights[touched] += total
 
 
 def _updates(docs: DataFrame, words: tuple, weights: np.ndarray, leaf_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
