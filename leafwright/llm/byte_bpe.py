@@ -10,9 +10,9 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import Words
+
 _TAIL = ".,!?;:|"
-#: Bytes of a remembered word besides its letters and ids; longer words are made anew each time.
-ENTRY, LONGEST = 190, 64
 #: What stands for a comma and a full stop between words while a text is cut.
 _COMMA, _STOP = "\1", "\2"
 #: Such a sign behind anything but a letter or a digit belongs to the signs before it.
@@ -29,31 +29,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(next(spare)) for b in range(256)}
 
 
-class _Words(dict):
-    """Remembered ids of words, in two generations of at most about ``room`` bytes: frequent words survive.
-
-    ``make`` gives the ids and whether to keep them: what is put together from
-    kept words is cheap to make again and would only crowd them out.
-    """
-
-    def __init__(self, make, room: int):
-        super().__init__()
-        self.make, self.room, self.old, self.held = make, room, {}, 0
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            found, keep = self.make(word)
-            if not keep:
-                return found
-        if self.held >= self.room:
-            self.old, self.held = dict(self), 0
-            self.clear()
-        self[word] = found
-        self.held += 2 * len(word) + len(found) + ENTRY
-        return found
-
-
 class ByteBpe:
     """Ids of whole texts, remembered by word.
 
@@ -74,8 +49,8 @@ class ByteBpe:
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
         # Words behind a space, and words that begin a line or follow another word's punctuation.
-        self.spaced = _Words(self._spaced, room)
-        self.bare = _Words(self._bare, room // 8)
+        self.spaced = Words(self._spaced, room)
+        self.bare = Words(self._bare, room // 8)
         self.line = self._library("\n")
         self.signs = {_COMMA: self._library(","), _STOP: self._library(".")}
 
@@ -94,7 +69,7 @@ class ByteBpe:
         stem = word.rstrip(_TAIL)
         if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
             return self.spaced[stem] + self.bare[word[len(stem) :]], False
-        return self._library(" " + word), len(word) <= LONGEST
+        return self._library(" " + word), True
 
     def _bare(self, word: str) -> tuple[bytes, bool]:
         if "\n" in word:
@@ -105,7 +80,7 @@ class ByteBpe:
         stem = word.rstrip(_TAIL)
         if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
             return self.bare[stem] + self.bare[word[len(stem) :]], False
-        return self._library(word), len(word) <= LONGEST
+        return self._library(word), True
 
     def encode(self, text: str) -> bytes:
         """The ids, as little-endian integers of ``dtype``."""

@@ -108,6 +108,35 @@ class Known(dict):
         return found
 
 
+#: Bytes of a remembered word besides its letters and what it stands for; longer words are made anew each time.
+ENTRY, LONGEST = 190, 64
+
+
+class Words(dict):
+    """Remembered bytes of words, in two generations of at most about ``room`` bytes: frequent words survive.
+
+    ``make`` gives the bytes and whether to keep them: what is put together from
+    kept words is cheap to make again and would only crowd them out.
+    """
+
+    def __init__(self, make: Callable[[str], tuple[bytes, bool]], room: int, longest: int = LONGEST):
+        super().__init__()
+        self.make, self.room, self.longest, self.old, self.held = make, room, longest, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found, keep = self.make(word)
+            if not keep or len(word) > self.longest:
+                return found
+        if self.held >= self.room:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self[word] = found
+        self.held += 2 * len(word) + len(found) + ENTRY
+        return found
+
+
 #: Keys of more rows than this share of all, and at least so many, are dealt over ``SALTS`` salts.
 HOT_SHARE, HOT_ROWS, SALTS, SLOTS = 256, 256, 256, 4096
 

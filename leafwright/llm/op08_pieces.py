@@ -7,7 +7,9 @@ place; a piece that is not compatible with the one before it gives way to the
 next shorter one, and a place from which nothing fits is marked in a bit field
 and never tried again. Pieces never hold a space mark behind another character,
 so words are independent, and each word is encoded once for as long as it is
-remembered. Characters outside the vocabulary become byte pieces.
+remembered. Nor does a merge ever join two characters that are neighbours in no piece,
+so closing signs are encoded apart from the word before them where that holds.
+Characters outside the vocabulary become byte pieces.
 
 Defined results: a null text is empty; an empty text has only begin and end id;
 null ids and repeated rows are kept; other columns are ignored.
@@ -28,9 +30,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Known, slices, texts_of
+from .common import Words, slices, texts_of
 
 SPACE = "▁"
+CLOSING = ".,!?;:|"
+#: Bytes of remembered words in a generation.
+ROOM = 24 << 20
 #: A run of space marks belongs to the word behind it.
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
@@ -60,7 +65,10 @@ class Pieces:
                 self.automaton.add_word(name, len(name))
         self.automaton.make_automaton()
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known = Known(self._word)
+        self.characters = {x for x in self.ids if len(x) == 1}
+        named = [names[i] for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+        self.inside = {pair for name in named for pair in zip(name, name[1:])}
+        self.known = Words(self._remembered, ROOM)
 
     def merged(self, text: str) -> list[str]:
         """Merging as defined: again and again the best-scored neighbours, the leftmost of equals."""
@@ -89,29 +97,44 @@ class Pieces:
         fits: list[list[int]] = [[] for _ in range(n)]
         for end, size in self.automaton.iter(text):
             fits[end - size + 1].append(size)  # shorter before longer
-        failed, found, tried, pos = 0, [], [len(x) - 1 for x in fits], 0
+        failed, found, tried, pos, apart = 0, [], [len(x) - 1 for x in fits], 0, self.apart
+        last = ""
         while pos < n:
-            choices, k = fits[pos], tried[pos]
+            choices, k, piece = fits[pos], tried[pos], ""
             while k >= 0:
-                size = choices[k]
-                if not failed >> (pos + size) & 1 and (not found or self.compatible(found[-1], text[pos : pos + size])):
-                    break
+                end = pos + choices[k]
+                if not failed >> end & 1:
+                    piece = text[pos:end]
+                    if not last:
+                        break
+                    fine = apart.get((last, piece))
+                    if fine or fine is None and self.compatible(last, piece):
+                        break
                 k -= 1
             if k >= 0:
                 tried[pos] = k
-                found.append(text[pos : pos + size])
-                pos += size
+                found.append(piece)
+                last, pos = piece, end
                 if pos < n:
                     tried[pos] = len(fits[pos]) - 1
             elif found:
                 failed |= 1 << pos
                 pos -= len(found.pop())
+                last = found[-1] if found else ""
             else:
                 raise ValueError(f"no encoding of {text!r}")
         return found
 
+    def _remembered(self, word: str) -> tuple[bytes, bool]:
+        stem = word.rstrip(CLOSING)
+        if 0 < len(stem) < len(word) and (stem[-1], word[len(stem)]) not in self.inside:
+            return self.known[stem] + self.known[word[len(stem) :]], False
+        return self._word(word), True
+
     def _word(self, word: str) -> bytes:
         """Ids of a word; unknown characters cut it."""
+        if self.characters.issuperset(word):
+            return array("I", map(self.ids.__getitem__, self.backtrack(word))).tobytes()
         ids, run = [], []
         for c in word:
             if c in self.ids:
