@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LABELS = ("correct", "partial", "incorrect")
@@ -37,6 +37,20 @@ def by_variant(rows: DataFrame, variants: dict[str, str], label: str) -> DataFra
     return stacked.groupBy("variant", "risk").agg(F.count("*").alias("n"), F.count_if(error).alias("errors")).withColumn("error_rate", share(F.col("errors"), F.col("n")))
 
 
+def ranking_by_variant(rows: DataFrame, variants: dict[str, str], label: str) -> DataFrame:
+    """variant, labelled, positives, auroc and average_precision of each variant's risk score; windows see one row for each distinct score."""
+    stacked = rows.select(label, F.explode(F.array(*(F.struct(F.lit(v).alias("variant"), F.round(F.col(c) * 1_000_000).cast("long").alias("m")) for v, c in variants.items()))).alias("x")).select(label, "x.*")
+    scores = stacked.groupBy("variant", "m").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col(label).isin("partial", "incorrect")).cast("double").alias("pos"))
+    up = Window.partitionBy("variant").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("variant").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
+    own = scores.withColumn("below", F.coalesce(F.sum("n").over(up), F.lit(0.0))).withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
+    pos, all_ = F.sum("pos"), F.sum("n")
+    ranks = F.sum(F.col("pos") * (F.col("below") + (F.col("n") + 1) / 2))
+    auroc = F.when((pos > 0) & (all_ > pos), F.round((ranks - pos * (pos + 1) / 2) / (pos * (all_ - pos)), 9))
+    precision = F.when(pos > 0, F.round(F.sum(F.col("pos") * F.col("tp") / F.col("seen")) / pos, 9))
+    return own.groupBy("variant").agg(all_.cast("long").alias("labelled"), pos.cast("long").alias("positives"), auroc.alias("auroc"), precision.alias("average_precision"))
+
+
 def overlaps(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     """How many rows two conditions share."""
     return rows.agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_first"), F.count_if(~a & b).alias("only_second"), F.count_if(~a & ~b).alias("neither"))

@@ -212,16 +212,16 @@ def consistency_codes(d: Spark) -> list[tuple[str, str]]:
     return [("codes_1d", f"CASE WHEN NOT has_clause THEN 'pass2_leaf_without_pass1_clause' ELSE {codes(tests)} END")]
 
 
-def _policy_counts(branch: str) -> list[tuple[str, str]]:
+def _policy_counts(d: Spark, branch: str) -> list[tuple[str, str]]:
     """How many codes of each weight a leaf has; later columns look at the counts."""
     soft = SOFT_WARNINGS if branch == "b" else ()
     hard_c = tuple(x for x in WARNINGS if x not in soft)
     return [
-        (f"hard_{branch}", f"({hits('codes_1a', HARD_STRUCTURAL)} + {hits('codes_1b', ('duplicate_criterion_id',))} + {hits('codes_1c', hard_c)} + {hits('codes_1d', CONSISTENCY)})"),
-        (f"soft_{branch}", hits("codes_1c", soft) if soft else "0"),
-        (f"execution_{branch}", hits("codes_1a", EXECUTION)),
-        (f"safe_{branch}", hits("codes_1a", SAFE_NORMAL)),
-        (f"hard_codes_{branch}", f"concat_ws('|', nullif({held('codes_1a', HARD_STRUCTURAL)}, ''), nullif({held('codes_1c', hard_c)}, ''))"),
+        (f"hard_{branch}", f"({hits(d, 'codes_1a', HARD_STRUCTURAL)} + {hits(d, 'codes_1b', ('duplicate_criterion_id',))} + {hits(d, 'codes_1c', hard_c)} + {hits(d, 'codes_1d', CONSISTENCY)})"),
+        (f"soft_{branch}", hits(d, "codes_1c", soft) if soft else "0"),
+        (f"execution_{branch}", hits(d, "codes_1a", EXECUTION)),
+        (f"safe_{branch}", hits(d, "codes_1a", SAFE_NORMAL)),
+        (f"hard_codes_{branch}", f"concat_ws('|', nullif({held(d, 'codes_1a', HARD_STRUCTURAL)}, ''), nullif({held(d, 'codes_1c', hard_c)}, ''))"),
     ]
 
 
@@ -241,11 +241,11 @@ def _policy(branch: str) -> list[tuple[str, str]]:
 
 
 def policy_counts_a(d: Spark) -> list[tuple[str, str]]:
-    return _policy_counts("a")
+    return _policy_counts(d, "a")
 
 
 def policy_counts_b(d: Spark) -> list[tuple[str, str]]:
-    return _policy_counts("b")
+    return _policy_counts(d, "b")
 
 
 def policy_a(d: Spark) -> list[tuple[str, str]]:

@@ -35,14 +35,14 @@ def terms(d: Spark) -> list[tuple[str, str]]:
     """All diagnosis terms of a leaf in each branch, joined by semicolons, and whether a conservative structural issue is among them."""
     shared = "codes_1a, codes_1b, codes_1c, codes_1d"
     filled = lambda rest: "concat_ws(';', " + ", ".join(f"nullif({c}, '')" for c in f"{shared}, {rest}".split(", ")) + ")"
-    return [("terms_a", filled("risk_reasons, action_a")), ("terms_b", filled("semantic_reasons, routing_reason, action_b")), ("is_conservative", f"{hits('codes_1a', [c for c, _ in CONSERVATIVE])} > 0")]
+    return [("terms_a", filled("risk_reasons, action_a")), ("terms_b", filled("semantic_reasons, routing_reason, action_b")), ("is_conservative", f"{hits(d, 'codes_1a', [c for c, _ in CONSERVATIVE])} > 0")]
 
 
 def candidates(d: Spark) -> list[tuple[str, str]]:
     """Task, kind, stage, judge-first and attempts of each branch's rescue candidate."""
     out = []
     for b, default in (("a", "branch_a_field_level_semantic_rescue"), ("b", "branch_b_field_level_semantic_judge")):
-        first = [(f"{hits('codes_1a', (c,))} > 0", f"'{t}'") for c, t in CONSERVATIVE]
+        first = [(f"{hits(d, 'codes_1a', (c,))} > 0", f"'{t}'") for c, t in CONSERVATIVE]
         rest = [("(" + " OR ".join(f"contains(lower(terms_{b}), '{x}')" for x in names) + ")", f"'{t}'") for t, names in TASK_TERMS]
         target, optional = f"decision_{b} = 'targeted_llm_rescue_candidate'", f"decision_{b} = 'optional_targeted_rescue_or_review'"
         stages = ("P1_run_now_branch_b_mandatory_judge", "P2_budget_allows_branch_b_optional_judge") if b == "b" else ("P3_branch_a_mandatory_diagnostic_rescue_or_ablation", "P4_branch_a_optional_diagnostic_rescue")
@@ -62,12 +62,12 @@ def judge_first(d: Spark) -> list[tuple[str, str]]:
 
 def b_usable(d: Spark) -> list[tuple[str, str]]:
     """Whether branch B can be offered for branch A, and why (not); needs b_entity_text, b_evidence_text, b_computability, b_found."""
-    soft = f"concat_ws(';', CASE WHEN b_computability = 'non_computable' THEN 'branch_b_non_computable' END, CASE WHEN {hits('terms_b', SCOPE_TERMS)} > 0 THEN 'branch_b_context_or_exception_scope_problem' END)"
+    soft = f"concat_ws(';', CASE WHEN b_computability = 'non_computable' THEN 'branch_b_non_computable' END, CASE WHEN {hits(d, 'terms_b', SCOPE_TERMS)} > 0 THEN 'branch_b_context_or_exception_scope_problem' END)"
     blocked = [
         ("NOT b_found", "'no_matching_branch_b_decision_row'"),
         (f"{text.norm(d, 'b_entity_text')} = ''", "'branch_b_missing_entity_text'"),
         (f"{text.norm(d, 'b_evidence_text')} = ''", "'branch_b_missing_evidence_text'"),
-        (f"{hits('terms_b', POLARITY_TERMS)} > 0", "'branch_b_polarity_problem'"),
+        (f"{hits(d, 'terms_b', POLARITY_TERMS)} > 0", "'branch_b_polarity_problem'"),
         ("is_conservative", "'branch_b_structural_value_problem'"),
     ]
     offered = f"concat('branch_b_available_as_candidate_routing:', routing, CASE WHEN {soft} = '' THEN '' ELSE concat('|soft_warning:', {soft}) END)"
@@ -77,15 +77,15 @@ def b_usable(d: Spark) -> list[tuple[str, str]]:
 def plan_a(d: Spark) -> list[tuple[str, str]]:
     """Execution group, priority and strategy of branch A: seven rules, the first that holds."""
     explicit = [*ENTITY_TERMS, *(c for c, _ in CONSERVATIVE), *OTHER_ACTIONABLE]
-    only_anchor = f"({hits('terms_a', ('no_bert_anchor', 'missing_bert_anchor'))} > 0 AND {hits('terms_a', explicit)} = 0)"
+    only_anchor = f"({hits(d, 'terms_a', ('no_bert_anchor', 'missing_bert_anchor'))} > 0 AND {hits(d, 'terms_a', explicit)} = 0)"
     task = lambda names: one_of("rescue_type_a", names)
     rules = [
         ("is_conservative", "A_main_llm_rescue", 10, "recover_structural_information_or_abstain"),
-        (f"{task(('condition_exception_context_recovery',))} OR {hits('terms_a', CONTEXT_TERMS)} > 0", "A_status_or_review", 30, "abstain_or_human_review_for_context_logic"),
+        (f"{task(('condition_exception_context_recovery',))} OR {hits(d, 'terms_a', CONTEXT_TERMS)} > 0", "A_status_or_review", 30, "abstain_or_human_review_for_context_logic"),
         (task(("duplicate_prune_or_merge_judge", "branch_a_field_level_semantic_rescue")), "A_deferred_diagnostic", 90, "defer_broad_or_duplicate_task"),
         (only_anchor, "A_deferred_diagnostic", 80, "defer_no_bert_anchor_only"),
         (task(ACTIONABLE_TASKS), "A_main_llm_rescue", 20, "targeted_field_recovery_with_candidate_check"),
-        (f"{task(('entity_regrounding', 'entity_type_reclassification'))} OR {hits('terms_a', ENTITY_TERMS)} > 0", "A_main_llm_rescue", 25, "entity_candidate_selection_not_anchor_only"),
+        (f"{task(('entity_regrounding', 'entity_type_reclassification'))} OR {hits(d, 'terms_a', ENTITY_TERMS)} > 0", "A_main_llm_rescue", 25, "entity_candidate_selection_not_anchor_only"),
     ]
     last = ("A_deferred_diagnostic", 95, "defer_non_actionable_high_risk")
     return [

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import aggregates, joins, labels, layer1, layer2, layer3, normalise, rescue
+from ..operators import aggregates, joins, labels, layer1, layer2, layer3, normalise, rescue, values
 from . import oracle
 from .dialect import apply
 from .leaves import leaves, leaves_sql
@@ -191,6 +191,8 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
     _leaf("rescue_plan", plan, "SELECT key_id, b_allowed, b_reason, only_no_anchor, plan_group, plan_priority, plan_strategy FROM {leaf}", _CANDIDATES + _PLAN)
 
     _leaf("rescue_plan_b", (*plan, rescue.plan_b), "SELECT key_id, plan_group_b, plan_priority_b, plan_strategy_b, plan_task_b, requires_llm_b, max_attempts_b, blocked_b FROM {leaf}", _CANDIDATES + _PLAN_B)
+    _leaf("ranking_by_variant", ablation, lambda own: aggregates.ranking_by_variant(own.where("manual_label is not null").withColumn("risk_a", 1 - F.col("least_a")).withColumn("risk_signal", 1 - F.col("least_signal")), {"full": "risk_a", "signals": "risk_signal"}, "manual_label"), _RANKING, "least_a least_signal")
+    _leaf("layer1_without_policy", (*layer3_steps, _blank_policy, values.issues, values.layer1_support), "SELECT key_id, semantic_l1, execution_l1, semantic_l1_reasons, execution_l1_reasons FROM {leaf}", _BLANK)
     _leaf("run_first", plan, _subset, _CANDIDATES + _SUBSET, "key_id stage_a stage_b rescue_type_a rescue_type_b codes_1a")
     _leaf("carried_labels", (*layer3_steps, layer3.review_text), _carried, _CARRIED, "key_id compact_leaf manual_label k")
     _leaf("branch_label_shares", layer3_steps, _label_shares, _LABEL_SHARES, "key_id manual_label k")
@@ -214,6 +216,22 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
     _leaf("prioritised_sweep", layer3_steps, lambda own: aggregates.prioritised(own.where("manual_label is not null"), "semantic_support", "manual_label"), _SWEEP, "semantic_support")
 
 
+def _blank_policy(d) -> list[tuple[str, str]]:
+    """Every third leaf as from an inventory without a policy, some with few codes."""
+    return [("all_codes", "CASE WHEN k % 5 = 1 THEN concat(substring_index(codes_1a, ';', 1), ';odd_partial_code; ') WHEN k % 5 = 2 THEN '' ELSE concat_ws(';', codes_1a, codes_1c, codes_1d) END"), ("policy_action", "CASE WHEN k % 3 <> 0 THEN action_b WHEN k % 2 = 0 THEN ' ' END")]
+
+
+_RANKING = """, v AS (SELECT 'full' AS variant, round((1 - least_a) * 1000000) AS m, manual_label <> 'correct' AS e FROM labelled WHERE manual_label IS NOT NULL UNION ALL SELECT 'signals', round((1 - least(s_entity, s_operator, s_quant, s_time, s_history, s_context, s_comp)) * 1000000), manual_label <> 'correct' FROM labelled WHERE manual_label IS NOT NULL),
+ranked AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY m) + (count(*) OVER (PARTITION BY variant, m) - 1) / 2 AS r, count(*) FILTER (e) OVER (PARTITION BY variant ORDER BY m DESC) AS tp, count(*) OVER (PARTITION BY variant ORDER BY m DESC) AS seen FROM v)
+SELECT variant, count(*) AS labelled, count(*) FILTER (e) AS positives, round((sum(r) FILTER (e) - count(*) FILTER (e) * (count(*) FILTER (e) + 1) / 2) / (count(*) FILTER (e) * count(*) FILTER (NOT e)::DOUBLE), 9) AS auroc, round(avg(tp / seen) FILTER (e), 9) AS average_precision FROM ranked GROUP BY variant"""
+_BLANK = f""", told AS (SELECT *, list_distinct(list_filter(list_transform(string_split(CASE WHEN k % 5 = 1 THEN split_part(codes_1a, ';', 1) || ';odd_partial_code; ' WHEN k % 5 = 2 THEN '' ELSE concat_ws(';', codes_1a, codes_1c, codes_1d) END, ';'), lambda c: trim(c)), lambda c: c <> '')) AS cs FROM final),
+parted AS (SELECT *, list_filter(cs, lambda c: NOT list_contains([{', '.join(repr(c) for c in values.SEMANTIC)}], c) AND regexp_matches(c, 'computable_with_(exception_context|non_computable_reason)|non_computable|partial')) AS use_ FROM told), counted_issues AS (SELECT *, len(use_) AS m, len(cs) - len(use_) AS n, list_filter(cs, lambda c: NOT list_contains(use_, c)) AS mean_ FROM parted)
+SELECT key_id, CASE WHEN k % 3 <> 0 THEN CASE WHEN n_hard_b > 0 THEN 0.5 WHEN action_b = 'continue_to_layer2_grounding_screen' THEN 0.8 ELSE 1 END WHEN n = 0 THEN 1 WHEN n = 1 THEN 0.65 WHEN n = 2 THEN 0.5 ELSE 0.35 END::DOUBLE AS semantic_l1,
+  CASE WHEN k % 3 <> 0 THEN CASE WHEN action_b = 'computability_review_candidate' THEN 0.7 WHEN len(cs) = 0 THEN 1 ELSE 0.9 END WHEN m = 0 THEN CASE WHEN len(cs) = 0 THEN 1 ELSE 0.9 END WHEN m = 1 THEN 0.7 WHEN m = 2 THEN 0.55 ELSE 0.4 END::DOUBLE AS execution_l1,
+  CASE WHEN k % 3 <> 0 THEN CASE WHEN n_hard_b > 0 THEN 'layer1_policy:hard_semantic_or_structural_issue' WHEN action_b = 'continue_to_layer2_grounding_screen' THEN 'layer1_policy:soft_semantic_warning' ELSE '' END ELSE array_to_string(list_transform(list_sort(mean_), lambda c: 'layer1_semantic:' || c), ';') END AS semantic_l1_reasons,
+  CASE WHEN k % 3 <> 0 THEN CASE WHEN action_b = 'computability_review_candidate' THEN 'layer1_execution:layer1_policy_execution_issue' ELSE '' END ELSE array_to_string(list_transform(list_sort(use_), lambda c: 'layer1_execution:' || c), ';') END AS execution_l1_reasons FROM counted_issues"""
+
+
 def _subset(own: DataFrame) -> DataFrame:
     """Both branches' candidates as rows; some without an id or under the wrong branch."""
     sides = [own.select("key_id", F.lit(b.upper()).alias("side"), F.when(F.col("k") % 21 == 4, None).otherwise(F.concat(F.lit(b.upper()), F.lit(":"), "key_id")).alias("candidate_id"), F.col(f"stage_{b}").alias("run_stage"), F.when(F.col("k") % 25 == 6, "A").otherwise(F.lit(b.upper())).alias("branch"), F.col(f"rescue_type_{b}").alias("rescue_task_type"), F.when(F.col("k") % 10 != 3, labels.conservative_issues("codes_1a")).alias("conservative_issues")) for b in "ab"]

@@ -41,6 +41,15 @@ class Spark:
     def common(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
 
+    def parts(self, x: str, sign: str) -> str:
+        return f"split({x}, '{sign}')"
+
+    def array(self, names) -> str:
+        return f"array({', '.join(repr(n) for n in names)})"
+
+    def joined(self, array: str, sign: str) -> str:
+        return f"array_join({array}, '{sign}')"
+
 
 class Duck(Spark):
     @staticmethod
@@ -63,7 +72,17 @@ class Duck(Spark):
         return f"len({array})"
 
     def common(self, a: str, b: str) -> str:
-        return f"list_intersect({a}, {b})"
+        # In the order of the first list.
+        return f"list_filter({a}, lambda c: list_contains({b}, c))"
+
+    def parts(self, x: str, sign: str) -> str:
+        return f"string_split({x}, '{sign}')"
+
+    def array(self, names) -> str:
+        return f"[{', '.join(repr(n) for n in names)}]"
+
+    def joined(self, array: str, sign: str) -> str:
+        return f"array_to_string({array}, '{sign}')"
 
 
 SPARK, DUCK = Spark(), Duck()
@@ -124,13 +143,18 @@ def has(column: str, code: str) -> str:
     return f"contains(concat(';', {column}, ';'), ';{code};')"
 
 
-def hits(column: str, names) -> str:
+def hits(d: Spark, column: str, names) -> str:
     """How many of the names a joined code column holds."""
-    return "(" + " + ".join(f"CASE WHEN {has(column, n)} THEN 1 ELSE 0 END" for n in sorted(names)) + ")"
+    return d.size(_both(d, column, names))
+
+
+def held(d: Spark, column: str, names) -> str:
+    """Those of the names that a joined code column holds, in its order, joined by bars."""
+    return d.joined(_both(d, column, names), "|")
 
 
-def held(column: str, names) -> str:
-    return "concat_ws('|', " + ", ".join(f"CASE WHEN {has(column, n)} THEN '{n}' END" for n in sorted(names)) + ")"
+def _both(d: Spark, column: str, names) -> str:
+    return d.common(d.parts(column, ";"), d.array(sorted(names)))
 
 
 def choose(rules: list[tuple[str, str]], default: str) -> str:

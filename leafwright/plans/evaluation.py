@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, clauses, gold, grounding, judge, nested, splits, tagging
+from ..operators import anchors, annotations, cleaning, clauses, gold, grounding, judge, nested, splits, tagging, values
 from . import trees
 from .dialect import apply
 from .leaves import leaves, leaves_sql, tables
@@ -206,6 +206,64 @@ _SQL["grounding_rates"] = f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), g AS (
 f AS (SELECT *, trim(entity_text) <> '' AS ne, trim(entity_text) <> '' AND contains(lower(evidence_text), lower(trim(entity_text))) AS ev, n > 0 AS an, n > 0 OR n_other > 0 AS cand, n > 0 AND m1 OR n = 2 AND m2 AS any_, n > 0 AND CASE WHEN two THEN m2 ELSE m1 END AS best, n > 0 AND coalesce(map_from_entries([('Condition', 'condition'), ('Drug', 'drug'), ('Procedure', 'procedure'), ('Measurement', 'lab'), ('Device', 'other')])[CASE WHEN two THEN l2 ELSE l1 END] = entity_type, false) AS ty, list_contains([{', '.join(repr(w) for w in grounding.GENERIC)}], lower(trim(entity_text))) AS ge FROM b)
 SELECT operator, count(*) AS n, {', '.join(f"CASE WHEN {of} > 0 THEN round(count(*) FILTER ({test}) / {of}, 4) END AS {name}" for name, test, of in (("entity_nonempty", "ne", "count(*)"), ("entity_in_evidence", "ev", "count(*)"), ("anchor_present", "an", "count(*)"), ("no_anchor", "NOT an", "count(*)"), ("any_candidate_present", "cand", "count(*)"), ("no_candidate", "NOT cand", "count(*)"), ("in_evidence_when_anchored", "ev AND an", "count(*) FILTER (an)"), ("in_evidence_when_not_anchored", "ev AND NOT an", "count(*) FILTER (NOT an)"), ("overlaps_any_when_anchored", "any_ AND an", "count(*) FILTER (an)"), ("overlaps_best_when_anchored", "best AND an", "count(*) FILTER (an)"), ("overlaps_any", "any_", "count(*)"), ("overlaps_best", "best", "count(*)"), ("type_match_of_anchored", "ty", "count(*) FILTER (an)"), ("generic_entity", "ge", "count(*)")))} FROM f GROUP BY operator"""
 
+# --- anchors, values, annotations ------------------------------------------------------
+#: A clause with up to three anchors, a qualifier twice, a value or none; without anchors two others.
+_ANCHORED = """SELECT key_id, CASE WHEN k % 6 = 1 THEN '' ELSE evidence_text END AS clause_text, evidence_text, k % 4 AS n, k % 5 = 2 AS valued, entity_text AS t1, CASE k % 3 WHEN 0 THEN 'Drug' WHEN 1 THEN 'Measurement' ELSE 'Visit' END AS l1, CASE WHEN k % 7 <> 2 THEN CAST(anchor_score AS DOUBLE) END AS s1, k % 9 AS e1, concat('Old ', entity_text) AS t2, CASE WHEN k % 2 = 0 THEN 'Condition' ELSE 'Measurement' END AS l2, CAST(0.75 AS DOUBLE) AS s2, k % 11 AS e2, 'days' AS t3, 'Condition' AS l3, CAST(0.75 AS DOUBLE) AS s3, 4 AS e3 FROM LEAF"""
+
+
+def _anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(_ANCHORED.replace("LEAF", "{leaf}"), leaf=leaves(spark, sf_dir))
+    one = lambda i: F.struct(F.col(f"t{i}").alias("text"), F.col(f"l{i}").alias("label"), F.col(f"s{i}").alias("score"), F.lit(0).alias("start"), F.col(f"e{i}").cast("int").alias("end"))
+    said = lambda text, label: F.struct(F.lit(text).alias("text"), F.lit(label).alias("label"))
+    three = F.array(one(1), one(2), one(3))
+    supports = F.array_compact(F.array(said("severe  form", "Qualifier"), said("severe form", "Qualifier"), F.when(F.col("valued"), said("5", "Value")), F.when(F.col("n") == 2, said("mild", "Qualifier"))))
+    own = own.select("key_id", "clause_text", "evidence_text", F.slice(three, F.lit(1), F.col("n").cast("int")).alias("anchors"), F.when(F.col("n") == 3, F.filter(supports, lambda s: s["label"] == "Value")).otherwise(supports).alias("supports"), F.slice(three, 1, 2).alias("others"))
+    return anchors.with_anchor(own).select("key_id", F.col("anchor.label").alias("label"), F.col("anchor.text").alias("anchor_text"), anchors.entity_text().alias("entity"), anchors.modifier_text().alias("modifier"))
+
+
+_SPARK["clause_anchors"] = _anchored
+_SQL["clause_anchors"] = f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), a AS ({_ANCHORED.replace('LEAF', 'leaf')}), c AS (SELECT *, lower(trim(regexp_replace(clause_text, ' +', ' ', 'g'))) AS lc, lower(trim(regexp_replace(evidence_text, ' +', ' ', 'g'))) AS le FROM a),
+v AS (SELECT *, valued OR regexp_matches(lc || ' ' || le, '(<=|>=|(^|[^<>=!])[<>=]($|[^=])|\\b(between|above|below|less than|greater than|at least|at most)\\b)') AS val FROM c),
+o AS (SELECT key_id, lc, le, val, 1 AS i, t1 AS t, l1 AS l, s1 AS s, e1 AS e FROM v WHERE n >= 1 OR l1 <> 'Visit' UNION ALL SELECT key_id, lc, le, val, 2, t2, l2, s2, e2 FROM v WHERE n >= 2 OR n = 0 UNION ALL SELECT key_id, lc, le, val, 3, t3, l3, s3, e3 FROM v WHERE n = 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY key_id ORDER BY CASE l WHEN 'Measurement' THEN CASE WHEN val THEN 0 ELSE 3 END WHEN 'Condition' THEN val::INT WHEN 'Drug' THEN 1 + val::INT ELSE 9 END, (NOT (trim(t) <> '' AND contains(lc, lower(trim(t)))))::INT, (NOT (trim(t) <> '' AND contains(le, lower(trim(t)))))::INT, -len(list_intersect(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), regexp_extract_all(lc, '[a-z0-9]+'))), -coalesce(s, -1), -e, i) AS nth FROM o)
+SELECT v.key_id, r.l AS label, r.t AS anchor_text, CASE WHEN trim(coalesce(r.t, '')) <> '' THEN trim(regexp_replace(r.t, ' +', ' ', 'g')) WHEN clause_text <> '' THEN trim(regexp_replace(clause_text, ' +', ' ', 'g')) ELSE trim(regexp_replace(evidence_text, ' +', ' ', 'g')) END AS entity, CASE n WHEN 3 THEN NULL WHEN 2 THEN 'severe form | mild' ELSE 'severe form' END AS modifier FROM v LEFT JOIN r ON r.key_id = v.key_id AND r.nth = 1"""
+#: Values as people and models write them; what the sources say of them.
+_VALUED = """SELECT key_id, k, qty, CAST(p_size AS STRING) AS size, CASE k % 12 WHEN 0 THEN '' WHEN 1 THEN qty WHEN 2 THEN concat('[', qty, ', ', CAST(p_size AS STRING), ']') WHEN 3 THEN concat('{"min":', qty, ',"max":null}') WHEN 4 THEN concat('{"lower":"', qty, '","value":[1,"two"]}') WHEN 5 THEN 'non-smoker' WHEN 6 THEN '"9,876 x ULN"' WHEN 7 THEN 'three' WHEN 8 THEN '99999' WHEN 9 THEN '[]' WHEN 10 THEN 'null' ELSE 'no json {' END AS value_text, CASE WHEN k % 15 = 3 THEN 'Null' ELSE 'scalar' END AS value_type, CASE WHEN k % 10 = 5 THEN 'a non-smoking adult' WHEN k % 10 = 6 THEN 'one or 3 and 9876 xULN' ELSE evidence_text END AS evidence_text, CASE WHEN k % 4 = 1 THEN concat('in ', qty, ' to ', CAST(p_size AS STRING)) ELSE 'item' END AS item_text, k % 17 = 2 AS in_evidence, k % 3 = 1 AS in_item FROM LEAF"""
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(_braced(_VALUED), leaf=leaves(spark, sf_dir))
+    return apply(own, *values.VALUE).select("key_id", F.array_join("v_atoms", "|").alias("atoms"), "value_support", "value_reason")
+
+
+def _value_sql() -> str:
+    from . import oracle
+
+    n = oracle._numeric
+    return f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), v AS ({_VALUED.replace('LEAF', 'leaf')}), a AS (SELECT *, CASE k % 12 WHEN 1 THEN [qty] WHEN 2 THEN [qty, size] WHEN 3 THEN [qty] WHEN 4 THEN [qty, '1', 'two'] WHEN 5 THEN ['non-smoker'] WHEN 6 THEN ['9,876 x ULN'] WHEN 7 THEN ['three'] WHEN 8 THEN ['99999'] WHEN 11 THEN ['no json {{'] ELSE []::VARCHAR[] END AS atoms FROM v),
+b AS (SELECT *, {n('value_text')} AS vn, {n('evidence_text')} AS en, {n('item_text')} AS ino, list_filter(list_transform(atoms, lambda x: {n('x')}), lambda x: x <> '') AS parts FROM a),
+c AS (SELECT *, trim(value_text) = '' OR lower(value_type) = 'null' OR in_evidence OR len(parts) = 0 OR (vn <> '' AND (contains(en, vn) OR contains(ino, vn))) OR len(list_filter(parts, lambda p: NOT contains(en || ' ' || ino, p))) = 0 OR (vn = 'non-smoker' AND contains(en, 'non-smoking')) AS held FROM b)
+SELECT key_id, array_to_string(atoms, '|') AS atoms, CASE WHEN held THEN 1.0 WHEN in_item THEN 0.85 ELSE 0.45 END::DOUBLE AS value_support, CASE WHEN held THEN '' WHEN in_item THEN 'value_not_in_evidence_but_in_item' ELSE 'value_not_grounded_in_evidence_or_item' END AS value_reason FROM c"""
+
+
+_SPARK["value_grounding"] = _valued
+
+
+def _graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as annotated rows: turns as entities, each related to the next one and to one that is missing."""
+    own = spark.sql("SELECT conv_id, turn, role, text FROM {conversations}", **tables(spark, sf_dir, "conversations"))
+    entity = F.struct(F.concat(F.lit("T"), "turn").alias("id"), F.col("role").alias("type"), F.array("text").alias("text"), F.when(F.col("turn") % 2 == 0, F.array(F.array(F.lit(0), F.length("text")))).alias("offsets"))
+    relation = F.struct(F.concat(F.lit("R"), "turn").alias("id"), F.when(F.col("turn") % 3 == 0, "AND").otherwise("OR").alias("type"), F.concat(F.lit("T"), "turn").alias("arg1_id"), F.concat(F.lit("T"), (F.col("turn") + 1).cast("string")).alias("arg2_id"))
+    piece = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("turn", x.alias("x")))), lambda y: y["x"])
+    rows = own.groupBy("conv_id").agg(piece(F.col("text")).alias("texts"), piece(entity).alias("entities"), piece(relation).alias("relations"))
+    return rows.select(F.col("conv_id").cast("string").alias("id"), F.when(F.col("conv_id") % 3 > 0, F.concat(F.lit("d"), (F.col("conv_id") % 5).cast("string"))).alias("document_id"), F.array(F.struct("texts").cast("struct<text:array<string>>")).alias("passages"), "entities", "relations", F.col("conv_id").cast("string").alias("number"))
+
+
+_SPARK["annotation_edges"] = lambda s, d: annotations.edges_with_ends(annotations.graph(_graphs(s, d))).select("id", "edge", "type", "from_type", "to_type")
+_SQL["annotation_edges"] = "SELECT c.conv_id::VARCHAR AS id, 'R' || c.turn AS edge, CASE WHEN c.turn % 3 = 0 THEN 'AND' ELSE 'OR' END AS type, c.role AS from_type, n.role AS to_type FROM conversations AS c LEFT JOIN conversations AS n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1"
+_SPARK["annotated_rows"] = lambda s, d: annotations.valid_rows(_graphs(s, d)).select("id", "document_id", F.md5("text").alias("digest"), "n_entities", "n_relations").join(_graphs(s, d).select("id", annotations.group_id("number").alias("group_id")), "id")
+_SQL["annotated_rows"] = "SELECT conv_id::VARCHAR AS id, CASE WHEN conv_id % 3 > 0 THEN 'd' || conv_id % 5 END AS document_id, md5(trim(string_agg(text, ' ' ORDER BY turn))) AS digest, count(*)::INT AS n_entities, count(*)::INT AS n_relations, CASE WHEN conv_id % 3 > 0 THEN 'd' || conv_id % 5 ELSE conv_id::VARCHAR END AS group_id FROM conversations GROUP BY conv_id HAVING trim(string_agg(text, ' ' ORDER BY turn)) <> ''"
+
 # --- the judge loop ------------------------------------------------------------------
 #: Recorded plans, verdicts and repairs: verdicts that fail to parse, are missing or have single scores only; repairs that abstain, are missing or do not hold.
 _PLAN = """SELECT key_id AS plan_id, key_id AS criterion_id, CASE WHEN k % 2 = 0 THEN 'entity_regrounding' ELSE '' END AS rescue_task_type, concat('{"criterion_id":"', key_id, '","entity_type":"drug","entity_text":"', entity_text, '","operator":"exists","value_type":"null","value":null,"unit":null,"computability":"computable","evidence_text":"', evidence_text, '"}') AS leaf, concat(evidence_text, ' in this study') AS context_text, '{}' AS a_leaf FROM LEAF WHERE k % 3 < 2"""
@@ -247,4 +305,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     _register_gold()
+    _SQL["value_grounding"] = _value_sql()
     return dict(_SQL)
