@@ -30,7 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,17 +116,29 @@ class Spelling:
 
 
 @dataclass
-class Model:
+class Vocabulary:
+    """The hot words with their classes and leaves; a worker builds its reader once."""
+
     hot: list[bytes]
-    counts: np.ndarray
-    tokens: int
-    distinct: int
     spelling: np.ndarray
-    rest_tokens: np.ndarray
-    rest_words: np.ndarray
-    weights: np.ndarray
-    leaf_weights: np.ndarray
     places: tuple[np.ndarray, np.ndarray]
+    made: Reader | None = None
+
+    def reader(self) -> Reader:
+        if self.made is None:
+            self.made = Reader(self.hot, self.spelling, self.places)
+        return self.made
+
+
+@dataclass
+class Model(Vocabulary):
+    counts: np.ndarray | None = None
+    tokens: int = 0
+    distinct: int = 0
+    rest_tokens: np.ndarray | None = None
+    rest_words: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    leaf_weights: np.ndarray | None = None
 
 
 def classed_words(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,16 +305,16 @@ def ascend(weights: np.ndarray, squares: np.ndarray, features: np.ndarray, outco
     weights[touched] += total
 
 
-def _updates(docs: DataFrame, words: tuple, weights: np.ndarray, leaf_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _updates(docs: DataFrame, vocabulary: Broadcast, weights: np.ndarray, leaf_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The weights after one round: the tasks' changes, averaged by their tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights, leaf_weights))
+    shared = docs.sparkSession.sparkContext.broadcast((weights, leaf_weights))
     both = np.concatenate([weights, leaf_weights], axis=1)
     size = TABLE // PIECES
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot, spelling, places), start, leaf_start = shared.value
-        reader, own, leaf_own, seen = Reader(hot, spelling, places), start.copy(), leaf_start.copy(), 0
-        squares, leaf_squares, mask = np.zeros_like(start), np.zeros_like(leaf_start), leaf_mask(places)
+        start, leaf_start = shared.value
+        reader, own, leaf_own, seen = vocabulary.value.reader(), start.copy(), leaf_start.copy(), 0
+        squares, leaf_squares, mask = np.zeros_like(start), np.zeros_like(leaf_start), leaf_mask(reader.places)
         chosen = (mask == 0).sum(axis=1) > 1
         for batch in slices(batches):
             ids, features, hashed, _ = reader.read(bytes_of(batch))
@@ -389,10 +401,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS, hot: int = HOT) -> tuple[Model,
     for r in sums:
         rest_tokens[r.cls], rest_words[r.cls] = r.n, r.v
     weights, leaf_weights = np.zeros((TABLE, CLASSES), dtype=np.float32), np.zeros((TABLE, LEAVES), dtype=np.float32)
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(words, spelling, places))
     for k in range(rounds if n else 0):
         own = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k)
-        weights, leaf_weights = _updates(own, (words, spelling, places), weights, leaf_weights)
-    return Model(words, np.array(sizes, dtype=np.float64), int(n), int(v), spelling, rest_tokens, rest_words, weights, leaf_weights, places), counts
+        weights, leaf_weights = _updates(own, vocabulary, weights, leaf_weights)
+    return Model(words, spelling, places, None, np.array(sizes, dtype=np.float64), int(n), int(v), rest_tokens, rest_words, weights, leaf_weights), counts
 
 
 def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
@@ -404,7 +417,7 @@ def score(docs: DataFrame, trained: tuple[Model, DataFrame]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader, row = Reader(own.hot, own.spelling, own.places), TaskContext.get().partitionId() << 40
+        reader, row = own.reader(), TaskContext.get().partitionId() << 40
         n_hot = len(own.hot)
         counts = np.concatenate([[0], own.counts])
         base_of = np.log10((counts + 0.5) / in_all)
