@@ -112,12 +112,35 @@ def clinical(d: Spark, x: str) -> str:
     return f"trim({d.replace(t, '[^a-z0-9%<>=./+-]+', ' ')})"
 
 
-def numeric(d: Spark, x: str) -> str:
-    """The clinical form with number words as digits, no articles and multiples of limits spaced alike."""
+def numeric_base(d: Spark, x: str) -> str:
+    """Lower case, no thousand commas, no articles, signs of comparison and multiplication in ASCII."""
     t = f"lower(trim(coalesce({x}, '')))"
     t = d.replace(d.replace(t, r"(\d),(\d)", "$1$2"), r"(\d),(\d)", "$1$2")
-    t = f"replace(replace(replace({d.replace(t, chr(92) + 'bthe' + chr(92) + 'b', ' ')}, '×', 'x'), '≤', '<='), '≥', '>=')"
+    return f"replace(replace(replace({d.replace(t, chr(92) + 'bthe' + chr(92) + 'b', ' ')}, '×', 'x'), '≤', '<='), '≥', '>=')"
+
+
+def numeric_words(d: Spark, t: str) -> str:
+    """The numeric base with number words as digits and multiples of limits spaced alike; texts without such words pass by."""
+    worded = t
     for k, w in enumerate(DIGIT_WORDS):
-        t = d.replace(t, rf"\b{w}\b", str(k))
+        worded = d.replace(worded, rf"\b{w}\b", str(k))
+    t = f"CASE WHEN {d.like(t, chr(92) + 'b(' + '|'.join(DIGIT_WORDS) + ')' + chr(92) + 'b')} THEN {worded} ELSE {t} END"
     t = d.replace(t, r"(\d)\s*x\s*(uln|lln)", "$1x $2")
     return f"trim({d.replace(t, '[^a-z0-9%<>=./+-]+', ' ')})"
+
+
+def numeric(d: Spark, x: str) -> str:
+    """The clinical form with number words as digits, no articles and multiples of limits spaced alike."""
+    return numeric_words(d, numeric_base(d, x))
+
+
+#: Token sets that several rules look at: the text, and how it is cut.
+TOKENS = {
+    "ev_clause": ("evidence_text", {"stop": STOP_WORDS_CLAUSE}), "cl_clause": ("clause_text", {"stop": STOP_WORDS_CLAUSE}), "it_clause": ("item_text", {"stop": STOP_WORDS_CLAUSE}),
+    "ev_ground": ("evidence_text", GROUNDING), "it_ground": ("item_text", GROUNDING), "en_ground": ("entity_text", GROUNDING), "un_ground": ("unit", GROUNDING),
+}
+
+
+def token_columns(d: Spark) -> list[tuple[str, str]]:
+    """Each set once for all rules; an expression with a lambda is evaluated anew wherever it is written."""
+    return [(name, token_set(d, x, **kind)) for name, (x, kind) in TOKENS.items()]

@@ -204,3 +204,13 @@ def error_coverage(plan: DataFrame, labels: DataFrame, label: str = "label", key
     error = F.col(label).isin("partial", "incorrect")
     counted = held.where(_filled(label).isNotNull()).agg(F.count("*").alias("labelled"), F.count_if(error).alias("errors"), F.count_if(error & F.col("planned").isNotNull()).alias("errors_planned"))
     return counted.withColumn("recall", F.when(F.col("errors") > 0, F.round(F.col("errors_planned") / F.col("errors"), 6)).otherwise(0.0))
+
+
+def group_summary(annotated: DataFrame, *by: str) -> DataFrame:
+    """Rows with a plan and a manual label (null where there is none) by group: how many of each label, the share labelled and the share of errors among them, six digits."""
+    label = F.col("manual_label")
+    n, labelled = F.count("*"), F.count(label)
+    return annotated.groupBy(*by).agg(
+        n.alias("n"), labelled.alias("labelled"), *(F.count_if(label == x).alias(f"n_{x}") for x in ("correct", "partial", "incorrect")),
+        F.round(labelled / n, 6).alias("label_coverage"), F.when(labelled > 0, F.round(F.count_if(label.isin("partial", "incorrect")) / labelled, 6)).alias("error_rate"),
+    )

@@ -183,12 +183,12 @@ CONDITIONAL_CLAUSE = r"\b(if|unless|except|provided that|only if|if applicable)\
 
 
 def clause_facts(d: Spark) -> list[tuple[str, str]]:
-    """What the clause and the entity say, for the consistency codes (columns clause_text, item_text, clause_type, clause_negated)."""
+    """What the clause and the entity say, for the consistency codes (columns clause_text, item_text, clause_type, clause_negated, and the token sets)."""
     clause, item, ev = (text.lower_norm(d, x) for x in ("clause_text", "item_text", "evidence_text"))
     kind = "lower(coalesce(clause_type, ''))"
-    share = lambda of: text.recall(d, "evidence_text", of, stop=text.STOP_WORDS_CLAUSE)
+    share = lambda of: text.recall_of(d, "ev_clause", of)
     return [
-        ("evidence_found", f"({ev} <> '' AND (contains({clause}, {ev}) OR contains({item}, {ev})) OR greatest({share('clause_text')}, {share('item_text')}) >= 0.7)"),
+        ("evidence_found", f"({ev} <> '' AND (contains({clause}, {ev}) OR contains({item}, {ev})) OR greatest({share('cl_clause')}, {share('it_clause')}) >= 0.7)"),
         ("negative_clause", f"(coalesce(clause_negated, false) OR contains({kind}, 'negation') OR {kind} = 'negative' OR {d.like(clause, chr(92) + 'b(' + '|'.join(NEGATIVE_CLAUSE) + ')')})"),
         ("negative_entity", d.like(text.lower_norm(d, "entity_text"), r"\b(" + "|".join(NEGATIVE_ENTITY) + ")")),
         ("conditional_clause", f"(contains({kind}, 'exception') OR contains({kind}, 'condition') OR {d.like(clause, CONDITIONAL_CLAUSE)})"),

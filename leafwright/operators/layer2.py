@@ -145,23 +145,28 @@ def ablation(d: Spark) -> list[tuple[str, str]]:
     return [("signal_support", "round(least_signal, 6)"), ("signal_label", _label("least_signal", LABELS_A)), ("severity_difference", f"{rank('least_a')} - {rank('least_signal')}")]
 
 
+def numeric_b(d: Spark) -> list[tuple[str, str]]:
+    """Numeric bases of the texts that the screen of branch B compares."""
+    return [("base_ev", text.numeric_base(d, "evidence_text")), ("base_item", text.numeric_base(d, "item_text")), ("base_value", text.numeric_base(d, "CASE WHEN value_kind IN ('string', 'number', 'list') THEN value_text END"))]
+
+
 def grounding_b(d: Spark) -> list[tuple[str, str]]:
     """Normal forms and found parts that the screen of branch B looks at several times."""
     whole = lambda x: f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS STRING) ELSE CAST({x} AS STRING) END"
-    ev, item = text.numeric(d, "evidence_text"), text.numeric(d, "item_text")
+    ev, item = text.numeric_words(d, "base_ev"), text.numeric_words(d, "base_item")
     entity = text.clinical(d, "entity_text")
-    share = lambda of, against: text.recall(d, of, against, **text.GROUNDING)
+    share = lambda of, against: text.recall_of(d, of, against)
     return [
         ("source_b", f"concat({ev}, ' ', {item})"),
         ("clinical_ev", text.clinical(d, "evidence_text")),
         ("clinical_item", text.clinical(d, "item_text")),
         ("clinical_entity", entity),
-        ("atom_value", text.numeric(d, "CASE WHEN value_kind IN ('string', 'number', 'list') THEN value_text END")),
+        ("atom_value", text.numeric_words(d, "base_value")),
         ("atom_min", f"coalesce(CASE WHEN value_kind = 'range' THEN {whole('value_min')} END, '')"),
         ("atom_max", f"coalesce(CASE WHEN value_kind = 'range' THEN {whole('value_max')} END, '')"),
         ("clinical_unit", text.clinical(d, "unit")),
-        ("entity_share", f"greatest({share('entity_text', 'evidence_text')}, {share('entity_text', 'item_text')})"),
-        ("unit_share", f"greatest({share('unit', 'evidence_text')}, {share('unit', 'item_text')})"),
+        ("entity_share", f"greatest({share('en_ground', 'ev_ground')}, {share('en_ground', 'it_ground')})"),
+        ("unit_share", f"greatest({share('un_ground', 'ev_ground')}, {share('un_ground', 'it_ground')})"),
         ("cue_b", d.like(text.lower_norm(d, "evidence_text"), CUE_B)),
         ("no_value_b", "(value_kind = 'null' OR value_kind IN ('string', 'number', 'list') AND coalesce(value_text, '') = '')"),
     ]

@@ -34,14 +34,14 @@ def rescue_task(joined: str, default: str) -> str:
     return choose([("(" + " OR ".join(f"contains({joined}, '{p}')" for p in parts) + ")", f"'{task}'") for task, parts in RESCUE_TASKS], f"'{default}'")
 
 
-def _decision(branch: str, rules: list[tuple[str, str]], default: str, joined: str, fallback: str) -> list[tuple[str, str]]:
+def _decision(branch: str, rules: list[tuple[str, str]], default: str) -> list[tuple[str, str]]:
     pick = lambda k, q: choose([(t, q(DECISIONS[x][k])) for t, x in rules], q(DECISIONS[default][k]))
     task = choose(
         [
             (rules[0][0], "'deterministic_safe_normalization'"),
             (rules[1][0], "'deterministic_conservative_downgrade'"),
-            (rules[2][0], rescue_task(joined, fallback)),
-            *((t, "'computability_review'" if x == "computability_review_or_partial" else rescue_task(joined, fallback) if x.startswith("optional") else "'none'") for t, x in rules[3:]),
+            (rules[2][0], f"named_task_{branch}"),
+            *((t, "'computability_review'" if x == "computability_review_or_partial" else f"named_task_{branch}" if x.startswith("optional") else "'none'") for t, x in rules[3:]),
         ],
         "'none'" if branch == "a" else "'manual_review'",
     )
@@ -54,6 +54,17 @@ def _decision(branch: str, rules: list[tuple[str, str]], default: str, joined: s
     ]
 
 
+def said(d: Spark) -> list[tuple[str, str]]:
+    """All that is said against a leaf in each branch, as one text."""
+    joined = "concat_ws(' ', codes_1a, codes_1b, codes_1c, codes_1d, {})"
+    return [("said_a", joined.format("risk_reasons, action_a")), ("said_b", joined.format("semantic_reasons, routing_reason, action_b"))]
+
+
+def named_tasks(d: Spark) -> list[tuple[str, str]]:
+    """The rescue task that each text stands for."""
+    return [("named_task_a", rescue_task("said_a", "structured_llm_rescue_branch_a")), ("named_task_b", rescue_task("said_b", "structured_llm_judge_branch_b"))]
+
+
 def decisions(d: Spark) -> list[tuple[str, str]]:
     """decision, family, priority and rescue task of each branch."""
     common = [("hint_1a = 'safe_normalization_candidate' OR {} = 'safe_normalization_candidate'", "safe_structural_repair_candidate"), ("hint_1a = 'conservative_rewrite_candidate'", "conservative_downgrade_candidate")]
@@ -68,11 +79,7 @@ def decisions(d: Spark) -> list[tuple[str, str]]:
         ("routing = 'keep_without_layer2_action'", "keep_without_layer2_action_candidate"),
         ("routing = 'optional_llm_verifier_or_review'", "optional_targeted_rescue_or_review"),
     ]
-    joined = "concat_ws(' ', codes_1a, codes_1b, codes_1c, codes_1d, {})"
-    return [
-        *_decision("a", a, "branch_a_diagnostic_only_not_auto_accept", joined.format("risk_reasons, action_a"), "structured_llm_rescue_branch_a"),
-        *_decision("b", b, "human_review_or_abstain", joined.format("semantic_reasons, routing_reason, action_b"), "structured_llm_judge_branch_b"),
-    ]
+    return [*_decision("a", a, "branch_a_diagnostic_only_not_auto_accept"), *_decision("b", b, "human_review_or_abstain")]
 
 
 def safe_repairs(d: Spark) -> list[tuple[str, str]]:

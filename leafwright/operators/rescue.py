@@ -38,12 +38,16 @@ def terms(d: Spark) -> list[tuple[str, str]]:
     return [("terms_a", filled("risk_reasons, action_a")), ("terms_b", filled("semantic_reasons, routing_reason, action_b")), ("is_conservative", f"{hits(d, 'codes_1a', [c for c, _ in CONSERVATIVE])} > 0")]
 
 
+def low_terms(d: Spark) -> list[tuple[str, str]]:
+    return [("low_terms_a", "lower(terms_a)"), ("low_terms_b", "lower(terms_b)")]
+
+
 def candidates(d: Spark) -> list[tuple[str, str]]:
     """Task, kind, stage, judge-first and attempts of each branch's rescue candidate."""
     out = []
     for b, default in (("a", "branch_a_field_level_semantic_rescue"), ("b", "branch_b_field_level_semantic_judge")):
         first = [(f"{hits(d, 'codes_1a', (c,))} > 0", f"'{t}'") for c, t in CONSERVATIVE]
-        rest = [("(" + " OR ".join(f"contains(lower(terms_{b}), '{x}')" for x in names) + ")", f"'{t}'") for t, names in TASK_TERMS]
+        rest = [("(" + " OR ".join(f"contains(low_terms_{b}, '{x}')" for x in names) + ")", f"'{t}'") for t, names in TASK_TERMS]
         target, optional = f"decision_{b} = 'targeted_llm_rescue_candidate'", f"decision_{b} = 'optional_targeted_rescue_or_review'"
         stages = ("P1_run_now_branch_b_mandatory_judge", "P2_budget_allows_branch_b_optional_judge") if b == "b" else ("P3_branch_a_mandatory_diagnostic_rescue_or_ablation", "P4_branch_a_optional_diagnostic_rescue")
         out += [
@@ -60,6 +64,41 @@ def judge_first(d: Spark) -> list[tuple[str, str]]:
     return [("judge_first_a", f"CASE WHEN NOT is_conservative AND rescue_type_a IN ({', '.join(repr(t) for t in JUDGED_TASKS)}) THEN 1 ELSE 0 END"), ("judge_first_b", "1")]
 
 
+# The order of stages, what a model may answer, and the fields that it is asked to judge.
+STAGE_ORDER = ("P1_run_now_conservative_structural_recovery", "P1_run_now_branch_b_mandatory_judge", "P2_budget_allows_branch_b_optional_judge", "P3_branch_a_mandatory_diagnostic_rescue_or_ablation", "P4_branch_a_optional_diagnostic_rescue")
+JUDGE_ANSWERS = "accept | minor_fix | reextract_leaf | mark_partial_or_non_computable | human_review | no_repair_possible"
+RECOVERY_ANSWERS = "repaired | no_repair_possible | human_review"
+REPAIR_ANSWERS = "repaired | no_repair_possible | human_review | mark_partial_or_non_computable"
+JUDGED_FIELDS = ("entity_text", "entity_type", "operator", "value", "unit", "temporal_context", "history_context", "condition_exception_context", "computability")
+RECOVERED = {"list_value_recovery": ("value_type", "value"), "range_bounds_recovery": ("value_type", "value", "unit"), "scalar_value_recovery": ("value_type", "value", "unit")}
+
+
+def wanted_answer(d: Spark, branch: str) -> list[tuple[str, str]]:
+    """Which answers a candidate's model may give, and which fields it judges or repairs."""
+    names = lambda xs: "'" + ";".join(xs) + "'"
+    task, judged = f"rescue_type_{branch}", f"judge_first_{branch} = 1"
+    return [
+        (f"answers_{branch}", choose([(judged, f"'{JUDGE_ANSWERS}'"), (one_of(task, tuple(RECOVERED)), f"'{RECOVERY_ANSWERS}'")], f"'{REPAIR_ANSWERS}'")),
+        (f"answer_fields_{branch}", choose([(judged, names(JUDGED_FIELDS)), *((f"{task} = '{t}'", names(f)) for t, f in RECOVERED.items())], "''")),
+    ]
+
+
+def payload(branch: str) -> list[tuple[str, str]]:
+    """SQL (Spark) of a candidate's id, the place of its stage, and what its model is given, as JSON: the leaf's key, evidence and diagnosis."""
+    side = branch.upper()
+    codes_of = lambda *cols: f"filter(split(concat_ws(';', {', '.join(cols)}), ';'), c -> c <> '')"
+    issues = f"array_intersect(split(codes_1a, ';'), array({', '.join(repr(c) for c, _ in CONSERVATIVE)}))"
+    labels = "'risk_label', risk_label, 'reasons', {}" if branch == "a" else "'routing', routing, 'semantic_label', semantic_label, 'reasons', {}"
+    reasons = codes_of("risk_reasons") if branch == "a" else codes_of("semantic_reasons")
+    diagnosis = f"named_struct('action', decision_{branch}, 'family', family_{branch}, 'codes', array_distinct({codes_of('codes_1a', 'codes_1b', 'codes_1c', 'codes_1d')}), {labels.format(reasons)}, 'conservative_issues', {issues})"
+    order = choose([(f"stage_{branch} = '{x}'", str(k + 1)) for k, x in enumerate(STAGE_ORDER)], "99")
+    return [
+        (f"candidate_id_{branch}", f"concat('{side}__', key_id, '__', rescue_type_{branch})"),
+        (f"stage_order_{branch}", order),
+        (f"payload_{branch}", f"to_json(named_struct('task_type', rescue_type_{branch}, 'branch', '{side}', 'document_id', document_id, 'criterion_id', key_id, 'evidence_text', trim(evidence_text), 'diagnosis', {diagnosis}))"),
+    ]
+
+
 def b_usable(d: Spark) -> list[tuple[str, str]]:
     """Whether branch B can be offered for branch A, and why (not); needs b_entity_text, b_evidence_text, b_computability, b_found."""
     soft = f"concat_ws(';', CASE WHEN b_computability = 'non_computable' THEN 'branch_b_non_computable' END, CASE WHEN {hits(d, 'terms_b', SCOPE_TERMS)} > 0 THEN 'branch_b_context_or_exception_scope_problem' END)"

@@ -186,13 +186,17 @@ def register(layer3_steps: tuple, ablation: tuple) -> None:
             ("b_evidence_text", "evidence_text"),
         ]
 
-    plan = (*layer3_steps, rescue.terms, rescue.candidates, rescue.judge_first, b_columns, rescue.b_usable, rescue.plan_a)
+    plan = (*layer3_steps, rescue.terms, rescue.low_terms, rescue.candidates, rescue.judge_first, b_columns, rescue.b_usable, rescue.plan_a)
     _leaf("rescue_candidates", plan, "SELECT key_id, rescue_type_a, kind_a, stage_a, judge_first_a, rescue_type_b, kind_b, stage_b, judge_first_b FROM {leaf}", _CANDIDATES + "SELECT key_id, rescue_type_a, kind_a, stage_a, judge_first_a, rescue_type_b, kind_b, stage_b, 1 AS judge_first_b FROM cand")
     _leaf("rescue_plan", plan, "SELECT key_id, b_allowed, b_reason, only_no_anchor, plan_group, plan_priority, plan_strategy FROM {leaf}", _CANDIDATES + _PLAN)
 
     _leaf("rescue_plan_b", (*plan, rescue.plan_b), "SELECT key_id, plan_group_b, plan_priority_b, plan_strategy_b, plan_task_b, requires_llm_b, max_attempts_b, blocked_b FROM {leaf}", _CANDIDATES + _PLAN_B)
     _leaf("ranking_by_variant", ablation, lambda own: aggregates.ranking_by_variant(own.where("manual_label is not null").withColumn("risk_a", 1 - F.col("least_a")).withColumn("risk_signal", 1 - F.col("least_signal")), {"full": "risk_a", "signals": "risk_signal"}, "manual_label"), _RANKING, "least_a least_signal")
     _leaf("layer1_without_policy", (*layer3_steps, _blank_policy, values.issues, values.layer1_support), "SELECT key_id, semantic_l1, execution_l1, semantic_l1_reasons, execution_l1_reasons FROM {leaf}", _BLANK)
+    answers = tuple(lambda d, b=b: rescue.wanted_answer(d, b) for b in "ab")
+    given = tuple(lambda d, b=b: rescue.payload(b) for b in "ab")
+    _leaf("candidate_payloads", (*plan, *answers, *given), "SELECT key_id, candidate_id_a, stage_order_a, payload_a, answers_a, answer_fields_a, candidate_id_b, stage_order_b, payload_b, answers_b FROM {leaf}", _CANDIDATES + _PAYLOADS)
+    _leaf("plan_group_summary", plan, lambda own: joins.group_summary(own, "plan_group"), _CANDIDATES + _GROUP_SUMMARY, "plan_group manual_label")
     _leaf("run_first", plan, _subset, _CANDIDATES + _SUBSET, "key_id stage_a stage_b rescue_type_a rescue_type_b codes_1a")
     _leaf("carried_labels", (*layer3_steps, layer3.review_text), _carried, _CARRIED, "key_id compact_leaf manual_label k")
     _leaf("branch_label_shares", layer3_steps, _label_shares, _LABEL_SHARES, "key_id manual_label k")
@@ -232,6 +236,23 @@ SELECT key_id, CASE WHEN k % 3 <> 0 THEN CASE WHEN n_hard_b > 0 THEN 0.5 WHEN ac
   CASE WHEN k % 3 <> 0 THEN CASE WHEN action_b = 'computability_review_candidate' THEN 'layer1_execution:layer1_policy_execution_issue' ELSE '' END ELSE array_to_string(list_transform(list_sort(use_), lambda c: 'layer1_execution:' || c), ';') END AS execution_l1_reasons FROM counted_issues"""
 
 
+_PART = "list_filter(string_split({0}, ';'), lambda c: c <> '')"
+_STAGED = "CASE substr({0}, 1, 2) WHEN 'P1' THEN CASE WHEN {0} LIKE '%conservative%' THEN 1 ELSE 2 END WHEN 'P2' THEN 3 WHEN 'P3' THEN 4 WHEN 'P4' THEN 5 ELSE 99 END"
+_ANSWERED = "CASE WHEN {0} THEN 'accept | minor_fix | reextract_leaf | mark_partial_or_non_computable | human_review | no_repair_possible' WHEN {1} LIKE '%!_recovery' ESCAPE '!' AND regexp_matches({1}, '^(list|range|scalar)') THEN 'repaired | no_repair_possible | human_review' ELSE 'repaired | no_repair_possible | human_review | mark_partial_or_non_computable' END"
+
+
+def _payload_sql(branch: str, labels: str, reasons: str) -> str:
+    parts = _PART.format("concat_ws(';', codes_1a, codes_1b, codes_1c, codes_1d)")
+    ordered = f"list_filter({parts}, lambda c, i: list_position({parts}, c) = i)"
+    issues = "list_filter(string_split(codes_1a, ';'), lambda c: list_contains(['list_operator_without_list_value', 'range_with_both_bounds_missing', 'comparison_without_scalar_value'], c))"
+    diagnosis = f"{{'action': decision_{branch}, 'family': family_{branch}, 'codes': {ordered}, {labels}, 'reasons': {_PART.format(reasons)}, 'conservative_issues': {issues}}}"
+    return f"to_json({{'task_type': rescue_type_{branch}, 'branch': '{branch.upper()}', 'document_id': document_id, 'criterion_id': key_id, 'evidence_text': trim(evidence_text), 'diagnosis': {diagnosis}}})::VARCHAR AS payload_{branch}"
+
+
+_LABEL_A, _LABEL_B = "'risk_label': risk_label", "'routing': routing, 'semantic_label': semantic_label"
+_PAYLOADS = f"SELECT key_id, 'A__' || key_id || '__' || rescue_type_a AS candidate_id_a, {_STAGED.format('stage_a')} AS stage_order_a, {_payload_sql('a', _LABEL_A, 'risk_reasons')}, {_ANSWERED.format('judge_first_a = 1', 'rescue_type_a')} AS answers_a, CASE WHEN judge_first_a = 1 THEN 'entity_text;entity_type;operator;value;unit;temporal_context;history_context;condition_exception_context;computability' WHEN rescue_type_a = 'list_value_recovery' THEN 'value_type;value' WHEN rescue_type_a IN ('range_bounds_recovery', 'scalar_value_recovery') THEN 'value_type;value;unit' ELSE '' END AS answer_fields_a, 'B__' || key_id || '__' || rescue_type_b AS candidate_id_b, {_STAGED.format('stage_b')} AS stage_order_b, {_payload_sql('b', _LABEL_B, 'semantic_reasons')}, {_ANSWERED.format('true', 'rescue_type_b')} AS answers_b FROM cand"
+
+
 def _subset(own: DataFrame) -> DataFrame:
     """Both branches' candidates as rows; some without an id or under the wrong branch."""
     sides = [own.select("key_id", F.lit(b.upper()).alias("side"), F.when(F.col("k") % 21 == 4, None).otherwise(F.concat(F.lit(b.upper()), F.lit(":"), "key_id")).alias("candidate_id"), F.col(f"stage_{b}").alias("run_stage"), F.when(F.col("k") % 25 == 6, "A").otherwise(F.lit(b.upper())).alias("branch"), F.col(f"rescue_type_{b}").alias("rescue_task_type"), F.when(F.col("k") % 10 != 3, labels.conservative_issues("codes_1a")).alias("conservative_issues")) for b in "ab"]
@@ -318,6 +339,7 @@ placed AS (SELECT *, CASE WHEN cons THEN 'A_main_llm_rescue|10|recover_structura
   WHEN rescue_type_a IN ('entity_regrounding', 'entity_type_reclassification') OR ent_terms THEN 'A_main_llm_rescue|25|entity_candidate_selection_not_anchor_only' ELSE 'A_deferred_diagnostic|95|defer_non_actionable_high_risk' END AS p FROM blocked)
 SELECT key_id, block IS NULL AS b_allowed, coalesce(block, 'branch_b_available_as_candidate_routing:' || routing || CASE WHEN soft = '' THEN '' ELSE '|soft_warning:' || soft END) AS b_reason, only_no_anchor, split_part(p, '|', 1) AS plan_group, split_part(p, '|', 2)::INT AS plan_priority, split_part(p, '|', 3) AS plan_strategy FROM placed
 """
+_GROUP_SUMMARY = _PLAN[: _PLAN.rindex("SELECT key_id, block IS NULL")] + "SELECT split_part(p, '|', 1) AS plan_group, count(*) AS n, count(manual_label) AS labelled, count(*) FILTER (manual_label = 'correct') AS n_correct, count(*) FILTER (manual_label = 'partial') AS n_partial, count(*) FILTER (manual_label = 'incorrect') AS n_incorrect, round(count(manual_label) / count(*), 6) AS label_coverage, CASE WHEN count(manual_label) > 0 THEN round(count(*) FILTER (manual_label <> 'correct') / count(manual_label), 6) END AS error_rate FROM placed GROUP BY ALL"
 _VALIDATION = """
 missing_entity_text: n_ce = ''
 missing_evidence_text: n_ev = ''
