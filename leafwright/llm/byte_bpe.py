@@ -48,6 +48,8 @@ class ByteBpe:
         self.letters = _byte_letters()
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.code, self.dtype = ("I", np.dtype("<u4")) if wide else ("H", np.dtype("<u2"))
+        self.plain_ascii = [x for x in self.plain if x.isascii()]
+        self.packed = [bytes(x) for x in np.arange(self.tokenizer.get_vocab_size(), dtype=self.dtype).view("V%d" % self.dtype.itemsize)]
         # Words behind a space, and words that begin a line or follow another word's punctuation.
         self.spaced = Words(self._spaced, room)
         self.bare = Words(self._bare, room // 8)
@@ -57,12 +59,17 @@ class ByteBpe:
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _joined(self, mapped: str) -> bytes:
+        """Ids of one run of letters or digits, in the vocabulary's letters."""
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+
     def _spaced(self, word: str) -> tuple[bytes, bool]:
-        if word in self.signs:
-            return self.signs[word], True
         if word.isalpha() or word.isascii() and word.isdecimal():
             mapped = "Ġ" + word if word.isascii() else "Ġ" + "".join(map(self.letters.__getitem__, word.encode()))
-            return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes(), True
+            return self._joined(mapped), True
+        if word in self.signs:
+            return self.signs[word], True
         if "\n" in word:
             head, *lines = word.split("\n")
             return self.line.join([self.spaced[head], *map(self.bare.__getitem__, lines)]), False
@@ -76,7 +83,7 @@ class ByteBpe:
             return self.line.join(map(self.bare.__getitem__, word.split("\n"))), False
         if word.isalpha() or word.isascii() and word.isdecimal():
             mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes(), True
+            return self._joined(mapped), True
         stem = word.rstrip(_TAIL)
         if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
             return self.bare[stem] + self.bare[word[len(stem) :]], False
@@ -86,8 +93,11 @@ class ByteBpe:
         """The ids, as little-endian integers of ``dtype``."""
         if not text:
             return b""
-        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self.plain):
+        if text[0] in " \n" or text[-1] in " \n":
             return self._library(text)
+        for x in self.plain_ascii if text.isascii() else self.plain:
+            if x in text:
+                return self._library(text)
         if not _JOINED.search(text):
             text = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
         words = iter(text.split(" "))
