@@ -12,6 +12,9 @@ the line, and reporting words near it) from abuse (address in the second
 person near it). A logistic regression over the counts of hits by kind and
 context gives the score.
 
+Terms are words of more than two letters and of letters alone; a spelling with a digit or
+sign is no term, but is met where it is one edit from one.
+
 Bounds: ``train_docs`` labelled documents (a share by hash of the id), a
 parameter. The lexicon has no cap of its own: a term stands in half a percent of
 the toxic documents at least, so there are at most 200 for each distinct word and

@@ -51,6 +51,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes plainte
 #: Elements whose text is never shown in the article.
 NEVER = frozenset("head script style noscript template textarea title iframe noembed noframes xmp svg math canvas object audio video select option optgroup datalist button nav footer aside form menu dialog map applet frameset".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+TITLES = frozenset(("h1", "h2"))
 BLOCK = HEADINGS | frozenset("html head body address article aside blockquote caption center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul br title script style noscript template textarea iframe select option button frameset".split())
 #: A start tag of these ends an open paragraph.
 ENDS_P = HEADINGS | frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p plaintext pre search section summary table ul".split())
@@ -108,6 +109,8 @@ class Element:
     own_header: bool = False
     #: Within an article or main element.
     favoured: bool = False
+    #: An article itself, not of comments.
+    article: bool = False
     #: Reader comments follow in it.
     closed_to: bool = False
 
@@ -166,9 +169,10 @@ def _opened(tag: str, source: str, parent: Element) -> Element:
     if tag == "header":
         # The article's own header gives its headings, the page's none.
         out, own_header = out or not parent.favoured, True
-    if not out and (tag in ("article", "main") or given.get("itemprop") == "articleBody" or given.get("role") in ("main", "article")):
+    own_article = not out and (tag == "article" or given.get("itemprop") == "articleBody" or given.get("role") == "article")
+    if not out and (own_article or tag == "main" or given.get("role") == "main"):
         favoured = True
-    return Element(tag, step, parent, parent.depth + 1, out, own_header, favoured)
+    return Element(tag, step, parent, parent.depth + 1, out, own_header, favoured, own_article)
 
 
 def blocks_of(source: str) -> list[Block]:
@@ -367,7 +371,21 @@ def content_blocks(blocks: list[Block]) -> list[Block]:
         while first and own[first - 1].at.tag in HEADINGS and id(own[first - 1].at.parent) in hosts:
             first -= 1
         return [b for k, b in enumerate(own) if b.path in content or first <= k <= last and id(b.at.parent) in hosts]
-    return [b for b in own if _inside(b.at, node)]
+    held = [k for k, b in enumerate(own) if _inside(b.at, node)]
+    first = held[0] if held else 0
+    # Headings right before the node belong to it if they stand beside it or in the header beside it.
+    while first and own[first - 1].at.tag in TITLES and _inside(node, _beside(own[first - 1].at)):
+        first -= 1
+        held.insert(0, first)
+    return [own[k] for k in held]
+
+
+def _beside(heading: Element) -> Element:
+    """The element in which a heading, or the header that it stands in, lies."""
+    host = heading.parent
+    while host.own_header and host.parent is not None:
+        host = host.parent
+    return host
 
 
 def _content_node(chosen: list[Block]) -> Element | None:
@@ -404,6 +422,8 @@ def _content_node(chosen: list[Block]) -> Element | None:
         fullest = max(below.values(), key=lambda e: held[id(e)])
         if held[id(fullest)] < HOLDS * held[id(node)] or fullest.tag in HEADINGS or fullest.tag not in BLOCK:
             break
+        if node.article:
+            break  # an article is all its own
         if node.favoured and fullest.tag in ("p", "li", "ul", "ol", "td", "tr", "blockquote", "pre", "dl", "dd", "table", "tbody", "figure"):
             break  # an article with one long paragraph is still all of it
         if fullest.tag in ("p", "li", "blockquote", "pre", "dd", "td", "tr", "tbody"):

@@ -46,6 +46,13 @@ SHAPES = {
     "scripts, styles, comments, hidden": f'<article><h1>A title</h1><script>if (a < b) document.write("<p>no</p>")</script><style>p > a {{}}</style><!-- <p>{TEXT}</p> --><p>{PROSE[0]}</p><p hidden>{PROSE[1]}</p><div style="display: none">{TEXT}</div><p>{PROSE[1]}</p><noscript><p>{PROSE[0]}</p></noscript><p>{PROSE[2]}</p></article>',
     "odd attributes": f'<article data-x="a > b" title=\'<p>\' class=story><h1 id=t>A title</h1><p title="5\' tall" >{PROSE[0]}</p><p class=\'a"b\'>{PROSE[1]}</p><p x=">">{PROSE[2]}</p></article>',
     "roles": f'<div role="banner">The site, and its motto.</div><div role="main"><h1>A title</h1>{P}</div><div role="complementary">{PROSE[0]}</div>',
+    "title beside the text": f'<div class="x"><h1>A title</h1><div class="y">{P}</div></div><div class="z"><h1>Not this</h1></div>',
+    "title in the article's header": f'<header class="site-header"><a href="/">Site</a></header><article><header class="entry-header"><h1>A title</h1><p>Posted by me, today.</p></header><div class="entry-content">{P}</div><footer class="entry-footer">Tags: a, b</footer></article>',
+    "title before the article's text": f'<main><div>{NAV}</div><article><h1>A title</h1><div><div>{P}</div></div></article></main>',
+    "comment list": f'<div id="content"><div class="post"><h2>A title</h2>{P}</div><ol class="commentlist"><li id="comment-1"><p>{PROSE[0]}</p></li></ol></div>',
+    "comments heading inside": f'<article><h1>A title</h1>{P}<h2>Comments (2)</h2><div><p>{PROSE[0]}</p></div><p>{PROSE[2]}</p></article>',
+    "related, shared, signed up": f'<article><h1>A title</h1><div class="social-share"><a href="x">Tweet</a></div>{P}<div class="newsletter-signup"><p>Subscribe, it is free, and good.</p></div><div class="related-posts">{NAV}</div></article>',
+    "paragraphs in the body": f'<body><div class="nav">{NAV}</div><h1>A title</h1>{P}<div class="footer">(c) 2020, all rights reserved.</div></body>',
     "longer comments": f'<div class="post"><h1>A title</h1>{P}</div><div id="disqus_thread">{P}{P}{P}</div>',
 }
 
