@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import anchors, annotations, cleaning, clauses, gold, grounding, judge, nested, splits, tagging, values
+from ..operators import anchors, annotations, assemble, cleaning, clauses, gold, grounding, judge, nested, splits, tagging, values
 from . import trees
 from .dialect import apply
 from .leaves import leaves, leaves_sql, tables
@@ -149,6 +149,32 @@ _HARD = " OR ".join(f"contains(lower(item_text), '{w}')" for w in (*clauses.TRIC
 _clause_query("clause_audit", lambda i: clauses.audit(clauses.with_ids(i)),
               f", c AS (SELECT item_uid, bool_or(connector = 'OR' AND nth < n) AS o, bool_or(connector = 'AND' AND nth < n) AS a, count(*) FILTER (evidence <> '' AND NOT contains(item_text, evidence)) AS missed FROM parts JOIN items USING (item_uid) GROUP BY item_uid) SELECT count(*) AS items, count(*) AS with_clauses, count(*) AS last_connector_null, count(*) FILTER (contains(lower(item_text), ' or ')) AS say_or, count(*) FILTER (contains(lower(item_text), ' or ') AND o) AS say_or_with_or, count(*) FILTER (contains(lower(item_text), ' and ')) AS say_and, count(*) FILTER (contains(lower(item_text), ' and ') AND a) AS say_and_with_and, count(*) FILTER ({_HARD}) AS tricky, sum(missed)::BIGINT AS evidence_missing FROM items JOIN c USING (item_uid)")
 
+# --- trees put together ------------------------------------------------------------------
+#: Up to three items of a section; some clauses have no leaf, or an earlier one too.
+_BUILT = "SELECT document_id, criterion_type, k % 3 AS item_index, concat(document_id, '_', substr(criterion_type, 1, 3), '__item', CAST(k % 3 AS STRING)) AS item_uid, key_id, k, entity_text, evidence_text, CASE k % 4 WHEN 0 THEN 'OR' WHEN 1 THEN NULL ELSE 'AND' END AS connector, CASE WHEN k % 29 = 4 THEN 'AT_MOST' END AS qtype, k % 5 AS qvalue FROM LEAF"
+_NUMBERED = f"SELECT *, concat('C', CAST(row_number() OVER (PARTITION BY item_uid ORDER BY key_id) AS STRING)) AS clause_id, row_number() OVER (PARTITION BY item_uid ORDER BY key_id) AS nth, count(*) OVER (PARTITION BY item_uid) AS n FROM ({_BUILT}) AS b"
+_BUILT_LEAF = """concat('{"criterion_id":"', item_uid, '_', clause_id, '","entity_text":"', entity_text, '"}')"""
+
+
+def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(_NUMBERED.replace("LEAF", "{leaf}"), leaf=leaves(spark, sf_dir))
+    clause = F.struct("nth", F.col("entity_text").alias("clause_text"), "evidence_text", F.lit(False).alias("is_negated"), F.col("connector").alias("connector_to_next"), F.col("qtype").alias("quantifier_type"), F.col("qvalue").alias("quantifier_value"))
+    items = own.groupBy("document_id", "criterion_type", "item_index", "item_uid").agg(F.array_sort(F.collect_list(clause)).alias("clauses"))
+    leaf = F.expr(_BUILT_LEAF)
+    given = own.where("k % 17 <> 3").select("item_uid", "clause_id", leaf.alias("leaf"), F.lit(2).alias("ord")).unionByName(own.where("k % 7 = 3 and k % 17 <> 3").select("item_uid", "clause_id", F.lit("{}").alias("leaf"), F.lit(1).alias("ord")))
+    return assemble.documents(assemble.item_trees(clauses.with_ids(items), given)).select("document_id", F.md5("doc").alias("digest"))
+
+
+_SPARK["assembled_documents"] = _assembled
+_SQL["assembled_documents"] = f"""WITH leaf AS MATERIALIZED ({leaves_sql()}), c AS MATERIALIZED ({_NUMBERED.replace('LEAF', 'leaf')}),
+l AS MATERIALIZED (SELECT *, '{{"node_type":"criterion","criterion":' || CASE WHEN k % 17 <> 3 THEN {_BUILT_LEAF} ELSE '{{"criterion_id":"' || item_uid || '_' || clause_id || '","entity_type":"other","entity_text":"' || entity_text || '","normalized_concept":null,"operator":"exists","value_type":"null","value":null,"unit":null,"temporal_context":null,"computability":"partial","non_computable_reason":"{assemble.MISSING}","evidence_text":"' || evidence_text || '","provenance":{{"source_modifier_text":null,"source_condition_text":null,"source_exception_context":null,"history_context_hint":null}},"history_context":null}}' END || '}}' AS node,
+  sum(CASE WHEN before IS NOT DISTINCT FROM 'AND' THEN 0 ELSE 1 END) OVER (PARTITION BY item_uid ORDER BY nth ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, lag(connector) OVER (PARTITION BY item_uid ORDER BY nth) AS before FROM c)),
+r AS (SELECT document_id, criterion_type, item_index, item_uid, run, CASE WHEN count(*) = 1 THEN any_value(node) ELSE '{{"node_type":"group","group_operator":"AND","children":[' || string_agg(node, ',' ORDER BY nth) || ']}}' END AS part FROM l GROUP BY document_id, criterion_type, item_index, item_uid, run),
+q AS (SELECT item_uid, arg_min(qtype, nth) FILTER (qtype IS NOT NULL) AS qtype, arg_min(qvalue, nth) FILTER (qtype IS NOT NULL) AS qvalue, string_agg(node, ',' ORDER BY nth) AS flat FROM l GROUP BY item_uid),
+t AS (SELECT document_id, criterion_type, item_index, item_uid, CASE WHEN any_value(q.qtype) IS NOT NULL THEN '{{"node_type":"group","group_operator":"OR","children":[' || any_value(q.flat) || '],"group_quantifier":{{"quantifier_type":"' || any_value(q.qtype) || '","value":' || any_value(q.qvalue) || '}}}}' WHEN count(*) = 1 THEN any_value(part) ELSE '{{"node_type":"group","group_operator":"OR","children":[' || string_agg(part, ',' ORDER BY run) || ']}}' END AS tree FROM r JOIN q USING (item_uid) GROUP BY document_id, criterion_type, item_index, item_uid),
+s AS (SELECT document_id, criterion_type, CASE WHEN count(*) = 1 THEN any_value(tree) WHEN criterion_type = 'inclusion' THEN '{{"node_type":"group","group_operator":"AND","children":[' || string_agg(tree, ',' ORDER BY item_index) || '],"polarity":"include"}}' ELSE '{{"node_type":"group","group_operator":"OR","children":[' || string_agg(tree, ',' ORDER BY item_index) || '],"polarity":"exclude"}}' END AS section FROM t GROUP BY document_id, criterion_type)
+SELECT document_id, md5('{{"document_id":"' || document_id || '","rules_v3_ast":{{"trial_id":"' || document_id || '","inclusion_criteria":' || coalesce(max(section) FILTER (criterion_type = 'inclusion'), 'null') || ',"exclusion_criteria":' || coalesce(max(section) FILTER (criterion_type = 'exclusion'), 'null') || '}}}}') AS digest FROM s GROUP BY document_id"""
+
 # --- trees as text ---------------------------------------------------------------------
 _SPARK["tree_chains"] = lambda s, d: nested.logic_text(trees.documents(s, d))
 _SQL["tree_chains"] = trees.oracle_with("""walk AS (SELECT document_id, section, node, []::BIGINT[] AS place, '' AS before, 0::BIGINT AS closes, CASE WHEN json_extract_string(node, '$.node_type') = 'group' THEN coalesce(json_array_length(node, '$.children'), 0)::BIGINT ELSE 0 END AS n FROM (ROOTS)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from leafwright.operators import nested, rescue_apply, validate
+from leafwright.operators import assemble, clauses, nested, rescue_apply, validate
 from leafwright.plans import trees
 
 KEYS = ["children", "clauses", "operands", "args", "rules", "items"]
@@ -195,3 +195,56 @@ def test_results_are_applied_by_their_gates(spark):
     assert found["A"] == a
     first = found["B"]["rules_v3_ast"]["inclusion_criteria"]["children"][0]["criterion"]
     assert (first["unit"], first["entity_text"]) == ("mg", "x")
+
+
+def test_assembled_trees_against_plain_loops(spark):
+    rng = random.Random(9)
+    items, leaves, want = [], [], {}
+
+    def group(op, children, **more):
+        return {"node_type": "group", "group_operator": op, "children": children} | more
+
+    for d in range(30):
+        sections = {"inclusion": [], "exclusion": []}
+        for index in rng.sample(range(20), rng.randrange(5)):
+            kind, uid = rng.choice(list(sections)), f"d{d}_x__item{index}"
+            own = []
+            for _ in range(rng.randrange(6)):
+                quantifier = rng.choice([(None, None)] * 9 + [("AT_LEAST", 2)])
+                own.append((rng.choice(['say "a"', "b \\ c", None]), "evidence é", False, rng.choice(["AND", "AND", "OR", None]), *quantifier))
+            items.append((f"d{d}", kind, index, uid, own))
+            nodes = []
+            for k, c in enumerate(own):
+                cid = f"C{k + 1}"
+                if rng.random() < 0.7:
+                    leaf = {"criterion_id": f"{uid}_{cid}", "n": rng.random()}
+                    leaves += [(uid, cid, "{}", 0), (uid, cid, json.dumps(leaf), 1)]
+                else:
+                    leaf = {"criterion_id": f"{uid}_{cid}", "entity_type": "other", "entity_text": c[0] or "", "normalized_concept": None, "operator": "exists", "value_type": "null", "value": None, "unit": None, "temporal_context": None, "computability": "partial", "non_computable_reason": assemble.MISSING, "evidence_text": c[1], "provenance": dict.fromkeys(("source_modifier_text", "source_condition_text", "source_exception_context", "history_context_hint")), "history_context": None}
+                nodes.append({"node_type": "criterion", "criterion": leaf})
+            if not own:
+                continue
+            first = next((c[4:] for c in own if c[4]), None)
+            runs = [[nodes[0]]]
+            for c, node in zip(own, nodes[1:]):
+                if c[3] == "AND":
+                    runs[-1].append(node)
+                else:
+                    runs.append([node])
+            parts = [r[0] if len(r) == 1 else group("AND", r) for r in runs]
+            tree = group("OR", nodes, group_quantifier={"quantifier_type": first[0], "value": first[1]}) if first else parts[0] if len(parts) == 1 else group("OR", parts)
+            sections[kind].append((index, tree))
+        whole = {}
+        for kind, own in sections.items():
+            trees_ = [t for _, t in sorted(own, key=lambda x: x[0])]
+            whole[f"{kind}_criteria"] = None if not trees_ else trees_[0] if len(trees_) == 1 else group("AND", trees_, polarity="include") if kind == "inclusion" else group("OR", trees_, polarity="exclude")
+        if any(i[0] == f"d{d}" for i in items):
+            want[f"d{d}"] = {"document_id": f"d{d}", "rules_v3_ast": {"trial_id": f"d{d}"} | whole}
+    df = spark.createDataFrame(items, f"document_id string, criterion_type string, item_index int, item_uid string, clauses {clauses.CLAUSE}")
+    given = spark.createDataFrame(leaves, "item_uid string, clause_id string, leaf string, ord int")
+    docs = assemble.documents(assemble.item_trees(clauses.with_ids(df), given))
+    got = {r.document_id: json.loads(r.doc) for r in docs.collect()}
+    assert got == want
+    # What was put together is walked again, each clause once.
+    assert nested.criteria(docs).count() == sum(len(i[4]) for i in items)
+    assert assemble.duplicate_items(df.union(df.limit(1))).count() == 1
