@@ -41,7 +41,7 @@ class ByteBpe:
     tokens (which get its id) go through the library whole.
     """
 
-    def __init__(self, path: str, room: int = 12 << 20):
+    def __init__(self, path: str, room: int = 24 << 20):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.plain = [*_UNEVEN, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
