@@ -52,7 +52,7 @@ class ByteBpe:
         self.packed = [bytes(x) for x in np.arange(self.tokenizer.get_vocab_size(), dtype=self.dtype).view("V%d" % self.dtype.itemsize)]
         # Words behind a space, and words that begin a line or follow another word's punctuation.
         self.spaced = Words(self._spaced, room)
-        self.bare = Words(self._bare, room // 8)
+        self.bare = Words(self._bare, room // 4)
         self.line = self._library("\n")
         self.signs = {_COMMA: self._library(","), _STOP: self._library(".")}
 
@@ -70,17 +70,12 @@ class ByteBpe:
             return self._joined(mapped), True
         if word in self.signs:
             return self.signs[word], True
-        if "\n" in word:
-            head, *lines = word.split("\n")
-            return self.line.join([self.spaced[head], *map(self.bare.__getitem__, lines)]), False
         stem = word.rstrip(_TAIL)
         if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
             return self.spaced[stem] + self.bare[word[len(stem) :]], False
         return self._library(" " + word), True
 
     def _bare(self, word: str) -> tuple[bytes, bool]:
-        if "\n" in word:
-            return self.line.join(map(self.bare.__getitem__, word.split("\n"))), False
         if word.isalpha() or word.isascii() and word.isdecimal():
             mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             return self._joined(mapped), True
@@ -98,10 +93,17 @@ class ByteBpe:
         for x in self.plain_ascii if text.isascii() else self.plain:
             if x in text:
                 return self._library(text)
-        if not _JOINED.search(text):
-            text = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ")
-        words = iter(text.split(" "))
-        return self.bare[next(words)] + b"".join(map(self.spaced.__getitem__, words))
+        return self.line.join(map(self._line_of, text.split("\n")))
+
+    def _line_of(self, line: str) -> bytes:
+        if _JOINED.search(line):
+            words = iter(line.split(" "))
+            return self.bare[next(words)] + b"".join(map(self.spaced.__getitem__, words))
+        end = b""
+        if line[-1] == "." and line[-2:-1].isalnum():
+            line, end = line[:-1], self.signs[_STOP]
+        words = iter(line.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").split(" "))
+        return self.bare[next(words)] + b"".join(map(self.spaced.__getitem__, words)) + end
 
 
 _LOADED: dict[str, ByteBpe] = {}
