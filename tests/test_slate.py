@@ -23,7 +23,7 @@ def cell(x):
     return f"{x:.9g}" if isinstance(x, float) else str(x)
 
 
-CHOSEN = "consistency_codes risk_reasons rescue_plan applied_rescue normal_leaves leaves_with_clause before_after scalar_forms merged_spans structural_codes source_warnings policy_b risk_by_operator_category routing_b decisions final_decisions reverified_after_repair extracted_fields token_overlaps item_split tree_paths spans_over_items best_anchor auroc ablation_crosstab and_or_runs suppressed_spans flat_spans greedy_span_match gold_scores gold_matches bio_labels label_ids entity_scores tag_correlation group_folds group_part clause_places clause_sanity logic_chains first_quantifiers clause_audit tree_chains trace_tokens judged_rescue tree_criteria tree_operator_paths tree_any_leaves tree_item_rows schema_errors both_branches".split()
+CHOSEN = "consistency_codes risk_reasons rescue_plan applied_rescue normal_leaves leaves_with_clause before_after scalar_forms merged_spans structural_codes source_warnings policy_b risk_by_operator_category routing_b decisions final_decisions reverified_after_repair extracted_fields token_overlaps item_split tree_paths spans_over_items best_anchor auroc ablation_crosstab and_or_runs suppressed_spans flat_spans greedy_span_match gold_scores gold_matches bio_labels label_ids entity_scores tag_correlation group_folds group_part clause_places clause_sanity logic_chains first_quantifiers clause_audit tree_chains trace_tokens judged_rescue tree_criteria tree_operator_paths tree_any_leaves tree_item_rows schema_errors both_branches assembled_documents applied_trees apply_audit cleaned_spans grounding_rates carried_labels branch_label_shares run_first rescue_plan_b candidate_payloads clause_anchors value_grounding annotation_edges annotated_rows ranking_by_variant layer1_without_policy tolerant_json final_reasons plan_group_summary".split()
 
 
 @pytest.mark.parametrize("name", CHOSEN)
