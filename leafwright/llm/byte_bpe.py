@@ -15,6 +15,7 @@ from .common import Words
 _TAIL = ".,!?;:|"
 #: What stands for a comma and a full stop between words while a text is cut.
 _COMMA, _STOP = "\1", "\2"
+_CUT_COMMA, _CUT_STOP = f" {_COMMA} ", f" {_STOP} "
 #: Such a sign behind anything but a letter or a digit belongs to the signs before it.
 _JOINED = re.compile(r"[.,](?<=[\W_][.,]) ")
 #: White space that stands alone between visible characters never joins other
@@ -59,15 +60,11 @@ class ByteBpe:
     def _library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _joined(self, mapped: str) -> bytes:
-        """Ids of one run of letters or digits, in the vocabulary's letters."""
-        packed = self.packed
-        return b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
-
     def _spaced(self, word: str) -> tuple[bytes, bool]:
         if word.isalpha() or word.isascii() and word.isdecimal():
             mapped = "Ġ" + word if word.isascii() else "Ġ" + "".join(map(self.letters.__getitem__, word.encode()))
-            return self._joined(mapped), True
+            packed = self.packed
+            return b"".join([packed[t.id] for t in self.model.tokenize(mapped)]), True
         if word in self.signs:
             return self.signs[word], True
         stem = word.rstrip(_TAIL)
@@ -78,7 +75,7 @@ class ByteBpe:
     def _bare(self, word: str) -> tuple[bytes, bool]:
         if word.isalpha() or word.isascii() and word.isdecimal():
             mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            return self._joined(mapped), True
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(mapped)]), True
         stem = word.rstrip(_TAIL)
         if stem and len(stem) < len(word) and unicodedata.category(stem[-1])[0] in "LN":
             return self.bare[stem] + self.bare[word[len(stem) :]], False
@@ -102,7 +99,7 @@ class ByteBpe:
         end = b""
         if line[-1] == "." and line[-2:-1].isalnum():
             line, end = line[:-1], self.signs[_STOP]
-        words = iter(line.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").split(" "))
+        words = iter(line.replace(", ", _CUT_COMMA).replace(". ", _CUT_STOP).split(" "))
         return self.bare[next(words)] + b"".join(map(self.spaced.__getitem__, words)) + end
 
 

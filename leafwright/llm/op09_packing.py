@@ -48,12 +48,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capac
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                ids = np.frombuffer(bpe.encode(text) + end, dtype=bpe.dtype)
-                first = (len(ids) - 1) % capacity + 1
-                for k, at in enumerate([0, *range(first, len(ids), capacity)]):
-                    own = ids[at : first if k == 0 else at + capacity]
-                    rows.append((doc, k, at, len(own), zlib.crc32(own.astype("<u4").tobytes()), part, seen[len(own)]))
-                    seen[len(own)] += 1
+                ids = np.frombuffer(bpe.encode(text) + end, dtype=bpe.dtype).astype("<u4")
+                n = len(ids)
+                first = (n - 1) % capacity + 1
+                for k, at in enumerate(range(first - capacity, n, capacity)):
+                    at, to = max(at, 0), at + capacity
+                    rows.append((doc, k, at, to - at, zlib.crc32(ids[at:to]), part, seen[to - at]))
+                    seen[to - at] += 1
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
