@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(path)
-        end = np.array([end_id], dtype=bpe.dtype).tobytes()
+        end, wide = np.array([end_id], dtype=bpe.dtype).tobytes(), bpe.dtype.itemsize
         part, ids, ends, at = TaskContext.get().partitionId(), [], [], 0
         rows = (batch for batch in slices(batches) if batch.num_rows)
         first = next(rows, None)
@@ -92,11 +92,13 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str | None = Non
         base = f"{out_dir}/part-{part:06d}"
         with _published(f"{base}.bin") as out:
             for batch in chain([first], rows):
+                parts = []
                 for text in texts_of(batch):
-                    data = bpe.encode(text) + end
-                    out.write(data)
-                    at += len(data) // bpe.dtype.itemsize
+                    data = bpe.encode(text)
+                    at += len(data) // wide + 1
                     ends.append(at)
+                    parts += (data, end)
+                out.write(b"".join(parts))
                 ids += batch.column("doc_id").to_pylist()
         with _published(f"{base}.idx") as out:
             out.write(MAGIC)
@@ -134,7 +136,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 flat, wide = _Bytes(f"{row['path']}.bin"), dtype.itemsize
                 for at in range(0, len(ids), 4096):
                     ends = offsets[at : at + 4097].astype(np.int64)
-                    crcs = [zlib.crc32(flat[int(x) * wide : int(y) * wide].view(dtype).astype("<u4").tobytes()) for x, y in zip(ends[:-1], ends[1:])]
+                    crcs = [zlib.crc32(flat[x * wide : y * wide].view(dtype).astype("<u4")) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.array(ids[at : at + 4096]), mask=~np.array(valid[at : at + 4096])),
