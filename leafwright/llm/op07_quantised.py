@@ -9,11 +9,12 @@ index. Equal vectors are one entry, for which the ``k`` + 1 smallest ids stand.
 
 A query adds up table entries of codeword products, times the stored ratio. Only
 codes are scanned for that; the ``rerank`` best of the whole table, one list for
-each query, meet their original vectors by id and are scored exactly. Where the
-list ends within ``SPREAD`` errors of the rough scores (as measured on the list)
-of the k-th exact score, as among near copies, whose rough scores say nothing of
-their order, the rest of the table that may still reach it is scored exactly,
-where it lies. The tests hold recall against brute force.
+each query, meet their original vectors by id and are scored exactly. A rough
+score is off by at most the query's norm times the vector's distance from its
+scaled reconstruction, which the index keeps. So whatever lies beyond the list and
+may still reach the k-th exact score by that bound is scored exactly, where it lies:
+no nearest vector is missed, whatever the vectors are like. The tests hold this
+against brute force.
 
 Defined results: see ``vectors.usable``, zero vectors take no part; rows with a
 query's own id are not its candidates; an empty table gives no rows; vectors of
@@ -36,8 +37,6 @@ BOOKS, WORDS, BEAM = 16, 64, 8
 TRAIN_ROWS = 8192
 BLOCK, QUERIES, RERANK = 4096, 256, 256
 FOUND = "query_id long, vec_id long, score double"
-#: Rough scores may be off by so many times their measured error.
-SPREAD = 2
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -105,7 +104,7 @@ def train(own: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray | None:
 
 
 def index(own: DataFrame, books: np.ndarray) -> DataFrame:
-    """vec_id, v, code and ratio of every vector; no code where the length differs from the codebooks'."""
+    """vec_id, v, code, ratio and off (the distance from the scaled reconstruction) of every vector; no code where the length differs from the codebooks'."""
     shared = own.sparkSession.sparkContext.broadcast(books)  # BOOKS x WORDS x dimension numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,17 +114,19 @@ def index(own: DataFrame, books: np.ndarray) -> DataFrame:
                 part = batch.slice(at, 1024)
                 rows = part.column("v").to_pylist()
                 fits = np.array([len(v) == books.shape[2] for v in rows])
-                code, ratio = [None] * len(rows), np.ones(len(rows))
+                code, ratio, off = [None] * len(rows), np.ones(len(rows)), np.zeros(len(rows))
                 if fits.any():
                     x = np.array([v for v, f in zip(rows, fits) if f])
                     found = encode(x, books)
-                    near = np.sqrt((decode(found, books) ** 2).sum(-1))
+                    rebuilt = decode(found, books)
+                    near = np.sqrt((rebuilt**2).sum(-1))
                     ratio[fits] = np.sqrt((x**2).sum(-1)) / np.where(near > 0, near, 1)
+                    off[fits] = np.sqrt(((x - ratio[fits, None] * rebuilt) ** 2).sum(-1))
                     for k, c in zip(np.flatnonzero(fits), found):
                         code[k] = c.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio)], names=["vec_id", "v", "code", "ratio"])
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), pa.array(code, pa.binary()), pa.array(ratio), pa.array(off)], names=["vec_id", "v", "code", "ratio", "off"])
 
-    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double")
+    return own.mapInArrow(run, "vec_id long, v array<double>, code binary, ratio double, off double")
 
 
 def rough_scores(q: np.ndarray, codes: np.ndarray, ratio: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -202,19 +203,24 @@ def _exactly(listed: DataFrame, wave) -> DataFrame:
 
 
 def _rest(indexed: DataFrame, books, open_, most: int) -> DataFrame:
-    """Rows beyond the shortlist that may reach the last score wanted by the queries left open, scored exactly where they lie."""
+    """Rows that may reach the last score wanted by the queries left open, scored exactly where they lie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q, least, last, slack = open_.value
+        own, q, least = open_.value
         found = {query: (np.empty(0, dtype=np.int64), np.empty(0)) for query in own.tolist()}
+        norms = np.sqrt((q**2).sum(axis=1))
         for ids, x, table in vec.matrices(batches, BLOCK):
             _, codes = _codes(table)
-            ratio = table.column("ratio").to_numpy()
+            ratio, off = table.column("ratio").to_numpy(), table.column("off").to_numpy()
+            # Rough scores are sums of single precision; no table entry is larger than the query's norm times its word's.
+            size = 1e-5 * (np.sqrt((books.value**2).sum(-1)).max(axis=1).sum() * ratio + off)
             for at in range(0, len(own), QUERIES):
                 part = slice(at, at + QUERIES)
                 rough = rough_scores(q[part], codes, ratio, books.value)
-                edge = 1e-5 * np.abs(rough).max(axis=1, initial=0)[:, None]
-                may = (rough + (slack[part, None] + edge) >= least[part, None]) & (rough <= last[part, None] + edge)
+                edge = norms[part, None] * size
+                may = rough + norms[part, None] * off + edge >= least[part, None]
+                # One product for the block, then the defined sum for what comes within its rounding of the last score wanted.
+                may &= q[part] @ x.T + 1e-9 * norms[part, None] * np.sqrt((x**2).sum(axis=1)) >= least[part, None]
                 for j in np.flatnonzero(may.any(axis=1)):
                     here, query = np.flatnonzero(may[j]), int(own[at + j])
                     scores = (x[here] * q[at + j]).sum(axis=1)
@@ -289,17 +295,17 @@ def _wave(coded: DataFrame, n: int, books, wave: tuple[np.ndarray, np.ndarray],
     listed = coded.select("vec_id", "v").join(short.groupBy("vec_id").agg(F.collect_list("query_id").alias("asked")), "vec_id")
     exact = settled(_exactly(listed, shared), "exact")
     ranks = exact.join(short, ["query_id", "vec_id"]).withColumn("nth", F.row_number().over(by_score))
-    off = F.col("score") - F.col("rough")
-    ends = ranks.groupBy("query_id").agg(
-        F.min(F.when(F.col("nth") <= most, F.col("score"))).alias("least"), F.min("rough").alias("last"), F.count("*").alias("n"), (F.abs(F.avg(off)) + SPREAD * F.coalesce(F.stddev(off), F.lit(0.0))).alias("slack")
-    )
-    # Open: the list is full and ends within the error of the last score wanted. At most one row for each query of the wave.
-    rows = {r.query_id: r for r in ends.where((F.col("n") >= rerank) & (F.col("last") + F.col("slack") >= F.col("least"))).collect()}
+    ends = ranks.groupBy("query_id").agg(F.min(F.when(F.col("nth") <= most, F.col("score"))).alias("least"), F.min("rough").alias("last"), F.count("*").alias("n"))
+    # Open: the list is full and ends within the largest error of the last score wanted. At most one row for each query of the wave.
+    worst = coded.agg(F.max("off")).first()[0] or 0.0
+    norms = dict(zip(ids.tolist(), np.sqrt((q**2).sum(axis=1)).tolist()))
+    rows = {r.query_id: r for r in ends.where(F.col("n") >= rerank).collect()}
+    rows = {i: r for i, r in rows.items() if r.last + norms[i] * worst * (1 + 1e-5) + 1e-5 * abs(r.last) >= r.least}
     out = [settled(vec.ranked(exact, most).drop("rank"), "best")]
     keep = np.array([int(i) in rows for i in ids], dtype=bool)
     if keep.any():
         own = [rows[int(i)] for i in ids[keep]]
-        open_ = coded.sparkSession.sparkContext.broadcast((ids[keep], q[keep], *(np.array([getattr(r, c) for r in own]) for c in ("least", "last", "slack"))))
+        open_ = coded.sparkSession.sparkContext.broadcast((ids[keep], q[keep], np.array([r.least for r in own])))
         out.append(settled(_rest(coded, books, open_, most), "rest"))
         open_.destroy()
     discard(short, exact)

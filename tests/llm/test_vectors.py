@@ -146,3 +146,21 @@ def test_reading_stops_early_where_few_components_decide():
     assert lists.open_after[0] <= 16 * 60 and len(lists.open_after) < len(op04_topk.STEPS)
     floor = np.full(16, 1e12)
     assert all(not len(ids) for ids, _ in lists.top(queries, own, 5, floor))
+
+
+@pytest.mark.parametrize("kind", ["tails", "spikes"])
+def test_no_nearest_is_missed_on_odd_vectors(spark, kind):
+    """Norms over many orders of size, or components that codebooks from a small sample do not know."""
+    rng, n, dim = np.random.default_rng(5), 2000, 24
+    x = rng.normal(0, 1, (n, dim))
+    if kind == "tails":
+        x *= np.exp(rng.normal(0, 2, (n, 1)))
+    else:
+        x *= 0.05
+        x[np.arange(n), rng.integers(0, dim, n)] += rng.exponential(1, n) ** 3
+    rows = [(i, v.astype(np.float32).tolist(), 1, "x") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = op07_quantised.search(df, df.where("vec_id % 20 = 0"), 20, rerank=40, train_rows=200)
+    want = brute(rows, 20, 20, False, False)
+    found = {(r.query_id, r.vec_id) for r in got.collect()}
+    assert len(found) == len(want) and len(found & {(q, i) for q, _, i, _ in want}) == len(want)
