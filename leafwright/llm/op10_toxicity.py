@@ -255,7 +255,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flushed() -> pa.RecordBatch:
         names = list(bad.keys() | good.keys())
-        out = pa.RecordBatch.from_pydict({"term": names, "bad": pa.array([bad[t] for t in names], pa.int64()), "good": pa.array([good[t] for t in names], pa.int64())})
+        # Typed, as a last flush may have no names.
+        out = pa.RecordBatch.from_pydict({"term": pa.array(names, pa.string()), "bad": pa.array([bad[t] for t in names], pa.int64()), "good": pa.array([good[t] for t in names], pa.int64())})
         bad.clear()
         good.clear()
         return out

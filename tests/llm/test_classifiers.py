@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafwright.llm import op01_language, op10_toxicity
@@ -91,6 +92,13 @@ def test_toxicity_edges(spark):
     assert op10_toxicity.drop_toxic(docs, none).count() == 5
 
 
+def test_counts_keep_their_types_when_the_last_is_empty():
+    text = " ".join("".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(26**4))
+    texts = pa.RecordBatch.from_pydict({"text": [text], "toxic": [True]})
+    got = list(op10_toxicity._term_counts(iter([texts])))
+    assert [b.num_rows > 400_000 for b in got] == [True, False] and got[0].schema == got[1].schema
+
+
 def test_edits_anywhere_raise_the_score():
     rate = op10_toxicity.rater(op10_toxicity.Model(["moron", "idiot", "stupid", "scum"], ["wretch"], op10_toxicity.PRIOR.tolist()))
     for token in ("1diot", "xstupid", "oron", "scvm", "idoit", "wr3tched", "mo-ron"):
