@@ -248,3 +248,12 @@ def test_assembled_trees_against_plain_loops(spark):
     # What was put together is walked again, each clause once.
     assert nested.criteria(docs).count() == sum(len(i[4]) for i in items)
     assert assemble.duplicate_items(df.union(df.limit(1))).count() == 1
+
+
+@pytest.mark.parametrize("name", ["tree_criteria", "tree_any_leaves", "schema_errors", "tree_chains"])
+def test_walks_store_nothing_between_levels(spark, name):
+    from leafwright.plans import slate
+
+    plan = slate.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # The rows of lineitem are shuffled once, by document, before any text is made of them.
+    assert "UnionLoop" not in plan and plan.count("Exchange hashpartitioning(document_id") == 1 == plan.count("Exchange hashpartitioning(")
