@@ -4,9 +4,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from leafwright.functions import text
 from leafwright.operators import layer1, layer2
 from leafwright.plans import slate
-from leafwright.plans.dialect import SPARK, hinted
+from leafwright.plans.dialect import DUCK, SPARK, apply, hinted, hits, ungrouped
 
 PATTERNS = [layer2.TEMPORAL_A, layer2.TEMPORAL_B, layer2.HISTORY_A, layer2.HISTORY_B, layer2.CONDITION_A, layer2.CUE_A, layer2.CUE_B, layer1.CONDITIONAL_CLAUSE, r"\bnegative\b", r"\b([a-z][a-z\s\-]+?)\s+requiring\s+([a-z][a-z\s\-]+)\b", r"(<=|>=|<|>|=)\s*\d", r"a?b", r"^x", r"(no\b|[^a]b)"]
 
@@ -33,3 +34,30 @@ def test_rules_are_compiled_projections(spark):
     """No generator between the rules: its code was longer than HotSpot compiles, or was interpreted."""
     plan = slate.queries()["branch_agreement"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate inline" not in plan and spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+ODD = ["", None, " ", "  a\tb  c ", "The dose of 2,000,5 mg", "≤ 3 × ULN", "two x  uln the end", "other", "one–two—3", "a;b;c", ";", "\r\nx\fy", "no (b|c) d", "café 1,2"]
+
+
+@pytest.mark.parametrize("pattern", [p for p in PATTERNS if "(" in p])
+def test_groups_that_are_not_kept_change_no_match(pattern):
+    assert re.compile(ungrouped(pattern)).groups == 0
+    for x in filter(None, ODD):
+        assert bool(re.search(pattern, x)) == bool(re.search(ungrouped(pattern), x))
+
+
+def test_short_cuts_change_no_text(spark):
+    """What passes a text by, or asks for less, comes to what the plain patterns do, which the oracle runs."""
+    import duckdb
+
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(ODD)], "i int, x string")
+    forms = lambda d: [text.norm(d, "x"), text.clinical(d, "x"), text.numeric_base(d, "x"), text.numeric(d, "x"), d.joined(f"{'list' if d is DUCK else 'array'}_sort({d.words('x', '[^a-z0-9]+', 'length(t) >= 1')})", "|"), hits(d, "x", ("a", "b")), hits(d, "x", ("a", "b", "c", "d", "e"))]
+    rows = ", ".join(f"({i}, {'NULL' if x is None else DUCK.text(x)})" for i, x in enumerate(ODD))
+    wanted = duckdb.sql(f"SELECT {', '.join(forms(DUCK))} FROM (VALUES {rows}) AS v(i, x) ORDER BY i").fetchall()
+    assert [tuple(r) for r in own.orderBy("i").selectExpr(*(f"{e} AS c{n}" for n, e in enumerate(forms(SPARK)))).collect()] == wanted
+
+
+def test_sets_are_made_only_where_they_are_looked_at(spark):
+    own = spark.createDataFrame([("a bed", "in a bed", "x"), ("a bed", "a chair", "x"), ("", "a", "x")], "evidence_text string, clause_text string, item_text string").selectExpr("*", "'' AS low_entity_text", "CAST(NULL AS STRING) AS unit")
+    made = apply(own, lambda d: [("low_evidence_text", "lower(evidence_text)")], text.clause_columns, text.token_columns, wanted="ev_clause cl_clause").collect()
+    assert [(r.ev_clause, r.cl_clause) for r in made] == [(None, None), (["bed"], ["chair"]), ([], [])]
