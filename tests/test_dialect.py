@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from leafwright.functions import text
 from leafwright.operators import layer1, layer2
 from leafwright.plans import slate
-from leafwright.plans.dialect import DUCK, SPARK, apply, hinted, hits, ungrouped
+from leafwright.plans.dialect import DUCK, SPARK, apply, hinted, hits, levels, needed, ungrouped
 
 PATTERNS = [layer2.TEMPORAL_A, layer2.TEMPORAL_B, layer2.HISTORY_A, layer2.HISTORY_B, layer2.CONDITION_A, layer2.CUE_A, layer2.CUE_B, layer1.CONDITIONAL_CLAUSE, r"\bnegative\b", r"\b([a-z][a-z\s\-]+?)\s+requiring\s+([a-z][a-z\s\-]+)\b", r"(<=|>=|<|>|=)\s*\d", r"a?b", r"^x", r"(no\b|[^a]b)"]
 
@@ -61,3 +61,18 @@ def test_sets_are_made_only_where_they_are_looked_at(spark):
     own = spark.createDataFrame([("a bed", "in a bed", "x"), ("a bed", "a chair", "x"), ("", "a", "x")], "evidence_text string, clause_text string, item_text string").selectExpr("*", "'' AS low_entity_text", "CAST(NULL AS STRING) AS unit")
     made = apply(own, lambda d: [("low_evidence_text", "lower(evidence_text)")], text.clause_columns, text.token_columns, wanted="ev_clause cl_clause").collect()
     assert [(r.ev_clause, r.cl_clause) for r in made] == [(None, None), (["bed"], ["chair"]), ([], [])]
+
+
+def test_columns_share_projections(spark):
+    """What does not need each other is one projection, as late as it is needed; windows come first. A column reads what its own step made before it."""
+    steps = (lambda d: [("a1", "x + 1"), ("a2", "a1 + 1")], lambda d: [("b1", "x + 10")], lambda d: [("c1", "a2 + b1"), ("w1", "count(*) OVER (PARTITION BY x)")], lambda d: [("d1", "c1 + w1"), ("unused", "x")])
+    made = needed(steps, "d1")
+    assert [[n for n, _ in own] for own in levels(made)] == [["a1", "w1"], ["a2", "b1"], ["c1"], ["d1"]]
+    own = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    assert sorted(r.d1 for r in apply(own, *steps, wanted="d1").collect()) == [16, 16, 17]
+    assert apply(own, *steps).columns == ["x", "a1", "a2", "b1", "c1", "w1", "d1", "unused"]
+
+
+def test_source_words_are_made_once(spark):
+    plan = slate.queries()["source_warnings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("patients with") == 1 and plan.count("filter(") == 2
