@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafwright.functions import text
-from leafwright.operators import layer1, layer2
+from leafwright.operators import layer1, layer2, layer3
 from leafwright.plans import slate
-from leafwright.plans.dialect import DUCK, SPARK, apply, hinted, hits, levels, needed, ungrouped
+from leafwright.plans.dialect import CODED, DUCK, SPARK, apply, has, hinted, hits, levels, needed, ungrouped
+from leafwright.plans.leaves import leaves
 
 PATTERNS = [layer2.TEMPORAL_A, layer2.TEMPORAL_B, layer2.HISTORY_A, layer2.HISTORY_B, layer2.CONDITION_A, layer2.CUE_A, layer2.CUE_B, layer1.CONDITIONAL_CLAUSE, r"\bnegative\b", r"\b([a-z][a-z\s\-]+?)\s+requiring\s+([a-z][a-z\s\-]+)\b", r"(<=|>=|<|>|=)\s*\d", r"a?b", r"^x", r"(no\b|[^a]b)"]
 
@@ -76,3 +77,28 @@ def test_columns_share_projections(spark):
 def test_source_words_are_made_once(spark):
     plan = slate.queries()["source_warnings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("patients with") == 1 and plan.count("filter(") == 2
+
+
+def test_tasks_come_from_the_numbers_of_the_codes(spark):
+    """The task by numbers is the one that the text names, also for operators of no category that hold a fragment; no text is searched for it."""
+    data, odd = "/root/testdata/sf0.001", "CASE k % 5 WHEN 0 THEN 'a negation' WHEN 1 THEN 'odd duration_marker_missing' WHEN 2 THEN CAST(NULL AS STRING) ELSE operator END"
+    own = apply(leaves(spark, data).withColumn("operator", F.expr(odd)), text.columns, *slate.LAYER3, wanted="named_task_a named_task_b said_a said_b")
+    rows = own.select("named_task_a", "named_task_b", "said_a", "said_b").collect()
+    named = lambda said, default: next((task for task, parts in layer3.RESCUE_TASKS if any(p in said for p in parts)), default)
+    assert all((r.named_task_a, r.named_task_b) == (named(r.said_a, "structured_llm_rescue_branch_a"), named(r.said_b, "structured_llm_judge_branch_b")) for r in rows)
+    assert len({r.named_task_a for r in rows}) > 2 and any("odd duration_marker_missing" in r.said_a for r in rows)
+    plan = slate.queries()["decisions"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS said_a" not in plan and "AS said_b" not in plan and "AS codes_1a" not in plan
+
+
+def test_numbers_hold_what_the_text_names(spark):
+    columns = [c for c in CODED if c.startswith("codes")]
+    own = apply(leaves(spark, "/root/testdata/sf0.001"), text.columns, *slate.LAYER1, wanted=" ".join(f"{c} bits_{c}" for c in columns))
+    for r in own.select(*columns, *(f"bits_{c}" for c in columns)).collect():
+        for c in columns:
+            assert sum(1 << CODED[c].index(n) for n in r[c].split(";") if n) == r[f"bits_{c}"]
+
+
+def test_blank_texts(spark):
+    own = spark.createDataFrame([(x,) for x in ODD], "x string").selectExpr(f"({text.blank(SPARK, 'x')}) = (trim(regexp_replace(coalesce(x, ''), '[ \\\\t\\\\n\\\\r\\\\f]+', ' ')) = '') AS same")
+    assert all(r.same for r in own.collect())
