@@ -14,7 +14,8 @@ With 24 bands of 4 rows a pair at similarity 0.85 is missed with probability
 A bucket is searched exactly: from one member after another all members of
 fitting size not yet reached are compared on full shingle sets, so what comes
 out are the bucket's connected parts. Groups are bounded by shingles, not by
-members: small buckets share a group, and a bucket beyond ``WEIGHT`` shingles is
+members: small buckets share a group, dealt by their smallest member, so that those of one cluster lie together and
+a set goes once to each group however many of its buckets are there, and a bucket beyond ``WEIGHT`` shingles is
 dealt by classes of set size and by hash into chunks; the members that did not
 end up in its largest part are then compared, block by block, with every chunk
 of their own and the neighbouring size classes, as no link spans more. No pairs
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
@@ -228,12 +230,12 @@ def _links_table(found: list[tuple[int, int]]) -> pa.Table:
 
 def _bucket_links(table: pa.Table, share: int) -> pa.Table:
     """Links within each bucket of a group."""
-    table = table.sort_by("bucket")
-    ids, sets = table.column("doc_id").to_numpy(), _sets(table)
-    edges = np.flatnonzero(np.diff(table.column("bucket").to_numpy())) + 1
+    ids, sets, lists = table.column("doc_id").to_numpy(), _sets(table), table.column("buckets").combine_chunks()
+    bucket, row = pc.list_flatten(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy()
+    order = np.argsort(bucket, kind="stable")
     found = []
-    for a, b in zip([0, *edges], [*edges, len(ids)]):
-        found += linked(ids[a:b], sets[a:b], share=share)
+    for own in np.split(row[order], np.flatnonzero(np.diff(bucket[order])) + 1):
+        found += linked(ids[own], [sets[k] for k in own], share=share)
     return _links_table(found)
 
 
@@ -294,23 +296,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, wei
     classes = settled(classes, "classes")
     rows = settled(classes.select(F.col("rep").alias("doc_id"), "n_shingles", F.explode("bands").alias("bucket")), "bands")
     # Buckets with the same members count once.
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 1")
-    buckets = settled(buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket"), F.min("held").alias("held")).select("bucket", "held"), "buckets")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"), F.min("doc_id").alias("first"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).where("n > 1")
+    buckets = settled(buckets.groupBy("n", "who").agg(F.min("bucket").alias("bucket"), F.min("held").alias("held"), F.min("first").alias("first")).select("bucket", "held", "first"), "buckets")
     groups = max(1, math.ceil((buckets.where(F.col("held") <= weight).agg(F.sum("held")).first()[0] or 0) / weight))
     members = rows.join(buckets, "bucket")
     few = F.col("held") <= weight
     # Neighbouring classes of set size span any link.
     cls = F.floor(F.log("n_shingles") / F.log(F.lit(100 / share))).cast("long")
-    members = members.select("bucket", "doc_id", "n_shingles", F.when(few, F.lit(-1).cast("long")).otherwise(cls).alias("cls"))
+    group = F.pmod(F.xxhash64("first"), F.lit(groups)).alias("chunk")
+    members = members.select("bucket", "doc_id", "n_shingles", group, F.when(few, F.lit(-1).cast("long")).otherwise(cls).alias("cls"))
     members = settled(members, "members")
-    large = members.where("cls >= 0")
+    large = members.where("cls >= 0").drop("chunk")
     chunks = settled(large.groupBy("bucket", "cls").agg(F.ceil(F.sum("n_shingles") / F.lit(weight)).alias("chunks")), "chunks")
     large = large.join(chunks, ["bucket", "cls"]).select("bucket", "cls", "doc_id", "n_shingles", F.pmod(F.xxhash64("doc_id"), "chunks").alias("chunk"))
-    group = F.pmod(F.xxhash64("bucket"), F.lit(groups))
-    small = members.where("cls < 0").select("bucket", "cls", "doc_id", "n_shingles", group.alias("chunk"))
+    small = members.where("cls < 0").groupBy("cls", "chunk", "doc_id").agg(F.collect_list("bucket").alias("buckets"))
     sets = settled(_member_sets(docs, members, words), "sets")
-    key = F.when(F.col("cls") < 0, F.lit(0).cast("long")).otherwise(F.col("bucket")).alias("key")
-    placed = small.unionByName(large).select(key, "cls", "chunk", "bucket", "doc_id").join(sets, "doc_id")
+    columns = ["key", "cls", "chunk", "buckets", "doc_id"]
+    small, lone = small.withColumn("key", F.lit(0).cast("long")).select(*columns), large.withColumns({"key": F.col("bucket"), "buckets": F.array("bucket")}).select(*columns)
+    placed = small.unionByName(lone).join(sets, "doc_id")
     links = placed.groupBy("key", "cls", "chunk").applyInArrow(lambda table: _bucket_links(table, share), LINKS)
     links = settled(links, "links")
     if not chunks.isEmpty():

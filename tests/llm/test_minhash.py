@@ -138,3 +138,13 @@ def test_hubs_are_dealt_over_salts(spark, monkeypatch):
     rows = [(i, "one two three") for i in range(40)] + [(50, "four five six")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in op.near_duplicates(docs).collect()) == [(i, 0) for i in range(40)] + [(50, 50)]
+
+
+def test_a_set_goes_once_to_a_group():
+    """A group's table holds each set once, with all of its buckets there; links stay within buckets, whatever else lies in the group."""
+    import pyarrow as pa
+
+    own = [np.arange(k, k + 100, dtype="<u8") for k in (0, 2, 4, 1000)]
+    table = pa.table({"doc_id": [1, 2, 3, 4], "buckets": pa.array([[9, 5], [9], [5, 6], [6]], pa.list_(pa.int64())), "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
+    found = op._bucket_links(table, 85)
+    assert {frozenset(x) for x in zip(found["a"].to_pylist(), found["b"].to_pylist())} == {frozenset((1, 2)), frozenset((1, 3))}
