@@ -102,3 +102,12 @@ def test_numbers_hold_what_the_text_names(spark):
 def test_blank_texts(spark):
     own = spark.createDataFrame([(x,) for x in ODD], "x string").selectExpr(f"({text.blank(SPARK, 'x')}) = (trim(regexp_replace(coalesce(x, ''), '[ \\\\t\\\\n\\\\r\\\\f]+', ' ')) = '') AS same")
     assert all(r.same for r in own.collect())
+
+
+def test_patterns_with_classes_of_unicode(spark):
+    r"""Python cannot read ``\p{..}``, so there is no look ahead, and the test is the pattern's own."""
+    assert hinted(r"\p{L}[a-z]") == (f"\\p{{L}}[{''.join(map(chr, range(97, 123)))}]", "")
+    own = spark.createDataFrame([(x,) for x in ("Ärzte", "١٢", "5 ≤", "≤", "?", "")], "x string")
+    tests = [SPARK.like("x", p) for p in (r"\p{L}", r"^\p{Nd}+$", r"[\p{Nd}≤]")]
+    got = [tuple(r) for r in own.selectExpr(*(f"{t} AS t{k}" for k, t in enumerate(tests))).collect()]
+    assert got == [(True, False, False), (False, True, True), (False, False, True), (False, False, True), (False, False, False), (False, False, False)]
