@@ -257,3 +257,23 @@ def test_walks_store_nothing_between_levels(spark, name):
     plan = slate.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # The rows of lineitem are shuffled once, by document, before any text is made of them.
     assert "UnionLoop" not in plan and plan.count("Exchange hashpartitioning(document_id") == 1 == plan.count("Exchange hashpartitioning(")
+
+
+def test_each_field_is_read_once(spark):
+    """Errors are columns of a projection over fields that are read once, and nothing of it is written anew for a test before the rows of errors are made."""
+    from leafwright.plans import slate
+
+    made = " ".join(e for _, e in validate.node_errors(trees.SCHEMA, "node", "path", "found"))
+    assert all(made.count(f"'$.{field}')") == 1 for field in ("operator", "entity_text", "polarity", "history_context", "children"))
+    plan = slate.queries()["schema_errors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(found" in plan and "size(found#" not in plan
+
+
+@pytest.mark.parametrize("text, kinds", [("1e400", {"number"}), ('"Infinity"', {"string"}), ('"NaN"', {"string"}), ("-0.5", {"number"}), ("-3", {"number", "integer"}), ("123456789012345678901234567890", {"number", "integer"}), ('"7"', {"string"}), ('""', {"string"}), ("[]", {"array"}), ("[null]", {"array"}), ("{}", {"object"}), ("false", {"boolean"}), ("null", {"null"})])
+def test_types_follow_from_the_text(spark, text, kinds):
+    own = spark.createDataFrame([(text,)], "v string").selectExpr("parse_json(v) AS v")
+    names = ["string", "integer", "number", "boolean", "null", "object", "array"]
+    wrong = lambda k, **more: validate.Compiler({}).errors({"type": k} | more, "v", "''")
+    row = own.select(*(F.expr(wrong(k)).alias(k) for k in names), F.expr(wrong("array", items={"type": "null"}, minItems=1)).alias("filled")).first()
+    assert {k for k in names if not row[k]} == kinds
+    assert bool(row.filled) == (text != "[null]")
