@@ -277,3 +277,27 @@ def test_types_follow_from_the_text(spark, text, kinds):
     row = own.select(*(F.expr(wrong(k)).alias(k) for k in names), F.expr(wrong("array", items={"type": "null"}, minItems=1)).alias("filled")).first()
     assert {k for k in names if not row[k]} == kinds
     assert bool(row.filled) == (text != "[null]")
+
+
+def test_errors_are_asked_for_only_where_nothing_else_stops_a_result(spark):
+    """A wrapper around anything but an object is no leaf; of a result that was stopped before, errors are not looked for."""
+    made = " ".join(f"{n} {e}" for n, e in validate.leaf_errors(trees.SCHEMA, "was", "''", "before"))
+    assert "schema_of_variant(was)" not in made and "leaf" not in made.replace("was", "")
+    odd = [{"node_type": "criterion", "criterion": x} for x in ("text", None, [good("a")], 3, {})] + [{"node_type": "criterion"}, {"node_type": "criterion", "criterion": good("a", entity_type="device")}]
+    doc = {"rules_v3_ast": {"inclusion_criteria": {"node_type": "group", "group_operator": "AND", "children": odd}, "exclusion_criteria": None}}
+    own = spark.createDataFrame([("A", "d", json.dumps(doc))], "branch string, document_id string, doc string")
+    assert [r.path for r in nested.criteria(own).sort("path").collect()] == [r.path for r in nested.grouped_criteria(own).sort("path").collect()] == [f"inclusion_criteria.children[{k}]" for k in (4, 6)]
+    assert nested.operator_paths(own).count() == 7
+    results = spark.createDataFrame([("p", 0, "A", "a", "select_candidate", "pass", "", '{"entity_type": "lab"}'), ("q", 1, "A", "a", "human_review", "pass", "", '{"entity_type": "lab"}')], "plan_id string, ord long, branch_to_update string, criterion_id string, final_decision string, local_validation_status string, rescue_task_type string, selected_leaf string")
+    _, audit = rescue_apply.apply_results(own, results, trees.SCHEMA)
+    assert sorted((r.plan_id, r.apply_status, r.changed_fields) for r in audit.collect()) == [("p", "applied", "entity_type"), ("q", "skipped", "")]
+    plan = audit._jdf.queryExecution().optimizedPlan().toString()
+    assert "schemaOfVariant(criterion" not in plan
+
+
+def test_leaves_of_a_document_are_sought_once(spark):
+    docs = table(spark, made(5, 3))
+    after = nested.with_edits(docs, spark.createDataFrame([("d0", "d_C0", "{}")], "document_id string, criterion_id string, leaf string"))
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("get_json_object(") + plan.count("GetJsonObjectEvaluator") == 1
+    assert after.columns == ["document_id", "doc"]
