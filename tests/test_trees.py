@@ -313,3 +313,10 @@ def test_any_leaves_read_a_node_once(spark):
     assert sorted((r.document_id, r.path) for r in own.select("document_id", "path").collect()) == want
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert "$.entity_type" not in plan and "$.operands" not in plan
+
+
+def test_results_and_trees_are_made_once(spark):
+    """What rounds, leaves and edits read is a table of its own, so the leaf table is not made anew for each of them."""
+    after, audit = trees._applied(spark, "/root/testdata/sf0.001")
+    for df in (after, audit):
+        assert "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
